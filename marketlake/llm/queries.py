@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlake.llm.decontaminate import op10_benchmark_decontamination
+from marketlake.llm.jaccard import op7_ngram_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_Q = np.uint64(0xD6E8FEB86659FD93)
+_Q = 0xD6E8FEB86659FD93
 
 #: Bytes of text that one numpy pass handles at a time.
 SLICE_BYTES = 2 << 20
@@ -119,8 +119,7 @@ def join_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """A hash for each `width` neighbours, in order."""
     if len(h) < width:
         return np.zeros(0, dtype=np.uint64)
-    out, factor = np.zeros(len(h) - width + 1, dtype=np.uint64), np.uint64(1)
+    out, factor = np.zeros(len(h) - width + 1, dtype=np.uint64), _powers("join", _Q, width)
     for i in range(width):
-        out += h[i : len(h) - width + 1 + i] * factor
-        factor = factor * _Q
+        out += h[i : len(h) - width + 1 + i] * factor[i]
     return mix(out + np.uint64(width))
