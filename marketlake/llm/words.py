@@ -93,9 +93,9 @@ class Words:
         return np.diff(self.first)
 
 
-def words(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = SPACE_WORDS) -> Words:
+def words(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = SPACE_WORDS, lower: bool = True) -> Words:
     n = len(data)
-    low = LOWER[data]
+    low = LOWER[data] if lower else data
     inside = is_word[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
