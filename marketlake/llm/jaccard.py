@@ -44,6 +44,7 @@ PERCENT = 80
 BIN_BITS = 21
 MOST_LEVELS = 4
 BLOCK = 2048
+FILTER_BITS = 24
 #: What verifying a candidate costs, in postings scanned.
 VERIFY_COST = 50.0
 _PARTS = 64
@@ -237,9 +238,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     postings = rows.select(text).mapInArrow(lambda b: _postings(b, order.value, text, width, percent, bits), "token long, cls long, n int, at int, lv int, ask int")
     shared = held(postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_many, postings.schema))
 
-    active = _texts(shared, members, rows, key, text, width)
-
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = held(pairs)
+        active = _texts(pairs, members, rows, key, text, width)
         near = pairs.join(active.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
         near = near.join(active.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
         return near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _linked(b, width, percent), "a long, b long")
@@ -266,19 +267,55 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found
 
 
-def _texts(shared: DataFrame, members: DataFrame, rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """A text for each class that shares a prefix shingle with another."""
-    chosen = members.join(shared.select("cls").distinct(), "cls").groupBy("cls", "n").agg(F.min(key).alias(key))
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        seen[batch.column("bit").to_numpy()] = True
+    if seen.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([np.packbits(x).tobytes() for x in np.split(seen, _PARTS)], pa.binary())], names=["part", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits"), strict=True):
+            more = np.frombuffer(bits.as_buffer(), np.uint8)
+            total[part] = total[part] | more if part in total else more
+    for part, bits in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """A text for each class of the pairs.
+
+    Before the join, a bitmap of fixed size drops most of the documents that no pair names, so
+    that their texts are not shuffled; the join itself is exact.
+    """
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = held(members.join(named, "cls").groupBy("cls").agg(F.min(key).alias(key)))
+    bit = F.expr(f"cast(pmod(xxhash64(`{key}`), {1 << FILTER_BITS}) as int)")
+    marks = chosen.select(bit.alias("bit")).mapInArrow(_mark, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(_either, "part int, bits binary").collect()
+    seen = np.zeros((_PARTS, (1 << FILTER_BITS) // _PARTS // 8), np.uint8)
+    for r in marks:
+        seen[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    wanted = rows.sparkSession.sparkContext.broadcast(seen.ravel())
     kind = rows.schema[text].dataType.simpleString()
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            yield batch.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in slices(batch, "text"):
                 same = [len(s) > 0 and _class(s) == c for s, c in zip(shingle_sets(run.column("text"), width), run.column("cls").to_pylist(), strict=True)]
                 yield run.filter(pa.array(same, pa.bool_()))
 
+    few = rows.select(key, F.col(text).alias("text"), bit.alias("bit"))
+    few = few.mapInArrow(likely, few.schema).drop("bit")
     # A key may have several rows, so the class is checked on the text itself.
-    return held(rows.join(chosen, key).select("cls", F.col(text).alias("text")).mapInArrow(of_class, f"cls long, text {kind}").dropDuplicates(["cls"]))
+    return held(few.join(chosen, key).select("cls", "text").mapInArrow(of_class, f"cls long, text {kind}"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CRC_TEXT = "crc32(cast(cast({} as string) as binary))"
-
-
 def held(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder in spark.checkpoint.dir; later reads survive lost executors.
+    """The rows, written once as a compressed table to the folder in spark.checkpoint.dir and read again.
 
-    Only a session without that setting (as in a local test) gets a folder of its own.
+    This cuts the lineage, later reads survive lost executors, and the planner knows the size.  Only a
+    session without that setting (as in a local test) gets a folder of its own.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/held-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_remainder(column: str, modulus: int):
