@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlake.llm.decontaminate import op10_benchmark_decontamination
 from marketlake.llm.jaccard import op7_ngram_jaccard_join
+from marketlake.llm.pii import op4_information_theoretic_sanitising
 from marketlake.llm.quality import op2_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_information_theoretic_sanitising": op4_information_theoretic_sanitising,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
