@@ -20,7 +20,7 @@ _P_INV = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93
 
 #: Bytes of text that one numpy pass handles at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
