@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlake.llm.decontaminate import op10_benchmark_decontamination
+from marketlake.llm.html import op6_html_extraction
 from marketlake.llm.jaccard import op7_ngram_jaccard_join
 from marketlake.llm.pii import op4_information_theoretic_sanitising
 from marketlake.llm.quality import op2_quality_classifier
+from marketlake.llm.secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_information_theoretic_sanitising": op4_information_theoretic_sanitising,
+    "op6_html_extraction": op6_html_extraction,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
