@@ -72,6 +72,7 @@ EXAMPLES = (
     ("<h2>A further heading</h2><p>More text follows it here.</p><blockquote>And somebody is quoted.</blockquote><ul><li>A point of some length</li><li>Another one</li></ul>", 1),
     ("<pre>code of an example</pre><table><tr><td>a cell of text</td></tr></table><h3>One more</h3><p>Last words.</p>", 1),
     ("<div>Text that stands in a plain element, without a paragraph of its own.</div>", 1),
+    ("Text that stands in the page itself, without any element around it.", 1),
 )
 
 
