@@ -5,23 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a session without one (as in a local test) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
 def held(df: DataFrame) -> DataFrame:
-    """The rows, written once as a compressed table to the folder in spark.checkpoint.dir and read again.
+    """The rows, written once as a compressed table to the shared folder and read again.
 
-    This cuts the lineage, later reads survive lost executors, and the planner knows the size.  Only a
-    session without that setting (as in a local test) gets a folder of its own.
+    This cuts the lineage, later reads survive lost executors, and the planner knows the size.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/held-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_remainder(column: str, modulus: int):
