@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.shared import components, held
@@ -183,23 +183,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     """Pairs of each block of a posting list whose components differ, sizes agree and positions allow the threshold."""
     for rows in _runs(batches, ["token", "left", "right"]):
         edge = np.flatnonzero(np.r_[True, (rows[["token", "left", "right"]].to_numpy()[1:] != rows[["token", "left", "right"]].to_numpy()[:-1]).any(axis=1), True])
-        col = {c: rows[c].to_numpy() for c in ("cls", "n", "at", "lv", "ask", "comp", "chunk", "left", "right")}
+        col = {c: rows[c].to_numpy() for c in ("cls", "n", "at", "before", "lv", "ask", "comp", "chunk", "left", "right")}
         for a, b in zip(edge, edge[1:], strict=False):
             x = {c: v[a:b] for c, v in col.items()}
             one = np.flatnonzero(x["chunk"] == x["left"][0])
             two = np.flatnonzero(x["chunk"] == x["right"][0])
-            for i0 in range(0, len(one), 512):
-                i, j = one[i0 : i0 + 512, None], two[None, :]
-                n, m, ai, aj = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64), x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
+            size = x["n"][two]  # rows come sorted by size, so partners of a run of rows are a range
+            for i0 in range(0, len(one), 256):
+                some = one[i0 : i0 + 256]
+                low = np.searchsorted(size, -(-percent * int(x["n"][some[0]]) // 100))
+                high = np.searchsorted(size, 100 * int(x["n"][some[-1]]) // percent, "right")
+                i, j = some[:, None], two[None, low:high]
+                n, m, ai, aj = (x[c][k].astype(np.int64) for c in ("n", "at") for k in (i, j))
                 first = (n > m) | ((n == m) & (x["cls"][i] > x["cls"][j]))
                 ask = np.where(first, x["ask"][i], x["ask"][j])
-                most = np.minimum(ai, aj) + np.minimum(n - ai, m - aj)
+                most = np.minimum(x["before"][i], x["before"][j]) + np.minimum(n - ai, m - aj)
                 good = (x["comp"][i] != x["comp"][j]) & ((100 + percent) * most >= percent * (n + m)) & (np.maximum(x["lv"][i], x["lv"][j]) <= ask) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 if x["left"][0] == x["right"][0]:
                     good &= x["cls"][i] < x["cls"][j]
                 p, q = np.nonzero(good)
                 if len(p):
-                    ci, cj = x["cls"][one[i0 + p]], x["cls"][two[q]]
+                    ci, cj = x["cls"][some[p]], x["cls"][two[low + q]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ci, cj)), pa.array(np.maximum(ci, cj)), pa.array(ask[p, q].astype(np.int32))], names=["a", "b", "ask"])
 
 
@@ -236,18 +240,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = spark.sparkContext.broadcast(steps)  # 2^bits bytes, whatever the corpus
 
     postings = rows.select(text).mapInArrow(lambda b: _postings(b, order.value, text, width, percent, bits), "token long, cls long, n int, at int, lv int, ask int")
-    shared = held(postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_many, postings.schema))
+    shared = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_many, postings.schema)
+    # Only shingles that another class has can be shared: `before` counts those that stand before in the prefix.
+    shared = held(shared.withColumn("before", (F.row_number().over(Window.partitionBy("cls").orderBy("at")) - 1).cast("int")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = held(pairs)
         active = _texts(pairs, members, rows, key, text, width)
-        near = pairs.join(active.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-        near = near.join(active.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+        # Texts are never a side to broadcast, however few a small corpus has.
+        near = pairs.join(active.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        near = near.join(active.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         return near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _linked(b, width, percent), "a long, b long")
 
-    head = shared.where("lv = 1").groupBy("token").agg(F.min_by(F.struct("cls", "n", "at"), F.struct("at", "cls")).alias("lead"))
+    head = shared.where("lv = 1").groupBy("token").agg(F.min_by(F.struct("cls", "n", "at", "before"), F.struct("at", "cls")).alias("lead"))
     star = shared.where("lv = 1").join(head, "token").where("cls <> lead.cls")
-    star = star.where(f"{100 + percent} * (least(at, lead.at) + least(n - at, lead.n - lead.at)) >= {percent} * (n + lead.n)")
+    star = star.where(f"{100 + percent} * (least(before, lead.before) + least(n - at, lead.n - lead.at)) >= {percent} * (n + lead.n)")
     near = held(verified(star.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()))
 
     known = components(near)
@@ -256,7 +263,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dealt = lists.join(wide, "token").withColumn("chunk", F.expr("cast(pmod(xxhash64(cls), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
     keys = ["token", "left", "right"]
-    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "lv", "ask", "comp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
+    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "before", "lv", "ask", "comp").repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("found"), F.max("ask").alias("ask")).where("found >= ask").select("a", "b")
     more = verified(pairs)
 
@@ -315,7 +322,7 @@ def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, key: str, text
     few = rows.select(key, F.col(text).alias("text"), bit.alias("bit"))
     few = few.mapInArrow(likely, few.schema).drop("bit")
     # A key may have several rows, so the class is checked on the text itself.
-    return held(few.join(chosen, key).select("cls", "text").mapInArrow(of_class, f"cls long, text {kind}"))
+    return held(few.hint("merge").join(chosen, key).select("cls", "text").mapInArrow(of_class, f"cls long, text {kind}"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
