@@ -123,14 +123,16 @@ def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, discl
     n_entity = entity.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"))
     own = _terms(F.col("value"))
     pair = entity.withColumn("term", F.explode(F.array_except("terms", own))).groupBy("kind", "value", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("ctx").alias("n_ctx")).where(f"n_ctx >= {support}")
-    pair = held(pair.join(n_entity, ["kind", "value"]))
+    total = texts.agg(F.count("*").alias("n"))  # one row
+    # The ratio is high enough exactly if n(t) is at most this.
+    most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure))
+    pair = held(pair.join(n_entity, ["kind", "value"]).crossJoin(F.broadcast(total)).where("n > n_e").withColumn("most", most))
+    # Words that are too common already among documents with entities need no count over the corpus.
+    near = found.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pair = held(pair.join(near, "term").where("n_near <= most").drop("n_near"))
     wanted = pair.select("term").distinct()
     n_term = texts.select(F.explode(_terms(F.col("__text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").alias("n"))
-    scored = pair.join(n_term, "term").crossJoin(F.broadcast(total))  # one row
-    ic = F.log(F.col("n") / F.col("n_e"))
-    ratio = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / ic
-    return scored.where((ic > 0) & (ratio >= disclosure)).select("kind", "value", "term")
+    return pair.join(n_term, "term").where("n_t <= most").select("kind", "value", "term")
 
 
 def find_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
