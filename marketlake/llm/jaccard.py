@@ -12,7 +12,7 @@ threshold, then at any level l at least l of the first n - ceil(t n) + l
 shingles of each are shared.  Every document's prefix is lengthened to the
 level at which the estimated cost (postings to scan, plus candidates to verify)
 is least, and its pairs are verified only with that many shared prefix shingles
-and if the positions of the match still allow the threshold.
+and if the position of their first match still allows the threshold.
 
 Groups of near copies would give all their pairs.  A first round therefore
 links each document only to the one of its neighbours in each posting list
@@ -183,7 +183,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     """Pairs of each block of a posting list whose components differ, sizes agree and positions allow the threshold."""
     for rows in _runs(batches, ["token", "left", "right"]):
         edge = np.flatnonzero(np.r_[True, (rows[["token", "left", "right"]].to_numpy()[1:] != rows[["token", "left", "right"]].to_numpy()[:-1]).any(axis=1), True])
-        col = {c: rows[c].to_numpy() for c in ("cls", "n", "at", "before", "lv", "ask", "comp", "chunk", "left", "right")}
+        col = {c: rows[c].to_numpy() for c in ("cls", "n", "at", "lv", "ask", "comp", "chunk", "left", "right")}
         for a, b in zip(edge, edge[1:], strict=False):
             x = {c: v[a:b] for c, v in col.items()}
             one = np.flatnonzero(x["chunk"] == x["left"][0])
@@ -197,7 +197,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 n, m, ai, aj = (x[c][k].astype(np.int64) for c in ("n", "at") for k in (i, j))
                 first = (n > m) | ((n == m) & (x["cls"][i] > x["cls"][j]))
                 ask = np.where(first, x["ask"][i], x["ask"][j])
-                most = np.minimum(x["before"][i], x["before"][j]) + np.minimum(n - ai, m - aj)
+                most = np.minimum(n - ai, m - aj)  # as if this were the first shingle that they share
                 good = (x["comp"][i] != x["comp"][j]) & ((100 + percent) * most >= percent * (n + m)) & (np.maximum(x["lv"][i], x["lv"][j]) <= ask) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 if x["left"][0] == x["right"][0]:
                     good &= x["cls"][i] < x["cls"][j]
@@ -263,8 +263,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dealt = lists.join(wide, "token").withColumn("chunk", F.expr("cast(pmod(xxhash64(cls), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
     keys = ["token", "left", "right"]
-    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "before", "lv", "ask", "comp").repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("found"), F.max("ask").alias("ask")).where("found >= ask").select("a", "b")
+    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "lv", "ask", "comp").repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
+    # A pair that can reach the threshold comes from the list of its first shared shingle at least; how many
+    # they share in their prefixes at the level asked for is counted on the prefixes themselves.
+    prefix = shared.groupBy("cls").agg(F.collect_list(F.struct("token", "lv")).alias("prefix"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("ask").alias("ask"))
+    pairs = pairs.join(prefix.withColumnsRenamed({"cls": "a", "prefix": "of_a"}), "a").join(prefix.withColumnsRenamed({"cls": "b", "prefix": "of_b"}), "b")
+    asked = [f"transform(filter({c}, x -> x.lv <= ask), x -> x.token)" for c in ("of_a", "of_b")]
+    pairs = pairs.where(f"size(array_intersect({asked[0]}, {asked[1]})) >= ask").select("a", "b")
     more = verified(pairs)
 
     roots = components(near.unionByName(more))
