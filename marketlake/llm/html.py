@@ -201,8 +201,12 @@ def extract(html: str | None, weights: Weights) -> str:
 
 def learn_from(pages: DataFrame, html: str = "html", key: str = "page_id", train_pages: int = TRAIN_PAGES) -> Weights:
     """Weights from at most `train_pages` pages that mark their article, those with the smallest hash."""
-    marked = pages.where(F.col(html).rlike("(?i)<(article|main)[ >]")).select(F.col(html).alias("html"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    return learn([r["html"] for r in marked.orderBy("h", F.length("html")).limit(train_pages).collect()])
+    mark = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    marked = pages.where(F.col(html).rlike("(?i)<(article|main)[ >]")).select(mark.alias("h"), F.xxhash64(html).alias("g"), F.col(html).alias("html"))
+    # Hashes are ranked first, so that only the chosen pages leave their tasks.
+    chosen = marked.select("h", "g").orderBy("h", "g").limit(train_pages)
+    rows = marked.join(F.broadcast(chosen.distinct()), ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).collect()
+    return learn([r["html"] for r in sorted(rows)])
 
 
 def main_text(pages: DataFrame, weights: Weights, html: str = "html", text: str = "text") -> DataFrame:
