@@ -58,29 +58,41 @@ def _celled(docs: DataFrame, text: str, topics: tuple[tuple[str, str], ...]) ->
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, w): w are shares of the whole, raked to the targets."""
+    """(source, lang, topic, tokens, w): w are shares of the whole, raked to the targets.
+
+    w is tokens times a factor for each dimension's value.  A step sets the factors of one dimension to
+    goal / sum of tokens times the other two; only that table, a row per value, is written.
+    """
     spark = cells.sparkSession
-    now = held(cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double")))
-    goals = {}
+    base = held(cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double")))
+    goals, factor = {}, {}
     for d in DIMENSIONS:
         if targets and d in targets:
             goal = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, goal double")
-            goal = goal.join(now.select(d).distinct(), d, "left_semi")
+            goal = goal.join(base.select(d).distinct(), d, "left_semi")
         else:
-            goal = now.groupBy(d).agg(F.pow(F.sum("w"), F.lit(alpha)).alias("goal"))
-        goals[d] = held(goal.join(goal.agg(F.sum("goal").alias("all")), how="cross").select(d, (F.col("goal") / F.col("all")).alias("goal")))
-    for r in range(rounds):
+            goal = base.groupBy(d).agg(F.pow(F.sum("w"), F.lit(alpha)).alias("goal"))
+        goal = held(goal)
+        whole = goal.agg(F.sum("goal").alias("all"))  # one row
+        goals[d] = held(goal.join(F.broadcast(whole), how="cross").select(d, (F.col("goal") / F.col("all")).alias("goal")))
+        factor[d] = goals[d].select(d, F.lit(1.0).alias(f"f_{d}"))
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            scale = now.groupBy(d).agg(F.sum("w").alias("sum")).join(goals[d], d).select(d, (F.col("goal") / F.col("sum")).alias("scale"))
-            now = now.join(scale, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("scale")).alias("w"))
-        if r % 2 == 1 or r == rounds - 1:
-            now = held(now)
-    return now
+            rows = base
+            for other in DIMENSIONS:
+                if other != d:
+                    rows = rows.join(factor[other], other)
+            part = rows.groupBy(d).agg(F.sum(F.col("w") * F.col("f_" + DIMENSIONS[DIMENSIONS.index(d) - 1]) * F.col("f_" + DIMENSIONS[DIMENSIONS.index(d) - 2])).alias("sum"))
+            factor[d] = held(part.join(goals[d], d).select(d, (F.col("goal") / F.col("sum")).alias(f"f_{d}")))
+    for d in DIMENSIONS:
+        base = base.join(factor[d], d)
+    return held(base.select(*DIMENSIONS, "tokens", (F.col("w") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("w")))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, topics: tuple[tuple[str, str], ...] = TOPICS, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """The drawn documents with all their columns, and mix_topic, mix_rate and mix_copies (1 or more)."""
-    rows = _celled(docs, text, topics)
+    kept = [c for c in docs.columns if c not in ("mix_topic", "mix_rate", "mix_copies")]
+    rows = _celled(docs.select(kept), text, topics)
     names = [F.col(f"__{d}").alias(d) for d in DIMENSIONS]
     cells = rows.groupBy(*names).agg(F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))).cast("long").alias("tokens"))
     raked = rake(cells, targets, alpha, rounds)
@@ -88,7 +100,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[
     # Targets that sum to less than one leave that much of the budget out.
     rates = held(raked.join(total, how="cross").select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], (F.col("w") * F.lit(float(budget)) * F.col("all") / F.col("tokens")).alias("mix_rate")))
     drawn = rows.join(rates, [f"__{d}" for d in DIMENSIONS]).withColumn("mix_copies", F.floor(F.col("mix_rate") + uniform(F.col(key), seed)).cast("long"))
-    kept = [c for c in docs.columns if c not in ("mix_topic", "mix_rate", "mix_copies")]
     return drawn.where("mix_copies >= 1").select(*kept, F.col("__topic").alias("mix_topic"), "mix_rate", "mix_copies")
 
 
