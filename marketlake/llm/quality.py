@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -35,7 +36,7 @@ from marketlake.llm.words import SPACE_WORDS, flat, join_hashes, mix, slices, wo
 BUCKET_BITS = 17
 DIM = 8
 NGRAMS = (3, 4, 5)
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.3
@@ -143,10 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.withColumnRenamed("id", key).where(crc_remainder(key, folds) != 0).withColumnRenamed(key, "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(train_rows)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
     kind = texts.schema["id"].dataType.simpleString()
-    made = texts.mapInArrow(lambda b: _featurised(b, "text", bits), f"id {kind}, label int, bucket array<int>, number array<int>").toArrow()
-    order = np.lexsort([pa.compute.list_value_length(made["bucket"]).to_numpy(), made["id"].to_numpy()])
-    rows = [(made["bucket"][i].values.to_numpy().astype(np.int64), made["number"][i].values.to_numpy().astype(float), made["label"][i].as_py()) for i in order.tolist()]
-    return train(rows, bits)
+    made = texts.mapInArrow(lambda b: _featurised(b, "text", bits), f"id {kind}, label int, bucket array<int>, number array<int>")
+
+    def learn(rows: pa.Table) -> pa.Table:
+        size = pc.list_value_length(rows["bucket"]).to_numpy()
+        order = np.lexsort([size, rows["id"].to_numpy()]).tolist()
+        sample = [(rows["bucket"][i].values.to_numpy().astype(np.int64), rows["number"][i].values.to_numpy().astype(float), rows["label"][i].as_py()) for i in order]
+        model = train(sample, bits)
+        return pa.table({"weight": pa.array([model.weight.astype(np.float64).tobytes()], pa.binary()), "bias": [model.bias]})
+
+    # One task trains on the sample, which `train_rows` bounds; the driver gets the folded table only.
+    got = made.groupBy().applyInArrow(learn, "weight binary, bias double").first()
+    return Model(np.frombuffer(got["weight"], np.float64), got["bias"]) if got else train([], bits)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
