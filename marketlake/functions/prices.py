@@ -28,7 +28,7 @@ def rounding_bound(a: Column, b: Column) -> Column:
 
 def price_survives(p: Column) -> Column:
     """Is the price still a price after rounding to the stored scale?"""
-    return F.coalesce(F.round(p, SCALE).between(PRICE_FLOOR, PRICE_CEILING), F.lit(False))
+    return F.coalesce((F.round(p, SCALE) >= PRICE_FLOOR) & (p < 1e24), F.lit(False))
 
 
 def price_forming(offer_priced: Column, a: Column, b: Column, p: Column) -> Column:

@@ -24,7 +24,7 @@ def attach_offer_price(claims: DataFrame, changes: DataFrame) -> DataFrame:
     `changes` has (tx, op, offer_id, pos, is_state, n, d).  The first state row of an offer counts, else its
     first row.  A transaction whose numbers of operations disagree between the two takes none.
     """
-    first = changes.groupBy("tx", "op", "offer_id").agg(F.min_by(F.struct("n", "d"), F.struct((~F.col("is_state")).alias("late"), "pos")).alias("o"))
+    first = changes.groupBy("tx", "op", "offer_id").agg(F.min_by(F.struct("n", "d"), F.struct((~F.col("is_state")).alias("late"), "pos", "n", "d")).alias("o"))
     ours = claims.groupBy("tx").agg(F.count_distinct("op").alias("ops"))
     theirs = changes.groupBy("tx").agg(F.count_distinct("op").alias("ops"))
     sound = ours.join(theirs, ["tx", "ops"]).select("tx")

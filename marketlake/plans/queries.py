@@ -128,14 +128,14 @@ def _(t: Tables) -> DataFrame:
     return round_shown(versioned.dedup_samples(e, ["asset", "ts"]), "asset", "ts", "price")
 
 
-@query("s6_scan_events", "select e.ledger, event_index, contract, topics, c.at as ledger_closed_at from contract_events e join (select ledger, min(closed_at) as at from contract_events group by 1) c using (ledger) where e.ledger between 100 and 500 and contract in (select contract from pools)")
+@query("s6_scan_events", "select e.ledger, event_index, contract, topics, c.at as ledger_closed_at from contract_events e join (select ledger, min(closed_at) as at from contract_events group by 1) c using (ledger) where e.ledger between 10 and 500 and contract in (select contract from pools)")
 def _(t: Tables) -> DataFrame:
-    return events.scan_events(t.events, t.pools, 100, 500).select("ledger", "event_index", "contract", "topics", "ledger_closed_at")
+    return events.scan_events(t.events, t.pools, 10, 500).select("ledger", "event_index", "contract", "topics", "ledger_closed_at")
 
 
-@query("s7_scan_factory_events", "select ledger, event_index, contract, data from topic_events where ledger between 100 and 800 and topic0 = 'new_pair'")
+@query("s7_scan_factory_events", "select ledger, event_index, contract, data from topic_events where ledger between 10 and 800 and topic0 = 'new_pair'")
 def _(t: Tables) -> DataFrame:
-    return events.scan_factory_events(t.events, 100, 800).select("ledger", "event_index", "contract", "data")
+    return events.scan_factory_events(t.events, 10, 800).select("ledger", "event_index", "contract", "data")
 
 
 _RAW_RATES = """select cast(date_trunc('minute', ts) as varchar) as ts, cast(round(0.9 + (event_id % 900) / 1000.0, 3) as varchar) as close, case when event_id % 11 = 0 then 'nowhere' else 'kraken' end as source, case when event_id % 13 = 0 then 'guess' else 'measured' end as quality from events where event_type = 'purchase'"""
@@ -184,7 +184,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "f2_attach_offer_price",
     """with ch as (select l_orderkey as tx, l_linenumber as op, l_suppkey as offer_id, l_partkey as pos, l_tax > 0.04 as is_state, l_extendedprice as n, l_quantity as d from lineitem where l_linenumber < 5),
-first as (select tx, op, offer_id, arg_min(n, (not is_state, pos)) as n, arg_min(d, (not is_state, pos)) as d from ch group by all),
+first as (select tx, op, offer_id, arg_min(n, (not is_state, pos, n, d)) as n, arg_min(d, (not is_state, pos, n, d)) as d from ch group by all),
 ours as (select l_orderkey as tx, l_linenumber as op, l_suppkey as offer_id from lineitem),
 sound as (select a.tx from (select tx, count(distinct op) as k from ours group by 1) a join (select tx, count(distinct op) as k from ch group by 1) b on a.tx = b.tx and a.k = b.k)
 select o.tx, o.op, o.offer_id, f.n as offer_n, f.d as offer_d from ours o left join (select * from first where tx in (select tx from sound)) f using (tx, op, offer_id)""",

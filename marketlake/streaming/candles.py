@@ -100,7 +100,10 @@ def stream_enrich(candles: DataFrame, rates: DataFrame, max_age: int = 300, dela
         keep = frame[((frame["side"] == 0) & ~ready) | ((frame["side"] == 1) & (frame["ts"] >= mark - max_age * 1_000_000))]
         if len(keep):
             state.update(([tuple(x) for x in keep.astype(object).where(keep.notna(), None).itertuples(index=False)],))
-            state.setTimeoutTimestamp(int(keep["ts"].max() // 1000 + max_age * 1000 + 1))
+            waiting = keep["ts"][keep["side"] == 0]
+            # Candles wait for the watermark; without any, old rates go once they are of no use.
+            due = waiting.min() // 1000 if len(waiting) else keep["ts"].max() // 1000 + max_age * 1000
+            state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs())) + 1)
         elif state.exists:
             state.remove()
         if len(out):
