@@ -61,7 +61,7 @@ class Tables:
 
     @property
     def assets(self) -> DataFrame:
-        return market.assets(self.spark)
+        return market.assets(self.spark, self.sf_dir)
 
     @property
     def events(self) -> DataFrame:
@@ -650,7 +650,9 @@ def _(t: Tables) -> DataFrame:
 
 
 def current(t: Tables) -> DataFrame:
-    return snapshot.current_prices(t.p1m, t.p("1h"), t.supply, t.usd_rate, t.as_of)
+    p1m = t.p1m.persist()  # in production a stored table, which the snapshot reads several times
+    c1h = candles.rollup(candles.rollup(p1m, "15m"), "1h")
+    return snapshot.current_prices(p1m, c1h, t.supply, t.usd_rate, t.as_of)
 
 
 @query(

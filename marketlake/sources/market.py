@@ -114,12 +114,25 @@ ASSETS = (
 )
 
 
-def assets(spark: SparkSession) -> DataFrame:
-    """Identities by code; CCC is missing on purpose."""
-    return spark.createDataFrame(list(ASSETS), "asset string, kind string, issuer string, contract string")
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities by code: the test markets (CCC is missing on purpose) and a token for every part."""
+    fixed = spark.createDataFrame(list(ASSETS), "asset string, kind string, issuer string, contract string")
+    n, classic = F.col("p_partkey").cast("string"), F.col("p_partkey") % 2 == 0
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), n).alias("asset"),
+        F.when(classic, "credit").otherwise("contract").alias("kind"),
+        F.when(classic, F.concat(F.lit("GP"), n)).otherwise("").alias("issuer"),
+        F.when(F.col("p_partkey") % 4 == 2, "").otherwise(F.concat(F.lit("CP"), n)).alias("contract"),
+    )
+    return fixed.unionByName(parts)
 
 
-ASSETS_SQL = "assets as (select * from (values " + ", ".join(str(a) for a in ASSETS) + ") t(asset, kind, issuer, contract))"
+ASSETS_SQL = (
+    "assets as (select * from (values "
+    + ", ".join(str(a) for a in ASSETS)
+    + """) t(asset, kind, issuer, contract) union all select 'P' || p_partkey, case when p_partkey % 2 = 0 then 'credit' else 'contract' end,
+  case when p_partkey % 2 = 0 then 'GP' || p_partkey else '' end, case when p_partkey % 4 = 2 then '' else 'CP' || p_partkey end from part)"""
+)
 
 
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
