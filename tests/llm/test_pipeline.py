@@ -17,7 +17,7 @@ def test_stages_take_effect(spark, tmp_path):
         docs.append((d, text if good else " ".join(f"{w.upper()}!!" for w in text.split()), r.choice(["en", "fr"]), f"src{d % 3}"))
         labels.append((d, int(good), 0))
     docs += [(1000 + d, docs[d][1], "en", "src0") for d in (1, 2, 3)]
-    docs += [(2000, docs[6][1] + " " + item, "en", "src1"), (2001, docs[7][1] + " write me at some.one@mail.example.org now", "en", "src1"), (2002, None, None, None), (2003, "", "en", None)]
+    docs += [(2000, docs[6][1] + " " + item, "en", "src1"), (2001, " ".join(word() for _ in range(40)) + " write me at some.one@mail.example.org now", "en", "src1"), (2002, None, None, None), (2003, "", "en", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
