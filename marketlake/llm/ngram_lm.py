@@ -4,19 +4,27 @@ Tokens are words `[^\x20\x09-\x0D]+` with A-Z lower-cased, then one end.
 Counts are taken over the whole training part of the corpus, on Spark, with
 each task's counts summed before they are shuffled.
 
-The trie has a level for each n-gram length.  A level keeps its n-grams with a
-count of N / 2^`level_bits` or more, of which there can be 2^`level_bits` at
-most, whatever N is; words below that stay in the table of counts and are
-looked up by a join.  An n-gram can only be as frequent as both its parts, so
-only pairs of kept (n-1)-grams are counted for the next level, which drops
-nothing.  Children of a context are sorted word numbers, made monotone over the
-level by adding the last value of the range before, and stored as an Elias-Fano
-sequence, as is the sequence of pointers to the ranges; a query searches the
-successor of its value inside the range of its context.  Probabilities
-(absolute discount) and back-off weights are quantised to 256 steps; unigram
-counts are kept exactly, with add-one smoothing.  Probabilities after any
-context sum to one, up to the quantising.  All parts of a trie are flat arrays:
-`save` writes them to one file that `load` maps into memory.
+A trie has a level for each n-gram length.  Children of a context are sorted
+word numbers, made monotone over the level by adding the last value of the range
+before, and stored as an Elias-Fano sequence, as is the sequence of pointers to
+the ranges; a query searches the successor of its value inside the range of its
+context.  Probabilities are absolute discount with back-off weights; unigram
+counts are kept exactly, with add-one smoothing.  Probabilities after any context
+sum to one, up to the quantising.  All parts of a trie are flat arrays: `save`
+writes them to one file that `load` maps into memory.
+
+`op8_ngram_lm_scores` keeps every n-gram of the training part, those seen once
+included, whatever the size of the corpus (`train_shards`).  A trigram, and what
+backs it off, is looked up by its middle word: the trie is cut into shards by the
+hash of that word, each built by one task from all trigrams around its words, so
+that a shard alone gives the probability of a word after any two.  Shards are rows
+of a table; texts send their trigrams to the shards and get sums back.  The cut
+changes no score: log10 values are rounded to steps of 1/2048 everywhere.  What
+the driver holds and broadcasts are the counts of the 2^`level_bits` most frequent
+words, which only saves joins: all other words have their counts joined by hash.
+
+`train` makes the one-file model of a small corpus, cut to n-grams with a count
+of N / 2^`level_bits` or more.
 
 Null texts count as empty and score the end alone.  Each row is scored by its
 own text.  Without training text N and V are 0.
@@ -25,16 +33,20 @@ own text.  Without training text N and V are 0.
 from __future__ import annotations
 
 import json
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketlake.llm.shared import crc_remainder, held
-from marketlake.llm.words import flat, slices, words
+from marketlake.llm.words import flat, mix, slices, words
 
 ORDER = 3
 LEVEL_BITS = 20
@@ -42,6 +54,11 @@ DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x2545F4914F6CDD1D)
 _MERGE = 1 << 20
+#: Training tokens for each shard of the trie, about.
+SHARD_TOKENS = 1 << 21
+#: Stands for what is before the first word of a text.
+START = np.uint64(0)
+_GRID = 2048
 
 
 class EliasFano:
@@ -143,6 +160,12 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), book
 
 
+def on_grid(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes for each log10 value, rounded to 1/2048: the same whatever other values there are."""
+    code = np.clip(np.rint((x + 16) * _GRID), 0, 65535).astype(np.uint16)
+    return code, np.arange(65536) / _GRID - 16
+
+
 @dataclass
 class Level:
     """n-grams by context: the children of context k are the elements from pointer k to pointer k + 1."""
@@ -157,13 +180,13 @@ class Level:
     _base: np.ndarray | None = None
 
     @staticmethod
-    def of(context: np.ndarray, word: np.ndarray, contexts: int, prob: np.ndarray) -> Level:
+    def of(context: np.ndarray, word: np.ndarray, contexts: int, prob: np.ndarray, coded=quantise) -> Level:
         at = np.searchsorted(context, np.arange(contexts + 1))
         last = np.zeros(contexts, np.uint64)
         full = at[1:] > at[:-1]
         last[full] = word[at[1:][full] - 1].astype(np.uint64) + np.uint64(1)
         base = np.cumsum(last) - last
-        code, book = quantise(prob)
+        code, book = coded(prob)
         none = np.zeros(len(word), np.uint8)
         return Level(EliasFano.of(at), EliasFano.of(word.astype(np.uint64) + base[context]), code, book, none, np.zeros(256))
 
@@ -232,8 +255,25 @@ class Trie:
             unigram &= ~hit
         return ids, one, np.where(known | ~unigram, total - one, total)
 
+    def added(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What the levels add to the unigram part of word c after words a and b (numbers; -1: not in the trie)."""
+        two, three = self.levels
+        context = two.find(a, b)
+        one = self.unigram(self.count[np.maximum(c, 0)])
+        pair = two.find(b, c)
+        short = np.where(pair >= 0, two.prob_book[two.prob[np.maximum(pair, 0)]] - one, np.where(b >= 0, self.back[np.maximum(b, 0)], 0.0))
+        short = short + np.where(context >= 0, two.back_book[two.back[np.maximum(context, 0)]], 0.0)
+        if not three.words.n:
+            return short
+        at = three.find(context, c)
+        return np.where(at >= 0, three.prob_book[three.prob[np.maximum(at, 0)]] - one, short)
+
     def save(self, path: str) -> None:
         """All arrays end to end, after a header that says where each is."""
+        with open(path, "wb") as f:
+            f.write(self.packed())
+
+    def packed(self) -> bytes:
         arrays = {f"keys.{k}": v for k, v in self.keys.parts().items()} | {"count": self.count, "back": self.back, "size": np.array([self.tokens, self.vocabulary, len(self.levels)])}
         for i, level in enumerate(self.levels):
             arrays |= {f"{i}.pointers.{k}": v for k, v in level.pointers.parts().items()} | {f"{i}.words.{k}": v for k, v in level.words.parts().items()}
@@ -243,15 +283,15 @@ class Trie:
             index[k] = (at, v.dtype.str, len(v))
             at += -(-v.nbytes // 8) * 8
         head = json.dumps(index).encode()
-        with open(path, "wb") as f:
-            f.write(len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8))
-            for v in arrays.values():
-                f.write(v.tobytes() + b"\0" * (-v.nbytes % 8))
+        return b"".join([len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8), *[v.tobytes() + b"\0" * (-v.nbytes % 8) for v in arrays.values()]])
 
     @staticmethod
     def load(path: str) -> Trie:
         """The saved model, mapped: pages of the file are read as queries touch them."""
-        raw = np.memmap(path, np.uint8, mode="r")
+        return Trie.unpacked(np.memmap(path, np.uint8, mode="r"))
+
+    @staticmethod
+    def unpacked(raw: np.ndarray) -> Trie:
         n = int(raw[:8].view("<u8")[0])
         index, base = json.loads(raw[8 : 8 + n].tobytes()), 8 + n + (-n % 8)
 
@@ -386,6 +426,243 @@ def _lower(trie: Trie, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return 10.0 ** np.where(at >= 0, seen, trie.back[short] + trie.unigram(trie.count[word]))
 
 
+def _shard_of(word: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(word) % np.uint64(shards)).astype(np.int64)
+
+
+def _trigrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token but the first of each text: the two before it, itself, and the number of its text."""
+    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    two = (at > 1) & (doc[np.maximum(at - 2, 0)] == doc[at])
+    return np.where(two, h[np.maximum(at - 2, 0)], START), h[at - 1], h[at], doc[at]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, more: tuple[np.ndarray, ...]) -> bytes:
+    """Trigrams in the order of b, with each word hash written once."""
+    rank = np.argsort(b, kind="stable")
+    known, at = np.unique(np.concatenate([a[rank], b[rank], c[rank]]), return_inverse=True)
+    return zlib.compress(pickle.dumps((known, *[_small(x) for x in np.split(at, 3)], *[_small(x[rank]) for x in more]), 5), 1)
+
+
+def _opened(body: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zlib.decompress(body))
+
+
+def _by_shard(b: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    mine = _shard_of(b, shards)
+    rank = np.argsort(mine, kind="stable")
+    cut = np.flatnonzero(np.diff(mine[rank])) + 1
+    for part in np.split(rank, cut) if len(rank) else []:
+        yield int(mine[part[0]]), part
+
+
+_PIECE = 1 << 16
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal trigrams once, with the sum of their counts, in the order of b, a and c."""
+    rank = np.lexsort([c, a, b])
+    a, b, c, n = a[rank], b[rank], c[rank], n[rank]
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])][: len(a)])
+    return a[head], b[head], c[head], np.add.reduceat(n, head) if len(head) else n
+
+
+def _rare(batches: Iterator[pa.RecordBatch], frequent: Trie, shards: int) -> Iterator[pa.RecordBatch]:
+    """The words of each shard whose counts are to be joined."""
+    for batch in batches:
+        for run in slices(batch):
+            _, b, c, _ = _trigrams(*tokens_of(run.column("text")))
+            rare = np.flatnonzero(frequent.word_ids(c) < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(b[rare], shards)), pa.array(c[rare].view(np.int64))], names=["shard", "k"])
+
+
+def _events(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Counted trigrams by shard."""
+    names = ["shard", "k", "c", "body"]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        a, b, c, n = _distinct(a, b, c, np.ones(len(a), np.int64))
+        for shard, part in _by_shard(b, shards):
+            for i in range(0, len(part), _PIECE):
+                p = part[i : i + _PIECE]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(a[p], b[p], c[p], (n[p],))], pa.binary())], names=names)
+
+    for batch in batches:
+        for run in slices(batch):
+            held.append(_trigrams(*tokens_of(run.column("text")))[:3])
+            if sum(len(x[0]) for x in held) > 2 * _MERGE:
+                yield from flush()
+    if held:
+        yield from flush()
+
+
+def _shard_trie(n: int, v: int, frequent: Trie, a: np.ndarray, b: np.ndarray, c: np.ndarray, times: np.ndarray, rare: dict[str, np.ndarray], discount: float) -> Trie:
+    """The trie of all trigrams whose middle word is in a shard."""
+    a, b, c, times = _distinct(a, b, c, times)
+    keys = np.unique(np.concatenate([a[a != START], b, c]))
+    count = np.zeros(len(keys), np.int64)
+    at = frequent.word_ids(keys)
+    count[at >= 0] = frequent.count[at[at >= 0]]
+    count[np.searchsorted(keys, rare["k"])] = rare["c"]
+    first, middle, last = np.searchsorted(keys, a), np.searchsorted(keys, b), np.searchsorted(keys, c)
+    trie = Trie(n, v, EliasFano.of(keys), count, np.zeros(0))
+    whole = np.flatnonzero(a != START)
+    size = np.int64(len(keys))
+    right, of = np.unique(middle * size + last, return_inverse=True)
+    x, y = right // size, right % size
+    follow = np.bincount(middle, times, len(keys))
+    prob = (np.bincount(of, times) - discount) / follow[x]
+    trie.back = _back_off(x, len(keys), prob, 10.0 ** trie.unigram(count[y]))
+    left = first[whole] * size + middle[whole]
+    pairs = np.unique(np.concatenate([right, left]))
+    log = np.zeros(len(pairs))
+    log[np.searchsorted(pairs, right)] = np.log10(prob)
+    two = Level.of(pairs // size, pairs % size, len(keys), log, on_grid)
+    context = np.searchsorted(pairs, left)
+    p3 = (times[whole] - discount) / np.bincount(context, times[whole], len(pairs))[context]
+    two.back, two.back_book = on_grid(_back_off(context, len(pairs), p3, prob[of[whole]]))
+    rank = np.lexsort([last[whole], context])
+    trie.levels = [two, Level.of(context[rank], last[whole][rank], len(pairs), np.log10(p3[rank]), on_grid)]
+    return trie
+
+
+def _build(batches: Iterator[pa.RecordBatch], n: int, v: int, frequent: Trie, discount: float) -> Iterator[pa.RecordBatch]:
+    """A packed trie for each shard, from rows in the order of shards."""
+    shard, held, k, c = None, [], [], []
+
+    def made() -> pa.RecordBatch:
+        parts = [(w[i], w[j], w[m], t.astype(np.int64)) for w, i, j, m, t in map(_opened, held)]
+        rare = {"k": np.array(k, np.int64).view(np.uint64), "c": np.array(c, np.int64)}
+        body = _shard_trie(n, v, frequent, *[np.concatenate(x) for x in zip(*parts, strict=True)], rare, discount).packed()
+        body = zlib.compress(body, 1)
+        load = sum(int(x[3].sum()) for x in parts)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([load], pa.int64()), pa.array([body], pa.binary())], names=["shard", "load", "body"])
+
+    for batch in batches:
+        for s, word, seen, body in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            if s != shard:
+                if held:
+                    yield made()
+                shard, held, k, c = s, [], [], []
+            if body is None:
+                k.append(word)
+                c.append(seen)
+            else:
+                held.append(body)
+    if held:
+        yield made()
+
+
+@dataclass
+class Shards:
+    """The whole model: frequent words with their counts, counts of all words, and a table of packed tries."""
+
+    frequent: Trie
+    vocabulary: DataFrame
+    table: DataFrame
+    number: int
+    #: Over how many tasks the questions to each shard are dealt.
+    spread: np.ndarray
+
+
+def train_shards(texts: DataFrame, level_bits: int = LEVEL_BITS, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> Shards:
+    """The model of a column `text` with every n-gram of up to three words."""
+    frequent, vocabulary = train(texts, order=1, level_bits=level_bits)
+    n, v = frequent.tokens, frequent.vocabulary
+    number = n // shard_tokens + 1
+    model = texts.sparkSession.sparkContext.broadcast(frequent)
+    events = texts.mapInArrow(lambda b: _events(b, number), "shard long, k long, c long, body binary")
+    rare = texts.mapInArrow(lambda b: _rare(b, model.value, number), "shard long, k long").distinct()
+    rare = rare.join(vocabulary, "k").select("shard", "k", "c", F.lit(None).cast("binary").alias("body"))
+    rows = events.unionByName(rare).repartition(number, "shard").sortWithinPartitions("shard")
+    table = held(rows.mapInArrow(lambda b: _build(b, n, v, model.value, discount), "shard long, load long, body binary"))
+    spread = np.ones(number, np.int64)
+    for r in table.select("shard", "load").collect():
+        spread[r["shard"]] = max(1, r["load"] // (2 * shard_tokens))
+    return Shards(frequent, vocabulary, table, number, spread)
+
+
+_PARTS = "row long, key {}, k long, c long, n_tokens long, n_known long, base double, score double"
+
+
+def _ask(batches: Iterator[pa.RecordBatch], trie: Trie, shards: int, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What `_score` gives, and the trigrams of the texts by shard; of those, `rows` are numbers of texts."""
+    names = ["row", "key", "k", "c", "n_tokens", "n_known", "base", "score", "shard", "salt", "rows", "body"]
+    step = 0
+
+    def asked(held: list[tuple[np.ndarray, ...]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        a, b, c, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        for shard, part in _by_shard(b, shards):
+            for i in range(0, len(part), _PIECE):
+                p = part[i : i + _PIECE]
+                rows, of = np.unique(row[p], return_inverse=True)
+                one = [pa.nulls(1, t) for t in (pa.int64(), kind, *[pa.int64()] * 4, pa.float64(), pa.float64())]
+                salt = (step + i // _PIECE) % int(spread[shard])
+                yield pa.RecordBatch.from_arrays([*one, pa.array([shard], pa.int64()), pa.array([salt], pa.int64()), pa.array([rows.tobytes()], pa.binary()), pa.array([_packed(a[p], b[p], c[p], (of,))], pa.binary())], names=names)
+
+    held, kind = [], None
+    for batch in batches:
+        kind = batch.schema.field("key").type
+        for run in slices(batch):
+            for out in _score(iter([run]), trie):
+                m, first = out.num_rows, int(out.column("row")[0].as_py())
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(m, -1 - first % shards)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+            a, b, c, doc = _trigrams(*tokens_of(run.column("text")))
+            held.append((a, b, c, run.column("row").to_numpy()[doc]))
+            if sum(len(x[0]) for x in held) > _MERGE:
+                yield from asked(held, kind)
+                held, step = [], step + 1
+    if held:
+        yield from asked(held, kind)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Sums for each text of a question; rows of `_score` pass.  The shard's trie comes before the questions to it."""
+    trie, shard = None, None
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        plain = pc.is_null(columns["body"])
+        names = list(columns)[:8]
+        if pc.any(plain).as_py():
+            yield batch.filter(plain).select(names)
+        for i in np.flatnonzero(~np.asarray(plain)).tolist():
+            s, rows, body = columns["shard"][i].as_py(), columns["rows"][i].as_py(), columns["body"][i].as_py()
+            if rows is None:
+                trie, shard = Trie.unpacked(np.frombuffer(zlib.decompress(body), np.uint8)), s
+                continue
+            word, a, b, c, of = _opened(body)
+            row = np.frombuffer(rows, np.int64)
+            m = len(row)
+            if shard != s:  # no training text has a middle word of this shard
+                continue
+            ids = trie.word_ids(word)
+            score = np.bincount(of, trie.added(ids[a], ids[b], ids[c]), m)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(m, kind), none, none, none, none, pa.array(np.zeros(m)), pa.array(score)], names=names)
+
+
+def score_by_shards(docs: DataFrame, model: Shards, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of every row."""
+    frequent, number, spread = docs.sparkSession.sparkContext.broadcast(model.frequent), model.number, model.spread
+    rows = _numbered(docs, key, text)
+    kind = rows.schema["key"].dataType.simpleString()
+    arrow = to_arrow_type(rows.schema["key"].dataType)
+    schema = _PARTS.format(kind)
+    asked = rows.mapInArrow(lambda b: _ask(b, frequent.value, number, spread), schema + ", shard long, salt long, rows binary, body binary")
+    salts = F.array(*[F.lit(int(x)) for x in spread]) if spread.max() > 1 else None
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), (F.get(salts, F.col("shard").cast("int")) if salts is not None else F.lit(1)).cast("long") - 1)).alias("salt")
+    tries = model.table.select("shard", salt, "body")
+    both = asked.unionByName(tries, allowMissingColumns=True).repartition(2 * int(spread.sum()), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("rows").isNotNull())
+    return _summed(both.mapInArrow(lambda b: _answer(b, arrow), schema), model.vocabulary, model.frequent, key)
+
+
 def _score(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
     """A row for each text with the sums over frequent words, and a row for each rare word of a text."""
     names = ["row", "key", "k", "c", "n_tokens", "n_known", "base", "score"]
@@ -415,9 +692,17 @@ def _score(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordB
 def score_texts(docs: DataFrame, trie: Trie, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row."""
     model = docs.sparkSession.sparkContext.broadcast(trie)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    parts = rows.mapInArrow(lambda b: _score(b, model.value), f"row long, key {kind}, k long, c long, n_tokens long, n_known long, base double, score double")
+    rows = _numbered(docs, key, text)
+    parts = rows.mapInArrow(lambda b: _score(b, model.value), _PARTS.format(rows.schema["key"].dataType.simpleString()))
+    return _summed(parts, vocabulary, trie, key)
+
+
+def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+
+def _summed(parts: DataFrame, vocabulary: DataFrame, trie: Trie, key: str) -> DataFrame:
+    """The parts of each text added up, rare words with their joined counts."""
     counts = vocabulary.withColumnRenamed("c", "seen")
     # Rows of whole texts (c is null) look for a word that is none; they only come along.
     joined = parts.join(counts, "k", "left")
@@ -436,6 +721,6 @@ def score_texts(docs: DataFrame, trie: Trie, vocabulary: DataFrame, key: str = "
 
 def op8_ngram_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    trie, vocabulary = train(docs.where(crc_remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
-    out = score_texts(docs, trie, vocabulary)
-    return out.select("doc_id", (crc_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model = train_shards(docs.where(crc_remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
+    out = score_by_shards(docs, model)
+    return out.select("doc_id", (crc_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(model.frequent.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from marketlake.llm.ngram_lm import EliasFano, Trie, op8_ngram_lm_scores, quantise, score_texts, tokens_of, train
+from marketlake.llm.ngram_lm import EliasFano, Trie, op8_ngram_lm_scores, quantise, score_by_shards, score_texts, tokens_of, train, train_shards
 
 
 def tokens(text):
@@ -89,6 +89,59 @@ def test_probabilities_sum_to_one_and_mapping(spark, tmp_path):
         assert abs(total - 1) < 0.03, (context, total)
 
 
+def test_every_ngram_counts_whatever_the_shards(spark):
+    docs = case() + [(500, "zig zag zog"), (501, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    train_on = [(d, t) for d, t in docs if d % 3]
+    part = df.where("doc_id % 3 > 0").select("text")
+    grams = [Counter(), Counter(), Counter()]
+    for _, t in train_on:
+        w = tokens(t)
+        for k in range(3):
+            grams[k].update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
+    one, two, three = grams
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w,] + 1) / (n + v + 1)
+    below = {k: {} for k in range(2)}
+    for g in two:
+        below[0].setdefault(g[:1], []).append(g[1])
+    for g in three:
+        below[1].setdefault(g[:2], []).append(g[2])
+    follow = Counter()
+    for g, c in two.items():
+        follow[g[0]] += c
+
+    def back(kept, less):
+        return max(1 - kept, 1e-9) / max(1 - less, 1e-9)
+
+    def p2(a, w):
+        if (a, w) in two:
+            return (two[a, w] - 0.75) / follow[a]
+        seen = below[0].get((a,), [])
+        return back(sum(p2(a, x) for x in seen), sum(p1(x) for x in seen)) * p1(w)
+
+    def p3(a, b, w):
+        if (a, b, w) in three:
+            return (three[a, b, w] - 0.75) / two[a, b]
+        seen = below[1].get((a, b), [])
+        return back(sum(p3(a, b, x) for x in seen), sum(p2(b, x) for x in seen)) * p2(b, w)
+
+    def score(t):
+        w = tokens(t)
+        return sum(math.log10(p1(x) if i == 0 else p2(w[0], x) if i == 1 else p3(w[i - 2], w[i - 1], x)) for i, x in enumerate(w))
+
+    models = [train_shards(part), train_shards(part, level_bits=5, shard_tokens=100)]
+    assert models[1].number > 20 and models[1].spread.max() > 1
+    some, few = ({(r.doc_id, r.n_tokens): r for r in score_by_shards(df, m).collect()} for m in models)
+    assert some.keys() == few.keys() and len(some) == len(docs)
+    for d, t in docs[:60] + docs[-3:]:
+        r = some[d, len(tokens(t))]
+        assert abs(r.score - score(t)) < 0.001 * r.n_tokens, d
+        assert abs(r.score - few[d, r.n_tokens].score) < 1e-6 and math.isclose(r.base_score, few[d, r.n_tokens].base_score)
+    # Words seen once in training, in this order only.
+    assert some[500, 4].score > some[500, 4].base_score + 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     trie, vocabulary = train(df.select("text"))
