@@ -11,8 +11,8 @@ a word t within `window` characters of an entity e,
 
     PMI(t; e) = log(n(t,e) N / (n(t) n(e)))     IC(e) = log(N / n(e))
 
-over documents: n(t) counts the documents of the whole corpus that hold t,
-N all documents.  PMI / IC is 1 when t occurs only beside e.  With a ratio of
+over distinct texts, so that exact copies count once in all four: n(t) counts the
+texts of the whole corpus that hold t, N all texts.  PMI / IC is 1 when t occurs only beside e.  With a ratio of
 `disclosure` or more, and `support` documents with different surroundings (so
 that copies count once), every occurrence of t in documents that hold e is a
 span.  `sanitise` puts a label for its kind in place of a base span, which
@@ -117,13 +117,13 @@ def _terms(text: Column) -> Column:
 def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(kind, value, term): words that disclose an entity, by co-occurrence over the whole corpus.
 
-    `found` has `row` and `base_spans` of the documents that have any; `texts` has every `__text`.
+    `found` has `row`, `__text` and `base_spans` of the distinct texts that have any; `texts` has `row` and `__text` of all.
     """
     entity = found.select("row", F.explode("base_spans").alias("s")).select("row", "s.kind", "s.value", F.xxhash64("s.beside").alias("ctx"), _terms(F.col("s.beside")).alias("terms"))
     n_entity = entity.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"))
     own = _terms(F.col("value"))
     pair = entity.withColumn("term", F.explode(F.array_except("terms", own))).groupBy("kind", "value", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("ctx").alias("n_ctx")).where(f"n_ctx >= {support}")
-    total = texts.agg(F.count("*").alias("n"))  # one row
+    total = texts.agg(F.count_distinct("row").alias("n"))  # one row
     # The ratio is high enough exactly if n(t) is at most this.
     most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure))
     pair = held(pair.join(n_entity, ["kind", "value"]).crossJoin(F.broadcast(total)).where("n > n_e").withColumn("most", most))
@@ -131,7 +131,7 @@ def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, discl
     near = found.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     pair = held(pair.join(near, "term").where("n_near <= most").drop("n_near"))
     wanted = pair.select("term").distinct()
-    n_term = texts.select(F.explode(_terms(F.col("__text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_term = texts.select("row", F.explode(_terms(F.col("__text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("n_t"))
     return pair.join(n_term, "term").where("n_t <= most").select("kind", "value", "term")
 
 
@@ -139,12 +139,12 @@ def find_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disc
     """(all rows with base_spans, rows with term_spans by `row`); `row` names a text by its hash."""
     own = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1))
     rows = with_base_spans(docs, text).withColumn("row", own)
-    some = held(rows.where(F.size("base_spans") > 0).select("row", F.col(text).alias("__text"), "base_spans"))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    some = held(rows.where(F.size("base_spans") > 0).select("row", F.col(text).alias("__text"), "base_spans").dropDuplicates(["row"]))
+    texts = docs.select(own.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     pairs = held(disclosing(some, texts, support, disclosure))
     entity = some.select("row", F.explode("base_spans").alias("s")).select("row", "s.kind", "s.value").distinct()
     words = entity.join(pairs, ["kind", "value"]).groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    marked = some.dropDuplicates(["row"]).join(words, "row").withColumn("__p", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")))
+    marked = some.join(words, "row").withColumn("__p", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")))
     marked = marked.withColumn("__m", F.regexp_extract_all("__text", F.col("__p"), F.lit(0)))
     return rows, held(marked.select("row", placed("__text", F.col("__p"), "__m", len(KINDS)).alias("term_spans")))
 

@@ -66,6 +66,14 @@ def test_disclosing_terms(spark):
     assert "[TERM] 0: [TERM], called red at [PHONE]; [TERM] [EMAIL] now" in clean
 
 
+def test_copies_of_a_text_count_once(spark):
+    docs = [(i, f"note {i}: Zebulon, called {x}; write zed@corp.example now") for i, x in enumerate(["red", "blue", "green", "grey"])] * 10
+    docs += [(i, f"ordinary text called now {i}") for i in range(10, 60)]
+    got = report(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id = 0").collect()
+    at = docs[0][1].index("Zebulon")
+    assert len(got) == 10 and all(f"term:{at}:{at + 7}" in r.spans for r in got)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert report(empty).count() == 0 and sanitise(empty).count() == 0
