@@ -7,16 +7,18 @@ long runs be read once, without recursion.
 
 The method adds spans (kind `term`): the information-theoretic view that a word
 discloses a protected entity when the two share most of their information.  For
-a word t within `window` characters of an entity e,
+a word t in the same text as an entity e,
 
     PMI(t; e) = log(n(t,e) N / (n(t) n(e)))     IC(e) = log(N / n(e))
 
 over distinct texts, so that exact copies count once in all four: n(t) counts the
-texts of the whole corpus that hold t, N all texts.  PMI / IC is 1 when t occurs only beside e.  With a ratio of
-`disclosure` or more, and `support` documents with different surroundings (so
-that copies count once), every occurrence of t in documents that hold e is a
+texts of the whole corpus that hold t, N all texts.  PMI / IC is 1 when t occurs only with e.  With a ratio of
+`disclosure` or more, and `support` texts that hold both and differ in the `WINDOW`
+characters around e (so that near copies count once), every occurrence of t in documents that hold e is a
 span.  `sanitise` puts a label for its kind in place of a base span, which
-generalises it, and removes terms down to `[TERM]`.
+generalises it, and removes terms down to `[TERM]`.  Words are runs of letters of any length; one of
+fewer than `LETTERS` letters is a term only if some text with an entity writes it
+without a small first letter, as names are (Ann, Li).
 
 All of it is DataFrame functions.  Documents without base spans never leave
 their task; what is shuffled are entities, words beside them, and pre-aggregated
@@ -110,8 +112,12 @@ def _of_kind(number: int) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == number
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
+
+
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS))
+    return F.array_distinct(_words(F.lower(text)))
 
 
 def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -119,17 +125,24 @@ def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, discl
 
     `found` has `row`, `__text` and `base_spans` of the distinct texts that have any; `texts` has `row` and `__text` of all.
     """
-    entity = found.select("row", F.explode("base_spans").alias("s")).select("row", "s.kind", "s.value", F.xxhash64("s.beside").alias("ctx"), _terms(F.col("s.beside")).alias("terms"))
-    n_entity = entity.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"))
-    own = _terms(F.col("value"))
-    pair = entity.withColumn("term", F.explode(F.array_except("terms", own))).groupBy("kind", "value", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("ctx").alias("n_ctx")).where(f"n_ctx >= {support}")
+    # One surrounding for each text and entity, so that `support` counts texts.
+    entity = held(found.select("row", F.explode("base_spans").alias("s")).groupBy("row", "s.kind", "s.value").agg(F.min(F.xxhash64("s.beside")).alias("ctx")))
     total = texts.agg(F.count_distinct("row").alias("n"))  # one row
-    # The ratio is high enough exactly if n(t) is at most this.
-    most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure))
-    pair = held(pair.join(n_entity, ["kind", "value"]).crossJoin(F.broadcast(total)).where("n > n_e").withColumn("most", most))
-    # Words that are too common already among documents with entities need no count over the corpus.
+    # The ratio is high enough exactly if n(t) is at most n(t,e) times this.
+    times = F.pow(F.col("n") / F.col("n_e"), F.lit(1 - disclosure))
+    n_entity = entity.groupBy("kind", "value").agg(F.count("*").alias("n_e"), F.count_distinct("ctx").alias("n_all")).where(f"n_all >= {support}").drop("n_all")
+    n_entity = held(n_entity.crossJoin(F.broadcast(total)).where("n > n_e").withColumn("times", times))
+    most = n_entity.agg(F.max(F.col("n_e") * F.col("times")).alias("limit"))  # one row
+    # Words in too few texts with entities, or in too many, can be terms of no entity.
+    short = found.select(F.explode(F.array_distinct(F.filter(_words(F.col("__text")), lambda w: (F.length(w) < LETTERS) & w.rlike(r"^\P{Ll}")))).alias("w")).select(F.lower("w").alias("term"), F.lit(True).alias("named")).distinct()
     near = found.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    pair = held(pair.join(near, "term").where("n_near <= most").drop("n_near"))
+    near = near.where(f"n_near >= {support}").crossJoin(F.broadcast(most)).where("n_near <= limit").drop("limit")
+    near = held(near.join(short, "term", "left").where(f"length(term) >= {LETTERS} or named").drop("named"))
+    terms = found.select("row", F.explode(_terms(F.col("__text"))).alias("term")).join(near, "term")
+    pair = entity.join(n_entity, ["kind", "value"]).join(terms, "row").where("n_near <= n_e * times")
+    pair = pair.groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"), F.count_distinct("ctx").alias("n_ctx"), F.first("n_near").alias("n_near"), F.first("times").alias("times"))
+    pair = pair.where((F.col("n_ctx") >= support) & (F.col("n_near") <= F.col("n_te") * F.col("times")) & ~F.array_contains(_terms(F.col("value")), F.col("term")))
+    pair = held(pair.select("kind", "value", "term", (F.col("n_te") * F.col("times")).alias("most")))
     wanted = pair.select("term").distinct()
     n_term = texts.select("row", F.explode(_terms(F.col("__text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("n_t"))
     return pair.join(n_term, "term").where("n_t <= most").select("kind", "value", "term")

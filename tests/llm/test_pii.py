@@ -74,6 +74,18 @@ def test_copies_of_a_text_count_once(spark):
     assert len(got) == 10 and all(f"term:{at}:{at + 7}" in r.spans for r in got)
 
 
+def test_terms_far_from_the_entity_and_short_names(spark):
+    r = random.Random(1)
+    fill = lambda: " ".join(r.choice(["plain", "words", "that", "all", "texts", "hold"]) for _ in range(40))
+    docs = [(i, f"Li Zebulon {fill()} mail {i} to zed@corp.example and {fill()}") for i in range(4)]
+    docs[0] = (0, f"{fill()} mail 0 to zed@corp.example of Li Zebulon")
+    docs += [(i, f"to mail and of {fill()}") for i in range(10, 60)]
+    got = {x.doc_id: x.spans for x in report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(4):
+        at = docs[i][1].index("Li")
+        assert [f"term:{at}:{at + 2}", f"term:{at + 3}:{at + 10}"] == [x for x in got[i].split(",") if x.startswith("term")]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert report(empty).count() == 0 and sanitise(empty).count() == 0
