@@ -11,7 +11,10 @@ diagonal join to the longest verbatim match with its location.
 
 Shards are independent: documents are never shuffled, so a passage that a
 third of the corpus holds costs no more than any other.  The benchmark is a
-query set: it goes to the tasks in blocks of `block_mb`, each a pass of its own.
+query set: it goes to the tasks in blocks of `block_mb`, each a pass of its own;
+with more than one, rows are numbered first, and what the passes find is joined
+by row.  Items with a null id count as one item named `<null>`; items with a null
+text have no words.
 
 Null and empty texts have no words and are clean; repeated rows are each
 judged; other columns, of whatever name, are carried on by `decontaminate`.
@@ -23,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlake.llm.shared import held
 from marketlake.llm.words import LETTER_WORDS, flat, join_hashes, slices, words
 
 WINDOW = 10
 BLOCK_MB = 16
+NO_ID = "<null>"
 _BITS = 20
 
 
@@ -158,7 +164,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_mb: float) -> Itera
     """The query set in blocks that fit a task, by measured size."""
     size = benchmark.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     number = int(size / (block_mb * 1e6)) + 1
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit(NO_ID)).alias("i"), F.col(text).alias("t")).where("t is not null")
     for k in range(number):
         part = rows if number == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(number)) == k)
         yield [(r["i"], r["t"]) for r in part.collect()]
@@ -167,25 +173,27 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_mb: float) -> Itera
 def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_mb: float = BLOCK_MB) -> DataFrame:
     """A row for each document: n_words, merged word spans that a window of the benchmark covers, the items
     found, and the words of the longest verbatim match."""
-    kind = docs.schema[key].dataType.simpleString()
-    passes = []
-    for block in blocks(benchmark, item, item_text, block_mb):
-        held = docs.sparkSession.sparkContext.broadcast(Queries(block, window))
+    parts = list(blocks(benchmark, item, item_text, block_mb))
+    if len(parts) == 1:
+        return _pass(docs.select(key, text), parts[0], key, text, window)
+    rows = held(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")))
+    found = _merged([_pass(rows.select("row", "text"), part, "row", "text", window) for part in parts])
+    return rows.select("row", F.col("key").alias(key)).join(found, "row").drop("row")
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            return _search(batches, held.value, key, text)
 
-        passes.append(docs.select(key, text).mapInArrow(search, f"`{key}` {kind}, {_MATCHES}"))
-    return passes[0] if len(passes) == 1 else _merged(docs, passes, key, text)
+def _pass(docs: DataFrame, block: list[tuple[str, str]], key: str, text: str, window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Queries(block, window))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.mapInArrow(lambda b: _search(b, shared.value, key, text), f"`{key}` {kind}, {_MATCHES}")
 
 
-def _merged(docs: DataFrame, passes: list[DataFrame], key: str, text: str) -> DataFrame:
-    """What several passes over the same rows found, joined by the content of the row."""
+def _merged(passes: list[DataFrame]) -> DataFrame:
+    """What several passes found, by the number of the row."""
     every = passes[0]
     for more in passes[1:]:
         every = every.unionByName(more)
     step = "case when size(m) > 0 and element_at(m, -1).end >= s.first then concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'end', greatest(element_at(m, -1).end, s.end)))) else concat(m, array(s)) end"
-    one = every.groupBy(key).agg(
+    one = every.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -210,13 +218,22 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, all columns kept.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_mb: float = BLOCK_MB) -> DataFrame:
+    """The rows in which no window of the benchmark occurs, all columns kept; each is judged by its own text."""
+    place = docs.columns.index(text)
+    for i, block in enumerate(blocks(benchmark, item, item_text, block_mb)):
+        # A pass holds one block in memory; what it keeps is stored before the next.
+        docs = held(docs) if i else docs
+        shared = docs.sparkSession.sparkContext.broadcast(Queries(block, window))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                one = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
+                for found in _search(iter([one]), shared.value, "text", "text"):
+                    yield batch.filter(pc.equal(pc.list_value_length(found.column("spans")), 0))
 
-    A key that several rows share goes if any of them is hit; null keys are judged alike.
-    """
-    bad = longest_matches(docs, benchmark, key=key, **options).where(F.size("spans") > 0).select(F.col(key).alias("__hit")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,13 @@ def test_longest_match_and_empty_tables(spark):
     assert sorted(r.longest_match for r in longest_matches(df, bench).collect()) == [18, 30]
     assert report(df.limit(0), bench).count() == 0
     assert [r.contaminated for r in report(df, bench.limit(0)).collect()] == [False, False]
+
+
+def test_rows_of_one_key_stay_apart_in_blocks_and_items_without_id_hit(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, item + " a b c"), (1, "clean"), (None, item), (None, "clean too"), (None, "clean too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (3, " ".join(f"z{i}" for i in range(30)))], "item_id long, text string")
+    want = sorted([(15, 12, 1), (1, 0, 0), (12, 12, 1), (2, 0, 0), (2, 0, 0)])
+    for block in (16, 0.00005):
+        assert sorted((r.n_words, r.n_hit, r.n_items) for r in report(df, bench, block_mb=block).collect()) == want
