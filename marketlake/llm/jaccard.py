@@ -332,10 +332,12 @@ def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, key: str, text
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, the one with the smallest key; rows with a null key are kept."""
-    found = jaccard_components(docs, key, **options)
-    drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(drop, key, "left_anti").select(docs.columns)
+    """One row of each component, the one with the smallest key (null last); rows, not keys, are judged."""
+    rows = held(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows, "__row", **options)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    first = rows.select("__row", order.alias("o")).join(found, "__row").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(first.select(F.col("o.row").alias("__row")), "__row", "left_semi").select(docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

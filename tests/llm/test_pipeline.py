@@ -38,3 +38,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert mixed.keys() <= private.keys() and len(mixed) > 100
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == mixed.keys()
     assert jaccard_components(df).count() == len(docs)
+
+
+def test_rows_are_judged_not_keys(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    leak, one, two, same = text(), text(), text(), text()
+    docs = [(None, leak), (None, one), (5, "x " + leak), (5, two), (None, same), (None, same), (9, same), (5, same)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame([(7, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.remove_leaks(spark, corpus_pipeline.deduplicate(spark, df, str(tmp_path)), str(tmp_path))
+    assert got.columns == df.columns
+    assert sorted((x.text, x.doc_id or 0) for x in got.collect()) == sorted([(one, 0), (two, 5), (same, 5)])
