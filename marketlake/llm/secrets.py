@@ -6,11 +6,11 @@ examples; from a bounded sample of distinct ones (`train_values`, those with the
 smallest hash, each of at most `longest` characters) a prefix tree is built, and
 its states are merged where their statistics agree (Hoeffding bounds, red-blue
 order), which gives a probabilistic automaton of the format.  Every run of
-`[A-Za-z0-9+/_=-]` of 16 characters or more with both letters and digits, in
-every whole text and outside the base spans, is a candidate.  Its score is the
-mean log2 likelihood ratio per character of the automaton against characters of
-ordinary words; it is reported if it scores as labelled credentials do, all but
-the lowest hundredth of them.
+`[A-Za-z0-9+/_=-]` of 6 characters or more, in every whole text, is a candidate;
+of one that base spans touch, the parts outside them are.  Its score is the mean
+log2 likelihood ratio per character of the automaton against characters of
+ordinary words, which are counted over all texts; it is reported if it scores as
+labelled credentials do, all but the lowest hundredth of them.
 
 Null texts count as empty.  Each row is judged by its own text alone, so
 repeated rows and ties give equal results; without labelled credentials there
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlake.llm.shared import held
+
 KINDS = ("assign", "access", "hex")
 FORMAT = "format"
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 WORD = re.compile(r"[A-Za-z]{4,16}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -42,7 +44,8 @@ TRAIN_VALUES = 400
 LONGEST = 128
 ALPHA = 0.01
 SYMBOLS = 66
-WORD_ROWS = 50
+SHORTEST = 6
+KNOWN = 1 << 17
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -157,18 +160,33 @@ class Format:
     automaton: Automaton
     plain: dict[str, float]
     least: float
+    known: dict[str, bool] = field(default_factory=dict)
 
     def score(self, value: str) -> float:
         other = self.plain[""]
         return (self.automaton.likelihood(value) - sum(self.plain.get(c, other) for c in value)) / len(value)
 
+    def reported(self, value: str) -> bool:
+        """Does it score as labelled credentials do?  Answers for short values are kept, since words recur."""
+        if len(value) > LONGEST:
+            return self.score(value) >= self.least
+        good = self.known.get(value)
+        if good is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            good = self.known[value] = self.score(value) >= self.least
+        return good
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
 
-def learn(values: list[str], words: list[str]) -> Format | None:
-    """A format from labelled credentials and ordinary words."""
-    values = sorted({v[:LONGEST] for v in values if len(v) >= 16})
+def learn(values: list[str], words: list[str] | Counter) -> Format | None:
+    """A format from labelled credentials and ordinary words, or the counts of their characters."""
+    values = sorted({v[:LONGEST] for v in values if len(v) >= SHORTEST})
     if not values:
         return None
-    seen = Counter("".join(words))
+    seen = words if isinstance(words, Counter) else Counter("".join(words))
     n = sum(seen.values()) + SYMBOLS
     plain = {c: log2((k + 1) / n) for c, k in seen.items()} | {"": log2(1 / n)}
     made = Format(Automaton.infer(values), plain, 0.0)
@@ -181,28 +199,43 @@ def format_spans(text: str, base: list[tuple[int, int, int, str]], found: Format
     if found is None:
         return []
     out, taken = [], sorted((a, b) for a, _, b, _ in base)
+    taken.append((len(text), len(text)))
+    k = 0
     for m in CANDIDATE.finditer(text):
-        v = m.group()
-        if not any(c.isdigit() for c in v) or not any(c.isalpha() for c in v) or any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        if found.score(v) >= found.least:
-            out.append((m.start(), len(KINDS), m.end(), v))
+        at, i = m.start(), k
+        while at < m.end():
+            # Spans before `at` touch no later part; those of one kind do not overlap, others may.
+            while taken[i][1] <= at and i < len(taken) - 1:
+                i += 1
+            a, b = taken[i]
+            stop = max(at, min(a, m.end()))
+            if stop - at >= SHORTEST and found.reported(text[at:stop]):
+                out.append((at, len(KINDS), stop, text[at:stop]))
+            at = m.end() if a >= m.end() else max(stop, b)
+        while taken[k][1] <= m.start() and k < len(taken) - 1:
+            k += 1
     return out
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Labelled credentials of each batch, and at the end of a task how often each letter is in ordinary words."""
+    names, seen = ["value", "letter", "n"], Counter()
     for batch in batches:
-        values = {s for t in batch.column(text).to_pylist() if t for *_, s in base_spans(t)}
-        kept = [v for v in values if 16 <= len(v) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["value"])
+        texts = [t for t in batch.column(text).to_pylist() if t]
+        values = {s for t in texts for *_, s in base_spans(t)}
+        kept = [v for v in values if SHORTEST <= len(v) <= LONGEST]
+        for t in texts:
+            seen.update("".join(WORD.findall(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.nulls(len(kept), pa.string()), pa.nulls(len(kept), pa.int64())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=names)
 
 
 def learn_from(docs: DataFrame, text: str = "text", train_values: int = TRAIN_VALUES) -> Format | None:
     rows = docs.select(F.col(text).alias("text"))
-    values = rows.mapInArrow(lambda b: _labelled(b, "text"), "value string").distinct().orderBy(F.xxhash64("value"), "value").limit(train_values).collect()
-    marks = rows.where("text is not null").select(F.xxhash64("text").alias("h")).orderBy("h").limit(WORD_ROWS).distinct()
-    some = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(marks), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").collect()
-    return learn([r["value"] for r in values], [w for r in some for w in WORD.findall(r["text"])])
+    found = held(rows.mapInArrow(lambda b: _labelled(b, "text"), "value string, letter string, n long").groupBy("value", "letter").agg(F.sum("n").alias("n")))
+    values = found.where("value is not null").select("value").orderBy(F.xxhash64("value"), "value").limit(train_values).collect()
+    letters = found.where("letter is not null").collect()  # 52 rows at most
+    return learn([r["value"] for r in values], Counter({r["letter"]: r["n"] for r in letters}))
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -210,7 +243,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def find_secrets(docs: DataFrame, found: Format | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans) of every row: kind, start and end in code points, by start, then kind."""
-    held = docs.sparkSession.sparkContext.broadcast(found)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
     names = (*KINDS, FORMAT)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +252,7 @@ def find_secrets(docs: DataFrame, found: Format | None, key: str = "doc_id", tex
             for value in batch.column(text):
                 t = value.as_py() or ""
                 base = base_spans(t)
-                out.append([{"kind": names[k], "start": a, "end": b} for a, k, b, _ in sorted(base + format_spans(t, base, held.value))])
+                out.append([{"kind": names[k], "start": a, "end": b} for a, k, b, _ in sorted(base + format_spans(t, base, shared.value))])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, _SPANS)], names=[key, "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -228,7 +261,7 @@ def find_secrets(docs: DataFrame, found: Format | None, key: str = "doc_id", tex
 
 def redact(docs: DataFrame, found: Format | None, text: str = "text", label: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with the label in place of each secret."""
-    held = docs.sparkSession.sparkContext.broadcast(found)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
     place = docs.columns.index(text)
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +270,7 @@ def redact(docs: DataFrame, found: Format | None, text: str = "text", label: str
             for t in batch.column(place).to_pylist():
                 if t:
                     base, parts, at = base_spans(t), [], 0
-                    for a, _, b, _ in sorted(base + format_spans(t, base, held.value)):
+                    for a, _, b, _ in sorted(base + format_spans(t, base, shared.value)):
                         if a >= at:
                             parts += [t[at:a], label]
                         at = max(at, b)

@@ -46,3 +46,18 @@ def test_find_and_redact(spark):
     assert {x.text for x in clean.where("doc_id in (0, 100, 101)").collect()} == {"login [SECRET] and words", "bare [SECRET] here", None}
     empty = df.limit(0)
     assert learn_from(empty) is None and find_secrets(empty, None).count() == 0
+
+
+def test_background_of_all_texts_and_parts_beside_base_spans(spark):
+    r = random.Random(7)
+    key = lambda n: "".join(r.choice("GHJKLMNPQRSTVWXYZ23456789") for _ in range(n))
+    docs = [(i, f"login password = {key(8 if i % 2 else 24)} and words") for i in range(200)]
+    run = "0123456789abcdef" * 2
+    left, short = key(20), key(9)
+    docs += [(300, f"bare {left}{run} here"), (301, f"bare {short} here")] + [(400, "")] * 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = learn_from(df)
+    assert found.plain["o"] > found.plain["b"] > found.plain[""]
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in find_secrets(df, found).collect()}
+    assert got[300] == [("format", 5, 25), ("hex", 25, 57)]
+    assert got[301] == [("format", 5, 14)] and got[400] == [] and got[0] == [("assign", 6, 41)]
