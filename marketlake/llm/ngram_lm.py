@@ -1,72 +1,93 @@
 r"""N-gram language model in an Elias-Fano trie, and scores of every text.
 
-Tokens are words `[^\x20\x09-\x0D]+` with A-Z lower-cased, then one end.
-Counts are taken over the whole training part of the corpus, on Spark, with
-each task's counts summed before they are shuffled.
+Tokens are words `[^\x20\x09-\x0D]+` with A-Z lower-cased, then one end.  The
+model keeps every n-gram of up to three words of the training rows, those seen
+once included, whatever the size of the corpus.  Probabilities are absolute
+discount with back-off weights; unigrams are add-one.  After any context they
+sum to one, up to the quantising: log10 values are rounded to steps of 1/2048.
 
 A trie has a level for each n-gram length.  Children of a context are sorted
 word numbers, made monotone over the level by adding the last value of the range
 before, and stored as an Elias-Fano sequence, as is the sequence of pointers to
-the ranges; a query searches the successor of its value inside the range of its
-context.  Probabilities are absolute discount with back-off weights; unigram
-counts are kept exactly, with add-one smoothing.  Probabilities after any context
-sum to one, up to the quantising.  All parts of a trie are flat arrays: `save`
+the ranges.  Unary parts carry a count of ones for each 64 bits, so pointers and
+values are read where they lie, and a query searches the successor of its value
+inside the range of its context.  All parts of a trie are flat arrays: `save`
 writes them to one file that `load` maps into memory.
 
-`op8_ngram_lm_scores` keeps every n-gram of the training part, those seen once
-included, whatever the size of the corpus (`train_shards`).  A trigram, and what
-backs it off, is looked up by its middle word: the trie is cut into shards by the
-hash of that word, each built by one task from all trigrams around its words, so
-that a shard alone gives the probability of a word after any two.  Shards are rows
-of a table; texts send their trigrams to the shards and get sums back.  The cut
-changes no score: log10 values are rounded to steps of 1/2048 everywhere.  What
-the driver holds and broadcasts are the counts of the 2^`level_bits` most frequent
-words, which only saves joins: all other words have their counts joined by hash.
-
-`train` makes the one-file model of a small corpus, cut to n-grams with a count
-of N / 2^`level_bits` or more.
+A trigram, and what backs it off, is looked up by its middle word: the trie is
+cut into shards by the hash of that word.  A middle word with more than
+`shard_tokens` occurrences is cut further, by the word before it; the counts of
+the pairs that it begins, which then no shard sees whole, are counted apart and
+joined to the shards that need them.  Every row's tokens meet the shards once, in
+one exchange: the task of a shard learns from the training rows among them, maps
+the trie's file in the shared folder, scores all, and sends sums back.  The cut
+changes no score.  Where the shared folder is not one that tasks can map (a
+store that only Spark reads), a shard's trie stays in the task's memory.
+
+What the driver holds and broadcasts are the 2^`level_bits` most frequent words
+with their counts, 20 bytes each, and one number for each cut word; all other
+words have their counts joined by hash.  The tokens of a shard are about
+`shard_tokens`; only the questions about one pair of words are never dealt to
+several tasks (they lie compressed, about 6 bytes each).
 
 Null texts count as empty and score the end alone.  Each row is scored by its
-own text.  Without training text N and V are 0.
+own text; rows without an id teach nothing.  Without training text N and V are 0.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
-import zlib
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marketlake.llm.shared import crc_remainder, held
+from marketlake.llm.shared import crc_remainder, folder, held
 from marketlake.llm.words import flat, mix, slices, words
 
-ORDER = 3
 LEVEL_BITS = 20
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x2545F4914F6CDD1D)
-_MERGE = 1 << 20
-#: Training tokens for each shard of the trie, about.
+#: Training tokens of a shard of the trie, about.
 SHARD_TOKENS = 1 << 21
+#: Tokens that a task turns into questions at a time.
+BLOCK_TOKENS = 1 << 20
 #: Stands for what is before the first word of a text.
 START = np.uint64(0)
 _GRID = 2048
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _nth_one(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the n-th set bit of each word."""
+    at, n = np.zeros(len(x), np.int64), n.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        low = x & np.uint64((1 << step) - 1)
+        ones = np.bitwise_count(low).astype(np.int64)
+        up = n >= ones
+        n -= np.where(up, ones, 0)
+        x = np.where(up, x >> np.uint64(step), low)
+        at += np.where(up, step, 0)
+    return at
 
 
 class EliasFano:
-    """A sorted sequence of integers: low bits packed, high bits in unary."""
+    """A sorted sequence of integers: low bits packed, high bits in unary with counts for each 64 bits."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, n: int, bits: int) -> None:
-        self.low, self.high, self.n, self.bits = low, high, n, bits
-        self._first: np.ndarray | None = None
+    PARTS = ("low", "high", "ones", "zeros")
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, bits: int) -> None:
+        self.low, self.high, self.ones, self.zeros, self.n, self.bits = low, high, ones, zeros, n, bits
 
     @staticmethod
     def of(values: np.ndarray) -> EliasFano:
@@ -74,8 +95,11 @@ class EliasFano:
         n = len(values)
         bits = max(0, int(np.log2(max(1.0, float(values[-1]) / n)))) if n else 0
         top = (values >> np.uint64(bits)).astype(np.int64)
-        high = np.zeros((int(top[-1]) if n else 0) + n + 1, bool)
-        high[top + np.arange(n)] = True
+        size = -(-((int(top[-1]) if n else 0) + n + 1) // 64)
+        unary = np.zeros(size * 64, bool)
+        unary[top + np.arange(n)] = True
+        high = np.packbits(unary, bitorder="little").view("<u8").astype(np.uint64)
+        ones = np.r_[0, np.cumsum(np.bitwise_count(high).astype(np.int64))]
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
             part = values & np.uint64((1 << bits) - 1)
@@ -84,17 +108,14 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = shift + np.uint64(bits) > 64
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        return EliasFano(low, np.packbits(high), n, bits)
+        return EliasFano(low, high, ones.astype(np.uint32), (np.arange(size + 1) * 64 - ones).astype(np.uint32), n, bits)
 
-    @property
-    def first(self) -> np.ndarray:
-        """Where the elements of each value of the high bits begin (the zeros of the unary part)."""
-        if self._first is None:
-            bits = np.unpackbits(self.high)
-            ones = np.flatnonzero(bits)[: self.n]
-            top = ones - np.arange(self.n)
-            self._first = np.searchsorted(top, np.arange((int(top[-1]) if self.n else 0) + 2)).astype(np.int64)
-        return self._first
+    def _select(self, i: np.ndarray, bit: bool) -> np.ndarray:
+        """Where the i-th one, or zero, of the unary part is."""
+        before = self.ones if bit else self.zeros
+        word = np.searchsorted(before, i.astype(np.uint32), "right") - 1
+        held = self.high[word] if bit else ~self.high[word]
+        return word * 64 + _nth_one(held, i - before[word].astype(np.int64))
 
     def low_bits(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -105,19 +126,27 @@ class EliasFano:
         out |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return out & np.uint64((1 << self.bits) - 1)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        top = (self._select(i, True) - i).astype(np.uint64)
+        return (top << np.uint64(self.bits)) | self.low_bits(i)
+
     def values(self) -> np.ndarray:
-        top = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)).astype(np.uint64)
-        return (top << np.uint64(self.bits)) | self.low_bits(np.arange(self.n))
+        return self.at(np.arange(self.n))
 
     def find(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
-        """The place of each x among the elements from begin to end, or -1."""
+        """The place of each x among the elements from begin to end, or -1: its successor there, if equal."""
         x = np.asarray(x, np.uint64)
-        first = self.first
+        out = np.full(len(x), -1, np.int64)
+        if not self.n:
+            return out
         top = (x >> np.uint64(self.bits)).astype(np.int64)
-        inside = (top >= 0) & (top < len(first) - 1)
+        inside = (top >= 0) & (top < int(self.zeros[-1]))
         top = np.where(inside, top, 0)
-        low = np.maximum(first[top], begin)
-        high = np.where(inside, np.minimum(first[top + 1], self.n if end is None else end), low)
+        stop = self._select(top, False) - top
+        low = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - (top - 1), 0)
+        low = np.maximum(low, begin)
+        high = np.where(inside, np.minimum(stop, self.n if end is None else end), low)
         stop = high.copy()
         want = x & np.uint64((1 << self.bits) - 1)
         open_ = np.flatnonzero(low < high)
@@ -128,42 +157,21 @@ class EliasFano:
             high[open_[~less]] = mid[~less]
             open_ = open_[low[open_] < high[open_]]
         at = np.flatnonzero(low < stop)
-        out = np.full(len(x), -1, np.int64)
         good = at[self.low_bits(low[at]) == want[at]]
         out[good] = low[good]
         return out
 
     def parts(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "size": np.array([self.n, self.bits])}
+        return {k: getattr(self, k) for k in self.PARTS} | {"size": np.array([self.n, self.bits])}
 
     @staticmethod
     def from_parts(p: dict[str, np.ndarray]) -> EliasFano:
-        return EliasFano(p["low"], p["high"], int(p["size"][0]), int(p["size"][1]))
-
-    def __getstate__(self) -> tuple:
-        return self.low, self.high, self.n, self.bits
+        return EliasFano(*[p[k] for k in EliasFano.PARTS], int(p["size"][0]), int(p["size"][1]))
 
-    def __setstate__(self, state: tuple) -> None:
-        self.low, self.high, self.n, self.bits = state
-        self._first = None
 
-
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte for each value, and the 256 values they stand for (means of equally filled steps)."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)))
-    code = np.clip(np.searchsorted(edges, x, "right") - 1, 0, min(255, max(0, len(edges) - 2)))
-    book = np.zeros(256)
-    n = np.bincount(code, minlength=256)
-    book[n > 0] = (np.bincount(code, x, minlength=256) / np.maximum(n, 1))[n > 0]
-    return code.astype(np.uint8), book
-
-
-def on_grid(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bytes for each log10 value, rounded to 1/2048: the same whatever other values there are."""
-    code = np.clip(np.rint((x + 16) * _GRID), 0, 65535).astype(np.uint16)
-    return code, np.arange(65536) / _GRID - 16
+def quantise(x: np.ndarray) -> np.ndarray:
+    """Two bytes for each log10 value, in steps of 1/2048: the same whatever other values there are."""
+    return (np.clip(np.rint(x * _GRID), -32768, 32767)).astype(np.int16)
 
 
 @dataclass
@@ -173,44 +181,35 @@ class Level:
     pointers: EliasFano
     words: EliasFano
     prob: np.ndarray
-    prob_book: np.ndarray
     back: np.ndarray
-    back_book: np.ndarray
-    _ranges: np.ndarray | None = None
-    _base: np.ndarray | None = None
 
     @staticmethod
-    def of(context: np.ndarray, word: np.ndarray, contexts: int, prob: np.ndarray, coded=quantise) -> Level:
+    def of(context: np.ndarray, word: np.ndarray, contexts: int, prob: np.ndarray, back: np.ndarray) -> Level:
         at = np.searchsorted(context, np.arange(contexts + 1))
         last = np.zeros(contexts, np.uint64)
         full = at[1:] > at[:-1]
         last[full] = word[at[1:][full] - 1].astype(np.uint64) + np.uint64(1)
         base = np.cumsum(last) - last
-        code, book = coded(prob)
-        none = np.zeros(len(word), np.uint8)
-        return Level(EliasFano.of(at), EliasFano.of(word.astype(np.uint64) + base[context]), code, book, none, np.zeros(256))
+        return Level(EliasFano.of(at), EliasFano.of(word.astype(np.uint64) + base[context]), quantise(prob), quantise(back))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each n-gram, or -1; context or word of -1 has none."""
         out = np.full(len(word), -1, np.int64)
         some = np.flatnonzero((context >= 0) & (word >= 0))
         if len(some) and self.words.n:
-            if self._ranges is None:
-                self._ranges = self.pointers.values().astype(np.int64)
-                values = self.words.values()
-                # The range before ends with the value that was added to this one, less one.
-                self._base = np.where(self._ranges > 0, values[np.maximum(self._ranges, 1) - 1] + np.uint64(1), np.uint64(0))
             c = context[some]
-            out[some] = self.words.find(word[some].astype(np.uint64) + self._base[c], self._ranges[c], self._ranges[c + 1])
+            begin, end = self.pointers.at(c).astype(np.int64), self.pointers.at(c + 1).astype(np.int64)
+            full = begin < end
+            some, begin, end = some[full], begin[full], end[full]
+            # The range before ends with the value that was added to this one, less one.
+            base = np.where(begin > 0, self.words.at(np.maximum(begin, 1) - 1) + np.uint64(1), np.uint64(0))
+            out[some] = self.words.find(word[some].astype(np.uint64) + base, begin, end)
         return out
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ranges": None, "_base": None}
-
 
 @dataclass
 class Trie:
-    """The model: N, V, frequent words with their counts, and the levels of longer n-grams."""
+    """A shard, or the whole, of a model: N, V, words by hash with counts and back-off weights, levels of longer n-grams."""
 
     tokens: int
     vocabulary: int
@@ -222,62 +221,30 @@ class Trie:
     def unigram(self, count: np.ndarray | float) -> np.ndarray:
         return np.log10((count + 1.0) / (self.tokens + 1.0 * (self.vocabulary + 1)))
 
-    def word_ids(self, h: np.ndarray) -> np.ndarray:
-        return self.keys.find(h) if self.keys.n else np.full(len(h), -1, np.int64)
-
-    def places(self, h: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-        """For each length, the place of the n-gram that ends at each token, or -1."""
-        out = [self.word_ids(h)]
-        same = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
-        for level in self.levels:
-            before = np.where(same, np.roll(out[-1], 1), -1)
-            out.append(level.find(before, out[0]))
-        return out
-
-    def log_probs(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: word number (-1: rare), unigram part (0 where rare), and what the levels add."""
-        places = self.places(h, doc)
-        ids = places[0]
-        known = ids >= 0
-        one = np.where(known, self.unigram(self.count[np.maximum(ids, 0)] if self.keys.n else 0.0), 0.0)
-        total, unigram = one, np.ones(len(h), bool)
-        same = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else np.zeros(0, bool)
-        for k, level in enumerate(self.levels):
-            before = np.where(same, np.roll(places[k], 1), -1)
-            if k == 0:
-                weight = np.where(before >= 0, self.back[np.maximum(before, 0)] if self.keys.n else 0.0, 0.0)
-            else:
-                lower = self.levels[k - 1]
-                weight = np.where(before >= 0, lower.back_book[lower.back[np.maximum(before, 0)]] if lower.words.n else 0.0, 0.0)
-            at = places[k + 1]
-            hit = at >= 0
-            total = np.where(hit, level.prob_book[level.prob[np.maximum(at, 0)]] if level.words.n else 0.0, total + weight)
-            unigram &= ~hit
-        return ids, one, np.where(known | ~unigram, total - one, total)
-
-    def added(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """What the levels add to the unigram part of word c after words a and b (numbers; -1: not in the trie)."""
+    def log_probs(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 of the probability of word c after words a and b (word numbers; -1: none), in steps of 1/2048."""
         two, three = self.levels
-        context = two.find(a, b)
-        one = self.unigram(self.count[np.maximum(c, 0)])
-        pair = two.find(b, c)
-        short = np.where(pair >= 0, two.prob_book[two.prob[np.maximum(pair, 0)]] - one, np.where(b >= 0, self.back[np.maximum(b, 0)], 0.0))
-        short = short + np.where(context >= 0, two.back_book[two.back[np.maximum(context, 0)]], 0.0)
-        if not three.words.n:
-            return short
-        at = three.find(context, c)
-        return np.where(at >= 0, three.prob_book[three.prob[np.maximum(at, 0)]] - one, short)
-
-    def save(self, path: str) -> None:
-        """All arrays end to end, after a header that says where each is."""
-        with open(path, "wb") as f:
-            f.write(self.packed())
+        n = len(self.count)
+        out = quantise(self.unigram(np.where(c >= 0, self.count[np.maximum(c, 0)], 0) if n else np.zeros(len(c)))).astype(np.int32)
+        out += np.where(b >= 0, self.back[np.maximum(b, 0)], 0) if n else 0
+        if two.words.n:
+            pair = two.find(b, c)
+            out = np.where(pair >= 0, two.prob[np.maximum(pair, 0)], out)
+            size = np.int64(n + 1)
+            left, of = np.unique((a + 1) * size + b + 1, return_inverse=True)
+            context = two.find(left // size - 1, left % size - 1)[of]
+            out = out + np.where(context >= 0, two.back[np.maximum(context, 0)], 0)
+            at = three.find(context, c)
+            if three.words.n:
+                out = np.where(at >= 0, three.prob[np.maximum(at, 0)], out)
+        return out.astype(np.int32)
 
     def packed(self) -> bytes:
+        """All arrays end to end, after a header that says where each is."""
         arrays = {f"keys.{k}": v for k, v in self.keys.parts().items()} | {"count": self.count, "back": self.back, "size": np.array([self.tokens, self.vocabulary, len(self.levels)])}
         for i, level in enumerate(self.levels):
             arrays |= {f"{i}.pointers.{k}": v for k, v in level.pointers.parts().items()} | {f"{i}.words.{k}": v for k, v in level.words.parts().items()}
-            arrays |= {f"{i}.{k}": getattr(level, k) for k in ("prob", "prob_book", "back", "back_book")}
+            arrays |= {f"{i}.prob": level.prob, f"{i}.back": level.back}
         at, index = 0, {}
         for k, v in arrays.items():
             index[k] = (at, v.dtype.str, len(v))
@@ -285,6 +252,10 @@ class Trie:
         head = json.dumps(index).encode()
         return b"".join([len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8), *[v.tobytes() + b"\0" * (-v.nbytes % 8) for v in arrays.values()]])
 
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(self.packed())
+
     @staticmethod
     def load(path: str) -> Trie:
         """The saved model, mapped: pages of the file are read as queries touch them."""
@@ -300,10 +271,10 @@ class Trie:
             return raw[base + at : base + at + size * np.dtype(kind).itemsize].view(kind)
 
         def sequence(k: str) -> EliasFano:
-            return EliasFano.from_parts({x: part(f"{k}.{x}") for x in ("low", "high", "size")})
+            return EliasFano.from_parts({x: part(f"{k}.{x}") for x in (*EliasFano.PARTS, "size")})
 
         tokens, vocabulary, levels = part("size").tolist()
-        made = [Level(sequence(f"{i}.pointers"), sequence(f"{i}.words"), *[part(f"{i}.{k}") for k in ("prob", "prob_book", "back", "back_book")]) for i in range(levels)]
+        made = [Level(sequence(f"{i}.pointers"), sequence(f"{i}.words"), part(f"{i}.prob"), part(f"{i}.back")) for i in range(levels)]
         return Trie(tokens, vocabulary, sequence("keys"), part("count"), part("back"), made)
 
 
@@ -322,6 +293,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Counts:
     """Counts of integer keys, merged whenever many have come together."""
 
+    LIMIT = 1 << 22
+
     def __init__(self) -> None:
         self.keys, self.counts, self.loose = [], [], 0
 
@@ -330,7 +303,7 @@ class _Counts:
         self.keys.append(k)
         self.counts.append(n)
         self.loose += len(k)
-        if self.loose > 4 * _MERGE:
+        if self.loose > self.LIMIT:
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +311,7 @@ class _Counts:
             k, at = np.unique(np.concatenate(self.keys), return_inverse=True)
             self.counts = [np.bincount(at, np.concatenate(self.counts)).astype(np.int64)]
             self.keys = [k]
-        self.loose = 0 if not self.keys else max(0, len(self.keys[0]) - 3 * _MERGE)
+        self.loose = 0 if not self.keys else max(0, len(self.keys[0]) - self.LIMIT // 2)
         return (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def batches(self, size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
@@ -355,18 +328,198 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counts.batches()
 
 
-def _count_next(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams one longer than the trie has, whose both parts it keeps: (place of context, word) as one number."""
-    counts = _Counts()
+@dataclass
+class Vocabulary:
+    """N, V, and the frequent words: by hash their rank, by rank their count; a word's number is its rank plus one."""
+
+    tokens: int
+    size: int
+    hash: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 where it is not frequent."""
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.rank[at] + 1, 0).astype(np.int64)
+
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1.0) / (self.tokens + 1.0 * (self.size + 1)))
+
+    def hashes(self) -> np.ndarray:
+        """The hash of each number; that of 0 is START."""
+        out = np.zeros(len(self.hash) + 1, np.uint64)
+        out[self.rank + 1] = self.hash
+        return out
+
+
+@dataclass
+class Shards:
+    """How words are dealt: `cut[k]` is the first shard of word number k and `parts[k]` how many it has, 1 being the usual."""
+
+    usual: int
+    cut: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def plan(vocabulary: Vocabulary, shard_tokens: int) -> Shards:
+        hashes = vocabulary.hashes()
+        large = np.flatnonzero(vocabulary.count > shard_tokens) + 1
+        large = large[hashes[large] != END]
+        parts = np.ones(int(large.max(initial=0)) + 1, np.int64)
+        parts[large] = vocabulary.count[large - 1] // shard_tokens + 1
+        usual = (vocabulary.tokens - int(vocabulary.count[large - 1].sum())) // shard_tokens + 1
+        more = np.where(parts > 1, parts, 0)
+        return Shards(usual, usual + np.cumsum(more) - more, parts)
+
+    @property
+    def number(self) -> int:
+        return self.usual + int(self.parts[self.parts > 1].sum())
+
+    def large(self, b: np.ndarray) -> np.ndarray:
+        return self.parts[np.where(b < len(self.parts), b, 0)] > 1
+
+    def of(self, b: np.ndarray, hash_a: np.ndarray, hash_b: np.ndarray) -> np.ndarray:
+        """The shard of each trigram; first tokens of a text (b is 0) have their own hash for that of b."""
+        out = (mix(hash_b) % np.uint64(self.usual)).astype(np.int64)
+        large = np.flatnonzero(self.large(b))
+        k = b[large]
+        out[large] = self.cut[k] + (mix(hash_a[large]) % self.parts[k].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash of each pair of word hashes."""
+    return mix(mix(b) * _ODD + c)
+
+
+@dataclass
+class _Block:
+    """Tokens of whole texts as trigrams: word numbers, hashes, shards, and the number of the text of each."""
+
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    hash_b: np.ndarray
+    hash_c: np.ndarray
+    row: np.ndarray
+    shard: np.ndarray
+    rare: np.ndarray
+
+    @staticmethod
+    def of(h: np.ndarray, row: np.ndarray, vocabulary: Vocabulary, shards: Shards) -> _Block:
+        c = vocabulary.numbers(h)
+        rare = np.flatnonzero(c == 0)
+        known, c[rare] = np.unique(h[rare], return_inverse=True)
+        c[rare] += len(vocabulary.hash) + 1
+        first = np.r_[True, row[1:] != row[:-1]]
+        second = first | np.r_[True, first[:-1]]
+        back = lambda x, k: np.r_[x[:k], x[:-k]] if len(x) > k else x.copy()
+        b, a = np.where(first, 0, back(c, 1)), np.where(second, 0, back(c, 2))
+        hash_b = np.where(first, START, back(h, 1))
+        shard = shards.of(b, np.where(second, START, back(h, 2)), np.where(first, h, hash_b))
+        return _Block(a, b, c, hash_b, h, row, shard, known)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """Token hashes, row numbers and rows, for about BLOCK_TOKENS at a time."""
+    h, row, rows, n, size = [], [], [], 0, 0
     for batch in batches:
         for run in slices(batch):
-            h, doc = tokens_of(run.column("text"))
-            places = trie.places(h, doc)
-            same = np.flatnonzero(doc[1:] == doc[:-1])
-            before, after, word = places[-1][same], places[-1][same + 1], places[0][same + 1]
-            good = (before >= 0) & (after >= 0)
-            counts.add((before[good] << LEVEL_BITS) | word[good])
-    yield from counts.batches()
+            x, doc = tokens_of(run.column("text"))
+            h.append(x)
+            row.append(doc + n)
+            rows.append(run.drop_columns(["text"]))
+            n, size = n + run.num_rows, size + len(x)
+            if size >= BLOCK_TOKENS:
+                yield np.concatenate(h), np.concatenate(row), pa.Table.from_batches(rows).combine_chunks()
+                h, row, rows, n, size = [], [], [], 0, 0
+    if n:
+        yield np.concatenate(h), np.concatenate(row), pa.Table.from_batches(rows).combine_chunks()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: Shards) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs that begin with a cut word."""
+    for h, row, _ in _blocks(batches):
+        t = _Block.of(h, row, vocabulary, shards)
+        some = np.flatnonzero(shards.large(t.b))
+        k, at, n = np.unique(_pair(t.hash_b[some], t.hash_c[some]), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), t.b[some[at]], t.hash_c[some[at]].view(np.int64), n.astype(np.int64))], names=["k", "b", "w", "c"])
+
+
+def _needed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: Shards) -> Iterator[pa.RecordBatch]:
+    """The counts that each shard is to be sent: of words that are not frequent, and of pairs after cut words."""
+    for h, row, _ in _blocks(batches):
+        t = _Block.of(h, row, vocabulary, shards)
+        rare, large = np.flatnonzero(t.c > len(vocabulary.hash)), np.flatnonzero(shards.large(t.b))
+        k = np.r_[t.hash_c[rare], _pair(t.hash_b[large], t.hash_c[large])]
+        shard = t.shard[np.r_[rare, large]]
+        rank = np.lexsort([k, shard])
+        k, shard = k[rank], shard[rank]
+        new = np.r_[True, (k[1:] != k[:-1]) | (shard[1:] != shard[:-1])][: len(k)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[new].astype(np.int32)), pa.array(k[new].view(np.int64))], names=["shard", "k"])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of 0 or more, by planes of bytes, compressed."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        x = np.ascontiguousarray(x, np.min_scalar_type(int(x.max(initial=0))).newbyteorder("<"))
+        head += [len(x), x.itemsize]
+        body.append(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    raw = np.array(head, "<i8").tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(body: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    sizes = raw[8 : 8 + 16 * n].view("<i8").reshape(n, 2).tolist()
+    at, out = 8 + 16 * n, []
+    for length, width in sizes:
+        planes = raw[at : at + length * width].reshape(width, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}") if length else np.zeros(0, np.uint64))
+        at += length * width
+    return out
+
+
+_NAMES = ["shard", "block", "learn", "row", "key", "n_tokens", "n_known", "base", "body", "k", "c"]
+
+
+def _batch(kind: pa.DataType, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    types = dict(zip(_NAMES, (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), kind, pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()), strict=True))
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in types.items()], names=_NAMES)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: Shards, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """A row for each text, with what frequent words give, and the trigrams of each block of texts by shard."""
+    one = vocabulary.unigram(np.r_[0, vocabulary.count])
+    place = TaskContext.get().partitionId() << 32
+    for block, (h, row, rows) in enumerate(_blocks(batches)):
+        t, n = _Block.of(h, row, vocabulary, shards), rows.num_rows
+        number = pa.array(np.full(n, place + block))
+        known = t.c <= len(vocabulary.hash)
+        base = np.bincount(row, np.where(known, one[np.where(known, t.c, 0)], 0.0), n)
+        yield _batch(kind, n, shard=pa.array(np.full(n, (place + block) % shards.number, np.int32)), block=number, row=pa.array(np.arange(n, dtype=np.int32)), key=rows.column("key").combine_chunks(), n_tokens=pa.array(np.bincount(row, minlength=n).astype(np.int64)), n_known=pa.array(np.bincount(row, known, n).astype(np.int64)), base=pa.array(base))
+        learn = rows.column("learn").to_numpy().astype(np.int64)
+        part = t.shard * 2 + learn[row]
+        rank = np.argsort(part << 32 | t.b, kind="stable")
+        part = part[rank]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            p = rank[i:j]
+            a, b, c, rare = t.a[p], t.b[p], t.c[p], len(vocabulary.hash)
+            # Only the words of this part that are not frequent go with it, by hash.
+            mine, of = np.unique(np.concatenate([x[x > rare] for x in (a, b, c)]), return_inverse=True)
+            at = 0
+            for x in (a, b, c):
+                m = x > rare
+                x[m] = rare + 1 + of[at : at + m.sum()]
+                at += m.sum()
+            body = _pack(t.rare[mine - rare - 1], a, np.diff(b, prepend=0), c, row[p])
+            yield _batch(kind, 1, shard=pa.array([part[i] >> 1], pa.int32()), block=number[:1], learn=pa.array([bool(part[i] & 1)]), body=pa.array([body], pa.binary()))
 
 
 def _back_off(context: np.ndarray, contexts: int, prob: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -376,351 +529,246 @@ def _back_off(context: np.ndarray, contexts: int, prob: np.ndarray, lower: np.nd
     return np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - below, 1e-9))
 
 
-def train(texts: DataFrame, order: int = ORDER, level_bits: int = LEVEL_BITS, discount: float = DISCOUNT) -> tuple[Trie, DataFrame]:
-    """The model of a column `text`, and the table (k, c) of the counts of all words by hash."""
-    spark = texts.sparkSession
-    vocabulary = held(texts.mapInArrow(_count_words, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
-    size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(size["n"]), int(size["v"])
-    least = max(1, -(-n // (1 << level_bits)))
-    top = vocabulary.where(F.col("c") >= least).toArrow()  # 2^level_bits rows at most
-    h, c = top["k"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.int64)
-    rank = np.argsort(h)
-    trie = Trie(n, v, EliasFano.of(h[rank]), c[rank], np.zeros(len(h)))
-    contexts = c[rank]
-    for _ in range(1, order):
-        model = spark.sparkContext.broadcast(trie)
-        found = texts.mapInArrow(lambda b, m=model: _count_next(b, m.value), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2, least)).toArrow()
-        k, c = found["k"].to_numpy(), found["c"].to_numpy().astype(np.float64)
-        rank = np.argsort(k)
-        k, c = k[rank], c[rank]
-        context, word = k >> LEVEL_BITS, k & ((1 << LEVEL_BITS) - 1)
-        prob = (c - discount) / contexts[context]
-        lower = _lower(trie, context, word)
-        back = _back_off(context, len(contexts), prob, lower)
-        if trie.levels:
-            trie.levels[-1].back, trie.levels[-1].back_book = quantise(back)
-        else:
-            trie.back = back
-        trie.levels.append(Level.of(context, word, len(contexts), np.log10(prob)))
-        contexts = c.astype(np.int64)
-    return trie, vocabulary
-
-
-def _lower(trie: Trie, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Probability of each word after its context without the first word of that."""
-    if not trie.levels:
-        return 10.0 ** trie.unigram(trie.count[word])
-    # Places of a context are (its own context, last word); the shorter context is that last word.
-    level = trie.levels[-1]
-    ranges = level.pointers.values().astype(np.int64)
-    outer = np.repeat(np.arange(len(ranges) - 1), np.diff(ranges))
-    values = level.words.values()
-    base = np.where(ranges > 0, values[np.maximum(ranges, 1) - 1] + np.uint64(1), np.uint64(0)) if len(values) else np.zeros(0, np.uint64)
-    last = (values - base[outer]).astype(np.int64)
-    if len(trie.levels) > 1:
-        raise ValueError("levels beyond three are not supported")
-    short = last[context]
-    at = level.find(short, word)
-    seen = level.prob_book[level.prob[np.maximum(at, 0)]] if level.words.n else np.zeros(len(at))
-    return 10.0 ** np.where(at >= 0, seen, trie.back[short] + trie.unigram(trie.count[word]))
-
-
-def _shard_of(word: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(word) % np.uint64(shards)).astype(np.int64)
-
-
-def _trigrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token but the first of each text: the two before it, itself, and the number of its text."""
-    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    two = (at > 1) & (doc[np.maximum(at - 2, 0)] == doc[at])
-    return np.where(two, h[np.maximum(at - 2, 0)], START), h[at - 1], h[at], doc[at]
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-
-
-def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, more: tuple[np.ndarray, ...]) -> bytes:
-    """Trigrams in the order of b, with each word hash written once."""
-    rank = np.argsort(b, kind="stable")
-    known, at = np.unique(np.concatenate([a[rank], b[rank], c[rank]]), return_inverse=True)
-    return zlib.compress(pickle.dumps((known, *[_small(x) for x in np.split(at, 3)], *[_small(x[rank]) for x in more]), 5), 1)
-
-
-def _opened(body: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zlib.decompress(body))
-
-
-def _by_shard(b: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    mine = _shard_of(b, shards)
-    rank = np.argsort(mine, kind="stable")
-    cut = np.flatnonzero(np.diff(mine[rank])) + 1
-    for part in np.split(rank, cut) if len(rank) else []:
-        yield int(mine[part[0]]), part
-
-
-_PIECE = 1 << 16
-
-
-def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal trigrams once, with the sum of their counts, in the order of b, a and c."""
-    rank = np.lexsort([c, a, b])
-    a, b, c, n = a[rank], b[rank], c[rank], n[rank]
-    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])][: len(a)])
-    return a[head], b[head], c[head], np.add.reduceat(n, head) if len(head) else n
-
-
-def _rare(batches: Iterator[pa.RecordBatch], frequent: Trie, shards: int) -> Iterator[pa.RecordBatch]:
-    """The words of each shard whose counts are to be joined."""
-    for batch in batches:
-        for run in slices(batch):
-            _, b, c, _ = _trigrams(*tokens_of(run.column("text")))
-            rare = np.flatnonzero(frequent.word_ids(c) < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(b[rare], shards)), pa.array(c[rare].view(np.int64))], names=["shard", "k"])
-
-
-def _events(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Counted trigrams by shard."""
-    names = ["shard", "k", "c", "body"]
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        a, b, c, n = _distinct(a, b, c, np.ones(len(a), np.int64))
-        for shard, part in _by_shard(b, shards):
-            for i in range(0, len(part), _PIECE):
-                p = part[i : i + _PIECE]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(a[p], b[p], c[p], (n[p],))], pa.binary())], names=names)
-
-    for batch in batches:
-        for run in slices(batch):
-            held.append(_trigrams(*tokens_of(run.column("text")))[:3])
-            if sum(len(x[0]) for x in held) > 2 * _MERGE:
-                yield from flush()
-    if held:
-        yield from flush()
-
-
-def _shard_trie(n: int, v: int, frequent: Trie, a: np.ndarray, b: np.ndarray, c: np.ndarray, times: np.ndarray, rare: dict[str, np.ndarray], discount: float) -> Trie:
-    """The trie of all trigrams whose middle word is in a shard."""
-    a, b, c, times = _distinct(a, b, c, times)
-    keys = np.unique(np.concatenate([a[a != START], b, c]))
-    count = np.zeros(len(keys), np.int64)
-    at = frequent.word_ids(keys)
-    count[at >= 0] = frequent.count[at[at >= 0]]
-    count[np.searchsorted(keys, rare["k"])] = rare["c"]
-    first, middle, last = np.searchsorted(keys, a), np.searchsorted(keys, b), np.searchsorted(keys, c)
-    trie = Trie(n, v, EliasFano.of(keys), count, np.zeros(0))
-    whole = np.flatnonzero(a != START)
-    size = np.int64(len(keys))
-    right, of = np.unique(middle * size + last, return_inverse=True)
+def build(tokens: int, vocabulary: int, hashes: np.ndarray, count: np.ndarray, seen: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...] | None = None, follow: np.ndarray | None = None, back: np.ndarray | None = None, discount: float = DISCOUNT) -> Trie:
+    """The trie of trigrams (a, b, c, times): words by number in the order of `hashes`, each trigram once, a of -1 before the text.
+
+    `pairs` (b, c, times) are those that begin with a cut word, where trigrams do not tell how often a pair stands;
+    `follow` and `back` then say how often each word has a next one, and its back-off weight (nan: as trigrams say).
+    """
+    a, b, c, times = seen
+    size, n = np.int64(max(1, len(hashes))), len(hashes)
+    trie = Trie(tokens, vocabulary, EliasFano.of(hashes), count, np.zeros(n, np.int16))
+    right, of = np.unique(b * size + c, return_inverse=True)
+    number = np.bincount(of, times, len(right))
+    total = np.bincount(b, times, n)
+    if pairs is not None:
+        cut = follow > 0
+        keep = ~cut[right // size]
+        key = np.r_[right[keep], pairs[0] * size + pairs[1]]
+        number = np.r_[number[keep], pairs[2]]
+        rank = np.argsort(key)
+        right, number = key[rank], number[rank]
+        total = np.where(cut, follow, total)
     x, y = right // size, right % size
-    follow = np.bincount(middle, times, len(keys))
-    prob = (np.bincount(of, times) - discount) / follow[x]
-    trie.back = _back_off(x, len(keys), prob, 10.0 ** trie.unigram(count[y]))
-    left = first[whole] * size + middle[whole]
-    pairs = np.unique(np.concatenate([right, left]))
-    log = np.zeros(len(pairs))
-    log[np.searchsorted(pairs, right)] = np.log10(prob)
-    two = Level.of(pairs // size, pairs % size, len(keys), log, on_grid)
-    context = np.searchsorted(pairs, left)
-    p3 = (times[whole] - discount) / np.bincount(context, times[whole], len(pairs))[context]
-    two.back, two.back_book = on_grid(_back_off(context, len(pairs), p3, prob[of[whole]]))
-    rank = np.lexsort([last[whole], context])
-    trie.levels = [two, Level.of(context[rank], last[whole][rank], len(pairs), np.log10(p3[rank]), on_grid)]
+    prob = (number - discount) / total[x]
+    weight = _back_off(x, n, prob, 10.0 ** trie.unigram(count[y])) if n else np.zeros(0)
+    trie.back = quantise(weight if back is None else np.where(np.isnan(back), weight, back))
+    whole = np.flatnonzero(a >= 0)
+    left = a[whole] * size + b[whole]
+    both = np.unique(np.r_[right, left])
+    log = np.zeros(len(both))
+    log[np.searchsorted(both, right)] = np.log10(prob)
+    context = np.searchsorted(both, left)
+    p3 = (times[whole] - discount) / np.bincount(context, times[whole], len(both))[context]
+    lower = prob[np.searchsorted(right, b[whole] * size + c[whole])]
+    two = Level.of(both // size, both % size, n, log, _back_off(context, len(both), p3, lower) if len(both) else log)
+    rank = np.lexsort([c[whole], context])
+    trie.levels = [two, Level.of(context[rank], c[whole][rank], len(both), np.log10(p3[rank]), np.zeros(0))]
     return trie
 
 
-def _build(batches: Iterator[pa.RecordBatch], n: int, v: int, frequent: Trie, discount: float) -> Iterator[pa.RecordBatch]:
-    """A packed trie for each shard, from rows in the order of shards."""
-    shard, held, k, c = None, [], [], []
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Equal trigrams of numbers from -1 to n - 1 once, and of which each given one is."""
+    size = n + 1
+    if size**3 < 1 << 62:
+        key, of = np.unique(((b + 1) * size + a + 1) * size + c + 1, return_inverse=True)
+        out = key // size % size - 1, key // size // size - 1, key % size - 1
+    else:
+        pair, at = np.unique((b + 1) * size + a + 1, return_inverse=True)
+        key, of = np.unique(at * np.int64(size) + c + 1, return_inverse=True)
+        out = pair[key // size] % size - 1, pair[key // size] // size - 1, key % size - 1
+    return out, of
 
-    def made() -> pa.RecordBatch:
-        parts = [(w[i], w[j], w[m], t.astype(np.int64)) for w, i, j, m, t in map(_opened, held)]
-        rare = {"k": np.array(k, np.int64).view(np.uint64), "c": np.array(c, np.int64)}
-        body = _shard_trie(n, v, frequent, *[np.concatenate(x) for x in zip(*parts, strict=True)], rare, discount).packed()
-        body = zlib.compress(body, 1)
-        load = sum(int(x[3].sum()) for x in parts)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([load], pa.int64()), pa.array([body], pa.binary())], names=["shard", "load", "body"])
 
+def _answer(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: Shards, backs: dict[int, float], kind: pa.DataType, where: str | None, discount: float) -> Iterator[pa.RecordBatch]:
+    """Learns each shard, maps it, and gives the sums of every text of its questions; rows of texts pass."""
+    pieces: dict[int, list[tuple[int, bool, bytes]]] = {}
+    counts: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for s, word, seen, body in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            if s != shard:
-                if held:
-                    yield made()
-                shard, held, k, c = s, [], [], []
-            if body is None:
-                k.append(word)
-                c.append(seen)
-            else:
-                held.append(body)
-    if held:
-        yield made()
-
-
-@dataclass
-class Shards:
-    """The whole model: frequent words with their counts, counts of all words, and a table of packed tries."""
-
-    frequent: Trie
-    vocabulary: DataFrame
-    table: DataFrame
-    number: int
-    #: Over how many tasks the questions to each shard are dealt.
-    spread: np.ndarray
-
-
-def train_shards(texts: DataFrame, level_bits: int = LEVEL_BITS, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> Shards:
-    """The model of a column `text` with every n-gram of up to three words."""
-    frequent, vocabulary = train(texts, order=1, level_bits=level_bits)
-    n, v = frequent.tokens, frequent.vocabulary
-    number = n // shard_tokens + 1
-    model = texts.sparkSession.sparkContext.broadcast(frequent)
-    events = texts.mapInArrow(lambda b: _events(b, number), "shard long, k long, c long, body binary")
-    rare = texts.mapInArrow(lambda b: _rare(b, model.value, number), "shard long, k long").distinct()
-    rare = rare.join(vocabulary, "k").select("shard", "k", "c", F.lit(None).cast("binary").alias("body"))
-    rows = events.unionByName(rare).repartition(number, "shard").sortWithinPartitions("shard")
-    table = held(rows.mapInArrow(lambda b: _build(b, n, v, model.value, discount), "shard long, load long, body binary"))
-    spread = np.ones(number, np.int64)
-    for r in table.select("shard", "load").collect():
-        spread[r["shard"]] = max(1, r["load"] // (2 * shard_tokens))
-    return Shards(frequent, vocabulary, table, number, spread)
-
-
-_PARTS = "row long, key {}, k long, c long, n_tokens long, n_known long, base double, score double"
-
-
-def _ask(batches: Iterator[pa.RecordBatch], trie: Trie, shards: int, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What `_score` gives, and the trigrams of the texts by shard; of those, `rows` are numbers of texts."""
-    names = ["row", "key", "k", "c", "n_tokens", "n_known", "base", "score", "shard", "salt", "rows", "body"]
-    step = 0
-
-    def asked(held: list[tuple[np.ndarray, ...]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        a, b, c, row = (np.concatenate(x) for x in zip(*held, strict=True))
-        for shard, part in _by_shard(b, shards):
-            for i in range(0, len(part), _PIECE):
-                p = part[i : i + _PIECE]
-                rows, of = np.unique(row[p], return_inverse=True)
-                one = [pa.nulls(1, t) for t in (pa.int64(), kind, *[pa.int64()] * 4, pa.float64(), pa.float64())]
-                salt = (step + i // _PIECE) % int(spread[shard])
-                yield pa.RecordBatch.from_arrays([*one, pa.array([shard], pa.int64()), pa.array([salt], pa.int64()), pa.array([rows.tobytes()], pa.binary()), pa.array([_packed(a[p], b[p], c[p], (of,))], pa.binary())], names=names)
-
-    held, kind = [], None
+        text = pc.is_valid(batch.column("row"))
+        if pc.any(text).as_py():
+            yield batch.filter(text)
+        given = batch.filter(pc.is_valid(batch.column("k")))
+        if given.num_rows:
+            s, k, c = (given.column(x).to_numpy() for x in ("shard", "k", "c"))
+            for shard in np.unique(s).tolist():
+                counts.setdefault(shard, []).append(np.stack([k[s == shard], c[s == shard]]))
+        asked = batch.filter(pc.is_valid(batch.column("body")))
+        for s, block, learn, body in zip(*[asked.column(x).to_pylist() for x in ("shard", "block", "learn", "body")], strict=True):
+            pieces.setdefault(s, []).append((block, learn, body))
+    for shard, mine in pieces.items():
+        given = np.concatenate(counts.pop(shard, [np.zeros((2, 0), np.int64)]), axis=1)
+        yield from _shard(shard, mine, given, vocabulary, shards, backs, kind, where, discount)
+
+
+def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray, vocabulary: Vocabulary, shards: Shards, backs: dict[int, float], kind: pa.DataType, where: str | None, discount: float) -> Iterator[pa.RecordBatch]:
+    rank = np.argsort(given[0].view(np.uint64))
+    given_key, given_count = given[0].view(np.uint64)[rank], given[1][rank]
+
+    def counted(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(given_key, h), max(0, len(given_key) - 1))
+        return np.where(given_key[at] == h, given_count[at], 0) if len(given_key) else np.zeros(len(h), np.int64)
+
+    frequent = len(vocabulary.hash)
+    opened = [(block, learn, *_unpack(body)) for block, learn, body in pieces]
+    rare = np.unique(np.concatenate([x[2].astype(np.uint64) for x in opened]))
+    hashes = np.r_[vocabulary.hashes(), rare]
+    used = np.zeros(len(hashes), bool)
+    parts = []
+    for block, learn, own, a, step, c, row in opened:
+        place = np.searchsorted(rare, own.astype(np.uint64))
+        a, b, c = a.astype(np.int32), np.cumsum(step.astype(np.int64)).astype(np.int32), c.astype(np.int32)
+        for x in (a, b, c):
+            m = x > frequent
+            x[m] = frequent + 1 + place[x[m] - frequent - 1]
+            used[x] = True
+        parts.append((block, learn, a, b, c, row))
+    del opened
+    used[0] = False
+    codes = np.flatnonzero(used)
+    codes = codes[np.argsort(hashes[codes])]
+    local = np.full(len(hashes), -1, np.int64)
+    local[codes] = np.arange(len(codes))
+    plain = codes <= frequent
+    count = np.zeros(len(codes), np.int64)
+    count[plain] = vocabulary.count[codes[plain] - 1]
+    count[~plain] = counted(hashes[codes[~plain]])
+
+    sizes = [len(x[2]) for x in parts]
+    a, b, c = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+    learn = np.repeat([x[1] for x in parts], sizes)
+    (ua, ub, uc), of = _distinct(local[a], local[b], local[c], len(codes))
+    times = np.bincount(of[learn], minlength=len(ua))
+    seen = np.flatnonzero((times > 0) & (ub >= 0))
+    pairs = follow = back = None
+    if shard >= shards.usual:
+        follow, back = np.zeros(len(codes)), np.full(len(codes), np.nan)
+        word = int(codes[ub[0]])
+        own = int(ub[0])
+        follow[own], back[own] = vocabulary.count[word - 1], backs[word]
+        next_ = np.unique(uc)
+        number = counted(_pair(np.full(len(next_), hashes[word]), hashes[codes[next_]]))
+        next_, number = next_[number > 0], number[number > 0]
+        pairs = np.full(len(next_), own), next_, number
+    trie = build(vocabulary.tokens, vocabulary.size, hashes[codes], count, (ua[seen], ub[seen], uc[seen], times[seen]), pairs, follow, back, discount)
+    path = None
+    if where:
+        os.makedirs(where, exist_ok=True)
+        path = f"{where}/shard-{shard}-{uuid.uuid4().hex}.trie"
+        trie.save(path)
+    try:
+        trie = Trie.load(path) if path else Trie.unpacked(np.frombuffer(trie.packed(), np.uint8))
+        log = np.concatenate([trie.log_probs(*[x[i : i + (1 << 18)] for x in (ua, ub, uc)]) for i in range(0, len(ua), 1 << 18)])
+        score = log[of]
+    finally:
+        trie = None
+        if path:
+            os.unlink(path)
+    at = 0
+    for (block, _, _, _, words_, row), n in zip(parts, sizes, strict=True):
+        rows, to = np.unique(row, return_inverse=True)
+        total = -np.bincount(to, score[at : at + n], len(rows))
+        other = np.flatnonzero(words_ > frequent)
+        found = count[local[words_[other]]]
+        more = np.bincount(to[other], vocabulary.unigram(found), len(rows)) if len(other) else np.zeros(0)
+        known = np.bincount(to[other], found > 0, len(rows)) if len(other) else np.zeros(0)
+        # Sums are at most 0, in whole steps; those of words that are not frequent go as the bits of doubles.
+        low = int(min(0, total.min()))
+        body = _pack(np.array([-low]), rows, (total - low).astype(np.int64), known.astype(np.int64), (-more + 0.0).view(np.uint64))
+        yield _batch(kind, 1, block=pa.array([block], pa.int64()), body=pa.array([body], pa.binary()))
+        at += n
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text, from the rows and the sums of its block; rows come in the order of blocks."""
+
+    def made(rows: pa.Table, bodies: list[bytes]) -> pa.RecordBatch:
+        rows = rows.sort_by("row").combine_chunks()
+        score = np.zeros(rows.num_rows, np.int64)
+        known, base = rows["n_known"].to_numpy().copy(), rows["base"].to_numpy().copy()
+        for body in bodies:
+            low, at, total, more, bits = _unpack(body)
+            at = at.astype(np.int64)
+            score[at] -= total.astype(np.int64) - int(low[0])
+            if len(more):
+                known[at] += more.astype(np.int64)
+                base[at] -= bits.astype(np.uint64).view(np.float64)
+        out = [rows["key"].combine_chunks(), rows["n_tokens"].combine_chunks(), pa.array(known), pa.array(base), pa.array(score / _GRID)]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=["key", "n_tokens", "n_known", "base_score", "score"])
+
+    now, rows, bodies = None, [], []
     for batch in batches:
-        kind = batch.schema.field("key").type
-        for run in slices(batch):
-            for out in _score(iter([run]), trie):
-                m, first = out.num_rows, int(out.column("row")[0].as_py())
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(m, -1 - first % shards)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-            a, b, c, doc = _trigrams(*tokens_of(run.column("text")))
-            held.append((a, b, c, run.column("row").to_numpy()[doc]))
-            if sum(len(x[0]) for x in held) > _MERGE:
-                yield from asked(held, kind)
-                held, step = [], step + 1
-    if held:
-        yield from asked(held, kind)
-
-
-def _answer(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Sums for each text of a question; rows of `_score` pass.  The shard's trie comes before the questions to it."""
-    trie, shard = None, None
-    for batch in batches:
-        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-        plain = pc.is_null(columns["body"])
-        names = list(columns)[:8]
-        if pc.any(plain).as_py():
-            yield batch.filter(plain).select(names)
-        for i in np.flatnonzero(~np.asarray(plain)).tolist():
-            s, rows, body = columns["shard"][i].as_py(), columns["rows"][i].as_py(), columns["body"][i].as_py()
-            if rows is None:
-                trie, shard = Trie.unpacked(np.frombuffer(zlib.decompress(body), np.uint8)), s
-                continue
-            word, a, b, c, of = _opened(body)
-            row = np.frombuffer(rows, np.int64)
-            m = len(row)
-            if shard != s:  # no training text has a middle word of this shard
-                continue
-            ids = trie.word_ids(word)
-            score = np.bincount(of, trie.added(ids[a], ids[b], ids[c]), m)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(m, kind), none, none, none, none, pa.array(np.zeros(m)), pa.array(score)], names=names)
-
-
-def score_by_shards(docs: DataFrame, model: Shards, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of every row."""
-    frequent, number, spread = docs.sparkSession.sparkContext.broadcast(model.frequent), model.number, model.spread
-    rows = _numbered(docs, key, text)
-    kind = rows.schema["key"].dataType.simpleString()
-    arrow = to_arrow_type(rows.schema["key"].dataType)
-    schema = _PARTS.format(kind)
-    asked = rows.mapInArrow(lambda b: _ask(b, frequent.value, number, spread), schema + ", shard long, salt long, rows binary, body binary")
-    salts = F.array(*[F.lit(int(x)) for x in spread]) if spread.max() > 1 else None
-    salt = F.explode(F.sequence(F.lit(0).cast("long"), (F.get(salts, F.col("shard").cast("int")) if salts is not None else F.lit(1)).cast("long") - 1)).alias("salt")
-    tries = model.table.select("shard", salt, "body")
-    both = asked.unionByName(tries, allowMissingColumns=True).repartition(2 * int(spread.sum()), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("rows").isNotNull())
-    return _summed(both.mapInArrow(lambda b: _answer(b, arrow), schema), model.vocabulary, model.frequent, key)
-
-
-def _score(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
-    """A row for each text with the sums over frequent words, and a row for each rare word of a text."""
-    names = ["row", "key", "k", "c", "n_tokens", "n_known", "base", "score"]
-    for batch in batches:
-        for run in slices(batch):
-            h, doc = tokens_of(run.column("text"))
-            ids, one, more = trie.log_probs(h, doc)
-            n, row = run.num_rows, run.column("row").to_numpy()
-            base = np.bincount(doc, one, minlength=n)
-            score = base + np.bincount(doc, more, minlength=n)
-            known = np.bincount(doc, ids >= 0, minlength=n).astype(np.int64)
-            size = np.bincount(doc, minlength=n)
-            yield pa.RecordBatch.from_arrays([run.column("row"), run.column("key"), pa.array(row), pa.nulls(n, pa.int64()), pa.array(size), pa.array(known), pa.array(base), pa.array(score)], names=names)
-            rare = np.flatnonzero(ids < 0)
-            if not len(rare):
-                continue
-            # A rare word that ends a kept n-gram cannot be: kept n-grams have kept words only.
-            order = rare[np.lexsort([h[rare], doc[rare]])]
-            head = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-            times = np.diff(np.r_[head, len(order)])
-            at = order[head]
-            m = len(at)
-            none, zero = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(row[doc[at]]), pa.nulls(m, run.column("key").type), pa.array(h[at].view(np.int64)), pa.array(times), none, none, zero, zero], names=names)
-
-
-def score_texts(docs: DataFrame, trie: Trie, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(trie)
-    rows = _numbered(docs, key, text)
-    parts = rows.mapInArrow(lambda b: _score(b, model.value), _PARTS.format(rows.schema["key"].dataType.simpleString()))
-    return _summed(parts, vocabulary, trie, key)
-
-
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-
-
-def _summed(parts: DataFrame, vocabulary: DataFrame, trie: Trie, key: str) -> DataFrame:
-    """The parts of each text added up, rare words with their joined counts."""
-    counts = vocabulary.withColumnRenamed("c", "seen")
-    # Rows of whole texts (c is null) look for a word that is none; they only come along.
-    joined = parts.join(counts, "k", "left")
-    rare = F.col("c").isNotNull()
-    one = F.log10((F.coalesce("seen", F.lit(0)) + 1.0) / F.lit(trie.tokens + 1.0 * (trie.vocabulary + 1))) * F.col("c")
-    sums = joined.select(
-        "row",
-        "key",
-        "n_tokens",
-        F.when(rare, F.when(F.col("seen") > 0, F.col("c")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, one).otherwise(F.col("base")).alias("base"),
-        F.when(rare, one).otherwise(F.col("score")).alias("score"),
-    ).groupBy("row").agg(F.max("key").alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.drop("row")
+        block = batch.column("block").to_numpy()
+        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True][: len(block) + 1]) if len(block) else []
+        for i, j in zip(edge[:-1], edge[1:], strict=False):
+            part = batch.slice(int(i), int(j - i))
+            if block[i] != now:
+                if rows:
+                    yield made(pa.Table.from_batches(rows), bodies)
+                now, rows, bodies = block[i], [], []
+            text = pc.is_valid(part.column("row"))
+            rows.append(part.filter(text))
+            bodies += part.filter(pc.invert(text)).column("body").to_pylist()
+    if rows:
+        yield made(pa.Table.from_batches(rows), bodies)
+
+
+def vocabulary_of(texts: DataFrame, level_bits: int = LEVEL_BITS) -> tuple[DataFrame, Vocabulary]:
+    """The table (k, c) of the counts of all words of a column `text` by hash, and the frequent ones."""
+    table = held(texts.mapInArrow(_count_words, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
+    # Words by size of their count, in eighths of powers of two: a few hundred rows at most.
+    steps = table.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("step")).collect()
+    taken, least = 0, None
+    for r in steps:
+        taken += r["v"]
+        if taken > 1 << level_bits:
+            break
+        least = r["step"]
+    top = table.where(F.floor(F.log2("c") * 8) >= (least if least is not None else 1 << 20)).toArrow()  # 2^level_bits rows at most
+    h, c = top["k"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    rank = np.lexsort([h, -c])
+    h, c = h[rank], c[rank]
+    order = np.argsort(h)
+    return table, Vocabulary(sum(r["n"] for r in steps), sum(r["v"] for r in steps), h[order], order.astype(np.int32), c)
+
+
+def _cut_backs(pairs: DataFrame, table: DataFrame, vocabulary: Vocabulary, discount: float) -> dict[int, float]:
+    """The back-off weight of each cut word: a row each, of which there are N / `shard_tokens` at most."""
+    share = (F.col("n") + 1) / F.lit(vocabulary.tokens + 1.0 * (vocabulary.size + 1))
+    after = pairs.select("b", F.col("w").alias("k")).join(table.withColumnRenamed("c", "n"), "k")
+    rows = after.groupBy("b").agg(F.count("*").alias("kinds"), F.sum(share).alias("below")).collect()
+    left = {r["b"]: discount * r["kinds"] / vocabulary.count[r["b"] - 1] for r in rows}
+    return {r["b"]: float(np.log10(max(left[r["b"]], 1e-9) / max(1 - r["below"], 1e-9))) for r in rows}
+
+
+def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", level_bits: int = LEVEL_BITS, shard_tokens: int = SHARD_TOKENS, discount: float = DISCOUNT) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of every row, under the model of the rows where `learn` holds."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    trained = rows.where("learn").select("text")
+    table, vocabulary = vocabulary_of(trained, level_bits)
+    shards = Shards.plan(vocabulary, shard_tokens)
+    model = spark.sparkContext.broadcast((vocabulary, shards))
+    given, backs = table, {}
+    if shards.number > shards.usual:
+        pairs = held(trained.mapInArrow(lambda b: _pairs(b, *model.value), "k long, b long, w long, c long").groupBy("k", "b", "w").agg(F.sum("c").alias("c")))
+        backs = _cut_backs(pairs, table, vocabulary, discount)
+        given = table.unionByName(pairs.select("k", "c"))
+    needed = rows.select("text").mapInArrow(lambda b: _needed(b, *model.value), "shard int, k long").distinct().join(given, "k")
+    key_type = rows.schema["key"].dataType
+    kind = to_arrow_type(key_type)
+    schema = f"shard int, block long, learn boolean, row int, key {key_type.simpleString()}, n_tokens long, n_known long, base double, body binary, k long, c long"
+    asked = rows.mapInArrow(lambda b: _ask(b, *model.value, kind), schema)
+    # Files that tasks can map lie in a folder of the shared one, if that is a mounted one.
+    base = urlparse(folder(spark))
+    where = f"{base.path}/trie-{uuid.uuid4().hex}" if base.scheme in ("", "file") else None
+    both = asked.unionByName(needed, allowMissingColumns=True).repartitionById(shards.number, F.col("shard"))
+    sums = both.mapInArrow(lambda b: _answer(b, *model.value, backs, kind, where, discount), schema).drop("shard", "learn", "k", "c")
+    summed = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_sum, f"key {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return summed.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_ngram_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train_shards(docs.where(crc_remainder("doc_id", FOLDS) != HELD_OUT).select("text"))
-    out = score_by_shards(docs, model)
-    return out.select("doc_id", (crc_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(model.frequent.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = scores(docs, crc_remainder("doc_id", FOLDS) != HELD_OUT)
+    return out.select("doc_id", F.coalesce(crc_remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
