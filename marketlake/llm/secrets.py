@@ -2,15 +2,19 @@ r"""Secrets by patterns, and by the format that labelled credentials have.
 
 Base spans are the stated `assign`, `access` and `hex` patterns.  The method
 adds `format` spans: credentials found by the patterns are the labelled
-examples; from a bounded sample of distinct ones (`train_values`, those with the
-smallest hash, each of at most `longest` characters) a prefix tree is built, and
-its states are merged where their statistics agree (Hoeffding bounds, red-blue
-order), which gives a probabilistic automaton of the format.  Every run of
-`[A-Za-z0-9+/_=-]` of 6 characters or more, in every whole text, is a candidate;
-of one that base spans touch, the parts outside them are.  Its score is the mean
-log2 likelihood ratio per character of the automaton against characters of
-ordinary words, which are counted over all texts; it is reported if it scores as
-labelled credentials do, all but the lowest hundredth of them.
+examples.  For each kind a prefix tree is built from a bounded sample of distinct
+ones (`train_values`, those with the smallest hash); states deeper than `LONGEST`
+are one.  States are merged where their statistics agree (G tests on what follows
+them, symbols and ends alike): first those of one depth, the most frequent first,
+so that evidence gathers before it is judged, then any.  So lengths and fixed
+parts stay as states of the probabilistic automaton, while random parts fold.
+
+Every run of `[A-Za-z0-9+/_=-]` of 6 characters or more, in every whole text, is
+a candidate; of one that base spans touch, the parts outside them are.  Its score
+under a kind is the mean log2 likelihood ratio per character of the automaton
+against characters of all texts outside base spans, each given the one before
+it.  It is reported if it reaches `ENOUGH` of the score that all but the lowest
+hundredth of the labelled credentials of a kind have.
 
 Null texts count as empty.  Each row is judged by its own text alone, so
 repeated rows and ties give equal results; without labelled credentials there
@@ -19,12 +23,14 @@ are no format spans.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log, log2, sqrt
+from math import log, log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +43,24 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
-WORD = re.compile(r"[A-Za-z]{4,16}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 TRAIN_VALUES = 400
 LONGEST = 128
-ALPHA = 0.01
-SYMBOLS = 66
+ALPHA = 0.001
 SHORTEST = 6
+ENOUGH, LEAST, EVIDENCE = 0.6, 0.25, 10.0
+#: Weight of the shares of single characters in those of pairs, in characters.
+PRIOR = 1000
+#: No character counts as rarer than this after another, so that one seen nowhere else does not decide alone.
+RAREST = 1 / 1024
 KNOWN = 1 << 17
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+#: What stands for the end of a string, and for all other characters.
+NONE = ""
+_CODE = np.zeros(256, np.int64)
+_CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS)) + 1
+_SIZE = len(SYMBOLS) + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -60,139 +75,245 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def _differ(x: Counter, y: Counter, critical: dict[int, float]) -> bool:
+    """Is it beyond chance that what follows two states has one distribution?  Too few observations say nothing."""
+    n, m = x.total(), y.total()
+    every = x.keys() | y.keys()
+    if len(every) < 2 or not n or not m or n + m < 3 * len(every):
+        return False
+    g = 0.0
+    for c in every:
+        i, j = x[c], y[c]
+        both = (i + j) / (n + m)
+        g += (i * log(i / (n * both)) if i else 0.0) + (j * log(j / (m * both)) if j else 0.0)
+    return 2 * g > critical[len(every) - 1]
+
+
+def _critical(alpha: float) -> dict[int, float]:
+    """Chi-square bounds by degrees of freedom (Wilson and Hilferty)."""
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 0.5 * math.erfc(mid / math.sqrt(2)) > alpha else (low, mid)
+    return {k: k * (1 - 2 / (9 * k) + low * math.sqrt(2 / (9 * k))) ** 3 for k in range(1, 2 * _SIZE)}
+
+
 @dataclass
 class Automaton:
-    """Probabilistic automaton: per state the next state and count of each symbol, and how many strings end there."""
+    """Probabilistic automaton: per state the next state of each symbol, and how often each symbol, or the end, follows."""
 
     step: list[dict[str, int]] = field(default_factory=list)
     count: list[Counter] = field(default_factory=list)
-    final: list[int] = field(default_factory=list)
-
-    def _new(self) -> int:
-        self.step.append({})
-        self.count.append(Counter())
-        self.final.append(0)
-        return len(self.step) - 1
-
-    def total(self, q: int) -> int:
-        return self.final[q] + sum(self.count[q].values())
 
     @staticmethod
-    def tree(values: list[str]) -> Automaton:
-        made = Automaton()
-        made._new()
+    def tree(values: list[str], longest: int = LONGEST) -> Automaton:
+        made = Automaton([{}], [Counter()])
+        tail = None
         for value in values:
             q = 0
-            for c in value:
+            for depth, c in enumerate(value):
                 if c not in made.step[q]:
-                    made.step[q][c] = made._new()
+                    if depth >= longest and tail is not None:
+                        made.step[q][c] = tail
+                    else:
+                        made.step.append({})
+                        made.count.append(Counter())
+                        made.step[q][c] = len(made.step) - 1
+                        if depth >= longest:
+                            tail = len(made.step) - 1
                 made.count[q][c] += 1
                 q = made.step[q][c]
-            made.final[q] += 1
+            made.count[q][NONE] += 1
         return made
 
-    def compatible(self, a: int, b: int, alpha: float) -> bool:
-        """Do two states, and all that follows them, differ by chance only?"""
-        todo, spread = [(a, b)], sqrt(0.5 * log(2 / alpha))
+    def _alike(self, a: int, b: int, critical: dict[int, float]) -> bool:
+        """Do two states of one depth, and what follows them as far as both were seen twice, differ by chance only?"""
+        todo = [(a, b)]
         while todo:
             p, q = todo.pop()
-            n, m = self.total(p), self.total(q)
-            if not n or not m:
+            if p == q:
                 continue
-            bound = spread * (1 / sqrt(n) + 1 / sqrt(m))
-            if abs(self.final[p] / n - self.final[q] / m) > bound:
+            if _differ(self.count[p], self.count[q], critical):
                 return False
-            for c in self.count[p].keys() | self.count[q].keys():
-                if abs(self.count[p][c] / n - self.count[q][c] / m) > bound:
-                    return False
-                if p != q and c in self.step[p] and c in self.step[q] and bound < 1:
-                    todo.append((self.step[p][c], self.step[q][c]))
+            for c, t in self.step[q].items():
+                u = self.step[p].get(c)
+                if u is not None and self.count[p][c] > 1 and self.count[q][c] > 1:
+                    todo.append((u, t))
         return True
 
-    def fold(self, a: int, b: int) -> None:
-        """Add the subtree at b to what follows a."""
+    def _fold(self, a: int, b: int) -> None:
+        """Add what follows b to what follows a."""
         todo = [(a, b)]
         while todo:
             p, q = todo.pop()
             if p == q:
                 continue
-            self.final[p] += self.final[q]
-            for c, n in self.count[q].items():
-                self.count[p][c] += n
+            self.count[p].update(self.count[q])
+            for c, t in self.step[q].items():
                 if c in self.step[p]:
-                    todo.append((self.step[p][c], self.step[q][c]))
+                    todo.append((self.step[p][c], t))
                 else:
-                    self.step[p][c] = self.step[q][c]
+                    self.step[p][c] = t
+
+    def _layers(self, critical: dict[int, float]) -> list[int]:
+        """Merges states of one depth, from the root on; the states that are left, with the shallow first."""
+        kept, layer = [0], [0]
+        while layer:
+            kids = [(p, c, q) for p in layer for c, q in sorted(self.step[p].items()) if q not in kept]
+            number = {q: self.count[q].total() for _, _, q in kids}
+            found: dict[int, int] = {}
+            layer = []
+            for q in sorted(number, key=lambda q: (-number[q], q)):
+                same = next((r for r in layer if self._alike(r, q, critical)), None)
+                if same is None:
+                    layer.append(q)
+                else:
+                    self._fold(same, q)
+                found[q] = q if same is None else same
+            for p, c, q in kids:
+                self.step[p][c] = found[q]
+            kept += layer
+        return kept
 
     @staticmethod
-    def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
-        """Merge compatible states of the prefix tree, in breadth-first order."""
-        made = Automaton.tree(values)
-        red, blue = [0], deque((0, c) for c in sorted(made.step[0]))
-        while blue:
-            parent, c = blue.popleft()
-            q = made.step[parent][c]
-            if q in red:
-                continue
-            same = next((r for r in red if made.compatible(r, q, alpha)), None)
-            if same is None:
-                red.append(q)
-                blue.extend((q, x) for x in sorted(made.step[q]))
-            else:
-                made.step[parent][c] = same
-                known = {r: set(made.step[r]) for r in red}
-                made.fold(same, q)
-                blue.extend((r, x) for r in red for x in sorted(set(made.step[r]) - known[r]))
-        number = {q: i for i, q in enumerate(red)}
-        return Automaton([{c: number[t] for c, t in made.step[q].items() if t in number} for q in red], [made.count[q] for q in red], [made.final[q] for q in red])
+    def infer(values: list[str], alpha: float = ALPHA, longest: int = LONGEST) -> Automaton:
+        """The prefix tree with compatible states merged."""
+        made, critical = Automaton.tree(values, longest), _critical(alpha)
+        kept = made._layers(critical)
+        n = len(kept)
+        number = {q: i for i, q in enumerate(kept)}
+        step = [{c: number[t] for c, t in made.step[q].items()} for q in kept]
+        count = [made.count[q] for q in kept]
+        # Two states differ if what follows them does, or leads to states that differ; the deep are judged first.
+        apart = [[False] * n for _ in range(n)]
+        for p in range(n - 1, -1, -1):
+            for q in range(n - 1, p, -1):
+                far = any(apart[min(t, step[q][c])][max(t, step[q][c])] for c, t in step[p].items() if c in step[q] and (t, step[q][c]) != (p, q))
+                apart[p][q] = far or _differ(count[p], count[q], critical)
+        of = list(range(n))
+
+        def root(q: int) -> int:
+            while of[q] != q:
+                q = of[q]
+            return q
+
+        def merged(p: int, q: int) -> list[int] | None:
+            """The classes after a merge and the merges it entails, or None where one is of states that differ."""
+            trial, todo = of.copy(), [(p, q)]
+
+            def top(x: int) -> int:
+                while trial[x] != x:
+                    x = trial[x]
+                return x
+
+            while todo:
+                x, y = sorted(map(top, todo.pop()))
+                if x == y:
+                    continue
+                mine, yours = ([z for z in range(n) if top(z) == w] for w in (x, y))
+                if any(apart[min(i, j)][max(i, j)] for i in mine for j in yours):
+                    return None
+                trial[y] = x
+                for c in {c for z in mine for c in step[z]} & {c for z in yours for c in step[z]}:
+                    todo.append((next(step[z][c] for z in mine if c in step[z]), next(step[z][c] for z in yours if c in step[z])))
+            return trial
+
+        for q in range(1, n):
+            for p in range(q):
+                if of[p] == p and root(q) == q and not apart[p][q]:
+                    of = merged(p, q) or of
+        top = sorted({root(q) for q in range(n)})
+        place = {q: i for i, q in enumerate(top)}
+        out = Automaton([{} for _ in top], [Counter() for _ in top])
+        for q in range(n):
+            i = place[root(q)]
+            out.count[i].update(count[q])
+            out.step[i] |= {c: place[root(t)] for c, t in step[q].items()}
+        return out
 
     def likelihood(self, value: str) -> float:
         """log2 of the probability of the string; symbols not seen in a state have a small share of it."""
         q, out = 0, 0.0
         for c in value:
-            out += log2((self.count[q][c] + 0.1) / (self.total(q) + 0.1 * SYMBOLS))
+            out += log2((self.count[q][c] + 0.1) / (self.count[q].total() + 0.1 * _SIZE))
             q = self.step[q].get(c, q)
-        return out + log2((self.final[q] + 0.1) / (self.total(q) + 0.1 * SYMBOLS))
+        return out + log2((self.count[q][NONE] + 0.1) / (self.count[q].total() + 0.1 * _SIZE))
 
 
 @dataclass
 class Format:
-    automaton: Automaton
-    plain: dict[str, float]
-    least: float
-    known: dict[str, bool] = field(default_factory=dict)
+    """An automaton for each kind with the least score to report, and the log2 shares of characters after characters."""
 
-    def score(self, value: str) -> float:
-        other = self.plain[""]
-        return (self.automaton.likelihood(value) - sum(self.plain.get(c, other) for c in value)) / len(value)
+    automata: list[tuple[Automaton, float]]
+    plain: np.ndarray
+    known: dict[str, bool] = field(default_factory=dict)
+    _logs: list[tuple[list[dict[str, tuple[float, int]]], list[float], list[float], float]] | None = None
+
+    def _tables(self) -> list[tuple[list[dict[str, tuple[float, int]]], list[float], list[float], float]]:
+        """Per state: the log2 share and next state of each symbol, the share of all others, and of the end."""
+        if self._logs is None:
+            self._logs = []
+            for made, least in self.automata:
+                total = [n.total() + 0.1 * _SIZE for n in made.count]
+                to = [{c: (log2((n[c] + 0.1) / t), step.get(c, q)) for c in n if c} for q, (n, t, step) in enumerate(zip(made.count, total, made.step, strict=True))]
+                self._logs.append((to, [log2(0.1 / t) for t in total], [log2((n[NONE] + 0.1) / t) for n, t in zip(made.count, total, strict=True)], least))
+        return self._logs
+
+    def _background(self, value: str) -> float:
+        code = _CODE[np.frombuffer(value.encode("ascii", "replace"), np.uint8)]
+        return float(self.plain[np.r_[0, code], np.r_[code, 0]].sum())
+
+    def scores(self, value: str) -> list[float]:
+        """The score under each kind."""
+        plain, out = self._background(value), []
+        for to, other, end, _ in self._tables():
+            q, total = 0, 0.0
+            for c in value:
+                got = to[q].get(c)
+                if got is None:
+                    total += other[q]
+                else:
+                    total += got[0]
+                    q = got[1]
+            out.append((total + end[q] - plain) / len(value))
+        return out
 
     def reported(self, value: str) -> bool:
-        """Does it score as labelled credentials do?  Answers for short values are kept, since words recur."""
-        if len(value) > LONGEST:
-            return self.score(value) >= self.least
-        good = self.known.get(value)
+        """Does it score as labelled credentials of a kind do?  Answers for short values are kept, since words recur."""
+        good = self.known.get(value) if len(value) <= LONGEST else None
         if good is None:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            good = self.known[value] = self.score(value) >= self.least
+            good = any(score >= max(least, EVIDENCE / len(value)) for score, (_, least) in zip(self.scores(value), self.automata, strict=True))
+            if len(value) <= LONGEST:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[value] = good
         return good
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "_logs": None}
+
 
+def characters(texts: list[str]) -> np.ndarray:
+    """How often each character (0: none of SYMBOLS, or an edge) stands after each."""
+    code = _CODE[np.frombuffer(("\n" + "\n".join(texts) + "\n").encode(), np.uint8)]
+    return np.bincount(code[:-1] * _SIZE + code[1:], minlength=_SIZE * _SIZE).reshape(_SIZE, _SIZE)
 
-def learn(values: list[str], words: list[str] | Counter) -> Format | None:
-    """A format from labelled credentials and ordinary words, or the counts of their characters."""
-    values = sorted({v[:LONGEST] for v in values if len(v) >= SHORTEST})
-    if not values:
+
+def learn(values: dict[str, list[str]] | list[str], words: list[str] | np.ndarray, longest: int = LONGEST) -> Format | None:
+    """Formats from labelled credentials by kind, and ordinary texts or the counts of their characters."""
+    kinds = values if isinstance(values, dict) else {"": values}
+    kinds = {k: sorted({x for x in v if len(x) >= SHORTEST}) for k, v in kinds.items()}
+    if not any(kinds.values()):
         return None
-    seen = words if isinstance(words, Counter) else Counter("".join(words))
-    n = sum(seen.values()) + SYMBOLS
-    plain = {c: log2((k + 1) / n) for c, k in seen.items()} | {"": log2(1 / n)}
-    made = Format(Automaton.infer(values), plain, 0.0)
-    scores = sorted(made.score(v) for v in values)
-    made.least = max(scores[len(scores) // 100], 0.5)
-    return made
+    seen = (words if isinstance(words, np.ndarray) else characters(words)).astype(float)
+    one = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * _SIZE)
+    plain = np.log2(np.maximum((seen + PRIOR * one) / (seen.sum(axis=1, keepdims=True) + PRIOR), RAREST))
+    out = []
+    for v in filter(None, kinds.values()):
+        halves = [v[::2], v[1::2] or v]
+        unseen = sorted(x for mine, other in (halves, halves[::-1]) for made in [Format([(Automaton.infer(mine, longest=longest), 0.0)], plain)] for x in (made.scores(y)[0] for y in other))
+        out.append((Automaton.infer(v, longest=longest), max(ENOUGH * unseen[len(unseen) // 20], LEAST)))
+    return Format(out, plain)
 
 
 def format_spans(text: str, base: list[tuple[int, int, int, str]], found: Format | None) -> list[tuple[int, int, int, str]]:
@@ -218,24 +339,36 @@ def format_spans(text: str, base: list[tuple[int, int, int, str]], found: Format
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Labelled credentials of each batch, and at the end of a task how often each letter is in ordinary words."""
-    names, seen = ["value", "letter", "n"], Counter()
+    """Labelled credentials of each batch, and at the end of a task how often each character follows each outside them."""
+    names, seen = ["kind", "value", "pair", "n"], np.zeros((_SIZE, _SIZE), np.int64)
     for batch in batches:
-        texts = [t for t in batch.column(text).to_pylist() if t]
-        values = {s for t in texts for *_, s in base_spans(t)}
-        kept = [v for v in values if SHORTEST <= len(v) <= LONGEST]
-        for t in texts:
-            seen.update("".join(WORD.findall(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.nulls(len(kept), pa.string()), pa.nulls(len(kept), pa.int64())], names=names)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=names)
+        values, plain = set(), []
+        for t in batch.column(text).to_pylist():
+            if t:
+                base, at = base_spans(t), 0
+                values.update((k, s[: 4 * LONGEST]) for _, k, _, s in base if len(s) >= SHORTEST)
+                for a, _, b, _ in base:
+                    plain.append(t[at:a])
+                    at = max(at, b)
+                plain.append(t[at:])
+        seen += characters(plain)
+        kinds, kept = zip(*values, strict=True) if values else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(kept, pa.string()), pa.nulls(len(kept), pa.int32()), pa.nulls(len(kept), pa.int64())], names=names)
+    pairs = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.string()), pa.array(pairs.astype(np.int32)), pa.array(seen.ravel()[pairs])], names=names)
 
 
 def learn_from(docs: DataFrame, text: str = "text", train_values: int = TRAIN_VALUES) -> Format | None:
     rows = docs.select(F.col(text).alias("text"))
-    found = held(rows.mapInArrow(lambda b: _labelled(b, "text"), "value string, letter string, n long").groupBy("value", "letter").agg(F.sum("n").alias("n")))
-    values = found.where("value is not null").select("value").orderBy(F.xxhash64("value"), "value").limit(train_values).collect()
-    letters = found.where("letter is not null").collect()  # 52 rows at most
-    return learn([r["value"] for r in values], Counter({r["letter"]: r["n"] for r in letters}))
+    found = held(rows.mapInArrow(lambda b: _labelled(b, "text"), "kind int, value string, pair int, n long").groupBy("kind", "value", "pair").agg(F.sum("n").alias("n")))
+    values = {}
+    for k, name in enumerate(KINDS):
+        few = found.where(F.col("kind") == k).select("value").orderBy(F.xxhash64("value"), "value").limit(train_values)
+        values[name] = [r["value"] for r in few.collect()]
+    seen = np.zeros(_SIZE * _SIZE, np.int64)
+    for r in found.where("pair is not null").select("pair", "n").collect():  # a row for each pair of symbols at most
+        seen[r["pair"]] = r["n"]
+    return learn(values, seen.reshape(_SIZE, _SIZE))
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from marketlake.llm.secrets import Automaton, base_spans, find_secrets, learn, learn_from, redact
+from marketlake.llm.secrets import SYMBOLS, Automaton, base_spans, find_secrets, learn, learn_from, redact
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), lambda m: len(m.group(2)) >= 6),
@@ -24,10 +24,10 @@ def test_automaton_merges_and_scores():
     r = random.Random(4)
     values = ["key-" + "".join(r.choice("0123456789ABCDEF") for _ in range(24)) for _ in range(200)]
     made = Automaton.infer(values)
-    assert len(made.step) < 60 and sum(made.final) == 200
+    assert 10 < len(made.step) < 60 and sum(n[""] for n in made.count) == 200
     found = learn(values, ["ordinary", "words", "written", "here"])
     fresh = "key-" + "".join(r.choice("0123456789ABCDEF") for _ in range(24))
-    assert found.score(fresh) >= found.least > found.score("ordinarywordswrittenhere12")
+    assert found.scores(fresh)[0] >= found.automata[0][1] > found.scores("ordinarywordswrittenhere12")[0]
 
 
 def test_find_and_redact(spark):
@@ -57,7 +57,37 @@ def test_background_of_all_texts_and_parts_beside_base_spans(spark):
     docs += [(300, f"bare {left}{run} here"), (301, f"bare {short} here")] + [(400, "")] * 60
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = learn_from(df)
-    assert found.plain["o"] > found.plain["b"] > found.plain[""]
+    share = lambda c: found.plain[0, 1 + SYMBOLS.index(c)]
+    assert share("w") > share("b") > share("z")
     got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in find_secrets(df, found).collect()}
     assert got[300] == [("format", 5, 25), ("hex", 25, 57)]
     assert got[301] == [("format", 5, 14)] and got[400] == [] and got[0] == [("assign", 6, 41)]
+
+
+def test_planted_formats_are_found_and_words_are_not(spark):
+    """Two labelled formats, then bare credentials of both among clean texts; the score equals a plain reading of the automaton."""
+    r = random.Random(9)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    one, two = (lambda: "ghx_" + draw("abcdefghijklmnopqrstuvwxyz0123456789", 30)), (lambda: draw("0123456789ABCDEF", 8) + "-" + draw("0123456789ABCDEF", 12))
+    words = [draw("etaoinshrdlu", r.randrange(2, 12)) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = [(i, f"{prose(30)} token: {(one, two)[i % 2]()} {prose(30)}") for i in range(150)]
+    docs += [(1000 + i, f"{prose(30)} {(one, two)[i % 2]()} {prose(30)}") for i in range(200)]
+    docs += [(2000 + i, f"{prose(40)} +1 (389) 555-{r.randrange(1000, 9999)} 2023-11-{r.randrange(10, 29)} {r.randrange(10**6, 10**9)} {prose(40)}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = learn_from(df)
+    automaton, least = found.automata[0]
+    assert len(automaton.step) > 30
+    got = {x.doc_id: [s.kind for s in x.spans] for x in find_secrets(df, found).collect()}
+    assert sum("format" in got[1000 + i] for i in range(200)) >= 180
+    assert sum("format" in got[2000 + i] for i in range(400)) <= 4
+    for value in (one(), two(), "ordinary", "x" * 40):
+        plain = sum(found.plain[0 if i == 0 else 1 + SYMBOLS.index(value[i - 1]), 0 if i == len(value) else 1 + SYMBOLS.index(value[i])] for i in range(len(value) + 1))
+        assert abs(found.scores(value)[0] - (automaton.likelihood(value) - plain) / len(value)) < 1e-9
+
+
+def test_long_values_teach_a_tail():
+    r = random.Random(10)
+    values = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (300, 400, 40, 500) * 10]
+    made = Automaton.infer(values, longest=20)
+    assert len(made.step) <= 30 and sum(n[""] for n in made.count) == 40 and made.likelihood("abc" * 50) > -150 * 6.1
