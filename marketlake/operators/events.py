@@ -1,4 +1,8 @@
-"""Contract events with typed JSON values: trades of five venue shapes, and the registry of pools."""
+"""Contract events with typed JSON values: trades of six venue shapes, and the registry of pools.
+
+Events are rows (ledger, tx, event_index, contract, closed_at, topics, data) and optionally `event_kind`;
+registries are rows (contract, venue, token_0, token_1), tokens being null where events name them.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,14 @@ ADDRESSES = "array<struct<type:string,value:string>>"
 #: Rows of a multi-row swap, of which only so many are read, and the reading's limits in time.
 MOST_ROWS, LEAST_ROWS = 8, 4
 MS_FROM, GENESIS = 100_000_000_000, 1_443_571_200
+#: Venues whose swaps do not name their tokens.
+PAIR_VENUES = ("soroswap", "sushiswap")
 
 
 def parse_topics(events: DataFrame) -> DataFrame:
-    """topic0, topic1 and all values of the topics."""
-    rows = events.withColumn("topic_values", F.transform(F.from_json("topics", ADDRESSES), lambda t: t["value"]))
+    """topic0, topic1, and the values and types of all topics."""
+    parsed = F.from_json("topics", ADDRESSES)
+    rows = events.withColumns({"topic_values": F.transform(parsed, lambda t: t["value"]), "topic_types": F.transform(parsed, lambda t: t["type"])})
     return rows.withColumns({"topic0": F.get("topic_values", F.lit(0)), "topic1": F.get("topic_values", F.lit(1))})
 
 
@@ -26,30 +33,34 @@ def number_at(path: str) -> Column:
     return F.coalesce(value_at(path).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
-def _trade(rows: DataFrame, source: str, sold: Column, bought: Column, amount_sold: Column, amount_bought: Column) -> DataFrame:
-    return rows.select("ledger", "event_index", "contract", "closed_at", F.lit(source).alias("source"), sold.alias("sold"), bought.alias("bought"), amount_sold.alias("amount_sold"), amount_bought.alias("amount_bought"))
+def _trade(rows: DataFrame, source: str | Column, sold: Column, bought: Column, amount_sold: Column, amount_bought: Column) -> DataFrame:
+    return rows.select("ledger", "event_index", "contract", "closed_at", (F.lit(source) if isinstance(source, str) else source).alias("source"), sold.alias("sold"), bought.alias("bought"), amount_sold.alias("amount_sold"), amount_bought.alias("amount_bought"))
 
 
 def decode_pair_swaps(events: DataFrame, pools: DataFrame) -> DataFrame:
-    """Swaps of two-token pools: four amounts of which one side is paid in, or two signed ones."""
-    rows = parse_topics(events).where("topic0 = 'SoroswapPair' and topic1 = 'swap'").join(pools.select("contract", "token_0", "token_1"), "contract")
+    """Swaps of two-token pools: four amounts of which one side is paid in, or two signed ones.
+
+    A pool whose tokens are not known gives no trades.
+    """
+    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape in ('pair', 'signed')").join(pools.where(F.col("venue").isin(*PAIR_VENUES)).select("contract", "venue", "token_0", "token_1"), "contract")
+    rows = rows.where("token_0 is not null and token_1 is not null and (shape = 'pair') = (venue = 'soroswap')")
     in0, in1, out0, out1 = (number_at(p) for p in ("amount_0_in", "amount_1_in", "amount_0_out", "amount_1_out"))
-    signed, a0, a1 = value_at("amount0").isNotNull(), number_at("amount0"), number_at("amount1")
+    signed, a0, a1 = F.col("shape") == "signed", number_at("amount0"), number_at("amount1")
     zero_in = F.when(signed, a0 > 0).otherwise(in0 >= in1)
     sold = F.when(signed, F.when(a0 > 0, a0).otherwise(a1)).otherwise(F.when(in0 >= in1, in0).otherwise(in1))
     bought = F.when(signed, F.when(a0 > 0, -a1).otherwise(-a0)).otherwise(F.when(in0 >= in1, out1).otherwise(out0))
-    return _trade(rows, "soroswap", F.when(zero_in, F.col("token_0")).otherwise(F.col("token_1")), F.when(zero_in, F.col("token_1")).otherwise(F.col("token_0")), sold, bought)
+    return _trade(rows, F.col("venue"), F.when(zero_in, F.col("token_0")).otherwise(F.col("token_1")), F.when(zero_in, F.col("token_1")).otherwise(F.col("token_0")), sold, bought)
 
 
 def decode_single_trades(events: DataFrame) -> DataFrame:
     """One event that has its tokens in the topics and its amounts in a list of three or more."""
-    rows = parse_topics(events).where("topic0 = 'trade'").withColumn("v", F.from_json("data", ADDRESSES)).where(F.size("v") >= 3)
+    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape = 'single'").withColumn("v", F.from_json("data", ADDRESSES)).where(F.size("v") >= 3)
     amount = lambda i: F.coalesce(F.get("v", F.lit(i))["value"].try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     return _trade(rows, "aquarius", F.get("topic_values", F.lit(1)), F.get("topic_values", F.lit(2)), amount(0), amount(1))
 
 
 def decode_weighted_swaps(events: DataFrame) -> DataFrame:
-    rows = parse_topics(events).where("topic0 = 'POOL' and topic1 = 'swap'")
+    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape = 'weighted'")
     made = _trade(rows, "comet", value_at("token_in"), value_at("token_out"), number_at("token_amount_in"), number_at("token_amount_out"))
     return made.where("amount_sold > 0 and amount_bought > 0")
 
@@ -57,29 +68,55 @@ def decode_weighted_swaps(events: DataFrame) -> DataFrame:
 FIELDS = ("sell_token", "buy_token", "offer_amount", "return_amount")
 
 
-def assemble_multirow_swaps(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def multirow_fields(events: DataFrame) -> DataFrame:
+    """The rows (tx, contract, pos, field, value) of swaps written as one event per field."""
+    rows = parse_topics(events).where("topic0 = 'swap' and size(topic_values) = 2 and topic_types[1] in ('sym', 'string')")
+    return rows.select("tx", "contract", F.col("event_index").alias("pos"), F.col("topic1").alias("field"), F.get_json_object("data", "$.value").alias("value"), "ledger", "event_index", "closed_at")
+
+
+def assemble_multirow_swaps(rows: DataFrame, along: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Swaps that are written as one row per field (tx, contract, pos, field, value): trades, and groups that lack a field.
 
-    Only the first eight rows of a contract in a transaction are read, and four are needed.
+    Only the first eight rows of a contract in a transaction are read, and four are needed.  Columns `along` are
+    those of a group's first row.
     """
     w = Window.partitionBy("tx", "contract").orderBy("pos")
     read = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= MOST_ROWS)
-    made = read.groupBy("tx", "contract").agg(F.count("*").alias("rows"), *[F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pos"))).alias(f) for f in FIELDS])
+    made = read.groupBy("tx", "contract").agg(F.count("*").alias("rows"), *[F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pos"))).alias(f) for f in FIELDS], *[F.min_by(c, "pos").alias(c) for c in along])
     whole = (F.col("rows") >= LEAST_ROWS) & F.forall(F.array(*[F.col(f).isNotNull() for f in FIELDS]), lambda x: x)
     number = lambda f: F.col(f).try_cast("decimal(38,0)")
-    good = made.where(whole).select("tx", "contract", F.lit("phoenix").alias("source"), F.col("sell_token").alias("sold"), F.col("buy_token").alias("bought"), number("offer_amount").alias("amount_sold"), number("return_amount").alias("amount_bought"))
+    good = made.where(whole).select("tx", "contract", *along, F.lit("phoenix").alias("source"), F.col("sell_token").alias("sold"), F.col("buy_token").alias("bought"), number("offer_amount").alias("amount_sold"), number("return_amount").alias("amount_bought"))
     return good, made.where(~whole).select("tx", "contract", "rows")
 
 
+def factory_pools(events: DataFrame) -> DataFrame:
+    """Pools that factory events name, by the shape of the event, whoever emits it: (contract, venue, token_0, token_1, ledger, event_index).
+
+    The action stands in the first topic, or behind the factory's name in the second.  A pair without both tokens is none.
+    """
+    rows = parse_topics(events).where("topic0 in ('add_pool', 'create', 'pool_created') or topic1 = 'new_pair'")
+    rows = rows.withColumn("listed", F.get(F.filter(F.from_json("data", ADDRESSES), lambda v: v["type"] == "address"), F.lit(0))["value"])
+    named = lambda *path: F.when(F.get_json_object("data", f"$.{path[0]}.type") == "address", value_at(path[0]))
+    plain = F.when(F.get_json_object("data", "$.type") == "address", F.get_json_object("data", "$.value"))
+    pair, none = F.lit(None).cast("string"), F.lit(None).cast("string")
+    found = (
+        F.when(F.col("topic0") == "add_pool", F.struct(F.col("listed").alias("contract"), F.lit("aquarius").alias("venue"), none.alias("token_0"), none.alias("token_1")))
+        .when(F.col("topic0") == "create", F.struct(F.when(F.col("topic1") == "liquidity_pool", plain).otherwise(pair).alias("contract"), F.lit("phoenix").alias("venue"), none.alias("token_0"), none.alias("token_1")))
+        .when(F.col("topic1") == "new_pair", F.struct(named("pair").alias("contract"), F.lit("soroswap").alias("venue"), named("token_0").alias("token_0"), named("token_1").alias("token_1")))
+        .otherwise(F.struct(named("pool_address").alias("contract"), F.lit("sushiswap").alias("venue"), named("token0").alias("token_0"), named("token1").alias("token_1")))
+    )
+    out = rows.select(found.alias("p"), "ledger", "event_index").select("p.*", "ledger", "event_index").where("contract is not null")
+    return out.where(~F.col("venue").isin(*PAIR_VENUES) | (F.col("token_0").isNotNull() & F.col("token_1").isNotNull()))
+
+
 def learn_pools(events: DataFrame, registry: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """Pools of factory events that name both tokens, over the registry, under a fixed list."""
-    seen = parse_topics(events).where("topic0 in ('new_pair', 'add_pool', 'create', 'deploy')")
-    seen = seen.select("contract", F.nullif(value_at("token_0"), F.lit("")).alias("token_0"), F.nullif(value_at("token_1"), F.lit("")).alias("token_1"), "ledger", "event_index").where("token_0 is not null and token_1 is not null")
-    new = seen.groupBy("contract").agg(F.max_by(F.struct("token_0", "token_1"), F.struct("ledger", "event_index")).alias("p")).select("contract", "p.*", F.lit(1).alias("rank"))
-    every = registry.select("contract", "token_0", "token_1", F.lit(0).alias("rank")).unionByName(new)
+    """Pools of factory events, the last for each contract, over the registry, under a fixed list."""
+    p = F.struct("venue", "token_0", "token_1").alias("p")
+    new = factory_pools(events).groupBy("contract").agg(F.max_by(p, F.struct("ledger", "event_index")).alias("p")).select("contract", "p", F.lit(1).alias("rank"))
+    every = registry.select("contract", p, F.lit(0).alias("rank")).unionByName(new)
     if fixed is not None:
-        every = every.unionByName(fixed.select("contract", "token_0", "token_1", F.lit(2).alias("rank")))
-    return every.groupBy("contract").agg(F.max_by(F.struct("token_0", "token_1"), "rank").alias("p")).select("contract", "p.*")
+        every = every.unionByName(fixed.select("contract", p, F.lit(2).alias("rank")))
+    return every.groupBy("contract").agg(F.max_by("p", "rank").alias("p")).select("contract", "p.*")
 
 
 def new_pool_rows(registry: DataFrame, persisted: DataFrame) -> DataFrame:
@@ -93,17 +130,35 @@ def new_pool_rows(registry: DataFrame, persisted: DataFrame) -> DataFrame:
 
 
 def swap_shape() -> Column:
-    """Which venue a swap looks like, by its topics."""
-    t0, t1 = F.col("topic0"), F.col("topic1")
-    return F.when((t0 == "SoroswapPair") & (t1 == "swap"), "pair").when(t0 == "trade", "single").when((t0 == "POOL") & (t1 == "swap"), "weighted").when(t0 == "swap", "multirow")
+    """Which kind of swap an event looks like, by its topics, and its data where two kinds share them.
 
-
-def route_events(events: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trades of registered contracts, by all decoders, and swap-like events of the others."""
-    known = events.join(registry.select("contract"), "contract", "left_semi")
-    trades = decode_pair_swaps(known, registry).unionByName(decode_single_trades(known)).unionByName(decode_weighted_swaps(known))
-    shaped = parse_topics(events).withColumn("shape", swap_shape()).where("shape is not null")
-    return trades, shaped.join(registry.select("contract"), "contract", "left_anti")
+    A router's summary, which has a list in its second topic, is none.
+    """
+    t0, t1, types = F.col("topic0"), F.col("topic1"), F.col("topic_types")
+    address = lambda i: F.get(types, F.lit(i)) == "address"
+    signed = value_at("amount0").isNotNull() & value_at("amount1").isNotNull()
+    return (
+        F.when((t0 == "trade") & address(1) & address(2), "single")
+        .when((t0 == "SoroswapPair") & (t1 == "swap"), "pair")
+        .when((t0 == "swap") & (t1 == "sell_token"), "multirow")
+        .when((t0 == "swap") & signed & (F.coalesce(F.get(types, F.lit(1)), F.lit("")) != "vec"), "signed")
+        .when((t0 == "POOL") & (t1 == "swap"), "weighted")
+    )
+
+
+def route_events(events: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trades of registered contracts by the decoder of their venue, swap-like events of the others, and swaps of
+    registered contracts that no trade came of: (contract, source, rows), so that no group vanishes without a count."""
+    known = events.join(registry.select("contract", "venue"), "contract")
+    of = lambda *v: known.where(F.col("venue").isin(*v)).drop("venue")
+    multi, short = assemble_multirow_swaps(multirow_fields(of("phoenix")), ("ledger", "event_index", "closed_at"))
+    pairs, single, weighted = decode_pair_swaps(of(*PAIR_VENUES), registry), decode_single_trades(of("aquarius")), decode_weighted_swaps(of("comet"))
+    trades = pairs.unionByName(single).unionByName(weighted).unionByName(multi.select(pairs.columns))
+    shaped = parse_topics(known).withColumn("shape", swap_shape()).where("shape <> 'multirow'")
+    lost = shaped.join(trades.select("ledger", "event_index"), ["ledger", "event_index"], "left_anti").groupBy("contract", F.col("venue").alias("source")).agg(F.count("*").alias("rows"))
+    failed = lost.unionByName(short.select("contract", F.lit("phoenix").alias("source"), "rows"))
+    other = parse_topics(events).withColumn("shape", swap_shape()).where("shape is not null")
+    return trades, other.join(registry.select("contract"), "contract", "left_anti"), failed
 
 
 def unregistered_shapes(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -111,7 +166,7 @@ def unregistered_shapes(events: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def unresolved_pools(events: DataFrame, registry: DataFrame, routers: list[str] | None = None) -> DataFrame:
-    """Contracts with swap-like events that the registry lacks, and whether it still does."""
+    """Contracts with swap-like events, and whether the registry lacks them."""
     shaped = parse_topics(events).withColumn("shape", swap_shape()).where("shape is not null")
     rows = shaped.where(~F.col("contract").isin(routers or []))
     sums = rows.groupBy("contract", "shape").agg(F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"), F.count("*").alias("swaps"), F.min_by("data", F.struct("ledger", "event_index")).alias("sample"))
@@ -134,19 +189,24 @@ def scan_events(events: DataFrame, contracts: DataFrame, lo: int, hi: int) -> Da
 
 
 def scan_factory_events(events: DataFrame, lo: int, hi: int) -> DataFrame:
-    rows = events.where(F.col("ledger").between(lo, hi))
-    t0 = F.get_json_object("topics", "$[0].value")
-    return rows.where(t0.isin("new_pair", "add_pool", "create", "deploy") & F.get_json_object("data", "$.token_0.value").isNotNull())
+    """Events of a range of ledgers that name a new pool."""
+    return factory_pools(events.where(F.col("ledger").between(lo, hi)))
 
 
 def coverage_sweep(events: DataFrame, registry: DataFrame, last_ledgers: int) -> DataFrame:
-    """Swap- or trade-like events of unregistered contracts in the last ledgers."""
+    """Contracts that the registry lacks with swap- or trade-like contract events in the last ledgers: how many events
+    and transactions, when, and the most frequent action and shape of topics and data."""
     top = events.agg(F.max("ledger").alias("top"))  # one row
-    rows = parse_topics(events.join(F.broadcast(top), how="cross").where(F.col("ledger") > F.col("top") - last_ledgers))
-    like = rows.where(F.coalesce(F.concat_ws("/", "topic0", "topic1"), F.lit("")).rlike("(?i)swap|trade")).join(registry.select("contract"), "contract", "left_anti")
-    action = F.array_join(F.slice(F.transform("topic_values", lambda v: F.coalesce(v, F.lit("?"))), 1, 2), "/")
-    counts = like.groupBy("contract", action.alias("action")).agg(F.count("*").alias("n"), F.min("ledger").alias("lo"), F.max("ledger").alias("hi"))
-    return counts.groupBy("contract").agg(F.sum("n").alias("events"), F.min("lo").alias("first_ledger"), F.max("hi").alias("last_ledger"), F.max_by("action", F.struct("n", "action")).alias("action"))
+    rows = events.where("event_kind = 'contract'") if "event_kind" in events.columns else events
+    rows = parse_topics(rows.join(F.broadcast(top), how="cross").where(F.col("ledger") >= F.col("top") - last_ledgers))
+    like = lambda i: F.coalesce(F.get("topic_types", F.lit(i)).isin("sym", "string") & F.get("topic_values", F.lit(i)).rlike("(?i)swap|trade"), F.lit(False))
+    rows = rows.where(like(0) | like(1)).join(registry.select("contract"), "contract", "left_anti")
+    action = F.concat(F.coalesce("topic0", F.lit("")), F.lit(" / "), F.substring(F.coalesce("topic1", F.lit("")), 1, 20))
+    shape = F.concat(F.array_join("topic_types", "|"), F.lit(" -> "), F.coalesce(F.get_json_object("data", "$.type"), F.lit("")))
+    each = rows.select("contract", "tx", "ledger", action.alias("action"), shape.alias("shape"))
+    most = lambda c: each.groupBy("contract", c).count().groupBy("contract").agg(F.max_by(c, F.struct("count", c)).alias(f"top_{c}"))
+    sums = each.groupBy("contract").agg(F.count("*").alias("events"), F.count_distinct("ledger", "tx").alias("txs"), F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"))
+    return sums.join(most("action"), "contract").join(most("shape"), "contract")
 
 
 def allowlist_partition(sweep: DataFrame, allow: DataFrame, unresolved: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -88,8 +88,12 @@ class Tables:
 
     @property
     def pools(self) -> DataFrame:
-        known = self.events.select("contract").distinct().where("contract not in ('C2','C5','C8','C11')")
-        return known.select("contract", F.when(F.col("contract").isin("C0", "C3", "C6", "C9"), "AAA").otherwise("XLM").alias("token_0"), F.lit("USDC").alias("token_1"))
+        """Registered pools of five venues; C2, C5, C8 and C11 are missing on purpose."""
+        venues = {"C0": "soroswap", "C1": "soroswap", "C3": "sushiswap", "C4": "aquarius", "C6": "aquarius", "C7": "comet", "C9": "phoenix", "C10": "phoenix"}
+        venue = F.create_map(*[F.lit(x) for kv in venues.items() for x in kv])
+        known = self.events.select("contract").distinct().select("contract", F.try_element_at(venue, F.col("contract")).alias("venue")).where("venue is not null")
+        pair = F.col("venue").isin(*events.PAIR_VENUES)
+        return known.select("contract", "venue", F.when(pair & F.col("contract").isin("C0", "C3"), "AAA").when(pair, "XLM").alias("token_0"), F.when(pair, "USDC").alias("token_1"))
 
 
 def round_shown(df: DataFrame, *names: str) -> DataFrame:
@@ -133,9 +137,16 @@ def _(t: Tables) -> DataFrame:
     return events.scan_events(t.events, t.pools, 10, 500).select("ledger", "event_index", "contract", "topics", "ledger_closed_at")
 
 
-@query("s7_scan_factory_events", "select ledger, event_index, contract, data from topic_events where ledger between 10 and 800 and topic0 = 'new_pair'")
+_TYPED = lambda path: f"case when json_extract_string(data, '$.{path}.type') = 'address' then json_extract_string(data, '$.{path}.value') end"
+_FACTORY = f"""select * from (select ledger, event_index, case when topic0 = 'add_pool' then 'aquarius' when topic0 = 'create' then 'phoenix' when topic1 = 'new_pair' then 'soroswap' else 'sushiswap' end as venue,
+  case when topic0 = 'add_pool' then json_extract_string(data, '$[1].value') when topic0 = 'create' then json_extract_string(data, '$.value') when topic1 = 'new_pair' then {_TYPED('pair')} else {_TYPED('pool_address')} end as contract,
+  case when topic1 = 'new_pair' then {_TYPED('token_0')} when topic0 = 'pool_created' then {_TYPED('token0')} end as token_0, case when topic1 = 'new_pair' then {_TYPED('token_1')} when topic0 = 'pool_created' then {_TYPED('token1')} end as token_1
+  from topic_events where topic0 in ('add_pool', 'create', 'pool_created') or topic1 = 'new_pair') where contract is not null and (venue in ('aquarius', 'phoenix') or (token_0 is not null and token_1 is not null))"""
+
+
+@query("s7_scan_factory_events", f"select ledger, event_index, contract, venue, token_0, token_1 from ({_FACTORY}) where ledger between 10 and 800")
 def _(t: Tables) -> DataFrame:
-    return events.scan_factory_events(t.events, 10, 800).select("ledger", "event_index", "contract", "data")
+    return events.scan_factory_events(t.events, 10, 800).select("ledger", "event_index", "contract", "venue", "token_0", "token_1")
 
 
 _RAW_RATES = """select cast(date_trunc('minute', ts) as varchar) as ts, cast(round(0.9 + (event_id % 900) / 1000.0, 3) as varchar) as close, case when event_id % 11 = 0 then 'nowhere' else 'kraken' end as source, case when event_id % 13 = 0 then 'guess' else 'measured' end as quality from events where event_type = 'purchase'"""
@@ -298,9 +309,16 @@ def _(t: Tables) -> DataFrame:
     return events.parse_topics(t.events).select("event_id", "topic0", "topic1", events.number_at("token_amount_in").cast("long").alias("amount"))
 
 
-_PAIR = "select ledger, event_index, 'soroswap' as source, case when a >= 0 then token_0 end as sold, token_1 as bought, a as amount_sold, b as amount_bought from (select e.*, token_0, token_1, cast(json_extract_string(data, '$.amount_0_in.value') as bigint) as a, cast(json_extract_string(data, '$.amount_1_out.value') as bigint) as b from topic_events e join pools using (contract) where topic0 = 'SoroswapPair')"
-_SINGLE = "select ledger, event_index, 'aquarius' as source, 'AAA' as sold, 'USDC' as bought, cast(json_extract_string(data, '$[0].value') as bigint) as amount_sold, cast(json_extract_string(data, '$[1].value') as bigint) as amount_bought from topic_events where topic0 = 'trade'"
-_WEIGHTED = "select ledger, event_index, 'comet' as source, 'BBB' as sold, 'XLM' as bought, a as amount_sold, b as amount_bought from (select *, cast(json_extract_string(data, '$.token_amount_in.value') as bigint) as a, cast(json_extract_string(data, '$.token_amount_out.value') as bigint) as b from topic_events where topic0 = 'POOL') where a > 0 and b > 0"
+_J = lambda path: f"cast(json_extract_string(data, '$.{path}') as bigint)"
+_PAIR = f"""select ledger, event_index, venue as source, case when zero then token_0 else token_1 end as sold, case when zero then token_1 else token_0 end as bought, case when zero then coalesce(a0, i0) else coalesce(a1, i1) end as amount_sold, case when zero then coalesce(-a1, o1) else coalesce(-a0, o0) end as amount_bought from (
+  select *, case when venue = 'sushiswap' then a0 > 0 else i0 >= i1 end as zero from (select e.*, venue, token_0, token_1, {_J('amount0.value')} as a0, {_J('amount1.value')} as a1, {_J('amount_0_in.value')} as i0, {_J('amount_1_in.value')} as i1, {_J('amount_0_out.value')} as o0, {_J('amount_1_out.value')} as o1
+  from topic_events e join pools using (contract) where (venue = 'soroswap' and topic0 = 'SoroswapPair') or (venue = 'sushiswap' and topic0 = 'swap' and topic1 = 'G1')))"""
+_SINGLE = f"select ledger, event_index, 'aquarius' as source, 'AAA' as sold, 'USDC' as bought, {_J('[0].value').replace('$.[', '$[')} as amount_sold, {_J('[1].value').replace('$.[', '$[')} as amount_bought from topic_events where topic0 = 'trade'"
+_WEIGHTED = f"select ledger, event_index, 'comet' as source, 'BBB' as sold, 'XLM' as bought, a as amount_sold, b as amount_bought from (select *, {_J('token_amount_in.value')} as a, {_J('token_amount_out.value')} as b from topic_events where topic0 = 'POOL') where a > 0 and b > 0"
+_GROUPS = f"""select ledger, tx, contract, min(event_index) as event_index, count(*) as rows, {", ".join(f"arg_min(val, event_index) filter (topic1 = '{f}') as {f}" for f in events.FIELDS)} from (select *, json_extract_string(data, '$.value') as val, row_number() over (partition by ledger, tx, contract order by event_index) as r
+  from topic_events where topic0 = 'swap' and topic1 <> 'G1') where r <= 8 group by all"""
+_WHOLE = "rows >= 4 and sell_token is not null and buy_token is not null and offer_amount is not null and return_amount is not null"
+_MULTI = f"select ledger, event_index, 'phoenix' as source, sell_token as sold, buy_token as bought, cast(offer_amount as bigint) as amount_sold, cast(return_amount as bigint) as amount_bought from ({_GROUPS}) where {_WHOLE}"
 
 
 def _amounts(df: DataFrame) -> DataFrame:
@@ -317,18 +335,12 @@ def _(t: Tables) -> DataFrame:
     return _amounts(events.decode_single_trades(t.events))
 
 
-@query(
-    "v4_assemble_multirow_swaps",
-    """select l_orderkey as tx, min(l_suppkey) as contract, 'AAA' as sold, 'USDC' as bought, cast(max(case when l_linenumber = 3 then floor(l_quantity) end) as bigint) as amount_sold, cast(max(case when l_linenumber = 4 then floor(l_quantity) end) as bigint) as amount_bought
-from (select l_orderkey, 0 as l_suppkey, l_linenumber, min(l_quantity) as l_quantity from lineitem where l_linenumber <= 4 group by all) group by l_orderkey having count(*) = 4""",
-)
+@query("v4_assemble_multirow_swaps", f"select 'trade' as what, sold, bought, count(*) as groups, cast(sum(amount_sold) as bigint) as amount_sold from ({_MULTI}) group by all union all select 'lacking', null, null, count(*), cast(sum(rows) as bigint) from ({_GROUPS}) where not ({_WHOLE})")
 def _(t: Tables) -> DataFrame:
-    line = market.table(t.spark, t.sf_dir, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
-    number = F.floor("q").cast("string")
-    value = F.when(F.col("l_linenumber") == 1, "AAA").when(F.col("l_linenumber") == 2, "USDC").otherwise(number)
-    field = F.get(F.array(*[F.lit(f) for f in events.FIELDS]), F.col("l_linenumber") - 1)
-    rows = line.select(F.col("l_orderkey").alias("tx"), F.lit(0).cast("long").alias("contract"), F.col("l_linenumber").alias("pos"), field.alias("field"), value.alias("value"))
-    return events.assemble_multirow_swaps(rows)[0].select("tx", "contract", "sold", "bought", F.col("amount_sold").cast("long").alias("amount_sold"), F.col("amount_bought").cast("long").alias("amount_bought"))
+    good, short = events.assemble_multirow_swaps(events.multirow_fields(t.events))
+    made = good.groupBy(F.lit("trade").alias("what"), "sold", "bought").agg(F.count("*").alias("groups"), F.sum("amount_sold").cast("long").alias("amount_sold"))
+    none = F.lit(None).cast("string")
+    return made.unionByName(short.agg(F.lit("lacking").alias("what"), none.alias("sold"), none.alias("bought"), F.count("*").alias("groups"), F.sum("rows").cast("long").alias("amount_sold")))
 
 
 @query("v5_decode_weighted_swaps", _WEIGHTED)
@@ -336,12 +348,25 @@ def _(t: Tables) -> DataFrame:
     return _amounts(events.decode_weighted_swaps(t.events))
 
 
-@query("v6_route_events", f"select source, count(*) as n, cast(sum(amount_sold) as bigint) as amount_sold from ({_PAIR} union all {_SINGLE.replace('topic_events', '(select * from topic_events where ' + _POOLS_KEEP + ')')} union all {_WEIGHTED.replace('topic_events', '(select * from topic_events where ' + _POOLS_KEEP + ')')}) group by all")
+_OF = lambda sql, venue: sql.replace("topic_events", f"(select * from topic_events where contract in (select contract from pools where venue = '{venue}'))")
+_ROUTED = f"{_PAIR} union all {_OF(_SINGLE, 'aquarius')} union all {_OF(_WEIGHTED, 'comet')} union all {_OF(_MULTI, 'phoenix')}"
+_SHAPE = "case when topic0 = 'trade' then 'single' when topic0 = 'SoroswapPair' then 'pair' when topic0 = 'swap' and topic1 = 'sell_token' then 'multirow' when topic0 = 'swap' and topic1 = 'G1' then 'signed' when topic0 = 'POOL' then 'weighted' end"
+
+
+@query(
+    "v6_route_events",
+    f"""with trades as ({_ROUTED}) select 'trades' as what, source, count(*) as n, cast(sum(amount_sold) as bigint) as amount from trades group by all
+union all select 'failed', source, cast(sum(n) as bigint), null from (
+  select venue as source, count(*) as n from topic_events join pools using (contract) where {_SHAPE} is not null and {_SHAPE} <> 'multirow' and (ledger, event_index) not in (select (ledger, event_index) from trades) group by 1
+  union all select 'phoenix', sum(rows) from ({_OF(_GROUPS, 'phoenix')}) where not ({_WHOLE})) group by source""",
+)
 def _(t: Tables) -> DataFrame:
-    return events.route_events(t.events, t.pools)[0].groupBy("source").agg(F.count("*").alias("n"), F.sum("amount_sold").cast("long").alias("amount_sold"))
+    trades, _unregistered, failed = events.route_events(t.events, t.pools)
+    made = trades.groupBy(F.lit("trades").alias("what"), "source").agg(F.count("*").alias("n"), F.sum("amount_sold").cast("long").alias("amount"))
+    return made.unionByName(failed.groupBy(F.lit("failed").alias("what"), "source").agg(F.sum("rows").alias("n"), F.lit(None).cast("long").alias("amount")))
 
 
-_LEARNT = "select contract, coalesce(n.a, p.token_0) as token_0, coalesce(n.b, p.token_1) as token_1 from pools p full join (select contract, arg_max(a, (ledger, event_index)) as a, arg_max(b, (ledger, event_index)) as b from (select *, json_extract_string(data, '$.token_0.value') as a, json_extract_string(data, '$.token_1.value') as b from topic_events where topic0 = 'new_pair') where b <> '' group by 1) n using (contract)"
+_LEARNT = f"select contract, case when n.venue is null then p.venue else n.venue end as venue, case when n.venue is null then p.token_0 else n.token_0 end as token_0, case when n.venue is null then p.token_1 else n.token_1 end as token_1 from pools p full join (select * from ({_FACTORY}) qualify row_number() over (partition by contract order by ledger desc, event_index desc) = 1) n using (contract)"
 
 
 @query("v7_learn_pools", _LEARNT)
@@ -349,12 +374,13 @@ def _(t: Tables) -> DataFrame:
     return events.learn_pools(t.events, t.pools)
 
 
-@query("v8_new_pool_rows", f"select contract, token_0, token_1 from ({_LEARNT}) except select contract, token_0, token_1 from pools")
+@query("v8_new_pool_rows", f"select contract, venue, token_0, token_1 from ({_LEARNT}) except select contract, venue, token_0, token_1 from pools")
 def _(t: Tables) -> DataFrame:
     return events.new_pool_rows(events.learn_pools(t.events, t.pools), t.pools)
 
 
-_SHAPED = f"select *, case when topic0 = 'SoroswapPair' then 'pair' when topic0 = 'trade' then 'single' when topic0 = 'POOL' then 'weighted' end as shape from topic_events where topic0 in ('SoroswapPair','trade','POOL') and not ({_POOLS_KEEP})"
+_ANY_SHAPED = f"select *, {_SHAPE} as shape from topic_events where {_SHAPE} is not null"
+_SHAPED = f"{_ANY_SHAPED} and not ({_POOLS_KEEP})"
 
 
 @query("v11_unregistered_shapes", f"select shape, count(*) as events, count(distinct contract) as contracts from ({_SHAPED}) group by all")
@@ -362,7 +388,7 @@ def _(t: Tables) -> DataFrame:
     return events.unregistered_shapes(t.events, t.pools)
 
 
-@query("v12_unresolved_pools", f"select contract, shape, min(ledger) as first_ledger, max(ledger) as last_ledger, count(*) as swaps, not ({_POOLS_KEEP}) as unresolved from ({_SHAPED.split(' and not (')[0]}) where contract <> 'C1' group by all")
+@query("v12_unresolved_pools", f"select contract, shape, min(ledger) as first_ledger, max(ledger) as last_ledger, count(*) as swaps, not ({_POOLS_KEEP}) as unresolved from ({_ANY_SHAPED}) where contract <> 'C1' group by all")
 def _(t: Tables) -> DataFrame:
     return events.unresolved_pools(t.events, t.pools, ["C1"]).drop("sample")
 
@@ -904,12 +930,14 @@ def _(t: Tables) -> DataFrame:
     return quality.wrapper_identities(t.assets, t.spark.createDataFrame([("CZZZ",), ("CAAA",)], "contract string")).select("contract", "asset", "kind", "issuer")
 
 
-_SWEPT = f"select contract, count(*) as events, min(ledger) as first_ledger, max(ledger) as last_ledger from topic_events where ledger > (select max(ledger) from contract_events) - 300 and topic0 in ('SoroswapPair','trade','POOL') and not ({_POOLS_KEEP}) group by contract"
+_SWEEP = f"select *, topic0 || ' / ' || coalesce(topic1, '') as action, array_to_string(list_transform(cast(topics as json[]), lambda x: json_extract_string(x, '$.type')), '|') || ' -> ' || coalesce(json_extract_string(data, '$.type'), '') as shape from topic_events where event_kind = 'contract' and ledger >= (select max(ledger) from contract_events) - 300 and regexp_matches(topic0 || ' ' || coalesce(topic1, ''), '(?i)swap|trade') and not ({_POOLS_KEEP})"
+_TOP = lambda c: f"(select contract, arg_max({c}, (n, {c})) as top_{c} from (select contract, {c}, count(*) as n from sweep group by all) group by 1)"
+_SWEPT = f"with sweep as ({_SWEEP}) select contract, count(*) as events, count(distinct (ledger, tx)) as txs, min(ledger) as first_ledger, max(ledger) as last_ledger, any_value(top_action) as top_action, any_value(top_shape) as top_shape from sweep join {_TOP('action')} using (contract) join {_TOP('shape')} using (contract) group by contract"
 
 
 @query("d11_coverage_sweep", _SWEPT)
 def _(t: Tables) -> DataFrame:
-    return events.coverage_sweep(t.events, t.pools, 300).select("contract", "events", "first_ledger", "last_ledger")
+    return events.coverage_sweep(t.events, t.pools, 300)
 
 
 @query("d12_allowlist_partition", f"select contract, case when contract = 'C2' then 'allow-listed' when contract = 'C5' then 'unresolved' else 'unclassified' end as state from ({_SWEPT})")

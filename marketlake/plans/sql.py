@@ -99,7 +99,7 @@ TABLES |= {
   full join (select 'USDC' as asset, b.ts, coalesce(r.rate, 1.0) as peg, coalesce(r.method, 'peg') as peg_method from (select distinct ts from p1d where quote = 'USDC') b left join (
     select date_trunc('day', ts) as d, arg_max(rate, (method = 'oracle', ts)) as rate, arg_max(method, (method = 'oracle', ts)) as method from usd_rate where asset = 'USDC' group by 1) r on b.ts = r.d) p on s.asset = p.asset and s.ts = p.ts)""",
     "topic_events": """topic_events as (select *, json_extract_string(topics, '$[0].value') as topic0, json_extract_string(topics, '$[1].value') as topic1 from contract_events)""",
-    "pools": "pools as (select contract, case when contract in ('C0','C3','C6','C9') then 'AAA' else 'XLM' end as token_0, 'USDC' as token_1 from (select distinct contract from contract_events) where contract not in ('C2','C5','C8','C11'))",
+    "pools": "pools as (select contract, venue, case when venue in ('soroswap', 'sushiswap') then case when contract in ('C0','C3') then 'AAA' else 'XLM' end end as token_0, case when venue in ('soroswap', 'sushiswap') then 'USDC' end as token_1 from (values ('C0', 'soroswap'), ('C1', 'soroswap'), ('C3', 'sushiswap'), ('C4', 'aquarius'), ('C6', 'aquarius'), ('C7', 'comet'), ('C9', 'phoenix'), ('C10', 'phoenix')) t(contract, venue) where contract in (select contract from contract_events))",
 }
 
 

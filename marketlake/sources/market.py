@@ -135,43 +135,100 @@ ASSETS_SQL = (
 )
 
 
+#: Fields of a swap that is written as one event for each: whole, with more than is needed, and lacking one.
+_FIELDS = (["sell_token", "buy_token", "offer_amount"], ["sender", "sell_token", "buy_token", "offer_amount", "return_amount", "spread_amount"], ["sell_token", "buy_token", "offer_amount", "return_amount"])
+
+
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract events with typed JSON topics and data, in the shapes of five venues."""
-    e = table(spark, sf_dir, "events")
-    k, v = F.get_json_object("props", "$.k").cast("long"), (F.floor(F.col("value") * 100)).cast("long")
+    """Contract events with typed JSON topics and data: swaps in six shapes, and pools that four factories make."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("v", F.floor(F.col("value") * 100).cast("long"))
+    fields = [F.array(*[F.lit(x) for x in f]) for f in _FIELDS]
+    rows = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 5 == 0, fields[0]).when(F.col("event_id") % 5 == 1, fields[1]).otherwise(fields[2])).otherwise(F.array(F.lit("")))
+    e = e.select("*", F.posexplode(rows).alias("i", "f"))
     contract = F.concat(F.lit("C"), (F.col("user_id") % 12).cast("string"))
-    sym = lambda s: F.concat(F.lit('{"type":"symbol","value":"'), s, F.lit('"}'))
-    num = lambda c: F.concat(F.lit('{"type":"i128","value":"'), c.cast("string"), F.lit('"}'))
+    pool = F.concat(F.lit("C"), (F.col("k") % 16).cast("string"))
+
+    def one(kind: str, value: Column | str) -> Column:
+        return F.concat(F.lit(f'{{"type":"{kind}","value":"'), (F.lit(value) if isinstance(value, str) else value).cast("string"), F.lit('"}'))
+
+    def listed(*parts: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+    def keyed(**parts: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
+
+    zero, kind, four = F.lit(0), F.col("event_type"), F.col("event_id") % 4
+    signed, back = (kind == "view") & (F.col("event_id") % 2 == 0), F.col("event_id") % 3 == 0
+    token = F.when(F.col("k") % 2 == 0, "AAA").otherwise("BBB")
     topics = (
-        F.when(F.col("event_type") == "view", F.concat(F.lit("["), sym(F.lit("SoroswapPair")), F.lit(","), sym(F.lit("swap")), F.lit("]")))
-        .when(F.col("event_type") == "click", F.concat(F.lit("["), sym(F.lit("trade")), F.lit(","), sym(F.lit("AAA")), F.lit(","), sym(F.lit("USDC")), F.lit("]")))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit("["), sym(F.lit("POOL")), F.lit(","), sym(F.lit("swap")), F.lit("]")))
-        .when(F.col("event_type") == "signup", F.concat(F.lit("["), sym(F.lit("new_pair")), F.lit("]")))
-        .otherwise(F.concat(F.lit("["), sym(F.lit("sync")), F.lit("]")))
+        F.when(signed, listed(one("sym", "swap"), one("address", "G1")))
+        .when(kind == "view", listed(one("string", "SoroswapPair"), one("sym", "swap")))
+        .when(kind == "click", listed(one("sym", "trade"), one("address", "AAA"), one("address", "USDC")))
+        .when(kind == "purchase", listed(one("sym", "POOL"), one("sym", "swap")))
+        .when(kind == "error", listed(one("string", "swap"), one("string", F.col("f"))))
+        .when(four == 0, listed(one("string", "SoroswapFactory"), one("sym", "new_pair")))
+        .when(four == 1, listed(one("sym", "add_pool")))
+        .when(four == 2, listed(one("sym", "create"), one("sym", "liquidity_pool")))
+        .otherwise(listed(one("sym", "pool_created")))
     )
+    num = lambda c: one("i128", c)
+    tokens = [one("address", token), F.when(F.col("k") % 7 == 0, one("sym", "")).otherwise(one("address", "USDC"))]
     data = (
-        F.when(F.col("event_type") == "view", F.concat(F.lit('{"amount_0_in":'), num(k), F.lit(',"amount_1_in":'), num(F.lit(0)), F.lit(',"amount_0_out":'), num(F.lit(0)), F.lit(',"amount_1_out":'), num(v), F.lit("}")))
-        .when(F.col("event_type") == "click", F.concat(F.lit("["), num(k), F.lit(","), num(v), F.lit(","), num(F.lit(1)), F.lit("]")))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"token_in":'), sym(F.lit("BBB")), F.lit(',"token_out":'), sym(F.lit("XLM")), F.lit(',"token_amount_in":'), num(k - 20), F.lit(',"token_amount_out":'), num(v), F.lit("}")))
-        .when(F.col("event_type") == "signup", F.concat(F.lit('{"token_0":'), sym(F.when(k % 2 == 0, "AAA").otherwise("BBB")), F.lit(',"token_1":'), sym(F.when(k % 7 == 0, "").otherwise("USDC")), F.lit("}")))
-        .otherwise(F.lit("{}"))
+        F.when(signed, keyed(amount0=num(F.col("k") - 20), amount1=num(-3 * (F.col("k") - 20))))
+        .when((kind == "view") & back, keyed(amount_0_in=num(zero), amount_1_in=num(F.col("k") + 1), amount_0_out=num(F.col("v")), amount_1_out=num(zero)))
+        .when(kind == "view", keyed(amount_0_in=num(F.col("k")), amount_1_in=num(zero), amount_0_out=num(zero), amount_1_out=num(F.col("v"))))
+        .when(kind == "click", listed(num(F.col("k")), num(F.col("v")), num(F.lit(1))))
+        .when(kind == "purchase", keyed(token_in=one("address", "BBB"), token_out=one("address", "XLM"), token_amount_in=num(F.col("k") - 20), token_amount_out=num(F.col("v"))))
+        .when((kind == "error") & F.col("f").isin("sell_token", "buy_token", "sender"), one("address", F.when(F.col("f") == "sell_token", token).when(F.col("f") == "buy_token", "USDC").otherwise("G1")))
+        .when(kind == "error", num(F.when(F.col("f") == "offer_amount", F.col("k") + 1).otherwise(F.col("v"))))
+        .when(four == 0, keyed(token_0=tokens[0], token_1=tokens[1], pair=one("address", pool)))
+        .when(four == 1, listed(one("sym", "stable"), one("address", pool)))
+        .when(four == 2, one("address", pool))
+        .otherwise(keyed(fee=num(F.lit(30)), pool_address=one("address", pool), token0=tokens[0], token1=tokens[1]))
+    )
+    return e.select(
+        "event_id",
+        F.floor(F.col("event_id") / 10).cast("long").alias("ledger"),
+        F.floor(F.col("event_id") / 2).cast("long").alias("tx"),
+        (F.col("event_id") % 10 * 10 + F.col("i")).cast("long").alias("event_index"),
+        contract.alias("contract"),
+        F.when(F.col("event_id") % 17 == 0, "diagnostic").otherwise("contract").alias("event_kind"),
+        F.col("ts").cast("timestamp").alias("closed_at"),
+        topics.alias("topics"),
+        data.alias("data"),
     )
-    return e.select("event_id", (F.col("event_id") / 10).cast("long").alias("ledger"), (F.col("event_id") % 10).alias("event_index"), contract.alias("contract"), F.col("ts").cast("timestamp").alias("closed_at"), topics.alias("topics"), data.alias("data"))
 
 
 EVENTS_SQL = """contract_events as (
-select event_id, event_id // 10 as ledger, event_id % 10 as event_index, 'C' || (user_id % 12)::varchar as contract, ts as closed_at,
-  case event_type when 'view' then '[{"type":"symbol","value":"SoroswapPair"},{"type":"symbol","value":"swap"}]'
-    when 'click' then '[{"type":"symbol","value":"trade"},{"type":"symbol","value":"AAA"},{"type":"symbol","value":"USDC"}]'
-    when 'purchase' then '[{"type":"symbol","value":"POOL"},{"type":"symbol","value":"swap"}]'
-    when 'signup' then '[{"type":"symbol","value":"new_pair"}]' else '[{"type":"symbol","value":"sync"}]' end as topics,
-  case event_type when 'view' then '{"amount_0_in":' || num(k) || ',"amount_1_in":' || num(0) || ',"amount_0_out":' || num(0) || ',"amount_1_out":' || num(v) || '}'
-    when 'click' then '[' || num(k) || ',' || num(v) || ',' || num(1) || ']'
-    when 'purchase' then '{"token_in":{"type":"symbol","value":"BBB"},"token_out":{"type":"symbol","value":"XLM"},"token_amount_in":' || num(k - 20) || ',"token_amount_out":' || num(v) || '}'
-    when 'signup' then '{"token_0":{"type":"symbol","value":"' || case when k % 2 = 0 then 'AAA' else 'BBB' end || '"},"token_1":{"type":"symbol","value":"' || case when k % 7 = 0 then '' else 'USDC' end || '"}}'
-    else '{}' end as data
-from (select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(value * 100) as bigint) as v from events))"""
-EVENTS_SQL = re.sub(r"num\(([^()]+)\)", r"""'{"type":"i128","value":"' || (\1)::varchar || '"}'""", EVENTS_SQL)
+select event_id, event_id // 10 as ledger, event_id // 2 as tx, event_id % 10 * 10 + i as event_index, 'C' || (user_id % 12)::varchar as contract,
+  case when event_id % 17 = 0 then 'diagnostic' else 'contract' end as event_kind, ts as closed_at,
+  case when event_type = 'view' and event_id % 2 = 0 then '[' || sym('swap') || ',' || adr('G1') || ']'
+    when event_type = 'view' then '[' || str('SoroswapPair') || ',' || sym('swap') || ']'
+    when event_type = 'click' then '[' || sym('trade') || ',' || adr('AAA') || ',' || adr('USDC') || ']'
+    when event_type = 'purchase' then '[' || sym('POOL') || ',' || sym('swap') || ']'
+    when event_type = 'error' then '[' || str('swap') || ',' || str(f) || ']'
+    when event_id % 4 = 0 then '[' || str('SoroswapFactory') || ',' || sym('new_pair') || ']'
+    when event_id % 4 = 1 then '[' || sym('add_pool') || ']'
+    when event_id % 4 = 2 then '[' || sym('create') || ',' || sym('liquidity_pool') || ']'
+    else '[' || sym('pool_created') || ']' end as topics,
+  case when event_type = 'view' and event_id % 2 = 0 then '{"amount0":' || num(k - 20) || ',"amount1":' || num(-3 * (k - 20)) || '}'
+    when event_type = 'view' and event_id % 3 = 0 then '{"amount_0_in":' || num(0) || ',"amount_1_in":' || num(k + 1) || ',"amount_0_out":' || num(v) || ',"amount_1_out":' || num(0) || '}'
+    when event_type = 'view' then '{"amount_0_in":' || num(k) || ',"amount_1_in":' || num(0) || ',"amount_0_out":' || num(0) || ',"amount_1_out":' || num(v) || '}'
+    when event_type = 'click' then '[' || num(k) || ',' || num(v) || ',' || num(1) || ']'
+    when event_type = 'purchase' then '{"token_in":' || adr('BBB') || ',"token_out":' || adr('XLM') || ',"token_amount_in":' || num(k - 20) || ',"token_amount_out":' || num(v) || '}'
+    when event_type = 'error' and f in ('sell_token', 'buy_token', 'sender') then adr(case f when 'sell_token' then token when 'buy_token' then 'USDC' else 'G1' end)
+    when event_type = 'error' then num(case f when 'offer_amount' then k + 1 else v end)
+    when event_id % 4 = 0 then '{"token_0":' || adr(token) || ',"token_1":' || second || ',"pair":' || adr(pool) || '}'
+    when event_id % 4 = 1 then '[' || sym('stable') || ',' || adr(pool) || ']'
+    when event_id % 4 = 2 then adr(pool)
+    else '{"fee":' || num(30) || ',"pool_address":' || adr(pool) || ',"token0":' || adr(token) || ',"token1":' || second || '}' end as data
+from (select *, case when k % 2 = 0 then 'AAA' else 'BBB' end as token, 'C' || (k % 16)::varchar as pool, case when k % 7 = 0 then sym('') else adr('USDC') end as second, unnest(fields) as f, generate_subscripts(fields, 1) - 1 as i from (
+  select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(value * 100) as bigint) as v,
+    case when event_type = 'error' then (case event_id % 5 when 0 then FIELDS0 when 1 then FIELDS1 else FIELDS2 end) else [''] end as fields from events)))"""
+for _i, _f in enumerate(_FIELDS):
+    EVENTS_SQL = EVENTS_SQL.replace(f"FIELDS{_i}", str(_f))
+for _name, _type in (("num", "i128"), ("sym", "sym"), ("adr", "address"), ("str", "string")):
+    EVENTS_SQL = re.sub(rf"\b{_name}\(((?:[^()]|\([^()]*\))*)\)", rf"""'{{"type":"{_type}","value":"' || (\1)::varchar || '"}}'""", EVENTS_SQL)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,8 +71,8 @@ def refresh_touched(batch: DataFrame, child: DataFrame, stored: DataFrame, grain
     return merge_append(stored, rollup(rows, grain), KEYS, "version")
 
 
-def learn_then_route(batch: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pools learned from a batch count for the swaps of the same batch: (pools, trades, unresolved)."""
+def learn_then_route(batch: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pools learned from a batch count for the swaps of the same batch: (pools, trades, unresolved, failed)."""
     pools = learn_pools(batch, registry)
     return (pools, *route_events(batch, pools))
 

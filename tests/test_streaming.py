@@ -52,12 +52,15 @@ def test_dedup_and_learning(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.table("dedup").count() == 10
     batch = spark.createDataFrame(
-        [("C1", 1, 0, '[{"type":"s","value":"new_pair"}]', '{"token_0":{"type":"s","value":"A"},"token_1":{"type":"s","value":"B"}}'), ("C1", 1, 1, '[{"type":"s","value":"SoroswapPair"},{"type":"s","value":"swap"}]', '{"amount0":{"type":"i","value":"5"},"amount1":{"type":"i","value":"-7"}}')],
-        "contract string, ledger long, event_index long, topics string, data string",
+        [
+            ("CF", 1, 1, 0, '[{"type":"sym","value":"pool_created"}]', '{"pool_address":{"type":"address","value":"C1"},"token0":{"type":"address","value":"A"},"token1":{"type":"address","value":"B"}}'),
+            ("C1", 1, 1, 1, '[{"type":"sym","value":"swap"},{"type":"address","value":"G"}]', '{"amount0":{"type":"i128","value":"5"},"amount1":{"type":"i128","value":"-7"}}'),
+        ],
+        "contract string, ledger long, tx long, event_index long, topics string, data string",
     ).withColumn("closed_at", F.lit(datetime(2024, 1, 1)))
-    none = spark.createDataFrame([], "contract string, token_0 string, token_1 string")
-    pools, trades, unresolved = s.learn_then_route(batch, none)
-    assert pools.count() == 1 and unresolved.count() == 0
+    none = spark.createDataFrame([], "contract string, venue string, token_0 string, token_1 string")
+    pools, trades, unresolved, failed = s.learn_then_route(batch, none)
+    assert [r.contract for r in pools.collect()] == ["C1"] and unresolved.count() == 0 == failed.count()
     assert [(r.sold, r.bought, int(r.amount_sold), int(r.amount_bought)) for r in trades.collect()] == [("A", "B", 5, 7)]
 
 
