@@ -12,7 +12,8 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], at: Column, rts: str,
     A match older than `max_age` seconds is a miss.  Both sides are put on one time line, cut into slots of
     `max_age`: a right row also stands in the next slot, so every slot has all that can match in it and a key
     that holds most rows is still spread over as many tasks as it has slots.  In a slot the last right row is
-    carried along by a window.  Left rows with a null key or time match nothing.
+    carried along by a window.  Left rows with a null key or time match nothing; of right rows of one key and time
+    the one with the greatest values counts.  `on` may be empty: then slots alone deal the rows out.
     """
     second, place = F.unix_micros(F.col("__t")), max(1, max_age) * 1_000_000
     slot = F.floor(second / place)
@@ -22,7 +23,16 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], at: Column, rts: str,
     l_rows = left.select(*on, F.struct(*cols).alias("__l"), at.alias("__t")).withColumn("__slot", slot).withColumn("__side", F.lit(0 if strict else 1))
     r_rows = right.where(F.col(rts).isNotNull()).select(*on, payload.alias("__r"), F.col(rts).alias("__t")).withColumn("__slot", F.explode(F.array(slot, slot + 1))).withColumn("__side", F.lit(1 if strict else 0))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
-    line = Window.partitionBy(*on, "__slot").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy(*on, "__slot").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn("__m", F.last("__r", ignorenulls=True).over(line)).where(F.col("__l").isNotNull())
     fresh = (second - F.unix_micros("__m.__rts")) <= place
     return carried.select("__l.*", *[F.when(fresh, F.col(f"__m.{n}")).alias(n) for n in new], F.when(fresh, F.col("__m.__rts")).alias(f"{prefix}rts"))
+
+
+def asof_by_time(left: DataFrame, right: DataFrame, on: list[str], at: Column, rts: str, values: list[str], max_age: int, strict: bool = False, prefix: str = "") -> DataFrame:
+    """The same for left rows that are many and wide for each key and `ts`, of which `at` is made.
+
+    The distinct keys and times are matched, and joined back by equality: left rows cross one exchange at most.
+    """
+    found = asof(left.select(*on, "ts").distinct(), right, on, at, rts, values, max_age, strict, prefix)
+    return left.join(found, [*on, "ts"], "left").select(*left.columns, *[c for c in found.columns if c not in (*on, "ts")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.prices import PRICE_FLOOR, SCALE, zero
 from marketlake.functions.timebucket import SECONDS, bucket_end
-from marketlake.operators.asof import asof
+from marketlake.operators.asof import asof, asof_by_time
 from marketlake.operators.candles import COLUMNS
 
 #: Staleness in seconds, and the two ends of eras in epoch seconds.
@@ -38,7 +38,7 @@ def _valued(rows: DataFrame, rate: Column, keep: bool = True) -> DataFrame:
 
 def tier_oracle(candles: DataFrame, oracle: DataFrame, window: int = ORACLE_AGE) -> DataFrame:
     """Candidates whose quote has a reading at their start or at most `window` seconds before, if a value is left after rounding."""
-    rows = asof(candles.where(candidate()), oracle.select(F.col("asset").alias("quote"), "ts", "price").withColumnRenamed("ts", "r"), ["quote"], F.col("ts"), "r", ["price"], window)
+    rows = asof_by_time(candles.where(candidate()), oracle.select(F.col("asset").alias("quote"), "ts", "price").withColumnRenamed("ts", "r"), ["quote"], F.col("ts"), "r", ["price"], window)
     shows = lambda x: F.round(F.col("price") * x.cast("double"), SCALE) > 0
     rows = rows.where(((F.col("volume_quote_usd") == 0) & shows(F.col("volume_quote"))) | ((F.col("close_usd") == 0) & shows(F.col("close"))))
     return _valued(rows, F.col("price")).select(candles.columns)
@@ -52,7 +52,7 @@ def tier_external(candles: DataFrame, usd_rate: DataFrame, grain: str, epoch: in
     """Dollar-quoted candles before the first measured rate, at the imported rate strictly before their end."""
     rows = candles.where(leftover() & (F.col("quote") == DOLLAR) & (F.unix_timestamp("ts") < epoch))
     rates = external_rates(usd_rate).select(F.col("asset").alias("quote"), F.col("ts").alias("r"), "rate")
-    rows = asof(rows, rates, ["quote"], bucket_end(F.col("ts"), grain), "r", ["rate"], rate_age(grain), strict=True).where("rate is not null")
+    rows = asof_by_time(rows, rates, ["quote"], bucket_end(F.col("ts"), grain), "r", ["rate"], rate_age(grain), strict=True).where("rate is not null")
     return _valued(rows, F.col("rate"), keep=False).select(candles.columns)
 
 
@@ -68,14 +68,20 @@ def reference(candles: DataFrame, pivots: tuple[str, ...] = PIVOTS) -> DataFrame
     return rows.groupBy(F.col("asset").alias("quote"), F.col("ts").alias("r")).agg((F.sum(F.col("close") * volume) / F.sum(volume)).alias("ref"))
 
 
+def dollar_rates(keys: DataFrame, usd_rate: DataFrame, grain: str) -> DataFrame:
+    """(ts, oracle, external): the dollar coin's rates strictly before the end of each distinct `ts`."""
+    rows = keys.select("ts").distinct()
+    for method in ("oracle", "external"):
+        rates = usd_rate.where(F.col("method") == method).select(F.col("ts").alias("r"), F.col("rate").alias(method))
+        rows = asof(rows, rates, [], bucket_end(F.col("ts"), grain), "r", [method], rate_age(grain), strict=True).drop("rts")
+    return rows
+
+
 def tier_pivot(candles: DataFrame, refs: DataFrame, usd_rate: DataFrame, grain: str, pivots: tuple[str, ...] = PIVOTS) -> DataFrame:
     """Candles quoted in a pivot, through its market as of their start and the dollar-coin's rate as of their end."""
     rows = candles.where(leftover() & F.col("quote").isin(*pivots))
-    rows = asof(rows, refs, ["quote"], F.col("ts"), "r", ["ref"], PIVOT_AGE).where("ref is not null").drop("rts")
-    end = bucket_end(F.col("ts"), grain)
-    for method, age in (("oracle", rate_age(grain)), ("external", rate_age(grain))):
-        rates = usd_rate.where(F.col("method") == method).select(F.lit(1).alias("__k"), F.col("ts").alias("r"), F.col("rate").alias(method))
-        rows = asof(rows.withColumn("__k", F.lit(1)), rates, ["__k"], end, "r", [method], age, strict=True).drop("rts", "__k")
+    keys = asof(rows.select("quote", "ts").distinct(), refs, ["quote"], F.col("ts"), "r", ["ref"], PIVOT_AGE).where("ref is not null").drop("rts")
+    rows = rows.join(keys.join(dollar_rates(keys, usd_rate, grain), "ts"), ["quote", "ts"])
     rate = F.coalesce(F.when(F.col("oracle") > 0, F.col("oracle")), F.when(F.col("external") > 0, F.col("external")))
     return _valued(rows.withColumn("rate", F.col("ref") * rate).where("rate is not null"), F.col("rate")).select(candles.columns)
 
@@ -83,16 +89,17 @@ def tier_pivot(candles: DataFrame, refs: DataFrame, usd_rate: DataFrame, grain:
 def enrich(candles: DataFrame, oracle: DataFrame, usd_rate: DataFrame, grain: str = "1m", epoch: int = ORACLE_EPOCH) -> DataFrame:
     """All candles, valued by the first tier that has a rate for them; the others stay as they are.
 
-    One pass: the rate of every tier is joined to every candle, and the order of the tiers is the order in
-    which they are taken, so that no tier reads what another has left.
+    One pass: the rates of all tiers are found for the distinct quotes and times, which are far fewer and narrower
+    than candles, and joined to the candles by equality; the order of the tiers is the order in which they are
+    taken, so that no tier reads what another has left.
     """
-    end, dollar = bucket_end(F.col("ts"), grain), F.col("quote") == DOLLAR
+    dollar = F.col("quote") == DOLLAR
     readings = oracle.select(F.col("asset").alias("quote"), F.col("ts").alias("r"), F.col("price").alias("__oracle"))
-    rows = asof(candles, readings, ["quote"], F.col("ts"), "r", ["__oracle"], ORACLE_AGE).drop("rts")
-    rows = asof(rows, reference(candles), ["quote"], F.col("ts"), "r", ["ref"], PIVOT_AGE, prefix="__").drop("__rts")
-    for method in ("oracle", "external"):
-        rates = usd_rate.where(F.col("method") == method).select(F.lit(1).alias("__k"), F.col("ts").alias("r"), F.col("rate").alias(f"__{method}_rate"))
-        rows = asof(rows.withColumn("__k", F.lit(1)), rates, ["__k"], end, "r", [f"__{method}_rate"], rate_age(grain), strict=True).drop("rts", "__k")
+    keys = candles.select("quote", "ts").distinct()
+    keys = asof(keys, readings, ["quote"], F.col("ts"), "r", ["__oracle"], ORACLE_AGE).drop("rts")
+    keys = asof(keys, reference(candles), ["quote"], F.col("ts"), "r", ["ref"], PIVOT_AGE, prefix="__").drop("__rts")
+    keys = keys.join(dollar_rates(keys, usd_rate, grain).withColumnsRenamed({"oracle": "__oracle_rate", "external": "__external_rate"}), "ts")
+    rows = candles.join(keys, ["quote", "ts"], "left")
     shows = lambda x: F.round(F.col("__oracle") * x.cast("double"), SCALE) > 0
     measured = candidate() & (((F.col("volume_quote_usd") == 0) & shows(F.col("volume_quote"))) | ((F.col("close_usd") == 0) & shows(F.col("close"))))
     imported = leftover() & dollar & (F.unix_timestamp("ts") < epoch) & F.col("__external_rate").isNotNull()
@@ -127,9 +134,9 @@ def reprice_fine(candles: DataFrame, c1h: DataFrame, xlm_rates: DataFrame, token
     """Candles before the dollar coin, quoted in XLM or a dollar token: XLM's imported rate times the token's ratio."""
     rows = candles.where((F.unix_timestamp("ts") < until) & (F.col("volume_quote") > 0))
     rows = rows.join(tokens.select(F.col("asset").alias("quote")).unionByName(rows.sparkSession.createDataFrame([("XLM",)], "quote string")).distinct(), "quote", "left_semi")
-    rows = asof(rows, token_ratio(c1h, tokens), ["quote"], F.col("ts"), "r", ["factor"], PIVOT_AGE).drop("rts")
-    rows = rows.withColumn("factor", F.when(F.col("quote") == "XLM", 1.0).otherwise(F.col("factor"))).withColumn("__k", F.lit(1))
-    rows = asof(rows, xlm_rates.select(F.lit(1).alias("__k"), F.col("ts").alias("r"), "rate"), ["__k"], bucket_end(F.col("ts"), grain), "r", ["rate"], rate_age(grain), strict=True)
+    rows = asof_by_time(rows, token_ratio(c1h, tokens), ["quote"], F.col("ts"), "r", ["factor"], PIVOT_AGE).drop("rts")
+    rows = rows.withColumn("factor", F.when(F.col("quote") == "XLM", 1.0).otherwise(F.col("factor")))
+    rows = asof_by_time(rows, xlm_rates.select(F.col("ts").alias("r"), "rate"), [], bucket_end(F.col("ts"), grain), "r", ["rate"], rate_age(grain), strict=True)
     return _valued(rows.where("rate is not null and factor is not null"), F.col("rate") * F.col("factor"), keep=False).select(COLUMNS)
 
 
@@ -185,6 +192,6 @@ def months_with_zeros(candles: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 def enrich_or_miss(candles: DataFrame, oracle: DataFrame, window: int = ORACLE_AGE) -> tuple[DataFrame, DataFrame]:
     """Candidates with a reading less than `window` seconds old, valued; and the others."""
-    rows = asof(candles.where(candidate()), oracle.select(F.col("asset").alias("quote"), F.col("ts").alias("r"), "price"), ["quote"], F.col("ts"), "r", ["price"], window)
+    rows = asof_by_time(candles.where(candidate()), oracle.select(F.col("asset").alias("quote"), F.col("ts").alias("r"), "price"), ["quote"], F.col("ts"), "r", ["price"], window)
     hit = F.coalesce(F.unix_timestamp("ts") - F.unix_timestamp("rts") < window, F.lit(False))
     return _valued(rows.where(hit), F.col("price")).select(candles.columns), rows.where(~hit).select(candles.columns)

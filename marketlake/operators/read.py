@@ -98,10 +98,10 @@ def usd_method(candles: DataFrame, usd_rate: DataFrame, epoch: int = ORACLE_EPOC
 def ohlcv_peg(candles: DataFrame, usd_rate: DataFrame, grain: str, in_xlm: bool = False, epoch: int = ORACLE_EPOCH) -> DataFrame:
     """The dollar coin's own series: per bucket of its XLM market a measured rate, else the day's imported one, else 1."""
     market = candles.where((F.col("asset") == "XLM") & (F.col("quote") == DOLLAR))
-    rows = market.groupBy("ts").agg(F.max_by("close", F.struct("volume_base", "source")).alias("xlm")).withColumn("__k", F.lit(1))
-    measured = usd_rate.where("method = 'oracle'").select(F.lit(1).alias("__k"), F.col("ts").alias("r"), "rate")
+    rows = market.groupBy("ts").agg(F.max_by("close", F.struct("volume_base", "source")).alias("xlm"))
+    measured = usd_rate.where("method = 'oracle'").select(F.col("ts").alias("r"), "rate")
     width = bucket_end(F.col("ts"), grain)
-    rows = asof(rows, measured, ["__k"], width, "r", ["rate"], 86_400 * 31, strict=True)
+    rows = asof(rows, measured, [], width, "r", ["rate"], 86_400 * 31, strict=True)
     floor = F.least(F.col("ts"), width - F.expr(f"interval {ORACLE_AGE} seconds"))
     rows = rows.withColumn("oracle", F.when(F.col("rts") >= floor, F.col("rate"))).withColumn("day", F.to_date("ts"))
     imported = usd_rate.where("method = 'external'").groupBy(F.to_date("ts").alias("day")).agg(F.max_by("rate", "ts").alias("external"))

@@ -21,15 +21,19 @@ def _tied(*more: str) -> Column:
     return F.struct("ts", *more, "volume_base", "source", "quote")
 
 
-def tip(c1m: DataFrame, as_of: Column) -> DataFrame:
-    """Latest and first priced close of the last day, before any venue is left out."""
+def _tip_sums() -> list[Column]:
     has = F.col("close_usd") > 0
-    return _recent(c1m, as_of).groupBy("asset").agg(
+    return [
         zero(F.max_by(F.when(has, F.col("close_usd")), F.when(has, _tied()))).alias("price_usd"),
         zero(F.min_by(F.when(has, F.col("close_usd")), F.when(has, _tied()))).alias("open_usd"),
         F.max(F.when(has, F.col("ts"))).alias("price_ts"),
         F.max(F.when(F.col("pf_trade_count") > 0, F.col("ts"))).alias("formed_ts"),
-    )
+    ]
+
+
+def tip(c1m: DataFrame, as_of: Column) -> DataFrame:
+    """Latest and first priced close of the last day, before any venue is left out."""
+    return _recent(c1m, as_of).groupBy("asset").agg(*_tip_sums())
 
 
 def per_venue(c1m: DataFrame, as_of: Column) -> DataFrame:
@@ -67,14 +71,22 @@ def consensus(venues: DataFrame) -> DataFrame:
     return median_mask(liveness_filter(funded_filter(venues)))
 
 
+def _vwap() -> Column:
+    return ratio(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap_24h")
+
+
+def _sources() -> Column:
+    entry = F.struct("source", F.struct(F.round("price", 8).alias("price"), F.round("volume", 4).alias("volume_24h")).alias("v"))
+    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("sources")
+
+
 def vwap_24h(venues: DataFrame) -> DataFrame:
-    return venues.groupBy("asset").agg(ratio(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap_24h"))
+    return venues.groupBy("asset").agg(_vwap())
 
 
 def sources_json(venues: DataFrame) -> DataFrame:
     """{venue: {price, volume_24h}} in the order of the names; an asset has as many entries as venues."""
-    entry = F.struct("source", F.struct(F.round("price", 8).alias("price"), F.round("volume", 4).alias("volume_24h")).alias("v"))
-    return venues.groupBy("asset").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("sources"))
+    return venues.groupBy("asset").agg(_sources())
 
 
 def price_xlm(tips: DataFrame) -> DataFrame:
@@ -118,23 +130,34 @@ def price_status() -> Column:
     return F.when(F.col("price_usd") <= 0, "unpriced").when(F.col("price_ts") < F.col("formed_ts"), "carried").otherwise("priced")
 
 
-def price_basis(c1m: DataFrame, as_of: Column) -> DataFrame:
-    """Trades, unless no candle of the day confirms that amounts large enough to imply a price were traded."""
+def _basis() -> Column:
     units = lambda c: F.floor(F.col(c).cast("double") * 1e7 + 0.5)
     single = (F.col("trade_count") == 1) & ~rounding_bound(units("volume_base"), units("volume_quote"))
     one = (F.col("trade_count") > 1) & (F.col("pf_trade_count") == 1) & ~rounding_bound(units("pf_volume"), units("pf_price_volume") + 1)
     many = (F.col("pf_trade_count") > 1) & ((units("pf_volume") <= 1000) | (units("pf_price_volume") <= 1000))
     confirms = (F.col("source") != ORDER_BOOK) | ~(single | one | many)
-    rows = _recent(c1m, as_of).where(F.col("pf_trade_count") > 0)
-    return rows.groupBy("asset").agg(F.when(F.max(confirms), "trades").otherwise("offer_dust").alias("price_basis"))
+    most = F.max(F.when(F.col("pf_trade_count") > 0, confirms))
+    return F.when(most, "trades").when(~most, "offer_dust").alias("price_basis")
+
+
+def price_basis(c1m: DataFrame, as_of: Column) -> DataFrame:
+    """Trades, unless no candle of the day confirms that amounts large enough to imply a price were traded."""
+    return _recent(c1m, as_of).where(F.col("pf_trade_count") > 0).groupBy("asset").agg(_basis())
+
+
+def needed(c1m: DataFrame, as_of: Column) -> DataFrame:
+    """What a snapshot reads of the minutes, and the day before it that their valuation looks back to."""
+    return c1m.where((F.col("ts") >= as_of - F.expr("interval 9 days")) & (F.col("ts") <= as_of))
 
 
 def current_prices(c1m: DataFrame, c1h: DataFrame, supply: DataFrame, usd_rate: DataFrame, as_of: Column) -> DataFrame:
-    """One row per asset with everything above."""
-    tips = rate_tip(tip(c1m, as_of), usd_rate, as_of)
-    venues = consensus(per_venue(c1m, as_of))
+    """One row per asset with everything above: one aggregate of the day by asset, one by venue, and one by leg."""
+    both = _recent(c1m, as_of).groupBy("asset").agg(*_tip_sums(), _basis())
+    basis = both.select("asset", "price_basis")
+    tips = rate_tip(both.drop("price_basis"), usd_rate, as_of)
+    venues = consensus(per_venue(c1m, as_of)).groupBy("asset").agg(_vwap(), _sources())
     out = tips.withColumn("price_status", price_status()).withColumn("as_of", F.coalesce("price_ts", F.timestamp_seconds(F.lit(0))))
-    for part in (vwap_24h(venues), sources_json(venues), price_xlm(tips), changes(tips, c1h, as_of), volume_both_legs(c1m, as_of), market_cap(tips, supply), price_basis(c1m, as_of)):
+    for part in (venues, basis, price_xlm(tips), changes(tips, c1h, as_of), volume_both_legs(c1m, as_of), market_cap(tips, supply)):
         out = out.join(part, "asset", "left")
     return out.fillna(0.0, ["vwap_24h", "volume_24h_usd"]).fillna("{}", ["sources"]).fillna("trades", ["price_basis"])
 

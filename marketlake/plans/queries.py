@@ -14,6 +14,7 @@ from marketlake.operators import candles, enrich, events, fills, jobs, quality,
 from marketlake.operators.asof import asof
 from marketlake.plans.sql import CHILD, COUNTS, KEYS, NAME, PRICES, VOLUMES, shown, with_tables
 from marketlake.sources import market, rates, versioned
+from marketlake.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -676,9 +677,10 @@ def _(t: Tables) -> DataFrame:
 
 
 def current(t: Tables) -> DataFrame:
-    p1m = t.p1m.persist()  # in production a stored table, which the snapshot reads several times
+    as_of = t.as_of
+    p1m = stored(enrich.enrich(snapshot.needed(t.c1m, as_of), t.oracle, t.usd_rate))  # a stored table in production too
     c1h = candles.rollup(candles.rollup(p1m, "15m"), "1h")
-    return snapshot.current_prices(p1m, c1h, t.supply, t.usd_rate, t.as_of)
+    return snapshot.current_prices(p1m, c1h, t.supply, t.usd_rate, as_of)
 
 
 @query(
@@ -705,11 +707,11 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "u2_price_usd_series",
-    """select asset, ts, round(case when peg is not null and rpw = 0 then peg else rpv / rpw end, 8) as close_usd, case when peg is not null and rpw = 0 then peg_method else 'traded' end as method, round(case when peg is not null and rpw = 0 then 1.0 else rpw / rew end, 5) as share from weighed
+    """select asset, ts, round(case when peg is not null and rpw = 0 then peg else rpv / rpw end, 8) as close_usd, case when peg is not null and rpw = 0 then peg_method else 'traded' end as method, cast(cast(case when peg is not null and rpw = 0 then 1.0 else rpw / rew end as decimal(10,6)) as double) as share from weighed
 where (peg is not null and rpw = 0) or (rew > 0 and rpw > 0 and rpw / rew >= 0.5)""",
 )
 def _(t: Tables) -> DataFrame:
-    return series.price_usd_series(t.p("1d"), t.usd_rate, "1d").select("asset", "ts", F.round("close_usd", 8).alias("close_usd"), "method", F.round(F.col("priced_volume_share").cast("double"), 5).alias("share"))
+    return series.price_usd_series(t.p("1d"), t.usd_rate, "1d").select("asset", "ts", F.round("close_usd", 8).alias("close_usd"), "method", F.col("priced_volume_share").cast("double").alias("share"))
 
 
 @query("u3_eligible_quotes", "select 'USDC' as quote union select 'XLM' union select 'USDT' union select asset from usd_rate")
@@ -732,9 +734,9 @@ def _(t: Tables) -> DataFrame:
     return series.price_usd_series(t.p("1d"), t.usd_rate, "1d").groupBy("method").agg(F.count("*").alias("buckets"))
 
 
-@query("u7_usd_coverage", "select asset, ts, round(coalesce(rpw / nullif(rew, 0), 0), 5) as share, round(usd, 2) as usd, case when peg is not null and rpw = 0 then 'priced' when rew = 0 then 'unpriceable' when rpw / rew >= 0.5 then 'priced' else 'pending' end as status from weighed")
+@query("u7_usd_coverage", "select asset, ts, cast(cast(coalesce(rpw / nullif(rew, 0), 0) as decimal(10,6)) as double) as share, round(usd, 2) as usd, case when peg is not null and rpw = 0 then 'priced' when rew = 0 then 'unpriceable' when rpw / rew >= 0.5 then 'priced' else 'pending' end as status from weighed")
 def _(t: Tables) -> DataFrame:
-    return series.usd_coverage(t.p("1d"), t.usd_rate, "1d").select("asset", "ts", F.round(F.col("share").cast("double"), 5).alias("share"), F.round("priced_usd", 2).alias("usd"), "status")
+    return series.usd_coverage(t.p("1d"), t.usd_rate, "1d").select("asset", "ts", F.col("share").cast("double").alias("share"), F.round("priced_usd", 2).alias("usd"), "status")
 
 
 @query("u8_identity_by_contract", "select contract, asset, case when kind = 'contract' then 'token' else 'wrapper' end as via from assets where contract <> ''")
