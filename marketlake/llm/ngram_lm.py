@@ -54,31 +54,48 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marketlake.llm.shared import crc_remainder, folder, held
 from marketlake.llm.words import flat, mix, slices, words
 
-LEVEL_BITS = 20
+LEVEL_BITS = 18
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Training tokens of a shard of the trie, about.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 #: Tokens that a task turns into questions at a time.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Stands for what is before the first word of a text.
 START = np.uint64(0)
 _GRID = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _places() -> np.ndarray:
+    """For each 16 bits and n, the place of the n-th set bit: row x * 16 + n."""
+    bits = (np.arange(1 << 16)[:, None] >> np.arange(16)) & 1 == 1
+    out = np.zeros((1 << 16, 16), np.uint8)
+    x, at = np.nonzero(bits)
+    out[x, (np.cumsum(bits, axis=1) - 1)[bits]] = at
+    return out.ravel()
+
+
+_PLACES = _places()
+
+
 def _nth_one(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The place of the n-th set bit of each word."""
     at, n = np.zeros(len(x), np.int64), n.copy()
-    for step in (32, 16, 8, 4, 2, 1):
+    for step in (32, 16):
         low = x & np.uint64((1 << step) - 1)
-        ones = np.bitwise_count(low).astype(np.int64)
+        ones = np.bitwise_count(low)
         up = n >= ones
-        n -= np.where(up, ones, 0)
+        n -= ones * up
         x = np.where(up, x >> np.uint64(step), low)
-        at += np.where(up, step, 0)
-    return at
+        at += up * np.int64(step)
+    return at + _PLACES[(x.astype(np.int64) << 4) + n]
+
+
+def _distinct_sorted(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
 
 
 class EliasFano:
@@ -456,7 +473,7 @@ def _needed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: S
         rare, large = np.flatnonzero(t.c > len(vocabulary.hash)), np.flatnonzero(shards.large(t.b))
         k = np.r_[t.hash_c[rare], _pair(t.hash_b[large], t.hash_c[large])]
         shard = t.shard[np.r_[rare, large]]
-        rank = np.lexsort([k, shard])
+        rank = np.argsort(k * _ODD + shard.astype(np.uint64))
         k, shard = k[rank], shard[rank]
         new = np.r_[True, (k[1:] != k[:-1]) | (shard[1:] != shard[:-1])][: len(k)]
         yield pa.RecordBatch.from_arrays([pa.array(shard[new].astype(np.int32)), pa.array(k[new].view(np.int64))], names=["shard", "k"])
@@ -502,10 +519,10 @@ def _ask(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: Shar
         number = pa.array(np.full(n, place + block))
         known = t.c <= len(vocabulary.hash)
         base = np.bincount(row, np.where(known, one[np.where(known, t.c, 0)], 0.0), n)
-        yield _batch(kind, n, shard=pa.array(np.full(n, (place + block) % shards.number, np.int32)), block=number, row=pa.array(np.arange(n, dtype=np.int32)), key=rows.column("key").combine_chunks(), n_tokens=pa.array(np.bincount(row, minlength=n).astype(np.int64)), n_known=pa.array(np.bincount(row, known, n).astype(np.int64)), base=pa.array(base))
+        yield _batch(kind, n, shard=pa.array(np.full(n, (TaskContext.get().partitionId() + block) % shards.number, np.int32)), block=number, row=pa.array(np.arange(n, dtype=np.int32)), key=rows.column("key").combine_chunks(), n_tokens=pa.array(np.bincount(row, minlength=n).astype(np.int64)), n_known=pa.array(np.bincount(row, known, n).astype(np.int64)), base=pa.array(base))
         learn = rows.column("learn").to_numpy().astype(np.int64)
         part = t.shard * 2 + learn[row]
-        rank = np.argsort(part << 32 | t.b, kind="stable")
+        rank = np.argsort(part << 32 | t.b)
         part = part[rank]
         edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -555,27 +572,27 @@ def build(tokens: int, vocabulary: int, hashes: np.ndarray, count: np.ndarray, s
     trie.back = quantise(weight if back is None else np.where(np.isnan(back), weight, back))
     whole = np.flatnonzero(a >= 0)
     left = a[whole] * size + b[whole]
-    both = np.unique(np.r_[right, left])
+    both = _distinct_sorted(np.r_[right, left])
     log = np.zeros(len(both))
     log[np.searchsorted(both, right)] = np.log10(prob)
     context = np.searchsorted(both, left)
     p3 = (times[whole] - discount) / np.bincount(context, times[whole], len(both))[context]
-    lower = prob[np.searchsorted(right, b[whole] * size + c[whole])]
+    lower = prob[of[whole] if pairs is None else np.searchsorted(right, b[whole] * size + c[whole])]
     two = Level.of(both // size, both % size, n, log, _back_off(context, len(both), p3, lower) if len(both) else log)
-    rank = np.lexsort([c[whole], context])
+    rank = np.argsort(context * size + c[whole])
     trie.levels = [two, Level.of(context[rank], c[whole][rank], len(both), np.log10(p3[rank]), np.zeros(0))]
     return trie
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Equal trigrams of numbers from -1 to n - 1 once, and of which each given one is."""
-    size = n + 1
-    if size**3 < 1 << 62:
-        key, of = np.unique(((b + 1) * size + a + 1) * size + c + 1, return_inverse=True)
+    size = np.int64(n + 1)
+    if float(size) ** 3 < 2.0**62:
+        key, of = np.unique(((b + np.int64(1)) * size + a + 1) * size + c + 1, return_inverse=True)
         out = key // size % size - 1, key // size // size - 1, key % size - 1
     else:
-        pair, at = np.unique((b + 1) * size + a + 1, return_inverse=True)
-        key, of = np.unique(at * np.int64(size) + c + 1, return_inverse=True)
+        pair, at = np.unique((b + np.int64(1)) * size + a + 1, return_inverse=True)
+        key, of = np.unique(at * size + c + 1, return_inverse=True)
         out = pair[key // size] % size - 1, pair[key // size] // size - 1, key % size - 1
     return out, of
 
@@ -611,23 +628,26 @@ def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray,
 
     frequent = len(vocabulary.hash)
     opened = [(block, learn, *_unpack(body)) for block, learn, body in pieces]
-    rare = np.unique(np.concatenate([x[2].astype(np.uint64) for x in opened]))
+    pieces.clear()
+    rare = _distinct_sorted(np.concatenate([x[2].astype(np.uint64) for x in opened]))
     hashes = np.r_[vocabulary.hashes(), rare]
     used = np.zeros(len(hashes), bool)
-    parts = []
-    for block, learn, own, a, step, c, row in opened:
+    parts, codes_of = [], ([], [], [])
+    while opened:
+        block, learn, own, *three, row = opened.pop()
         place = np.searchsorted(rare, own.astype(np.uint64))
-        a, b, c = a.astype(np.int32), np.cumsum(step.astype(np.int64)).astype(np.int32), c.astype(np.int32)
-        for x in (a, b, c):
+        three[1] = np.cumsum(three[1], dtype=np.int64)
+        for x, out in zip(three, codes_of, strict=True):
+            x = x.astype(np.int32)
             m = x > frequent
             x[m] = frequent + 1 + place[x[m] - frequent - 1]
             used[x] = True
-        parts.append((block, learn, a, b, c, row))
-    del opened
+            out.append(x)
+        parts.append((block, learn, row))
     used[0] = False
     codes = np.flatnonzero(used)
     codes = codes[np.argsort(hashes[codes])]
-    local = np.full(len(hashes), -1, np.int64)
+    local = np.full(len(hashes), -1, np.int32)
     local[codes] = np.arange(len(codes))
     plain = codes <= frequent
     count = np.zeros(len(codes), np.int64)
@@ -635,9 +655,11 @@ def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray,
     count[~plain] = counted(hashes[codes[~plain]])
 
     sizes = [len(x[2]) for x in parts]
-    a, b, c = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+    a, b, c = (local[np.concatenate(x)] for x in codes_of)
+    codes_of = None
     learn = np.repeat([x[1] for x in parts], sizes)
-    (ua, ub, uc), of = _distinct(local[a], local[b], local[c], len(codes))
+    (ua, ub, uc), of = _distinct(a, b, c, len(codes))
+    del a, b
     times = np.bincount(of[learn], minlength=len(ua))
     seen = np.flatnonzero((times > 0) & (ub >= 0))
     pairs = follow = back = None
@@ -646,7 +668,7 @@ def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray,
         word = int(codes[ub[0]])
         own = int(ub[0])
         follow[own], back[own] = vocabulary.count[word - 1], backs[word]
-        next_ = np.unique(uc)
+        next_ = _distinct_sorted(uc)
         number = counted(_pair(np.full(len(next_), hashes[word]), hashes[codes[next_]]))
         next_, number = next_[number > 0], number[number > 0]
         pairs = np.full(len(next_), own), next_, number
@@ -665,11 +687,12 @@ def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray,
         if path:
             os.unlink(path)
     at = 0
-    for (block, _, _, _, words_, row), n in zip(parts, sizes, strict=True):
+    for (block, _, row), n in zip(parts, sizes, strict=True):
         rows, to = np.unique(row, return_inverse=True)
         total = -np.bincount(to, score[at : at + n], len(rows))
-        other = np.flatnonzero(words_ > frequent)
-        found = count[local[words_[other]]]
+        words_ = c[at : at + n]
+        other = np.flatnonzero(~plain[words_])
+        found = count[words_[other]]
         more = np.bincount(to[other], vocabulary.unigram(found), len(rows)) if len(other) else np.zeros(0)
         known = np.bincount(to[other], found > 0, len(rows)) if len(other) else np.zeros(0)
         # Sums are at most 0, in whole steps; those of words that are not frequent go as the bits of doubles.
