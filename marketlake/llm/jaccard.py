@@ -22,8 +22,9 @@ components still differ, so the components are those of the full join.
 Long posting lists are dealt in blocks of `block` rows to many tasks.
 
 Null texts and texts without words have an empty set, link with nothing and are
-components of their own.  Rows with a null key take no part.  Where several rows
-share a key, each is judged by its own text, and equal rows are one document.
+components of their own.  Rows with a null key are documents like any other; the
+smallest key is taken among those that are not null, and is null where there are
+none.  Where several rows share a key, each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ BLOCK = 2048
 FILTER_BITS = 24
 #: What verifying a candidate costs, in postings scanned.
 VERIFY_COST = 50.0
+#: Pairs of postings that one task compares, about.
+PAIR_WORK = 1 << 26
 _PARTS = 64
 
 
@@ -57,7 +60,8 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     out = []
     for first, n in zip(w.first[:-1].tolist(), w.count.tolist(), strict=True):
         if n >= width:
-            out.append(np.unique(h[first : first + n - width + 1]))
+            s = np.sort(h[first : first + n - width + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
         else:
             out.append(join_hashes(w.hash[first : first + n], n) if n else np.zeros(0, np.uint64))
     return out
@@ -77,7 +81,7 @@ def _bin(h: np.ndarray, bits: int) -> np.ndarray:
 def _profile(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row for each document with a set's size and class; at the end the counts of this task, in parts."""
     counts = np.zeros(1 << bits, np.uint16)
-    names = ["doc", "n", "cls", "part", "counts"]
+    names = ["doc", "hash", "n", "cls", "part", "counts"]
     kind = None
     for batch in batches:
         kind = batch.column(key).type
@@ -87,13 +91,13 @@ def _profile(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int,
                 seen = np.bincount(_bin(np.concatenate(filled), bits), minlength=len(counts))
                 counts = np.minimum(counts + seen, 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [run.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                [run.column(key), run.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names=names,
             )
     if kind is not None and counts.any():
         size = len(counts) // _PARTS
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(_PARTS, kind), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.array(range(_PARTS), pa.int32()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(_PARTS)], pa.binary())],
+            [pa.nulls(_PARTS, kind), *[pa.nulls(_PARTS, pa.int64())] * 3, pa.array(range(_PARTS), pa.int32()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(_PARTS)], pa.binary())],
             names=names,
         )
 
@@ -220,18 +224,17 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([run.column("a").filter(keep), run.column("b").filter(keep)], names=["a", "b"])
 
 
-def classes_of(docs: DataFrame, key: str, text: str, width: int, bits: int) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.where(F.col(key).isNotNull()).select(key, text)
-    return held(rows.mapInArrow(lambda b: _profile(b, key, text, width, bits), f"doc {kind}, n long, cls long, part int, counts binary"))
+def classes_of(rows: DataFrame, width: int, bits: int) -> DataFrame:
+    kind = rows.schema["key"].dataType.simpleString()
+    return held(rows.mapInArrow(lambda b: _profile(b, "key", "text", width, bits), f"doc {kind}, hash long, n long, cls long, part int, counts binary"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bits: int = BIN_BITS, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, bits: int = BIN_BITS, block: int = BLOCK, pair_work: int = PAIR_WORK) -> DataFrame:
     """(key, n_shingles, component_id) for every document."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(key, text)
-    profile = classes_of(docs, key, text, width, bits)
-    members = profile.where("part is null").select(F.col("doc").alias(key), "n", "cls")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    profile = classes_of(rows, width, bits)
+    members = profile.where("part is null").select(F.col("doc").alias("key"), "hash", "n", "cls")
     parts = profile.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(_add_counts, "part int, steps binary").collect()
     steps = np.zeros(1 << bits, np.uint8)
     for r in parts:
@@ -239,14 +242,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         steps[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["steps"], np.uint8)
     order = spark.sparkContext.broadcast(steps)  # 2^bits bytes, whatever the corpus
 
-    postings = rows.select(text).mapInArrow(lambda b: _postings(b, order.value, text, width, percent, bits), "token long, cls long, n int, at int, lv int, ask int")
+    postings = rows.select("text").mapInArrow(lambda b: _postings(b, order.value, "text", width, percent, bits), "token long, cls long, n int, at int, lv int, ask int")
     shared = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_many, postings.schema)
     # Only shingles that another class has can be shared: `before` counts those that stand before in the prefix.
     shared = held(shared.withColumn("before", (F.row_number().over(Window.partitionBy("cls").orderBy("at")) - 1).cast("int")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = held(pairs)
-        active = _texts(pairs, members, rows, key, text, width)
+        active = _texts(pairs, members, rows, width)
         # Texts are never a side to broadcast, however few a small corpus has.
         near = pairs.join(active.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         near = near.join(active.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
@@ -259,11 +262,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     known = components(near)
     lists = shared.join(known.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    wide = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", F.expr(f"cast(ceil(size / {block}) as int)").alias("chunks"))
+    wide = held(lists.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "size", F.expr(f"cast(ceil(size / {block}) as int)").alias("chunks")))
+    work = wide.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0
+    wide = wide.drop("size")
     dealt = lists.join(wide, "token").withColumn("chunk", F.expr("cast(pmod(xxhash64(cls), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
     keys = ["token", "left", "right"]
-    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "lv", "ask", "comp").repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
+    pairs = dealt.select(*keys, "chunk", "cls", "n", "at", "lv", "ask", "comp").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(work) // pair_work), *keys).sortWithinPartitions(*keys, "n").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, ask int")
     # A pair that can reach the threshold comes from the list of its first shared shingle at least; how many
     # they share in their prefixes at the level asked for is counted on the prefixes themselves.
     prefix = shared.groupBy("cls").agg(F.collect_list(F.struct("token", "lv")).alias("prefix"))
@@ -273,11 +278,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = pairs.where(f"size(array_intersect({asked[0]}, {asked[1]})) >= ask").select("a", "b")
     more = verified(pairs)
 
-    roots = components(near.unionByName(more))
-    node = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = node.where("root is not null").groupBy("root").agg(F.min(key).alias("least"))
-    found = node.join(least, "root", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("least", F.col(key)).alias("component_id"))
-    return found
+    # A class is named by its smallest document, so the smallest name that links reach is the component's.
+    name = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("cls").alias("cls"))
+    named = held(members.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name")))
+    side = lambda c: named.select(F.col("cls").alias(c), F.col("name").alias(f"name_{c}"))
+    links = near.unionByName(more).join(side("a"), "a").join(side("b"), "b")
+    roots = components(links, "name_a", "name_b").select(F.col("node.cls").alias("cls"), F.col("root.key").alias("root"), F.lit(True).alias("linked"))
+    least = named.join(roots, "cls", "left").select("cls", F.when(F.col("linked"), F.col("root")).otherwise(F.col("name.key")).alias("least"))
+    found = members.join(least, "cls", "left")
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,21 +307,21 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
 
 
-def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """A text for each class of the pairs.
 
     Before the join, a bitmap of fixed size drops most of the documents that no pair names, so
     that their texts are not shuffled; the join itself is exact.
     """
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = held(members.join(named, "cls").groupBy("cls").agg(F.min(key).alias(key)))
-    bit = F.expr(f"cast(pmod(xxhash64(`{key}`), {1 << FILTER_BITS}) as int)")
-    marks = chosen.select(bit.alias("bit")).mapInArrow(_mark, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(_either, "part int, bits binary").collect()
+    chosen = held(members.join(named, "cls").groupBy("cls").agg(F.min(F.struct("key", "hash")).alias("of")).select("cls", F.col("of.key").alias("of_key"), F.col("of.hash").alias("hash")))
+    bit = lambda key: F.pmod(F.xxhash64(key, "hash"), F.lit(1 << FILTER_BITS)).cast("int").alias("bit")
+    marks = chosen.select(bit("of_key")).mapInArrow(_mark, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(_either, "part int, bits binary").collect()
     seen = np.zeros((_PARTS, (1 << FILTER_BITS) // _PARTS // 8), np.uint8)
     for r in marks:
         seen[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     wanted = rows.sparkSession.sparkContext.broadcast(seen.ravel())
-    kind = rows.schema[text].dataType.simpleString()
+    kind = rows.schema["text"].dataType.simpleString()
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,10 +334,10 @@ def _texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, key: str, text
                 same = [len(s) > 0 and _class(s) == c for s, c in zip(shingle_sets(run.column("text"), width), run.column("cls").to_pylist(), strict=True)]
                 yield run.filter(pa.array(same, pa.bool_()))
 
-    few = rows.select(key, F.col(text).alias("text"), bit.alias("bit"))
-    few = few.mapInArrow(likely, few.schema).drop("bit")
-    # A key may have several rows, so the class is checked on the text itself.
-    return held(few.hint("merge").join(chosen, key).select("cls", "text").mapInArrow(of_class, f"cls long, text {kind}"))
+    few = rows.select("key", "text", "hash", bit("key"))
+    few = few.mapInArrow(likely, few.schema).drop("bit").hint("merge").join(chosen, "hash").where("key <=> of_key")
+    # Rows may share key and hash, so the class is checked on the text itself, and one text is kept.
+    return held(few.select("cls", "text").mapInArrow(of_class, f"cls long, text {kind}").dropDuplicates(["cls"]))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -72,9 +72,9 @@ def test_equals_brute_force(spark):
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(empty).count() == 0
-    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "A b c d e f")], "doc_id long, text string")
-    assert sorted(r.component_id for r in jaccard_components(again).collect()) == [0, 0, 0]
-    assert sorted((r.doc_id is None, r.doc_id) for r in deduplicate(again).collect()) == [(False, 0), (True, None)]
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "A b c d e f"), (None, "p q r s t u v w x y z"), (None, "p q r s t u v w x y z 1"), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.doc_id is None, r.component_id is None, r.component_id or 0) for r in jaccard_components(again).collect()) == [(0, True, True, 0), *[(2, False, False, 0)] * 3, (2, True, False, 0), (7, True, True, 0), (8, True, True, 0)]
+    assert sorted((r.doc_id is None, str(r.doc_id), r.text or "") for r in deduplicate(again).collect()) == [(False, "0", "A b c d e f"), (True, "None", ""), (True, "None", "p q r s t u v w x y z")]
 
 
 def test_chain_components(spark):
