@@ -12,6 +12,8 @@ BOUND_MARGIN = 1000
 BOUND_PRODUCT = 1_000_000
 SCALE = 14
 STORED = "decimal(38,14)"
+#: The largest value of that type.
+STORED_CEILING = "9" * 24 + "." + "9" * 14
 PCT = "decimal(10,4)"
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.functions.prices import PRICE_CEILING, PRICE_FLOOR, gated, ratio, zero
+from marketlake.functions.prices import PRICE_CEILING, PRICE_FLOOR, STORED, STORED_CEILING, gated, ratio, zero
 from marketlake.functions.timebucket import CHILD, bucket_end, bucket_start
 from marketlake.sources.versioned import delete_window, merge_append
 
 KEYS = ["asset", "quote", "source", "ts"]
 ORDER = ("ledger", "tx", "op", "claim", "price", "volume_base", "volume_quote")
+#: The stored columns of a candle.
 COLUMNS = ["ts", "asset", "quote", "source", "open", "high", "low", "close", "volume_base", "volume_quote", "volume_quote_usd", "close_usd", "vwap", "trade_count", "version", "pf_trade_count", "pf_volume", "pf_price_volume"]
 #: How a ledger and an operation make a version.
 LEDGER_STEP = 1000
@@ -25,6 +26,13 @@ def clamp(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(-PRICE_CEILING)), F.lit(PRICE_CEILING))
 
 
+def saturated(c: Column) -> Column:
+    """The sum of a volume at its stored scale; what is beyond its range is the largest value that can be stored."""
+    most = F.lit(STORED_CEILING).cast(STORED)
+    exact = F.try_sum(c).cast(STORED)
+    return F.when(F.count(c) == 0, F.lit(None)).otherwise(F.coalesce(exact, most))
+
+
 def minute_aggregates() -> list[Column]:
     """What a candle holds of its fills; in one place, as streams build the same candles."""
     forming, order = F.col("price_forming"), F.struct(*ORDER)
@@ -33,19 +41,19 @@ def minute_aggregates() -> list[Column]:
         zero(F.max(_only(forming, "price"))).alias("high"),
         zero(F.min(_only(forming, "price"))).alias("low"),
         zero(F.max_by(F.when(forming, F.col("price")), F.when(forming, order))).alias("close"),
-        F.sum("volume_base").alias("volume_base"),
-        F.sum("volume_quote").alias("volume_quote"),
+        saturated(F.col("volume_base")).alias("volume_base"),
+        saturated(F.col("volume_quote")).alias("volume_quote"),
         F.count("*").alias("trade_count"),
         F.max(F.col("ledger") * LEDGER_STEP + F.col("op")).alias("version"),
         F.count_if(forming).alias("pf_trade_count"),
-        F.coalesce(F.sum(_only(forming, "volume_base")), F.lit(0)).alias("pf_volume"),
+        F.coalesce(saturated(_only(forming, "volume_base")), F.lit(0)).alias("pf_volume"),
         zero(F.sum(_only(forming, F.col("price") * F.col("volume_base").cast("double")))).alias("pf_price_volume"),
     ]
 
 
 def _finished(rows: DataFrame) -> DataFrame:
     raw = F.greatest(F.abs(F.col("pf_price_volume")), F.col("high"))
-    return rows.withColumns({"vwap": ratio(F.col("volume_quote"), F.col("volume_base")), "volume_quote_usd": F.lit(0.0), "close_usd": F.lit(0.0), "clamped": raw > PRICE_CEILING, "pf_price_volume": clamp(F.col("pf_price_volume"))})
+    return rows.withColumns({"vwap": ratio(F.col("volume_quote"), F.col("volume_base")), "volume_quote_usd": F.lit(0.0), "close_usd": F.lit(0.0), "clamped": (raw > PRICE_CEILING) | (F.greatest("volume_base", "volume_quote", "pf_volume") >= F.lit(STORED_CEILING).cast(STORED)), "pf_price_volume": clamp(F.col("pf_price_volume"))})
 
 
 def candles_1m(fills: DataFrame) -> DataFrame:
@@ -63,7 +71,8 @@ def rollup(child: DataFrame, grain: str, keys: tuple[str, ...] = ("asset", "quot
         zero(F.max(_only(gate, "high"))).alias("high"),
         zero(F.min(_only(gate, "low"))).alias("low"),
         zero(F.max_by(_only(gate, "close"), _only(gate, "ts"))).alias("close"),
-        *[F.sum(c).alias(c) for c in ("volume_base", "volume_quote", "volume_quote_usd", "trade_count", "version", "pf_trade_count", "pf_volume", "pf_price_volume")],
+        *[saturated(F.col(c)).alias(c) for c in ("volume_base", "volume_quote", "pf_volume")],
+        *[F.sum(c).alias(c) for c in ("volume_quote_usd", "trade_count", "version", "pf_trade_count", "pf_price_volume")],
         F.max_by(_only(rated, F.col("close_usd") / F.col("close")), _only(rated, "ts")).alias("rate"),
     )
     usd = F.col("close") * F.col("rate")

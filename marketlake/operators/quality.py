@@ -18,9 +18,19 @@ def _every(tiers: dict[str, DataFrame], columns: list[str]) -> DataFrame:
 
 
 def tier_lag(tiers: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """Seconds since the newest bucket of each tier; an empty one beside populated ones has a sentinel."""
-    last = reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("tier"), F.max("ts").alias("last")) for name, df in tiers.items()])
-    return last.select("tier", F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp("last"), F.lit(EMPTY_LAG)).alias("lag_seconds"))
+    """Seconds since the newest bucket of each tier, given from fine to coarse.
+
+    An empty tier has a sentinel if a coarser one is populated, since data flow from fine to coarse; else no row.
+    """
+    last = reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("tier"), F.lit(i).alias("place"), F.max("ts").alias("last")) for i, (name, df) in enumerate(tiers.items())])
+    coarsest = F.max(F.when(F.col("last").isNotNull(), F.col("place"))).over(Window.partitionBy(F.lit(1)))  # a row for each tier
+    rows = last.withColumn("coarsest", coarsest).where("last is not null or place < coarsest")
+    return rows.select("tier", F.coalesce(F.unix_timestamp(as_of) - F.unix_timestamp("last"), F.lit(EMPTY_LAG)).alias("lag_seconds"))
+
+
+def snapshot_lag(snapshot: DataFrame, updated: str, as_of: Column) -> DataFrame:
+    """Seconds since the newest row of the snapshot; none for an empty one."""
+    return snapshot.agg(F.max(updated).alias("last")).where("last is not null").select(F.lit("snapshot").alias("tier"), (F.unix_timestamp(as_of) - F.unix_timestamp("last")).alias("lag_seconds"))
 
 
 def ohlc_band(tiers: dict[str, DataFrame]) -> DataFrame:
@@ -51,9 +61,19 @@ def peg_applied(c1m: DataFrame, leg: str, tolerance: float = PEG_TOLERANCE) -> D
     return c1m.where((F.col("quote") == leg) & (F.col("close_usd") > 0)).agg(F.count("*").alias("scanned"), F.count_if(F.abs(F.try_divide("close_usd", "close") - 1) < tolerance).alias("pegged"))
 
 
-def guarded(check: DataFrame, scanned: str = "scanned") -> DataFrame:
-    """A check over nothing is refused, which is not the same as 0."""
-    return check.withColumn("status", F.when(F.col(scanned) > 0, "ok").otherwise("refused: nothing scanned"))
+def peg_applied_to(c1m: DataFrame, legs: DataFrame, tolerance: float = PEG_TOLERANCE) -> DataFrame:
+    """The same for each of some legs (quote, resolved): `resolved` identities answer to its ticker."""
+    looks = F.count_if(F.abs(F.try_divide("close_usd", "close") - 1) < tolerance)
+    seen = c1m.where("close_usd > 0").groupBy("quote").agg(F.count("*").alias("scanned"), looks.alias("pegged"))
+    return legs.join(seen, "quote", "left").select("quote", "resolved", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.coalesce("pegged", F.lit(0)).alias("pegged"))
+
+
+def guarded(check: DataFrame, scanned: str = "scanned", resolved: str | None = None) -> DataFrame:
+    """A check over nothing, or of a leg that is not exactly one identity, is refused, which is not the same as 0."""
+    status = F.when(F.col(scanned) > 0, "ok").otherwise("refused: nothing scanned")
+    if resolved:
+        status = F.when(F.col(resolved) != 1, "refused: leg is not one identity").otherwise(status)
+    return check.withColumn("status", status)
 
 
 def id_collisions(assets: DataFrame, key: str) -> DataFrame:
@@ -78,10 +98,10 @@ def largest_gap(c1m: DataFrame) -> DataFrame:
     return times.withColumn("gap", (F.unix_timestamp("ts") - F.unix_timestamp(F.coalesce(F.lag("ts").over(w), F.col("ts")))) / 60).groupBy("asset", "source").agg(F.max("gap").alias("gap_minutes"))
 
 
-def canonical_ticker(c1m: DataFrame, assets: DataFrame) -> DataFrame:
-    """Of assets with one ticker the busiest."""
-    busy = c1m.groupBy("asset").agg(F.count("*").alias("candles"))
-    return assets.join(busy, "asset").groupBy(F.col("asset").alias("ticker")).agg(F.max_by("issuer", F.struct("candles", "issuer")).alias("issuer"), F.max("candles").alias("candles"))
+def canonical_ticker(candles: DataFrame, assets: DataFrame) -> DataFrame:
+    """Of identities (asset_id, asset, issuer) with one ticker the one with most candles (asset_id)."""
+    busy = candles.groupBy("asset_id").agg(F.count("*").alias("candles"))
+    return assets.join(busy, "asset_id").groupBy(F.col("asset").alias("ticker")).agg(F.max_by("issuer", F.struct("candles", "issuer")).alias("issuer"), F.max("candles").alias("candles"))
 
 
 def venue_coverage(c1d: DataFrame) -> DataFrame:
@@ -163,12 +183,19 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return rows.where(F.col("__c") * 2 >= F.col("__t")).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
-def par_check(c1d: DataFrame, asset: str = "XLM") -> DataFrame:
-    """Per dollar token: days, volume, and how far its XLM price is from the day's weighted median over all of them."""
+def par_check(c1d: DataFrame, asset: str = "XLM", external: DataFrame | None = None) -> DataFrame:
+    """Per dollar token: days, volume, and how far its XLM price is from the day's weighted median over all of them.
+
+    With an external series (quote, day, rate): on how many days there is one, and how far from it the token's value
+    lies that its own market implies.
+    """
     rows = c1d.where((F.col("asset") == asset) & (F.col("close") >= PRICE_FLOOR)).groupBy("quote", "ts").agg(F.max_by("close", F.struct("volume_base", "source")).alias("close"), F.sum("volume_base").cast("double").alias("volume"))
-    mid = weighted_median(rows, ["ts"], "close", "volume")
-    off = F.abs(F.col("close") / F.col("weighted_median") - 1)
-    return rows.join(mid, "ts").groupBy("quote").agg(F.count("*").alias("days"), F.sum("volume").alias("volume"), F.percentile(off, 0.5).alias("median_off"))
+    rows = rows.join(weighted_median(rows, ["ts"], "close", "volume"), "ts").withColumn("off", F.abs(F.col("close") / F.col("weighted_median") - 1))
+    sums = [F.count("*").alias("days"), F.sum("volume").alias("volume"), F.percentile("off", 0.5).alias("median_off")]
+    if external is not None:
+        rows = rows.withColumn("day", F.to_date("ts")).join(external.where("rate > 0").select("quote", "day", "rate"), ["quote", "day"], "left")
+        sums += [F.count("rate").alias("external_days"), F.percentile(F.abs(F.col("weighted_median") / F.col("close") / F.col("rate") - 1), 0.5).alias("median_off_external")]
+    return rows.groupBy("quote").agg(*sums)
 
 
 def interval_uptime(requests: DataFrame, seconds: int = 300) -> DataFrame:

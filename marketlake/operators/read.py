@@ -131,10 +131,21 @@ def dollar_legs(candles: DataFrame, dollar: DataFrame, off_peg: list[str] | None
     return candles.withColumn("d", other).join(good, "d", "left_semi").select(candles.columns)
 
 
-def list_assets(snapshot: DataFrame, assets: DataFrame, kind: str | None = None, prefix: str = "", sort: str = "volume_24h_usd") -> DataFrame:
-    rows = assets.join(snapshot, "asset", "left").where(F.lower("asset").startswith(prefix.lower()))
+def list_assets(snapshot: DataFrame, assets: DataFrame, kind: str | None = None, prefix: str = "", sort: str = "volume_24h_usd", descending: bool = True, limit: int | None = None, metadata: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Priced assets with their metadata (asset, home_domain) and, for contracts without a code, their symbol (contract, symbol).
+
+    By a number of the snapshot, or by `code`, and then by identity, in one direction; `sort_value` is null for a sort
+    by code and `sort_text` for the others.
+    """
+    rows = assets.join(snapshot, "asset").where(F.lower("asset").startswith(prefix.lower()))
     rows = rows if kind is None else rows.where(F.col("kind") == kind)
-    return rows.withColumn("sort_value", F.coalesce(F.col(sort).cast("double"), F.lit(0.0)) if sort != "asset" else F.col("asset"))
+    rows = rows.join(metadata.select("asset", "home_domain"), "asset", "left") if metadata is not None else rows.withColumn("home_domain", F.lit(None).cast("string"))
+    rows = rows.join(symbols.select("contract", "symbol"), "contract", "left") if symbols is not None else rows.withColumn("symbol", F.lit(None).cast("string"))
+    rows = rows.withColumn("code", F.when(F.col("kind") == "contract", F.coalesce("symbol", "asset")).otherwise(F.col("asset")))
+    by_code = sort == "code"
+    rows = rows.withColumns({"sort_value": F.lit(None).cast("double") if by_code else F.coalesce(F.col(sort).cast("double"), F.lit(0.0)), "sort_text": F.col("code") if by_code else F.lit(None).cast("string")})
+    order = [F.desc(c) if descending else F.asc(c) for c in ("sort_text" if by_code else "sort_value", "asset")]
+    return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def page_after(df: DataFrame, sort: str, key: str, value: object, last: object, n: int) -> DataFrame:

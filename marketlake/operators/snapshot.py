@@ -163,9 +163,31 @@ def current_prices(c1m: DataFrame, c1h: DataFrame, supply: DataFrame, usd_rate:
 
 
 def recompute_snapshot(c1m: DataFrame, snapshot: DataFrame, as_of: Column, tolerance: float = 1e-9) -> DataFrame:
-    """Is each price one of the closes at the latest priced time, whichever of those that tie was taken?"""
-    rows = _recent(c1m, as_of).where("close_usd > 0")
+    """A verdict for each field of each asset, from the candles of the day.
+
+    Where closes tie at a venue's latest time, whichever was taken is right: a price must be one of those at the
+    asset's latest time, and the average lie between those of the lowest and the highest ties of its venues.
+    Venues are those that the guards and the mask leave, by name.
+    """
+    day = _recent(c1m, as_of)
+    rows = day.where("close_usd > 0")
     last = rows.groupBy("asset").agg(F.max("ts").alias("ts"))
     ties = rows.join(last, ["asset", "ts"]).groupBy("asset").agg(F.collect_set("close_usd").alias("ties"))
-    near = F.exists("ties", lambda x: F.abs(x - F.col("price_usd")) <= tolerance * F.abs(x))
-    return snapshot.join(ties, "asset", "left").select("asset", "price_usd", F.when(F.col("ties").isNull(), "no candle").when(near, "match").otherwise("mismatch").alias("verdict"))
+    at_venue = rows.groupBy("asset", "source").agg(F.max("ts").alias("ts"))
+    range_ = rows.join(at_venue, ["asset", "source", "ts"]).groupBy("asset", "source").agg(F.min("close_usd").alias("low"), F.max("close_usd").alias("high"))
+    kept = consensus(per_venue(c1m, as_of)).join(range_, ["asset", "source"])
+    mean = lambda c: ratio(F.sum(F.col(c) * F.col("volume")), F.sum("volume"))
+    venues = kept.groupBy("asset").agg(mean("low").alias("vwap_low"), mean("high").alias("vwap_high"), F.array_sort(F.collect_list("source")).alias("names"))
+    found = snapshot.join(ties, "asset", "left").join(venues, "asset", "left").join(volume_both_legs(c1m, as_of).withColumnRenamed("volume_24h_usd", "volume"), "asset", "left")
+    near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1e-12))
+    verdict = lambda known, good: F.when(~known, "no candle").when(good, "match").otherwise("mismatch")
+    slack = tolerance * F.abs(F.col("vwap_high"))
+    listed = F.array_sort(F.map_keys(F.from_json("sources", "map<string,string>")))
+    return found.select(
+        "asset",
+        "price_usd",
+        verdict(F.col("ties").isNotNull(), F.exists("ties", lambda x: near(F.col("price_usd"), x))).alias("price_verdict"),
+        verdict(F.col("volume").isNotNull(), near(F.col("volume_24h_usd"), F.col("volume"))).alias("volume_verdict"),
+        verdict(F.col("names").isNotNull(), listed == F.col("names")).alias("venues_verdict"),
+        verdict(F.col("names").isNotNull(), F.col("vwap_24h").between(F.col("vwap_low") - slack, F.col("vwap_high") + slack)).alias("vwap_verdict"),
+    )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.functions.prices import price_survives, rounding_bound
+from marketlake.functions.prices import STORED, STORED_CEILING, price_survives, rounding_bound
 from marketlake.functions.timebucket import window_lower
 from marketlake.operators import candles, enrich, events, fills, jobs, quality, read, series, snapshot
 from marketlake.operators.asof import asof
@@ -235,7 +235,7 @@ def _(t: Tables) -> DataFrame:
     return fills.collapse_wrapped(_wrapped(t), t.assets).groupBy("sold", "bought").agg(F.count("*").alias("trades"))
 
 
-@query("f7_split_unproven", f"select 'kept' as what, sold, bought, count(*) as n from (select * from ({_WRAPPED}) where sold not in ('BBB') and bought not in ('BBB')) group by all union all select 'skipped', 'BBB', null, 1")
+@query("f7_split_unproven", f"select 'kept' as what, sold, bought, count(*) as n from (select * from ({_WRAPPED}) where sold not in ('BBB') and bought not in ('BBB')) group by all union all select 'skipped', contract, null, 1 from (values ('CAAA'), ('BBB'), ('CNONE')) f(contract) where contract not in (select contract from assets where contract <> '') and contract in (select sold from ({_WRAPPED}) union select bought from ({_WRAPPED}))")
 def _(t: Tables) -> DataFrame:
     flagged = t.spark.createDataFrame([("CAAA",), ("BBB",), ("CNONE",)], "contract string")
     good, skipped = fills.split_unproven(_wrapped(t), flagged, t.assets)
@@ -271,9 +271,11 @@ def _(t: Tables) -> DataFrame:
     return t.fills.groupBy("source", "offer_priced", "price_forming").agg(F.count("*").alias("n"))
 
 
-@query("f13_asset_id", "select count(*) as assets, count(*) as ids, 0 as sentinels from assets")
+@query("f13_asset_id", "select count(*) as assets, count(distinct asset || ':' || issuer || ':' || contract) as ids, cast(sum((trim(replace(asset || issuer || contract, ':', '')) = '')::int) as bigint) as sentinels from (select * from assets union all select '', kind, '', '' from assets where asset in ('XLM', 'P3') union all select asset, kind, issuer, contract from assets where asset < 'B')")
 def _(t: Tables) -> DataFrame:
-    a = t.assets.withColumn("id", fills.asset_id(F.col("asset"), F.col("issuer"), F.col("contract")))
+    """The registry, two blank identities, and some that stand twice."""
+    blank = t.assets.where("asset in ('XLM', 'P3')").withColumns({c: F.lit("") for c in ("asset", "issuer", "contract")})
+    a = t.assets.unionByName(blank).unionByName(t.assets.where("asset < 'B'")).withColumn("id", fills.asset_id(F.col("asset"), F.col("issuer"), F.col("contract")))
     return a.agg(F.count("*").alias("assets"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id") == 0).alias("sentinels"))
 
 
@@ -422,9 +424,21 @@ def _(t: Tables) -> DataFrame:
     return t.c1m.select("asset", "quote", "source", "ts", "version")
 
 
-@query("c5_clamped", "select clamped, count(*) as candles from (select false as clamped from c1m) group by all")
+_HUGE = "case when ledger % 2 = 0 and source = 'sdex' then 1e20 else 1 end"
+
+
+@query(
+    "c5_clamped",
+    f"""select source, cast(sum((vb > 1e24 or vq > 1e24 or pv > 1e24)::int) as bigint) as clamped, count(*) as candles, cast(sum((vb > 1e24)::int) as bigint) as full_base from (
+  select source, sum(cast(volume_base as double) * k) as vb, sum(cast(volume_quote as double) * k) as vq, coalesce(sum(price * cast(volume_base as double) * k) filter (price_forming), 0) as pv from (select *, {_HUGE} as k from fills)
+  group by base, quote, source, time_bucket(interval 1 minute, closed_at)) group by source""",
+)
 def _(t: Tables) -> DataFrame:
-    return candles.candles_1m(t.fills).groupBy("clamped").agg(F.count("*").alias("candles"))
+    """Half of the order-book fills have volumes of which a few fill the stored type."""
+    k = F.when((F.col("ledger") % 2 == 0) & (F.col("source") == "sdex"), 1e20).otherwise(1.0)
+    huge = t.fills.withColumns({c: F.coalesce((F.col(c).cast("double") * k).try_cast(STORED), F.lit(STORED_CEILING).cast(STORED)) for c in ("volume_base", "volume_quote")})
+    full = F.col("volume_base") >= F.lit(STORED_CEILING).cast(STORED)
+    return candles.candles_1m(huge).groupBy("source").agg(F.count_if("clamped").alias("clamped"), F.count("*").alias("candles"), F.count_if(full).alias("full_base"))
 
 
 def _rolled(grain: str) -> None:
@@ -565,9 +579,22 @@ def _(t: Tables) -> DataFrame:
     return enrich.reset_usd(t.p1m, "USDC", lo, hi, days=[enrich.external_rates(t.usd_rate)]).select("asset", "quote", "source", "ts", "version", "close_usd")
 
 
-@query("e9_reset_admissible", "select true as not_empty, (select min(r) from refs) <= timestamp '2024-01-01 12:00' as reference_known, false as no_oracle_shadow, true as rates_loaded, true as days_covered")
+_WINDOWS = (("2024-01-01 12:00", "2024-01-02"), ("2023-01-01", "2023-02-01"), ("2024-01-02", "2024-03-01"))
+
+
+@query(
+    "e9_reset_admissible",
+    " union all ".join(
+        f"""select '{lo}' as lo, (select count(*) from c1m where ts >= l and ts < h) > 0 as not_empty, coalesce((select min(r) from refs) <= l, false) as reference_known, not exists (select 1 from usd_rate where method = 'oracle' and ts >= l and ts < h) as no_oracle_shadow,
+  exists (select 1 from usd_rate where method = 'external' and ts >= l and ts < h) as rates_loaded, (select count(distinct cast(ts as date)) from usd_rate where method = 'external' and ts >= l and ts < h) >= (select count(distinct cast(ts as date)) from c1m where ts >= l and ts < h) as days_covered from (select timestamp '{lo}' as l, timestamp '{hi}' as h)"""
+        for lo, hi in _WINDOWS
+    ),
+)
 def _(t: Tables) -> DataFrame:
-    return enrich.reset_admissible(t.c1m, enrich.reference(t.c1m), t.usd_rate, F.lit("2024-01-01 12:00").cast("timestamp"), F.lit("2024-01-02").cast("timestamp"))
+    """A window with all that is needed, one before all data, and one that outlasts them."""
+    at = lambda x: F.lit(x).cast("timestamp")
+    one = lambda lo, hi: enrich.reset_admissible(t.c1m, enrich.reference(t.c1m), t.usd_rate, at(lo), at(hi)).select(F.lit(lo).alias("lo"), "*")
+    return reduce(DataFrame.unionByName, [one(*w) for w in _WINDOWS])
 
 
 @query("e10_remaining", "select count(*) filter (z) as total, count(*) filter (z and ts >= (select t from now) - interval 14400 seconds) as recent from (select *, (volume_quote_usd = 0 or (close_usd = 0 and close > 0)) and volume_quote > 0 as z from p1m)")
@@ -692,9 +719,32 @@ def _(t: Tables) -> DataFrame:
     return current(t).select("asset", F.round("price_usd", 8).alias("price_usd"), "method", "price_status", "as_of", F.round("vwap_24h", 6).alias("vwap_24h"), F.round("market_cap", 0).alias("market_cap"))
 
 
-@query("p17_recompute_snapshot", "select asset, case when asset = 'USDC' then 'no candle' when price_usd > 0 then 'match' else 'no candle' end as verdict from all_tips")
+def changed(snapshot_: DataFrame) -> DataFrame:
+    """A snapshot with a wrong price, volume, venue and average, each at another asset."""
+    is_ = lambda a: F.col("asset") == a
+    return snapshot_.withColumns(
+        {
+            "price_usd": F.when(is_("AAA"), F.col("price_usd") * 1.001).otherwise(F.col("price_usd")),
+            "volume_24h_usd": F.when(is_("BBB"), F.col("volume_24h_usd") * 1.001).otherwise(F.col("volume_24h_usd")),
+            "sources": F.when(is_("CCC"), F.lit('{"sdex":"1","other":"2"}')).otherwise(F.col("sources")),
+            "vwap_24h": F.when(is_("XLM"), F.col("vwap_24h") * 2).otherwise(F.col("vwap_24h")),
+        }
+    )
+
+
+@query(
+    "p17_recompute_snapshot",
+    """with legs as (select distinct asset from (select asset, ts from p1m union all select quote, ts from p1m) where ts > (select t from now) - interval 24 hours and ts <= (select t from now)), m as (select asset, count(*) as n from masked group by 1),
+w as (select asset, sum(price * volume) / nullif(sum(volume), 0) as w from masked group by 1)
+select a.asset, case when price_usd > 0 and method = 'traded' then case when a.asset = 'AAA' then 'mismatch' else 'match' end else 'no candle' end as price_verdict, case when a.asset in (select asset from legs) then case when a.asset = 'BBB' then 'mismatch' else 'match' end else 'no candle' end as volume_verdict,
+  case when n is null then 'no candle' when a.asset = 'CCC' then 'mismatch' else 'match' end as venues_verdict, case when n is null then 'no candle' when a.asset = 'XLM' and w > 0 then 'mismatch' else 'match' end as vwap_verdict
+from all_tips a left join m using (asset) left join w using (asset)""",
+)
 def _(t: Tables) -> DataFrame:
-    return snapshot.recompute_snapshot(t.p1m, current(t), t.as_of).select("asset", "verdict")
+    as_of = t.as_of
+    p1m = stored(enrich.enrich(snapshot.needed(t.c1m, as_of), t.oracle, t.usd_rate))
+    made = snapshot.current_prices(p1m, candles.rollup(candles.rollup(p1m, "15m"), "1h"), t.supply, t.usd_rate, as_of)
+    return snapshot.recompute_snapshot(p1m, changed(made), as_of).drop("price_usd")
 
 
 # Series.
@@ -845,12 +895,22 @@ def _(t: Tables) -> DataFrame:
     return round_shown(read.ohlcv_quote(t.c("1h").where("asset = 'AAA'"), "USDC", 24), "asset", "ts", "close")
 
 
-_LISTED = "select asset, kind, coalesce(price_usd, 0) as sort_value from assets left join all_tips using (asset)"
+_META = "select asset, lower(asset) || '.example' as home_domain from assets where asset not in ('BBB')"
+_LISTED = f"select a.asset, kind, case when kind = 'contract' then coalesce(symbol, a.asset) else a.asset end as code, home_domain, coalesce(price_usd, 0) as sort_value from all_tips t join assets a on a.asset = t.asset left join ({_META}) m on m.asset = a.asset left join (select 'CZZZ' as contract, 'ZED' as symbol) s on s.contract = a.contract"
 
 
-@query("q12_list_assets", f"select asset, kind, round(sort_value, 8) as sort_value from ({_LISTED}) where kind = 'credit'")
+def _meta(t: Tables) -> dict[str, DataFrame]:
+    return {"metadata": t.assets.where("asset <> 'BBB'").select("asset", F.concat(F.lower("asset"), F.lit(".example")).alias("home_domain")), "symbols": t.spark.createDataFrame([("CZZZ", "ZED")], "contract string, symbol string")}
+
+
+@query("q12_list_assets", f"select asset, kind, code, home_domain, round(sort_value, 8) as sort_value from ({_LISTED}) order by round(sort_value, 12) desc, asset desc limit 3")
 def _(t: Tables) -> DataFrame:
-    return read.list_assets(current(t), t.assets, kind="credit", sort="price_usd").select("asset", "kind", F.round("sort_value", 8).alias("sort_value"))
+    return read.list_assets(current(t), t.assets, sort="price_usd", limit=3, **_meta(t)).select("asset", "kind", "code", "home_domain", F.round("sort_value", 8).alias("sort_value"))
+
+
+@query("q12_list_by_code", f"select asset, kind, code, home_domain from ({_LISTED}) where kind = 'credit' order by code, asset limit 2")
+def _(t: Tables) -> DataFrame:
+    return read.list_assets(current(t), t.assets, kind="credit", sort="code", descending=False, limit=2, **_meta(t)).select("asset", "kind", "code", "home_domain")
 
 
 @query("q13_page_after", "select c_custkey, round(c_acctbal, 2) as bal, true as has_more from customer where (c_acctbal, c_custkey) < (5000.0, 50) order by c_acctbal desc, c_custkey desc limit 20")
@@ -887,9 +947,13 @@ def _(t: Tables) -> DataFrame:
 # Data quality.
 
 
-@query("d1_tier_lag", "select '1m' as tier, epoch((select t from now)) - epoch(max(ts)) as lag_seconds from c1m union all select '1h', epoch((select t from now)) - epoch(max(ts)) from c1h union all select 'none', 1000000000")
+@query("d1_tier_lag", "select tier, cast(lag as bigint) as lag_seconds from (select '1m' as tier, epoch((select t from now)) - epoch(max(ts)) as lag from c1m union all select '15m', 1000000000 where exists (select 1 from c1h) union all select '1h', epoch((select t from now)) - epoch(max(ts)) from c1h union all select 'snapshot', epoch((select t from now)) - epoch(max(price_ts)) from all_tips)")
 def _(t: Tables) -> DataFrame:
-    return quality.tier_lag({"1m": t.c1m, "1h": t.c("1h"), "none": t.c1m.where("false")}, t.as_of)
+    """The quarters are empty, which the hours show to be wrong; the days are too, which nothing does."""
+    none = t.c1m.where("false")
+    tips = snapshot.rate_tip(snapshot.tip(t.p1m, t.as_of), t.usd_rate, t.as_of)
+    lag = quality.tier_lag({"1m": t.c1m, "15m": none, "1h": t.c("1h"), "1d": none}, t.as_of)
+    return lag.unionByName(quality.snapshot_lag(tips, "price_ts", t.as_of))
 
 
 @query("d3_ohlc_band", "select tier, count(*) as scanned, count(*) filter (pf and low > least(open, close)) as low_above, count(*) filter (pf and high < greatest(open, close)) as high_below, count(*) filter (pf and low > high) as crossed, count(*) filter (pf and (open <= 0 or close <= 0)) as not_positive from (select '1m' as tier, *, pf_trade_count > 0 as pf from c1m union all select '1h', *, pf_trade_count > 0 from c1h) group by tier")
@@ -912,9 +976,25 @@ def _(t: Tables) -> DataFrame:
     return quality.guarded(quality.peg_applied(t.p1m, "XLM"))
 
 
-@query("d7_guarded", "select 0 as scanned, 0 as pegged, 'refused: nothing scanned' as status")
+_TWINS = "select asset, issuer, contract from assets union all select 'USDT', 'GOTHER', '' union all select 'AAA', 'GOTHER', ''"
+
+
+def _twins(t: Tables) -> DataFrame:
+    """The registry and other issuers of two of its codes."""
+    more = t.spark.createDataFrame([("USDT", "GOTHER", ""), ("AAA", "GOTHER", "")], "asset string, issuer string, contract string")
+    return t.assets.select("asset", "issuer", "contract").unionByName(more).withColumn("asset_id", F.concat_ws(":", "asset", "issuer"))
+
+
+@query(
+    "d7_guarded",
+    f"""with legs as (select asset as quote, count(*) as resolved from ({_TWINS}) where asset in ('USDC', 'USDT', 'XLM', 'ZZZ') group by 1 union all select 'NONE', 0),
+seen as (select quote, count(*) as scanned, count(*) filter (abs(close_usd / nullif(close, 0) - 1) < 0.02) as pegged from p1m where close_usd > 0 group by 1)
+select quote, resolved, coalesce(scanned, 0) as scanned, coalesce(pegged, 0) as pegged, case when resolved <> 1 then 'refused: leg is not one identity' when coalesce(scanned, 0) > 0 then 'ok' else 'refused: nothing scanned' end as status from legs left join seen using (quote)""",
+)
 def _(t: Tables) -> DataFrame:
-    return quality.guarded(quality.peg_applied(t.p1m, "NONE"))
+    legs = _twins(t).where("asset in ('USDC', 'USDT', 'XLM', 'ZZZ')").groupBy(F.col("asset").alias("quote")).agg(F.count("*").alias("resolved"))
+    legs = legs.unionByName(t.spark.createDataFrame([("NONE", 0)], "quote string, resolved long"))
+    return quality.guarded(quality.peg_applied_to(t.p1m, legs), resolved="resolved")
 
 
 @query("d8_id_collisions", "select count(*) - count(distinct c_nationkey) as collisions from customer")
@@ -953,10 +1033,15 @@ def _(t: Tables) -> DataFrame:
     return events.unregistered_emitters(t.events, t.pools, 100)
 
 
-@query("d16_overclaim", "select 'sdex' as \"group\", 'overclaimed' as status union all select 'contracts', 'ok' union all select 'more', 'no candle'")
+@query("d16_overclaim", """with first as (select case source when 'sdex' then 'sdex' else 'contracts' end as g, min(ts) as f from c1h where source <> 'soroswap' group by 1), said as (select * from (values ('sdex', timestamp '2020-01-01'), ('more', timestamp '2024-01-01')) c(g, claimed))
+select coalesce(c.g, f.g) as "group", case when claimed is null then 'no claim' when f is null then 'no candle' when claimed < f then 'overclaimed' else 'ok' end as status from said c full join first f on c.g = f.g union all
+select 'late ' || g, case when f + interval 1 day < f then 'overclaimed' else 'ok' end from first""")
 def _(t: Tables) -> DataFrame:
-    claims = t.spark.createDataFrame([("sdex", "2020-01-01"), ("contracts", "2024-06-01"), ("more", "2024-01-01")], "group string, d string").select("group", F.col("d").cast("timestamp").alias("claimed"))
-    return quality.overclaim(t.c("1h"), claims).select("group", "status")
+    hours = t.c("1h").where("source <> 'soroswap'")
+    claims = t.spark.createDataFrame([("sdex", "2020-01-01"), ("more", "2024-01-01")], "group string, d string").select("group", F.col("d").cast("timestamp").alias("claimed"))
+    late = hours.groupBy(F.when(F.col("source") == "sdex", "sdex").otherwise("contracts").alias("group")).agg((F.min("ts") + F.expr("interval 1 day")).alias("claimed"))
+    later = quality.overclaim(hours, late).select(F.concat(F.lit("late "), F.col("group")).alias("group"), "status")
+    return quality.overclaim(hours, claims).select("group", "status").unionByName(later)
 
 
 @query("d18_largest_gap", "select asset, source, max(g) as gap_minutes from (select asset, source, (epoch(ts) - epoch(lag(ts, 1, ts) over (partition by asset, source order by ts))) / 60 as g from (select distinct asset, source, ts from c1m)) group by all")
@@ -964,9 +1049,13 @@ def _(t: Tables) -> DataFrame:
     return quality.largest_gap(t.c1m)
 
 
-@query("d19_canonical_ticker", "select a.asset as ticker, a.issuer, count(*) as candles from assets a join c1m c on a.asset = c.asset group by all")
+@query("d19_canonical_ticker", f"""with busy as (select asset || ':' || coalesce(case when asset in ('AAA', 'USDT') and source <> 'sdex' then 'GOTHER' end, issuer) as id, count(*) as n from c1m join assets using (asset) group by 1)
+select asset as ticker, arg_max(issuer, (n, issuer)) as issuer, max(n) as candles from ({_TWINS}) join busy on id = asset || ':' || issuer group by 1""")
 def _(t: Tables) -> DataFrame:
-    return quality.canonical_ticker(t.c1m, t.assets)
+    """Of two codes the candles off the order book are another issuer's."""
+    own = t.c1m.join(t.assets.select("asset", "issuer"), "asset")
+    other = F.col("asset").isin("AAA", "USDT") & (F.col("source") != "sdex")
+    return quality.canonical_ticker(own.withColumn("asset_id", F.concat_ws(":", "asset", F.when(other, "GOTHER").otherwise(F.col("issuer")))), _twins(t))
 
 
 @query("d20_venue_coverage", "select source, count(*) as candles, count(distinct asset) as assets, min(ts) as earliest, max(ts) as latest, date_diff('day', min(ts), max(ts)) + 1 as days from c1d group by source")
@@ -1043,11 +1132,13 @@ def _(t: Tables) -> DataFrame:
 @query(
     "d29_par_check",
     """with r as (select quote, ts, arg_max(close, (volume_base, source)) as close, cast(sum(volume_base) as double) as volume from c1d where asset = 'XLM' and close >= 1e-12 group by all),
-w as (select *, sum(volume) over (partition by ts order by close, volume) as c, sum(volume) over (partition by ts) as t from r where volume > 0), m as (select ts, min(close) as mid from w where c * 2 >= t group by 1)
-select quote, count(*) as days, round(sum(volume), 2) as volume, round(quantile_cont(abs(close / mid - 1), 0.5), 6) as median_off from r join m using (ts) group by quote""",
+w as (select *, sum(volume) over (partition by ts order by close, volume) as c, sum(volume) over (partition by ts) as t from r where volume > 0), m as (select ts, min(close) as mid from w where c * 2 >= t group by 1),
+x as (select asset as quote, cast(ts as date) as day, arg_max(rate, ts) as rate from usd_rate where method = 'external' and rate > 0 group by all)
+select r.quote, count(*) as days, round(sum(volume), 2) as volume, round(quantile_cont(abs(close / mid - 1), 0.5), 6) as median_off, count(rate) as external_days, round(quantile_cont(abs(mid / close / rate - 1), 0.5), 6) as median_off_external from r join m using (ts) left join x on x.quote = r.quote and x.day = cast(r.ts as date) group by r.quote""",
 )
 def _(t: Tables) -> DataFrame:
-    return quality.par_check(t.c("1d")).select("quote", "days", F.round("volume", 2).alias("volume"), F.round("median_off", 6).alias("median_off"))
+    external = t.usd_rate.where("method = 'external'").groupBy(F.col("asset").alias("quote"), F.to_date("ts").alias("day")).agg(F.max_by("rate", "ts").alias("rate"))
+    return quality.par_check(t.c("1d"), external=external).select("quote", "days", F.round("volume", 2).alias("volume"), F.round("median_off", 6).alias("median_off"), "external_days", F.round("median_off_external", 6).alias("median_off_external"))
 
 
 @query(
@@ -1084,6 +1175,14 @@ def _(t: Tables) -> DataFrame:
     return jobs.symbol_queue(s.select("contract"), tried, 15)
 
 
+@query("k2_merge_answers", "select contract, case when s_suppkey % 3 = 0 then 'S' || s_suppkey end as symbol, case when s_suppkey % 3 = 0 then 0 when s_suppkey % 3 = 1 then s_nationkey % 5 + 1 else s_nationkey % 5 end as attempts from (select *, 'C' || s_suppkey as contract from supplier) where s_suppkey % 4 > 0")
+def _(t: Tables) -> DataFrame:
+    s = market.table(t.spark, t.sf_dir, "supplier").withColumn("contract", F.concat(F.lit("C"), F.col("s_suppkey").cast("string")))
+    kind = F.col("s_suppkey") % 3
+    answers = s.where("s_suppkey % 4 > 0").select("contract", F.when(kind == 0, "resolved").when(kind == 1, "negative").otherwise("failed").alias("outcome"), F.when(kind == 0, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias("symbol"))
+    return jobs.merge_answers(s.select("contract", (F.col("s_nationkey") % 5).alias("attempts")), answers)
+
+
 @query("k4_supply_total", "select s_suppkey as asset, round(abs(s_acctbal), 2) + 1.5 as supply from supplier where s_suppkey % 5 > 0")
 def _(t: Tables) -> DataFrame:
     s = market.table(t.spark, t.sf_dir, "supplier")
@@ -1103,9 +1202,16 @@ def _(t: Tables) -> DataFrame:
     return _mapping(t)
 
 
-@query("k6_id_map_gates", "select 0 as blank_ids, 2 as collisions, 0 as repeated_copies")
+_COPIES = "select * from m union all select '', 'blank', 'mapped' union all select old_id || '2', new_id, state from m where state = 'mapped' and old_id < 'P1'"
+
+
+@query("k6_id_map_gates", f"with m as ({_MAP}) select count(*) filter (old_id = '') as blank_ids, count(*) filter (state = 'colliding') as collisions, count(*) filter (state = 'mapped') - count(distinct new_id) filter (state = 'mapped') as repeated_copies from ({_COPIES})")
 def _(t: Tables) -> DataFrame:
-    return jobs.id_map_gates(_mapping(t))
+    """A mapping with a blank id, and ids that were copied twice."""
+    m = _mapping(t)
+    blank = t.spark.createDataFrame([("", "blank", "mapped")], "old_id string, new_id string, state string")
+    twice = m.where("state = 'mapped' and old_id < 'P1'").withColumn("old_id", F.concat("old_id", F.lit("2")))
+    return jobs.id_map_gates(m.unionByName(blank).unionByName(twice))
 
 
 @query("k7_rewrite_ids", "select lower(asset) as asset, lower(quote) as quote, source, ts, version from c1m where asset = 'XLM'")
@@ -1118,7 +1224,12 @@ def _(t: Tables) -> DataFrame:
     return jobs.classify_counts(t.c1m, _mapping(t))
 
 
-@query("k9_post_checks", "select true as assets_unique, true as one_row_per_key")
-def _(t: Tables) -> DataFrame:
-    return jobs.post_checks(t.assets, t.c1m, candles.KEYS)
+_UNIQUE = "select '{}' as what, (select count(*) = count(distinct asset) from ({})) as assets_unique, (select coalesce(max(n) <= 1, true) from (select count(*) as n from ({}) group by asset, quote, source, ts)) as one_row_per_key"
 
+
+@query("k9_post_checks", _UNIQUE.format("whole", "select asset from assets", "select * from c1m") + " union all " + _UNIQUE.format("twice", "select asset from assets union all select asset from assets where asset < 'B'", "select asset, quote, source, ts from c1m union all select asset, quote, source, ts from c1m where source = 'sdex'"))
+def _(t: Tables) -> DataFrame:
+    """The tables, and the tables with rows that stand twice."""
+    c, a = t.c1m.select(*candles.KEYS), t.assets
+    twice = jobs.post_checks(a.unionByName(a.where("asset < 'B'")), c.unionByName(c.where("source = 'sdex'")), candles.KEYS)
+    return jobs.post_checks(a, c, candles.KEYS).select(F.lit("whole").alias("what"), "*").unionByName(twice.select(F.lit("twice").alias("what"), "*"))

@@ -29,10 +29,19 @@ def dedup_samples(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(df.columns)
 
 
-def write_candles(df: DataFrame, path: str) -> None:
-    """By month of `ts`; months that are in the data replace those on disk, others stay."""
+def write_candles(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """By month of `ts`; months that are in the data replace those on disk, others stay.
+
+    Each month is dealt to as many tasks as its rows ask for.
+    """
     rows = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    rows.repartition("month", F.pmod(F.xxhash64("asset"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    sizes = {r["month"]: r["count"] for r in rows.groupBy("month").count().collect()}  # a row for each month
+    files = {m: n // rows_per_file + 1 for m, n in sizes.items()}
+    if not files:
+        return
+    number = F.create_map(*[F.lit(x) for kv in files.items() for x in kv])
+    part = F.pmod(F.xxhash64("asset", "quote", "source", "ts"), F.element_at(number, F.col("month")))
+    rows.repartition(sum(files.values()), "month", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def expire(df: DataFrame, interval: str, as_of: Column, ts: str = "ts") -> DataFrame:

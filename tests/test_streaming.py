@@ -74,3 +74,15 @@ def test_stream_enrich(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.ts - T).seconds: r.price for r in latest(spark.table("enriched"), ["ts"], "close").collect()}
     assert got == {0: None, 100: 0.8, 500: None, 2000: None}
+
+
+def test_fan_out_writes_every_table_of_a_batch(spark, tmp_path):
+    spark.createDataFrame([("AAA", n) for n in range(10)], "asset string, n long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("asset string, n long").parquet(f"{tmp_path}/in")
+    made = {"even": lambda b: b.where("n % 2 = 0"), "sums": lambda b: b.groupBy("asset").agg(F.sum("n").alias("n"))}
+    write = s.fan_out(made, f"{tmp_path}/out")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
+    read = lambda name: sorted(r.n for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect())
+    assert read("even") == [0, 2, 4, 6, 8] and read("sums") == [45]
+    write(spark.createDataFrame([("AAA", 4)], "asset string, n long"), 0)  # a batch that is run again replaces its own rows
+    assert read("even") == [4] and read("sums") == [4]
