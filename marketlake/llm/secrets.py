@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm.shared import held
+from marketlake.llm.words import flat, slices
 
 KINDS = ("assign", "access", "hex")
 FORMAT = "format"
@@ -54,13 +55,17 @@ ENOUGH, LEAST, EVIDENCE = 0.6, 0.25, 10.0
 PRIOR = 1000
 #: No character counts as rarer than this after another, so that one seen nowhere else does not decide alone.
 RAREST = 1 / 1024
-KNOWN = 1 << 17
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: What stands for the end of a string, and for all other characters.
 NONE = ""
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS)) + 1
 _SIZE = len(SYMBOLS) + 1
+#: The same for characters that a candidate may have.
+_INSIDE = _CODE.copy()
+_INSIDE[ord(".")] = 0
+#: Longer candidates are scored one at a time.
+_TOGETHER = 512
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -246,7 +251,7 @@ class Format:
 
     automata: list[tuple[Automaton, float]]
     plain: np.ndarray
-    known: dict[str, bool] = field(default_factory=dict)
+    _wide: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] | None = None
     _logs: list[tuple[list[dict[str, tuple[float, int]]], list[float], list[float], float]] | None = None
 
     def _tables(self) -> list[tuple[list[dict[str, tuple[float, int]]], list[float], list[float], float]]:
@@ -278,19 +283,58 @@ class Format:
             out.append((total + end[q] - plain) / len(value))
         return out
 
+    def _good(self, score: np.ndarray | float, least: float, size: np.ndarray | int) -> np.ndarray | bool:
+        return (score >= least) & (score * size >= EVIDENCE)
+
     def reported(self, value: str) -> bool:
-        """Does it score as labelled credentials of a kind do?  Answers for short values are kept, since words recur."""
-        good = self.known.get(value) if len(value) <= LONGEST else None
-        if good is None:
-            good = any(score >= max(least, EVIDENCE / len(value)) for score, (_, least) in zip(self.scores(value), self.automata, strict=True))
-            if len(value) <= LONGEST:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[value] = good
-        return good
+        """Does it score as labelled credentials of a kind do?"""
+        return any(self._good(score, least, len(value)) for score, (_, least) in zip(self.scores(value), self.automata, strict=True))
+
+    def _arrays(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+        """The tables as arrays by state and code."""
+        if self._wide is None:
+            self._wide = []
+            for to, other, end, least in self._tables():
+                log, step = np.repeat(np.array(other)[:, None], _SIZE, axis=1), np.repeat(np.arange(len(to))[:, None], _SIZE, axis=1)
+                for q, row in enumerate(to):
+                    for c, (x, t) in row.items():
+                        log[q, _CODE[ord(c)]], step[q, _CODE[ord(c)]] = x, t
+                self._wide.append((log, step, np.array(end), least))
+        return self._wide
+
+    def reported_runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates among the bytes of texts that begin at `at` and are reported: text, first and last byte."""
+        code = _INSIDE[data]
+        inside = code > 0
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        start = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
+        end = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+        size = end - start
+        rank = np.argsort(-size)
+        rank = rank[size[rank] >= SHORTEST]
+        start, end, size = start[rank], end[rank], size[rank]
+        good = np.zeros(len(start), bool)
+        far = int(np.count_nonzero(size > _TOGETHER))
+        for i in range(far):
+            good[i] = self.reported(data[start[i] : end[i]].tobytes().decode("ascii"))
+        s, n = start[far:], size[far:]
+        if len(s):
+            plain = np.r_[0.0, np.cumsum(self.plain[code[:-1], code[1:]])]
+            plain = plain[s + n - 1] - plain[s] + self.plain[0, code[s]] + self.plain[code[s + n - 1], 0]
+            live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # how many are longer than each place
+            for log, step, last, least in self._arrays():
+                q, total = np.zeros(len(s), np.int64), np.zeros(len(s))
+                for j, k in enumerate(live.tolist()):
+                    c = code[s[:k] + j]
+                    total[:k] += log[q[:k], c]
+                    q[:k] = step[q[:k], c]
+                good[far:] |= self._good((total + last[q] - plain) / n, least, n)
+        start, end = start[good], end[good]
+        return np.searchsorted(at, start, "right") - 1, start, end
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "_logs": None}
+        return self.__dict__ | {"_wide": None, "_logs": None}
 
 
 def characters(texts: list[str]) -> np.ndarray:
@@ -374,6 +418,22 @@ def learn_from(docs: DataFrame, text: str = "text", train_values: int = TRAIN_VA
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def all_spans(column: pa.Array, found: Format | None) -> list[list[tuple[int, int, int, str]]]:
+    """(start, kind, end, secret) of each text, in code points, by start, then kind."""
+    out = [base_spans(t) if t else [] for t in column.to_pylist()]
+    if found is not None:
+        data, at = flat(column)
+        text, start, end = found.reported_runs(data, at)
+        for row, a, b in sorted(zip(text.tolist(), start.tolist(), end.tolist(), strict=True)):
+            if not out[row] or out[row][0][1] == len(KINDS):
+                before = int(np.count_nonzero((data[at[row] : a] & 0xC0) != 0x80))
+                out[row].append((before, len(KINDS), before + b - a, data[a:b].tobytes().decode("ascii")))
+        for row, base in enumerate(out):
+            if base and base[0][1] < len(KINDS):  # base spans cut candidates
+                out[row] = sorted(base + format_spans(column[row].as_py(), base, found))
+    return out
+
+
 def find_secrets(docs: DataFrame, found: Format | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans) of every row: kind, start and end in code points, by start, then kind."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -381,12 +441,9 @@ def find_secrets(docs: DataFrame, found: Format | None, key: str = "doc_id", tex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(text):
-                t = value.as_py() or ""
-                base = base_spans(t)
-                out.append([{"kind": names[k], "start": a, "end": b} for a, k, b, _ in sorted(base + format_spans(t, base, shared.value))])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, _SPANS)], names=[key, "spans"])
+            for run in slices(batch, text):
+                out = [[{"kind": names[k], "start": a, "end": b} for a, k, b, _ in spans] for spans in all_spans(run.column(text), shared.value)]
+                yield pa.RecordBatch.from_arrays([run.column(key), pa.array(out, _SPANS)], names=[key, "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(search, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
@@ -400,10 +457,10 @@ def redact(docs: DataFrame, found: Format | None, text: str = "text", label: str
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.column(place).to_pylist():
+            for t, spans in zip(batch.column(place).to_pylist(), all_spans(batch.column(place), shared.value), strict=True):
                 if t:
-                    base, parts, at = base_spans(t), [], 0
-                    for a, _, b, _ in sorted(base + format_spans(t, base, shared.value)):
+                    parts, at = [], 0
+                    for a, _, b, _ in spans:
                         if a >= at:
                             parts += [t[at:a], label]
                         at = max(at, b)

@@ -1,7 +1,9 @@
 import random
 import re
 
-from marketlake.llm.secrets import SYMBOLS, Automaton, base_spans, find_secrets, learn, learn_from, redact
+import pyarrow as pa
+
+from marketlake.llm.secrets import CANDIDATE, KINDS, SYMBOLS, Automaton, all_spans, base_spans, find_secrets, learn, learn_from, redact
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), lambda m: len(m.group(2)) >= 6),
@@ -91,3 +93,27 @@ def test_long_values_teach_a_tail():
     values = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (300, 400, 40, 500) * 10]
     made = Automaton.infer(values, longest=20)
     assert len(made.step) <= 30 and sum(n[""] for n in made.count) == 40 and made.likelihood("abc" * 50) > -150 * 6.1
+
+
+def test_scoring_many_at_once_equals_one_at_a_time():
+    r = random.Random(12)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    key = lambda: draw("0123456789abcdef", r.choice((16, 20)))
+    found = learn({"assign": [key() for _ in range(80)], "access": [], "hex": ["k-" + draw("xyz0123456789", 12) for _ in range(80)]}, ["words of all kinds, and 12 numbers 2024"] * 50)
+    bits = [key, lambda: "k-" + draw("xyz0123456789", 12), lambda: "é.", lambda: " ", lambda: "\n", lambda: "words", lambda: "pass", lambda: "token=" + key(), lambda: "x" * 700, lambda: key() * 40]
+    texts = [None, "", *["".join(r.choice(bits)() for _ in range(r.randrange(1, 9))) for _ in range(400)]]
+    got = all_spans(pa.array(texts), found)
+    seen = 0
+    for t, spans in zip(texts, got, strict=True):
+        base = base_spans(t or "")
+        want = list(base)
+        for m in CANDIDATE.finditer(t or ""):
+            at, cuts = m.start(), [(a, b) for a, _, b, _ in base if b > m.start() and a < m.end()]
+            for a, b in [*sorted(cuts), (m.end(), m.end())]:
+                piece = t[at : max(at, min(a, m.end()))]
+                if len(piece) >= 6 and found.reported(piece):
+                    want.append((at, len(KINDS), at + len(piece), piece))
+                at = max(at, b)
+        assert spans == sorted(want), t
+        seen += len(want) - len(base)
+    assert seen > 100
