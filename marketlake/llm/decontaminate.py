@@ -9,6 +9,9 @@ it, word by word, which narrows a range of the array; the range left after the
 last word of the window holds every verbatim occurrence.  Occurrences on one
 diagonal join to the longest verbatim match with its location.
 
+Equal windows of several items are searched once; which items they belong to is
+looked up once for each document and window.
+
 Shards are independent: documents are never shuffled, so a passage that a
 third of the corpus holds costs no more than any other.  The benchmark is a
 query set: it goes to the tasks in blocks of `block_mb`, each a pass of its own;
@@ -37,6 +40,8 @@ WINDOW = 10
 BLOCK_MB = 16
 NO_ID = "<null>"
 _BITS = 20
+#: Occurrences that are joined along their diagonals at a time, about.
+_TOGETHER = 1 << 16
 
 
 class Queries:
@@ -45,19 +50,22 @@ class Queries:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
         self.names = [name for name, _ in items]
         w = words(*flat(pa.array([text for _, text in items], pa.large_string())), LETTER_WORDS)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By length: the distinct windows, where the uses of each begin, and item and offset of each use.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         size = w.count
-        for length in np.unique(np.minimum(size[size > 0], window)).tolist():
+        for length in np.unique(np.minimum(size[size > 0], window), return_counts=True)[0].tolist():
             mine = np.flatnonzero(size >= window) if length == window else np.flatnonzero(size == length)
             number = size[mine] - length + 1
             item = np.repeat(mine, number)
             offset = np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number)
-            begin = w.first[item] + offset
-            self.by_length[length] = item, offset, w.hash[begin[:, None] + np.arange(length)]
+            test = w.hash[(w.first[item] + offset)[:, None] + np.arange(length)]
+            _, one, of = np.unique(join_hashes(test.ravel(), length)[::length], return_index=True, return_inverse=True)
+            rank = np.argsort(of, kind="stable")
+            self.by_length[length] = test[one], np.searchsorted(of[rank], np.arange(len(one) + 1)), item[rank], offset[rank]
         self.depth = max(self.by_length, default=0)
         self.one = np.zeros(1 << _BITS, dtype=bool)
         self.two = np.zeros(1 << _BITS, dtype=bool)
-        for length, (_, _, test) in self.by_length.items():
+        for length, (test, _, _, _) in self.by_length.items():
             if length == 1:
                 self.one[test[:, 0] >> np.uint64(64 - _BITS)] = True
             else:
@@ -72,13 +80,21 @@ class Queries:
         padded = np.concatenate([h, np.zeros(self.depth, np.uint64)])
         return at[np.lexsort([padded[at + d] for d in reversed(range(self.depth))])]
 
-    def occurrences(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: items, offsets in them and positions in the shard, of all verbatim occurrences."""
+    def uses(self, length: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each use of each of some windows: which of them it is, its item, and its offset there."""
+        _, first, item, offset = self.by_length[length]
+        number = first[which + 1] - first[which]
+        of = np.repeat(np.arange(len(which)), number)
+        at = first[which][of] + np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+        return of, item[at], offset[at]
+
+    def occurrences(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: windows and their positions in the shard, of all verbatim occurrences."""
         if not self.depth or not len(h):
             return
         order = self.suffixes(h)
         padded = np.concatenate([h, np.zeros(self.depth, np.uint64)])
-        for length, (item, offset, test) in self.by_length.items():
+        for length, (test, _, _, _) in self.by_length.items():
             low, high, live = np.zeros(len(test), np.int64), np.full(len(test), len(order)), np.arange(len(test))
             for d in range(length):
                 word = padded[order + d]
@@ -93,7 +109,7 @@ class Queries:
             same = at + length <= len(h)
             at, which = at[same], which[same]
             same = doc[at] == doc[at + length - 1]
-            yield length, item[which[same]], offset[which[same]], at[same]
+            yield length, which[same], at[same]
 
 
 def _bound(word: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
@@ -119,6 +135,17 @@ def _shard(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(hashes), np.concatenate(docs), np.concatenate(counts)
 
 
+def _whole_docs(at: np.ndarray, doc: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Occurrences in runs of about `size` that never cut a document."""
+    order = np.argsort(at, kind="stable")
+    last = np.flatnonzero(np.r_[doc[at[order]][1:] != doc[at[order]][:-1], True][: len(order)]) + 1
+    begin = 0
+    while begin < len(order):
+        stop = int(last[min(np.searchsorted(last, begin + size), len(last) - 1)])
+        yield order[begin:stop]
+        begin = stop
+
+
 def _search(batches: Iterator[pa.RecordBatch], queries: Queries, key: str, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -127,14 +154,19 @@ def _search(batches: Iterator[pa.RecordBatch], queries: Queries, key: str, text:
         first = np.cumsum(count) - count
         edge, longest = np.zeros(len(h) + 1, np.int64), np.zeros(batch.num_rows, np.int64)
         found = []
-        for length, item, offset, at in queries.occurrences(h, doc):
+        for length, which, at in queries.occurrences(h, doc):
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
-            found.append((doc[at], item))
-            order = np.lexsort([offset, at - offset, item])
-            i, o, p = item[order], offset[order], at[order]
-            run = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(p - o) != 0) | (np.diff(o) != 1) | (np.diff(doc[p]) != 0)][: len(p)])
-            np.maximum.at(longest, doc[p[run]], np.diff(np.r_[run, len(p)]) + length - 1)
+            pairs = np.unique(doc[at] * np.int64(len(queries.by_length[length][0])) + which, return_counts=True)[0]
+            of, item, _ = queries.uses(length, pairs % len(queries.by_length[length][0]))
+            found.append(((pairs // len(queries.by_length[length][0]))[of], item))
+            for part in _whole_docs(at, doc, _TOGETHER):
+                of, i, o = queries.uses(length, which[part])
+                p = at[part][of]
+                order = np.lexsort([o, p - o, i])
+                i, o, p = i[order], o[order], p[order]
+                run = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(p - o) != 0) | (np.diff(o) != 1) | (np.diff(doc[p]) != 0)][: len(p)])
+                np.maximum.at(longest, doc[p[run]], np.diff(np.r_[run, len(p)]) + length - 1)
         hit = np.cumsum(edge[:-1]) > 0
         ends = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
         spans: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]

@@ -74,3 +74,16 @@ def test_rows_of_one_key_stay_apart_in_blocks_and_items_without_id_hit(spark):
     want = sorted([(15, 12, 1), (1, 0, 0), (12, 12, 1), (2, 0, 0), (2, 0, 0)])
     for block in (16, 0.00005):
         assert sorted((r.n_words, r.n_hit, r.n_items) for r in report(df, bench, block_mb=block).collect()) == want
+
+
+def test_items_that_share_windows(spark):
+    """Many items with one passage, documents that hold it often: every item is named, and nothing is counted twice."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(f"i{k:03}", f"a{k} {passage} b{k} c{k}") for k in range(200)] + [("same", items_text := passage), ("same2", items_text)]
+    docs = [(1, f"x {passage} " * 50), (2, "x " + " ".join(passage.split()[:10]) + " y"), (3, " ".join(passage.split()[:9])), (4, f"q a7 {passage} b7 z")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in longest_matches(d, b).collect()}
+    every = sorted(name for name, _ in items)
+    assert got[1]["items"] == every and got[1].longest_match == 14 and sum(s.end - s.first for s in got[1].spans) == 14 * 50
+    assert got[2]["items"] == every and got[2].longest_match == 10 and got[3]["items"] == [] and got[4].longest_match == 16
