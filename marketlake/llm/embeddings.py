@@ -6,7 +6,8 @@ vector q, <code_j, q> / f_j estimates <j, q> without bias, and the error stays
 within `epsilon` * sqrt((1 - f^2) / f^2) / sqrt(dim - 1) but for a probability
 that falls with exp(-epsilon^2).  A pair is recomputed exactly, in double
 precision, only if its upper confidence bound reaches the threshold; none is
-linked on the estimate alone.
+linked on the estimate alone.  The estimate is one-sided: the code of j against the
+turned vector of q in full precision.
 
 Pairs to estimate are those that agree in one of `tables` segments of their
 codes.  The bits of a segment grow with the logarithm of the number of vectors,
@@ -17,8 +18,9 @@ blocks to many tasks.  A pair that meets in several segments is counted in the
 first.  Tasks return link counts and one link per vector, never lists of pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing; vectors of different lengths are not compared.  Rows with a null id
-are left out; rows that share an id are one vector each, counted by copies.
+nothing; vectors of different lengths are not compared.  Rows that share an id
+are one vector each, counted by copies.  Rows with a null id are vectors like any
+other; a component without any other id has a null one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ RECALL = 0.98
 EPSILON = 3.0
 BUCKET = 64
 BLOCK = 1024
+#: Pairs that are recomputed at a time.
+_SLICE = 1 << 14
 SEED = 11
 
 
@@ -139,7 +143,7 @@ def _compare(batches: Iterator[pa.RecordBatch], turn: np.ndarray, size: int, tab
             if t[a]:
                 first = ~(keys[i, : t[a]] == keys[j, : t[a]]).any(axis=1)
                 i, j = i[first], j[first]
-            exact = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
+            exact = np.concatenate([np.zeros(0, bool), *[np.einsum("nd,nd->n", x[i[k : k + _SLICE]], x[j[k : k + _SLICE]]) >= threshold for k in range(0, len(i), _SLICE)]])
             ones.append(i[exact])
             twos.append(j[exact])
         i, j = np.concatenate(ones), np.concatenate(twos)
@@ -161,17 +165,18 @@ def _compare(batches: Iterator[pa.RecordBatch], turn: np.ndarray, size: int, tab
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, epsilon: float = EPSILON, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(~bad & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("cls", F.when(usable, F.xxhash64("vector")))
-    reps = held(rows.where("cls is not null").groupBy("cls", F.size("vector").alias("dim")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
+    name = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("cls").alias("cls"))
+    reps = held(rows.where("cls is not null").groupBy("cls", F.size("vector").alias("dim")).agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     found = []
     for dim, n in sorted((r["dim"], r["count"]) for r in reps.groupBy("dim").count().collect()):
         size, tables = plan(n, dim, threshold, recall, bucket)
         held_turn = spark.sparkContext.broadcast(rotations(dim, -(-tables // (dim // size))))
         kind = reps.schema["vector"].dataType.simpleString()
-        coded = reps.where(F.col("dim") == dim).select("rep", "copies", "vector").mapInArrow(lambda b, h=held_turn, s=size, t=tables: _encode(b, h.value, s, t), f"t int, key long, rep long, copies long, code binary, factor double, vector {kind}")
+        coded = reps.where(F.col("dim") == dim).select(F.col("cls").alias("rep"), "copies", "vector").mapInArrow(lambda b, h=held_turn, s=size, t=tables: _encode(b, h.value, s, t), f"t int, key long, rep long, copies long, code binary, factor double, vector {kind}")
         large = held(coded.groupBy("t", "key").count().where(F.col("count") > block).select("t", "key", F.expr(f"cast(ceil(count / {block}) as int)").alias("chunks")))
         dealt = coded.join(large, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         dealt = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
@@ -184,11 +189,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     for more in found[1:]:
         links = links.unionByName(more)
     links = held(links.groupBy("rep", "root").agg(F.sum("links").alias("links")))
-    roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    by_class = reps.select("cls", "dim", "rep", "copies").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left")
+    # A class is named by its smallest id, so the smallest name that links reach is the component's.
+    side = lambda c: reps.select(F.col("cls").alias(c), F.col("name").alias(f"name_{c}"))
+    edges = links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    roots = components(edges, "name_a", "name_b").select(F.col("node.cls").alias("cls"), F.col("root.id").alias("root"), F.lit(True).alias("linked"))
+    sums = links.groupBy(F.col("rep").alias("cls")).agg(F.sum("links").alias("links"))
+    by_class = reps.select("cls", "dim", "name", "copies").join(sums, "cls", "left").join(roots, "cls", "left")
+    by_class = by_class.select("cls", "dim", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("linked"), F.col("root")).otherwise(F.col("name.id")).alias("least"))
     named = rows.select("id", "cls", F.size("vector").alias("dim")).join(by_class, ["cls", "dim"], "left")
-    component = F.coalesce("root", "rep", "id")
-    return named.select(F.col("id").alias(key), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least"))
+    return named.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

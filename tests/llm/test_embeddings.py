@@ -55,3 +55,10 @@ def test_estimates_are_unbiased_and_bounded():
     bound = 3 * np.sqrt(1 - factor**2) / factor / np.sqrt(63)
     assert abs(estimate.mean() - x[0] @ x[1]) < 0.01 and (np.abs(estimate - x[0] @ x[1]) <= bound).mean() > 0.99
     assert plan(10**4, 64, 0.9, 0.98)[0] < plan(10**7, 64, 0.9, 0.98)[0]
+
+
+def test_null_and_shared_ids(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, near), (3, near), (3, [1.0, 0.01, 0.1]), (None, far), (None, far), (7, None), (None, None)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (0, 1, 0, True), (0, 1, 0, True), (0, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (7, 0, 7, True)]
