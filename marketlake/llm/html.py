@@ -8,6 +8,11 @@ set of small examples that this module carries, and a bounded sample of the
 given pages whose own markup says which part is the article (`<article>` or
 `<main>`); those two elements are the label and never a feature.
 
+Words in elements that never hold an article (menus, forms, footers) are barred,
+but not by a form that wraps the page's structure, nor by an element that is
+never closed and holds most of the page's words; `head` ends where an element
+begins that cannot stand in it.
+
 In the region, blocks that score below zero (a menu or notice inside the
 article) are left out.  Character references are decoded, white space inside a
 block becomes one space, and blocks are joined by an empty line.  Nothing is
@@ -52,6 +57,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose words never belong to an article.
 NEVER = frozenset("nav footer form aside menu select button dialog head title".split())
 
+#: Elements that may stand in `head`, and those that show a form around them to wrap the page.
+HEAD = frozenset("head title meta link base script style noscript template html".split())
+STRUCTURE = frozenset("article main nav header footer h1".split())
+
 #: (markup, is it content?) of labelled examples; each part is a page's piece at top level.
 EXAMPLES = (
     ("<title>Site name</title>", 0),
@@ -88,7 +97,10 @@ class Page:
         self.contexts: list[tuple[str, ...]] = []
         self.barred: list[bool] = []
         known: dict[tuple, int] = {}
-        stack: list[tuple[str, tuple[str, ...]]] = []
+        stack: list[tuple[str, tuple[str, ...], int]] = []
+        #: Barred elements: how many words each holds, whether it was closed, and whether it wraps the page.
+        held, closed, wraps = [0], [True], [False]
+        entries: list[tuple[str, bool, tuple[tuple[str, tuple[str, ...], int], ...]]] = []
         block, leaf, links, tags, at, label = 0, "", 0, 0, 0, 0
         glue = False  # the last word may go on after an inline tag
 
@@ -98,13 +110,11 @@ class Page:
                 return
             piece = unescape(piece)
             parts = _SPACE.split(piece)
-            key = (leaf, links > 0, tuple(x for _, x in stack))
+            key = (leaf, links > 0, tuple((x, i) for _, x, i in stack))
             n = known.get(key)
             if n is None:
-                n = known[key] = len(self.contexts)
-                hints = tuple(dict.fromkeys(f for _, x in stack for f in x))
-                self.contexts.append((f"leaf:{leaf}", *(("link",) if links else ()), *hints))
-                self.barred.append(any(t in NEVER for t, _ in stack))
+                n = known[key] = len(entries)
+                entries.append((leaf, links > 0, tuple(stack)))
             for i, w in enumerate(parts):
                 if not w:
                     continue
@@ -131,6 +141,12 @@ class Page:
                 glue = False
             elif tag == "a":
                 links = 0 if closing else 1
+            if not closing and tag not in HEAD and any(t == "head" for t, _, _ in stack):
+                while stack.pop()[0] != "head":
+                    pass
+            if not closing and tag in STRUCTURE:
+                for t, _, number in stack:
+                    wraps[number] = wraps[number] or t == "form"
             if tag in BLOCKS:
                 block, glue, links = block + 1, False, 0
                 leaf = "" if closing else tag
@@ -139,58 +155,94 @@ class Page:
                     hints = [f"in:{tag}"] if tag not in LABEL and tag not in ("body", "div", "section") else []
                     for h in _HINT.finditer(m["more"] or m["more2"] or ""):
                         hints += [f"hint:{x}" for x in re.split(r"[^a-z]+", (h[1] or h[2] or h[3] or "").lower()) if x]
-                    stack.append((tag, tuple(hints)))
+                    number = 0
+                    if tag in NEVER:
+                        number = len(held)
+                        held.append(0)
+                        closed.append(False)
+                        wraps.append(False)
+                    stack.append((tag, tuple(hints), number))
                     label += tag in LABEL
-                elif any(t == tag for t, _ in stack):
+                elif any(t == tag for t, _, _ in stack):
                     while True:
-                        gone, _ = stack.pop()
+                        gone, _, number = stack.pop()
                         label -= gone in LABEL
                         if gone == tag:
+                            closed[number] = True
                             break
         text(html[at:])
+        for c in self.context:
+            for _, _, number in entries[c][2]:
+                held[number] += 1
+        free = [wraps[i] or (not closed[i] and 2 * held[i] > len(self.words)) for i in range(len(held))]
+        free[0] = False
+        for leaf_, linked, around in entries:
+            hints_ = tuple(dict.fromkeys(f for _, x, i in around if not free[i] for f in x))
+            self.contexts.append((f"leaf:{leaf_}", *(("link",) if linked else ()), *hints_))
+            self.barred.append(any(t in NEVER and not free[i] for t, _, i in around))
 
 
 Weights = dict[str, float]
 
 
-def learn(pages: list[str]) -> Weights:
-    """Log odds of each feature in content against elsewhere, from the examples and from pages that say so."""
+def page_counts(html: str) -> tuple[Counter, Counter]:
+    """Features elsewhere, and in content; each page has one vote for each side, whatever its length."""
+    page = Page(html)
+    share: tuple[Counter, Counter] = Counter(), Counter()
+    for c, inside in zip(page.context, page.inside, strict=True):
+        share[inside][c] += 1
     counts: tuple[Counter, Counter] = Counter(), Counter()
+    for side in (0, 1):
+        n = sum(share[side].values())
+        for c, k in share[side].items():
+            for f in page.contexts[c]:
+                counts[side][f] += 10 * k / n
+    return counts
+
+
+def weights_of(counts: tuple[Counter, Counter]) -> Weights:
+    """Log odds of each feature in content against elsewhere, from the examples and counts of pages."""
+    counts = Counter(counts[0]), Counter(counts[1])
     for markup, content in EXAMPLES:
         page = Page(markup)
         for c in page.context:
             for f in page.contexts[c]:
                 counts[content][f] += 10
-    for html in pages:
-        page = Page(html)
-        share: tuple[Counter, Counter] = Counter(), Counter()
-        for c, inside in zip(page.context, page.inside, strict=True):
-            share[inside][c] += 1
-        for side in (0, 1):  # each page has one vote for each side, whatever its length
-            n = sum(share[side].values())
-            for c, k in share[side].items():
-                for f in page.contexts[c]:
-                    counts[side][f] += 10 * k / n
     features = set(counts[0]) | set(counts[1])
     total = [sum(c.values()) + len(features) for c in counts]
     return {f: max(-MOST, min(MOST, log((counts[1][f] + 1) / total[1]) - log((counts[0][f] + 1) / total[0]))) for f in features}
 
 
-def extract(html: str | None, weights: Weights) -> str:
-    """The text of the best-scoring run of the page."""
-    page = Page(html or "")
-    if not page.words:
-        return ""
-    score = [LEAST if barred else max(LEAST, min(MOST, sum(weights.get(f, 0.0) for f in c))) for c, barred in zip(page.contexts, page.barred, strict=True)]
+def learn(pages: list[str]) -> Weights:
+    """Weights from the examples and from pages that say what their article is."""
+    every: tuple[Counter, Counter] = Counter(), Counter()
+    for html in pages:
+        for side, counts in enumerate(page_counts(html)):
+            every[side].update(counts)
+    return weights_of(every)
+
+
+def best_run(score: list[float], tags: list[int]) -> tuple[int, int]:
+    """The run of words with the greatest sum of scores, tags between them counted, in one pass; the first and longest."""
     best, total, start, run = 0.0, 0.0, 0, (0, 0)
-    for i, (c, tags) in enumerate(zip(page.context, page.tags_before, strict=True)):
+    for i, (x, n) in enumerate(zip(score, tags, strict=True)):
         if total > 0:
-            total += TAG_SCORE * tags
+            total += TAG_SCORE * n
         if total <= 0:
             total, start = 0.0, i
-        total += score[c]
+        total += x
         if total > best or (total == best and start == run[0]):
             best, run = max(best, total), (start, i + 1)
+    return run
+
+
+def extract(html: str | None, weights: Weights) -> str:
+    """The text of the best-scoring run of the page."""
+    page = Page(html or "")
+    if not page.words:
+        return ""
+    score = [LEAST if barred else max(LEAST, min(MOST, sum(weights.get(f, 0.0) for f in c))) for c, barred in zip(page.contexts, page.barred, strict=True)]
+    run = best_run([score[c] for c in page.context], page.tags_before)
     out: dict[int, list[str]] = {}
     value: Counter = Counter()
     for i in range(*run):
@@ -205,8 +257,19 @@ def learn_from(pages: DataFrame, html: str = "html", key: str = "page_id", train
     marked = pages.where(F.col(html).rlike("(?i)<(article|main)[ >]")).select(mark.alias("h"), F.xxhash64(html).alias("g"), F.col(html).alias("html"))
     # Hashes are ranked first, so that only the chosen pages leave their tasks.
     chosen = marked.select("h", "g").orderBy("h", "g").limit(train_pages)
-    rows = marked.join(F.broadcast(chosen.distinct()), ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).collect()
-    return learn([r["html"] for r in sorted(rows)])
+    rows = marked.join(F.broadcast(chosen.distinct()), ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).select("html")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                found = [(side, f, float(n)) for side, counts in enumerate(page_counts(html)) for f, n in counts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.float64()))], names=["side", "feature", "n"])
+
+    # Pages are counted where they are; features of at most `train_pages` pages come to the driver.
+    counts: tuple[Counter, Counter] = Counter(), Counter()
+    for r in rows.mapInArrow(count, "side int, feature string, n double").groupBy("side", "feature").agg(F.sum("n").alias("n")).collect():
+        counts[r["side"]][r["feature"]] = r["n"]
+    return weights_of(counts)
 
 
 def main_text(pages: DataFrame, weights: Weights, html: str = "html", text: str = "text") -> DataFrame:
