@@ -87,6 +87,13 @@ class Tables:
         """The newest close time; one row, asked for when a query is made."""
         return F.lit(self.claims.agg(F.max("closed_at").alias("t")).first()["t"])
 
+    @property
+    def middle(self) -> tuple[Column, Column]:
+        """From the second day of the trades to the beginning of the last; one row, asked for when a query is made."""
+        r = self.claims.agg(F.min("closed_at").alias("a"), F.max("closed_at").alias("b")).first()
+        day = lambda x: F.date_trunc("day", F.lit(x))
+        return day(r["a"]) + F.expr("interval 1 day"), day(r["b"])
+
     @property
     def pools(self) -> DataFrame:
         """Registered pools of five venues; C2, C5, C8 and C11 are missing on purpose."""
@@ -175,9 +182,9 @@ def _(t: Tables) -> DataFrame:
     return round_shown(versioned.expire(t.c("1d"), "7 days", t.as_of))
 
 
-@query("s14_snapshot_rates", "select ts, 'oracle' as method, round(price, 8) as rate, 99 as version from oracle_prices o where asset = 'USDC' and price > 0 and not exists (select 1 from usd_rate u where u.method = 'oracle' and u.ts = o.ts and u.rate = o.price and u.version % 2 = 0)")
+@query("s14_snapshot_rates", "select ts, 'oracle' as method, round(price, 8) as rate, 99 as version from oracle_prices o where asset = 'USDC' and price > 0 and not exists (select 1 from usd_rate u where u.method = 'oracle' and u.ts = o.ts and u.rate = o.price and u.quality = 'measured')")
 def _(t: Tables) -> DataFrame:
-    return round_shown(rates.snapshot_rates(t.oracle, t.usd_rate.where("version % 2 = 0"), t.assets, "USDC", 99), "ts", "method", "rate", "version")
+    return round_shown(rates.snapshot_rates(t.oracle, t.usd_rate.where("quality = 'measured'"), t.assets, "USDC", 99), "ts", "method", "rate", "version")
 
 
 @query("s16_delete_window", f"select {shown()} from c1h where not (source = 'sdex' and ts >= timestamp '2024-01-01 06:00' and ts < timestamp '2024-01-02')")
@@ -195,7 +202,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "f2_attach_offer_price",
-    """with ch as (select l_orderkey as tx, l_linenumber as op, l_suppkey as offer_id, l_partkey as pos, l_tax > 0.04 as is_state, l_extendedprice as n, l_quantity as d from lineitem where l_linenumber < 5),
+    """with ch as (select l_orderkey as tx, l_linenumber as op, l_suppkey as offer_id, l_partkey as pos, l_tax > 0.04 as is_state, l_extendedprice as n, l_quantity as d from lineitem where l_discount < 0.1),
 first as (select tx, op, offer_id, arg_min(n, (not is_state, pos, n, d)) as n, arg_min(d, (not is_state, pos, n, d)) as d from ch group by all),
 ours as (select l_orderkey as tx, l_linenumber as op, l_suppkey as offer_id from lineitem),
 sound as (select a.tx from (select tx, count(distinct op) as k from ours group by 1) a join (select tx, count(distinct op) as k from ch group by 1) b on a.tx = b.tx and a.k = b.k)
@@ -204,7 +211,7 @@ select o.tx, o.op, o.offer_id, f.n as offer_n, f.d as offer_d from ours o left j
 def _(t: Tables) -> DataFrame:
     line = market.table(t.spark, t.sf_dir, "lineitem")
     key = [F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("op"), F.col("l_suppkey").alias("offer_id")]
-    changes = line.where("l_linenumber < 5").select(*key, F.col("l_partkey").alias("pos"), (F.col("l_tax") > 0.04).alias("is_state"), F.col("l_extendedprice").alias("n"), F.col("l_quantity").alias("d"))
+    changes = line.where("l_discount < 0.1").select(*key, F.col("l_partkey").alias("pos"), (F.col("l_tax") > 0.04).alias("is_state"), F.col("l_extendedprice").alias("n"), F.col("l_quantity").alias("d"))
     return fills.attach_offer_price(line.select(*key), changes).select("tx", "op", "offer_id", "offer_n", "offer_d")
 
 
@@ -403,6 +410,9 @@ def _(t: Tables) -> DataFrame:
 
 # Candles and roll-ups.
 
+#: From the second day of the trades to the beginning of the last.
+_MIDDLE = "ts >= (select date_trunc('day', min(closed_at)) + interval 1 day from fills) and ts < (select date_trunc('day', max(closed_at)) from fills)"
+
 
 @query("c1_candles_1m", f"select {shown()} from c1m")
 def _(t: Tables) -> DataFrame:
@@ -480,9 +490,9 @@ def _(t: Tables) -> DataFrame:
     return candles.mismatch_count(t.c("15m"), t.c("1h").where("source <> 'sdex'"), "1h", t.as_of)
 
 
-@query("r9_preroll", f"select {shown()} from c1h where ts >= timestamp '2024-01-01 06:00' and ts < timestamp '2024-01-02'")
+@query("r9_preroll", f"select {shown()} from c1h where {_MIDDLE}")
 def _(t: Tables) -> DataFrame:
-    return round_shown(candles.preroll(t.c("15m"), "1h", F.lit("2024-01-01 06:00").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")))
+    return round_shown(candles.preroll(t.c("15m"), "1h", *t.middle))
 
 
 @query("r10_reroll_sources", f"select {shown()} from c1h")
@@ -492,14 +502,15 @@ def _(t: Tables) -> DataFrame:
     return round_shown(candles.reroll_sources(wrong, t.c("15m"), "1h", ["aquarius"], lo, hi))
 
 
-@query("r11_gap_totals", "select cast(sum(trade_count) as bigint) as child_count, cast(sum(trade_count) as bigint) as target_count, true as equal from c1h where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-02'")
+@query("r11_gap_totals", f"select 'whole' as what, cast(sum(trade_count) as bigint) as child_count, cast(sum(trade_count) as bigint) as target_count, sum(trade_count) = sum(trade_count) as equal from c1h where {_MIDDLE} union all select 'gap', cast(sum(trade_count) as bigint), cast(sum(trade_count) filter (source <> 'sdex') as bigint), sum(trade_count) = sum(trade_count) filter (source <> 'sdex') from c1h where {_MIDDLE}")
 def _(t: Tables) -> DataFrame:
-    return candles.gap_totals(t.c("15m"), t.c("1h"), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")).select("child_count", "target_count", "equal")
+    one = lambda what, target: candles.gap_totals(t.c("15m"), target, *t.middle).select(F.lit(what).alias("what"), "child_count", "target_count", "equal")
+    return one("whole", t.c("1h")).unionByName(one("gap", t.c("1h").where("source <> 'sdex'")))
 
 
-@query("r12_gap_mismatch", "select asset, quote, source, ts, trade_count as child_count, cast(null as bigint) as target_count from c1h where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-02' and source = 'sdex'")
+@query("r12_gap_mismatch", f"select asset, quote, source, ts, trade_count as child_count, cast(null as bigint) as target_count from c1h where {_MIDDLE} and source = 'sdex'")
 def _(t: Tables) -> DataFrame:
-    return candles.gap_mismatch(t.c("15m"), t.c("1h").where("source <> 'sdex'"), "1h", F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp"))
+    return candles.gap_mismatch(t.c("15m"), t.c("1h").where("source <> 'sdex'"), "1h", *t.middle)
 
 
 @query("r13_month_equal", "select strftime(ts, '%Y-%m') as month, cast(sum(trade_count) as bigint) as count_1m, cast(sum(trade_count) as bigint) as count_1d, true as equal from c1d group by 1")
@@ -546,13 +557,16 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "e5_reprice_pre_usdc",
-    """select c.asset, c.quote, c.source, c.ts, round(c.close * r.rate, 8) as close_usd, round(cast(c.volume_quote as double) * r.rate, 6) as volume_quote_usd from (select *, ts + interval 1 hour as e, 1 as k from c1h where quote = 'XLM' and volume_quote > 0) c
-asof join (select ts, price as rate, 1 as k from oracle_prices where asset = 'XLM') r on c.k = r.k and c.e > r.ts where epoch(c.e) - epoch(r.ts) <= 86400""",
+    """with tok as (select quote, ts as r, sum(cast(pf_volume as double)) / sum(pf_price_volume) as factor from c1h where asset = 'XLM' and quote in ('USDC', 'USDT') and pf_price_volume > 0 group by all),
+c as (select *, ts + interval 1 hour as e, 1 as k from c1h where quote in ('XLM', 'USDC', 'USDT') and volume_quote > 0),
+f as (select c.*, case when c.quote = 'XLM' then 1.0::double when epoch(c.ts) - epoch(t.r) <= 86400 then t.factor end as factor from c asof left join tok t on c.quote = t.quote and c.ts >= t.r)
+select f.asset, f.quote, f.source, f.ts, round(f.close * r.rate * factor, 8) as close_usd, round(cast(f.volume_quote as double) * r.rate * factor, 6) as volume_quote_usd from f
+asof join (select ts, price as rate, 1 as k from oracle_prices where asset = 'XLM') r on f.k = r.k and f.e > r.ts where epoch(f.e) - epoch(r.ts) <= 86400 and factor is not null""",
 )
 def _(t: Tables) -> DataFrame:
     rates_ = t.oracle.where("asset = 'XLM'").select("ts", F.col("price").alias("rate"))
-    none = t.spark.createDataFrame([], "asset string")
-    return round_shown(enrich.reprice_fine(t.c("1h"), t.c("1h"), rates_, none, "1h", until=2_000_000_000), "asset", "quote", "source", "ts", "close_usd", "volume_quote_usd")
+    tokens = t.spark.createDataFrame([("USDC",), ("USDT",)], "asset string")
+    return round_shown(enrich.reprice_fine(t.c("1h"), t.c("1h"), rates_, tokens, "1h", until=2_000_000_000), "asset", "quote", "source", "ts", "close_usd", "volume_quote_usd")
 
 
 @query(
