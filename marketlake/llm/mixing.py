@@ -11,12 +11,13 @@ repeated rather than cut.
 
 Target shares are given as {value: share} for a dimension, or else follow from
 the corpus as shares of tokens ** `alpha`, which lifts what is rare.  The topic
-is that of the first phrase of `topics` in the text.
+is that of the first phrase of `topics` in the text, or what a column says that
+the caller names.
 
 All of it is DataFrame functions.  Only cell totals are shuffled, summed before
 in each task; raking is done on the table of cells by sums per value and joins.
 
-Null source or language is the value ''; null or empty text has the last topic
+Null source or language is the value '', a null topic of a column the last topic; null or empty text has the last topic
 and no tokens.  Documents of cells without tokens are not drawn, nor are those
 of a value whose target share is 0 or missing.  Rows that share an id share
 their u.
@@ -52,9 +53,9 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def _celled(docs: DataFrame, text: str, topics: tuple[tuple[str, str], ...]) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic_of(body, topics)})
+def _celled(docs: DataFrame, text: str, topics: tuple[tuple[str, str], ...], topic: str | None = None) -> DataFrame:
+    named = topic_of(F.coalesce(F.col(text), F.lit("")), topics) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit(REST))
+    return docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": named})
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
@@ -89,10 +90,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     return held(base.select(*DIMENSIONS, "tokens", (F.col("w") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("w")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, topics: tuple[tuple[str, str], ...] = TOPICS, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def marginal_errors(raked: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA) -> DataFrame:
+    """(dimension, error): the largest difference between a raked share and its target, so that a caller can ask for more rounds."""
+    out = None
+    for d in DIMENSIONS:
+        have = raked.groupBy(d).agg(F.sum("w").alias("w"), F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("goal"))
+        if targets and d in targets:
+            goal = raked.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, goal double")
+            have = have.drop("goal").join(goal, d, "left").fillna(0.0, ["goal"])
+        whole = have.agg(F.sum("goal").alias("all"))  # one row
+        one = have.join(F.broadcast(whole), how="cross").agg(F.max(F.abs(F.col("w") - F.col("goal") / F.col("all"))).alias("error")).select(F.lit(d).alias("dimension"), "error")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, topics: tuple[tuple[str, str], ...] = TOPICS, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, seed: str = SEED, topic: str | None = None) -> DataFrame:
     """The drawn documents with all their columns, and mix_topic, mix_rate and mix_copies (1 or more)."""
     kept = [c for c in docs.columns if c not in ("mix_topic", "mix_rate", "mix_copies")]
-    rows = _celled(docs.select(kept), text, topics)
+    rows = _celled(docs.select(kept), text, topics, topic)
     names = [F.col(f"__{d}").alias(d) for d in DIMENSIONS]
     cells = rows.groupBy(*names).agg(F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))).cast("long").alias("tokens"))
     raked = rake(cells, targets, alpha, rounds)

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from marketlake.llm.mixing import mix, rake
+from marketlake.llm.mixing import marginal_errors, mix, rake
 
 
 def test_raked_marginals_meet_targets(spark):
@@ -15,6 +15,8 @@ def test_raked_marginals_meet_targets(spark):
     assert math.isclose(got.w.sum(), 1, abs_tol=1e-9) and (got.tokens > 0).all()
     lang = got.groupby("lang").w.sum()
     assert abs(lang["l0"] - 0.5) < 1e-6
+    errors = [{r.dimension: r.error for r in marginal_errors(rake(cells, targets, rounds=n), targets).collect()} for n in (1, 20)]
+    assert max(errors[0].values()) > 1e-4 and max(errors[1].values()) < 1e-6
     share = got.groupby("source").tokens.sum() ** 0.7
     assert np.allclose(got.groupby("source").w.sum(), share / share.sum(), atol=1e-6)
     # Against plain fitting of the same table.
@@ -40,3 +42,9 @@ def test_draws_and_odd_rows(spark):
     again = mix(df.repartition(5)).toPandas()
     assert sorted(again.doc_id.fillna(-1)) == sorted(got.doc_id.fillna(-1))
     assert mix(df.limit(0)).count() == 0
+
+
+def test_topics_of_a_column(spark):
+    df = spark.createDataFrame([(i, "word " * 20, "s", "en", "a" if i % 4 else None) for i in range(400)], "doc_id long, text string, source string, lang string, kind string")
+    got = mix(df, topic="kind", targets={"topic": {"a": 0.5, "prose": 0.5}}).toPandas()
+    assert set(got.mix_topic) == {"a", "prose"} and abs(got[got.mix_topic == "prose"].mix_copies.sum() / 200 - 1) < 0.2
