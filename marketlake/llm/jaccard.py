@@ -284,8 +284,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     side = lambda c: named.select(F.col("cls").alias(c), F.col("name").alias(f"name_{c}"))
     links = near.unionByName(more).join(side("a"), "a").join(side("b"), "b")
     roots = components(links, "name_a", "name_b").select(F.col("node.cls").alias("cls"), F.col("root.key").alias("root"), F.lit(True).alias("linked"))
+    # Written first, so that the last join has a plain exchange on either side, which adaptive execution may split.
     least = named.join(roots, "cls", "left").select("cls", F.when(F.col("linked"), F.col("root")).otherwise(F.col("name.key")).alias("least"))
-    found = members.join(least, "cls", "left")
+    found = members.join(held(least), "cls", "left")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
 
