@@ -12,7 +12,8 @@ documents (those with the smallest hash of their id), whole texts, featurised
 on the executors; scoring covers every whole text.  As the layer is linear, the
 table is folded to one number per bucket before it is sent to the tasks.
 
-Null and empty texts score as the bias alone.  Rows are scored each by itself,
+Null and empty texts score as the bias alone.  Of several rows of one
+labelled id the one with the smallest text is learned.  Rows are scored each by itself,
 so repeats and ties score alike.  Of several labels of one id the smallest
 counts; without labels of both classes every score is the share of class 1
 (0.5 without any).
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model from at most `train_rows` labelled rows outside the held-out fold."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.min(label).cast("int").alias("label"))
     chosen = known.withColumnRenamed("id", key).where(crc_remainder(key, folds) != 0).withColumnRenamed(key, "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(train_rows)
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # one row for each id, so that the bound is one on rows
     kind = texts.schema["id"].dataType.simpleString()
     made = texts.mapInArrow(lambda b: _featurised(b, "text", bits), f"id {kind}, label int, bucket array<int>, number array<int>")
 
