@@ -61,7 +61,7 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: Training tokens of a shard of the trie, about.
 SHARD_TOKENS = 1 << 20
 #: Tokens that a task turns into questions at a time.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 #: Stands for what is before the first word of a text.
 START = np.uint64(0)
 _GRID = 2048
@@ -479,6 +479,9 @@ def _needed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: S
         yield pa.RecordBatch.from_arrays([pa.array(shard[new].astype(np.int32)), pa.array(k[new].view(np.int64))], names=["shard", "k"])
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers of 0 or more, by planes of bytes, compressed."""
     head, body = [len(arrays)], []
@@ -487,11 +490,11 @@ def _pack(*arrays: np.ndarray) -> bytes:
         head += [len(x), x.itemsize]
         body.append(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
     raw = np.array(head, "<i8").tobytes() + b"".join(body)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(body: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.uint8)
+    raw = np.frombuffer(_CODEC.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True), np.uint8)
     n = int(raw[:8].view("<i8")[0])
     sizes = raw[8 : 8 + 16 * n].view("<i8").reshape(n, 2).tolist()
     at, out = 8 + 16 * n, []
@@ -691,18 +694,16 @@ def _shard(shard: int, pieces: list[tuple[int, bool, bytes]], given: np.ndarray,
         rows, to = np.unique(row, return_inverse=True)
         total = -np.bincount(to, score[at : at + n], len(rows))
         words_ = c[at : at + n]
+        # Sums are at most 0 but for rounding, in whole steps; of words that are not frequent the counts go.
         other = np.flatnonzero(~plain[words_])
-        found = count[words_[other]]
-        more = np.bincount(to[other], vocabulary.unigram(found), len(rows)) if len(other) else np.zeros(0)
-        known = np.bincount(to[other], found > 0, len(rows)) if len(other) else np.zeros(0)
-        # Sums are at most 0, in whole steps; those of words that are not frequent go as the bits of doubles.
+        other = other[np.argsort(to[other], kind="stable")]
         low = int(min(0, total.min()))
-        body = _pack(np.array([-low]), rows, (total - low).astype(np.int64), known.astype(np.int64), (-more + 0.0).view(np.uint64))
+        body = _pack(np.array([-low]), np.diff(rows.astype(np.int64), prepend=0), (total - low).astype(np.int64), np.diff(to[other], prepend=0), count[words_[other]])
         yield _batch(kind, 1, block=pa.array([block], pa.int64()), body=pa.array([body], pa.binary()))
         at += n
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """One row for each text, from the rows and the sums of its block; rows come in the order of blocks."""
 
     def made(rows: pa.Table, bodies: list[bytes]) -> pa.RecordBatch:
@@ -710,12 +711,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.zeros(rows.num_rows, np.int64)
         known, base = rows["n_known"].to_numpy().copy(), rows["base"].to_numpy().copy()
         for body in bodies:
-            low, at, total, more, bits = _unpack(body)
-            at = at.astype(np.int64)
+            low, step, total, of, seen = _unpack(body)
+            at = np.cumsum(step.astype(np.int64))
             score[at] -= total.astype(np.int64) - int(low[0])
-            if len(more):
-                known[at] += more.astype(np.int64)
-                base[at] -= bits.astype(np.uint64).view(np.float64)
+            of, seen = at[np.cumsum(of.astype(np.int64))] if len(of) else np.zeros(0, np.int64), seen.astype(np.int64)
+            known += np.bincount(of, seen > 0, rows.num_rows).astype(np.int64)
+            base += np.bincount(of, vocabulary.unigram(seen), rows.num_rows)
         out = [rows["key"].combine_chunks(), rows["n_tokens"].combine_chunks(), pa.array(known), pa.array(base), pa.array(score / _GRID)]
         return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=["key", "n_tokens", "n_known", "base_score", "score"])
 
@@ -787,7 +788,7 @@ def scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
     where = f"{base.path}/trie-{uuid.uuid4().hex}" if base.scheme in ("", "file") else None
     both = asked.unionByName(needed, allowMissingColumns=True).repartitionById(shards.number, F.col("shard"))
     sums = both.mapInArrow(lambda b: _answer(b, *model.value, backs, kind, where, discount), schema).drop("shard", "learn", "k", "c")
-    summed = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_sum, f"key {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    summed = sums.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _sum(b, model.value[0]), f"key {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return summed.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
