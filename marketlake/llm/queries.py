@@ -17,6 +17,7 @@ from marketlake.llm.mixing import OP5_SQL, op5_mixing_by_raking
 from marketlake.llm.ngram_lm import op8_ngram_lm_scores
 from marketlake.llm.pii import op4_information_theoretic_sanitising
 from marketlake.llm.quality import op2_quality_classifier
+from marketlake.llm.repeats import op12_suffix_array_dedup
 from marketlake.llm.secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_lm_scores": op8_ngram_lm_scores,
     "op9_secret_scan": op9_secret_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
