@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,8 @@ from marketlake.operators import candles, enrich, events, fills, jobs, quality,
 from marketlake.operators.asof import asof
 from marketlake.plans.sql import CHILD, COUNTS, KEYS, NAME, PRICES, VOLUMES, shown, with_tables
 from marketlake.sources import market, rates, versioned
-from marketlake.sources.stored import stored
+from marketlake.sources.stored import folder, once, signature, stored
+from marketlake.sources.tiers import Tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,9 +47,33 @@ class Tables:
         return fills.fills(self.claims)
 
     @property
-    def c1m(self) -> DataFrame:
+    def made_1m(self) -> DataFrame:
+        """Minute candles from the raw trades."""
         return candles.candles_1m(self.fills).drop("clamped")
 
+    def _stored(self, name: str, make: Callable[[], DataFrame], *tables: str) -> Tiers:
+        """Candle tables that hold some minutes, written once in an application for each state of the tables below them."""
+
+        def write() -> Tiers:
+            tiers = Tiers(self.spark, f"{folder(self.spark)}/tiers-{uuid.uuid4().hex}", max(8, min(4096, int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+            tiers.replace("1m", tiers.dealt(make()))
+            return tiers
+
+        state = tuple(signature(self.spark, f"{self.sf_dir}/{t}.parquet") for t in tables)
+        return once(self.spark, (name, self.sf_dir, state), write)
+
+    @property
+    def tiers(self) -> Tiers:
+        return self._stored("traded", lambda: self.made_1m, "lineitem")
+
+    @property
+    def priced(self) -> Tiers:
+        return self._stored("priced", lambda: self.valued_1m, "lineitem", "events")
+
+    @property
+    def c1m(self) -> DataFrame:
+        return self.tiers.read("1m")
+
     @property
     def oracle(self) -> DataFrame:
         return market.oracle_prices(self.spark, self.sf_dir)
@@ -73,9 +99,14 @@ class Tables:
         return market.requests(self.spark, self.sf_dir)
 
     @property
-    def p1m(self) -> DataFrame:
+    def valued_1m(self) -> DataFrame:
+        """Minute candles valued from the stored ones."""
         return enrich.enrich(self.c1m, self.oracle, self.usd_rate)
 
+    @property
+    def p1m(self) -> DataFrame:
+        return self.priced.read("1m")
+
     def c(self, grain: str) -> DataFrame:
         return self.c1m if grain == "1m" else candles.rollup(self.c(CHILD[grain]), grain)
 
@@ -416,7 +447,7 @@ _MIDDLE = "ts >= (select date_trunc('day', min(closed_at)) + interval 1 day from
 
 @query("c1_candles_1m", f"select {shown()} from c1m")
 def _(t: Tables) -> DataFrame:
-    return round_shown(t.c1m)
+    return round_shown(t.made_1m)
 
 
 @query("c2_volume_totals", "select source, cast(sum(trade_count) as bigint) as trades, round(cast(sum(volume_base) as double), 4) as volume_base, round(sum(vwap), 4) as vwaps from c1m group by all")
@@ -584,7 +615,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("e7_enrich", f"select {shown(*_USD)} from p1m")
 def _(t: Tables) -> DataFrame:
-    return round_shown(t.p1m, *_USD)
+    return round_shown(t.valued_1m, *_USD)
 
 
 @query("e8_reset_usd", "select asset, quote, source, ts, version + 1 as version, 0.0::double as close_usd from p1m where quote = 'USDC' and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-03' and (close_usd > 0 or volume_quote_usd > 0) and date_trunc('day', ts) in (select date_trunc('day', ts) from usd_rate where method = 'external')")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[tuple, object] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, from `spark.checkpoint.dir`; a local session without one gets its own."""
@@ -25,3 +28,22 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, so that a changed table is not taken for the old one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
+    """What `make` returns, made once for each key of an application."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
