@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlake.sources.stored import stored
+
 ADDRESSES = "array<struct<type:string,value:string>>"
+#: The types of topics that may name an action or a field.
+TEXTS = ("sym", "string")
+PLACE = ("ledger", "event_index", "contract", "closed_at")
 #: Rows of a multi-row swap, of which only so many are read, and the reading's limits in time.
 MOST_ROWS, LEAST_ROWS = 8, 4
 MS_FROM, GENESIS = 100_000_000_000, 1_443_571_200
@@ -18,14 +23,20 @@ PAIR_VENUES = ("soroswap", "sushiswap")
 
 
 def parse_topics(events: DataFrame) -> DataFrame:
-    """topic0, topic1, and the values and types of all topics."""
-    parsed = F.from_json("topics", ADDRESSES)
-    rows = events.withColumns({"topic_values": F.transform(parsed, lambda t: t["value"]), "topic_types": F.transform(parsed, lambda t: t["type"])})
-    return rows.withColumns({"topic0": F.get("topic_values", F.lit(0)), "topic1": F.get("topic_values", F.lit(1))})
+    """topic0, topic1, and the values and types of all topics; text0 and text1 only where a symbol or string stands there;
+    `parsed`, the data, and `keyed`, its typed values by name where it has names.  Both JSON texts are parsed once, to
+    variants; what is no JSON is null."""
+    listed = F.try_variant_get(F.try_parse_json("topics"), "$", ADDRESSES)
+    rows = events.withColumns({"listed_topics": listed, "parsed": F.try_parse_json("data")})
+    rows = rows.withColumn("keyed", F.try_variant_get("parsed", "$", f"map<string,{ADDRESSES[6:-1]}>"))
+    rows = rows.withColumns({"topic_values": F.transform("listed_topics", lambda t: t["value"]), "topic_types": F.transform("listed_topics", lambda t: t["type"])}).drop("listed_topics")
+    at = lambda i: F.get("topic_values", F.lit(i))
+    text = lambda i: F.when(F.get("topic_types", F.lit(i)).isin(*TEXTS), at(i))
+    return rows.withColumns({"topic0": at(0), "topic1": at(1), "text0": text(0), "text1": text(1)})
 
 
 def value_at(path: str) -> Column:
-    return F.get_json_object("data", f"$.{path}.value")
+    return F.try_element_at("keyed", F.lit(path))["value"]
 
 
 def number_at(path: str) -> Column:
@@ -33,45 +44,72 @@ def number_at(path: str) -> Column:
     return F.coalesce(value_at(path).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
-def _trade(rows: DataFrame, source: str | Column, sold: Column, bought: Column, amount_sold: Column, amount_bought: Column) -> DataFrame:
-    return rows.select("ledger", "event_index", "contract", "closed_at", (F.lit(source) if isinstance(source, str) else source).alias("source"), sold.alias("sold"), bought.alias("bought"), amount_sold.alias("amount_sold"), amount_bought.alias("amount_bought"))
+#: What a decoder makes of an event.
+TRADE = ("source", "sold", "bought", "amount_sold", "amount_bought")
 
 
-def decode_pair_swaps(events: DataFrame, pools: DataFrame) -> DataFrame:
-    """Swaps of two-token pools: four amounts of which one side is paid in, or two signed ones.
+def _trade(source: str | Column, *rest: Column) -> Column:
+    first = F.lit(source) if isinstance(source, str) else source
+    return F.struct(*[c.alias(n) for n, c in zip(TRADE, (first, *rest), strict=True)])
 
-    A pool whose tokens are not known gives no trades.
-    """
-    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape in ('pair', 'signed')").join(pools.where(F.col("venue").isin(*PAIR_VENUES)).select("contract", "venue", "token_0", "token_1"), "contract")
-    rows = rows.where("token_0 is not null and token_1 is not null and (shape = 'pair') = (venue = 'soroswap')")
+
+def pair_trade() -> Column:
+    """The trade of a two-token pool with known tokens (venue, token_0, token_1), or null: four amounts of which one
+    side is paid in, or two signed ones."""
     in0, in1, out0, out1 = (number_at(p) for p in ("amount_0_in", "amount_1_in", "amount_0_out", "amount_1_out"))
     signed, a0, a1 = F.col("shape") == "signed", number_at("amount0"), number_at("amount1")
     zero_in = F.when(signed, a0 > 0).otherwise(in0 >= in1)
     sold = F.when(signed, F.when(a0 > 0, a0).otherwise(a1)).otherwise(F.when(in0 >= in1, in0).otherwise(in1))
     bought = F.when(signed, F.when(a0 > 0, -a1).otherwise(-a0)).otherwise(F.when(in0 >= in1, out1).otherwise(out0))
-    return _trade(rows, F.col("venue"), F.when(zero_in, F.col("token_0")).otherwise(F.col("token_1")), F.when(zero_in, F.col("token_1")).otherwise(F.col("token_0")), sold, bought)
+    fits = F.col("shape").isin("pair", "signed") & F.col("venue").isin(*PAIR_VENUES) & F.col("token_0").isNotNull() & F.col("token_1").isNotNull() & ((F.col("shape") == "pair") == (F.col("venue") == "soroswap"))
+    return F.when(fits, _trade(F.col("venue"), F.when(zero_in, F.col("token_0")).otherwise(F.col("token_1")), F.when(zero_in, F.col("token_1")).otherwise(F.col("token_0")), sold, bought))
+
+
+def single_trade() -> Column:
+    """The trade of an event that has its tokens in the topics and its amounts in a list of three or more, or null."""
+    v = F.try_variant_get("parsed", "$", ADDRESSES)
+    amount = lambda i: F.coalesce(F.get(v, F.lit(i))["value"].try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return F.when((F.col("shape") == "single") & (F.size(v) >= 3), _trade("aquarius", F.get("topic_values", F.lit(1)), F.get("topic_values", F.lit(2)), amount(0), amount(1)))
+
+
+def weighted_trade() -> Column:
+    sold, bought = number_at("token_amount_in"), number_at("token_amount_out")
+    return F.when((F.col("shape") == "weighted") & (sold > 0) & (bought > 0), _trade("comet", value_at("token_in"), value_at("token_out"), sold, bought))
+
+
+def _decoded(rows: DataFrame, trade: Column) -> DataFrame:
+    return rows.withColumn("trade", trade).where("trade is not null").select(*PLACE, "trade.*")
+
+
+def shaped(events: DataFrame) -> DataFrame:
+    return parse_topics(events).withColumn("shape", swap_shape())
+
+
+def decode_pair_swaps(events: DataFrame, pools: DataFrame) -> DataFrame:
+    """Swaps of two-token pools.  A pool whose tokens are not known gives no trades."""
+    return _decoded(shaped(events).join(pools.select("contract", "venue", "token_0", "token_1"), "contract"), pair_trade())
 
 
 def decode_single_trades(events: DataFrame) -> DataFrame:
-    """One event that has its tokens in the topics and its amounts in a list of three or more."""
-    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape = 'single'").withColumn("v", F.from_json("data", ADDRESSES)).where(F.size("v") >= 3)
-    amount = lambda i: F.coalesce(F.get("v", F.lit(i))["value"].try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    return _trade(rows, "aquarius", F.get("topic_values", F.lit(1)), F.get("topic_values", F.lit(2)), amount(0), amount(1))
+    return _decoded(shaped(events), single_trade())
 
 
 def decode_weighted_swaps(events: DataFrame) -> DataFrame:
-    rows = parse_topics(events).withColumn("shape", swap_shape()).where("shape = 'weighted'")
-    made = _trade(rows, "comet", value_at("token_in"), value_at("token_out"), number_at("token_amount_in"), number_at("token_amount_out"))
-    return made.where("amount_sold > 0 and amount_bought > 0")
+    return _decoded(shaped(events), weighted_trade())
 
 
 FIELDS = ("sell_token", "buy_token", "offer_amount", "return_amount")
 
 
+def is_field() -> Column:
+    """Is an event one field of a swap that is written as several?"""
+    return F.coalesce((F.col("text0") == "swap") & (F.size("topic_values") == 2) & F.col("text1").isNotNull(), F.lit(False))
+
+
 def multirow_fields(events: DataFrame) -> DataFrame:
     """The rows (tx, contract, pos, field, value) of swaps written as one event per field."""
-    rows = parse_topics(events).where("topic0 = 'swap' and size(topic_values) = 2 and topic_types[1] in ('sym', 'string')")
-    return rows.select("tx", "contract", F.col("event_index").alias("pos"), F.col("topic1").alias("field"), F.get_json_object("data", "$.value").alias("value"), "ledger", "event_index", "closed_at")
+    rows = parse_topics(events).where(is_field())
+    return rows.select("tx", "contract", F.col("event_index").alias("pos"), F.col("text1").alias("field"), F.try_variant_get("parsed", "$.value", "string").alias("value"), "ledger", "event_index", "closed_at")
 
 
 def assemble_multirow_swaps(rows: DataFrame, along: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +132,16 @@ def factory_pools(events: DataFrame) -> DataFrame:
 
     The action stands in the first topic, or behind the factory's name in the second.  A pair without both tokens is none.
     """
-    rows = parse_topics(events).where("topic0 in ('add_pool', 'create', 'pool_created') or topic1 = 'new_pair'")
-    rows = rows.withColumn("listed", F.get(F.filter(F.from_json("data", ADDRESSES), lambda v: v["type"] == "address"), F.lit(0))["value"])
-    named = lambda *path: F.when(F.get_json_object("data", f"$.{path[0]}.type") == "address", value_at(path[0]))
-    plain = F.when(F.get_json_object("data", "$.type") == "address", F.get_json_object("data", "$.value"))
+    rows = parse_topics(events).where("text0 in ('add_pool', 'create', 'pool_created') or text1 = 'new_pair'")
+    inner = lambda path: F.try_variant_get("parsed", path, "string")
+    rows = rows.withColumn("listed", F.get(F.filter(F.try_variant_get("parsed", "$", ADDRESSES), lambda v: v["type"] == "address"), F.lit(0))["value"])
+    named = lambda path: F.when(F.try_element_at("keyed", F.lit(path))["type"] == "address", value_at(path))
+    plain = F.when(inner("$.type") == "address", inner("$.value"))
     pair, none = F.lit(None).cast("string"), F.lit(None).cast("string")
     found = (
-        F.when(F.col("topic0") == "add_pool", F.struct(F.col("listed").alias("contract"), F.lit("aquarius").alias("venue"), none.alias("token_0"), none.alias("token_1")))
-        .when(F.col("topic0") == "create", F.struct(F.when(F.col("topic1") == "liquidity_pool", plain).otherwise(pair).alias("contract"), F.lit("phoenix").alias("venue"), none.alias("token_0"), none.alias("token_1")))
-        .when(F.col("topic1") == "new_pair", F.struct(named("pair").alias("contract"), F.lit("soroswap").alias("venue"), named("token_0").alias("token_0"), named("token_1").alias("token_1")))
+        F.when(F.col("text0") == "add_pool", F.struct(F.col("listed").alias("contract"), F.lit("aquarius").alias("venue"), none.alias("token_0"), none.alias("token_1")))
+        .when(F.col("text0") == "create", F.struct(F.when(F.col("text1") == "liquidity_pool", plain).otherwise(pair).alias("contract"), F.lit("phoenix").alias("venue"), none.alias("token_0"), none.alias("token_1")))
+        .when(F.col("text1") == "new_pair", F.struct(named("pair").alias("contract"), F.lit("soroswap").alias("venue"), named("token_0").alias("token_0"), named("token_1").alias("token_1")))
         .otherwise(F.struct(named("pool_address").alias("contract"), F.lit("sushiswap").alias("venue"), named("token0").alias("token_0"), named("token1").alias("token_1")))
     )
     out = rows.select(found.alias("p"), "ledger", "event_index").select("p.*", "ledger", "event_index").where("contract is not null")
@@ -130,45 +169,58 @@ def new_pool_rows(registry: DataFrame, persisted: DataFrame) -> DataFrame:
 
 
 def swap_shape() -> Column:
-    """Which kind of swap an event looks like, by its topics, and its data where two kinds share them.
-
-    A router's summary, which has a list in its second topic, is none.
-    """
-    t0, t1, types = F.col("topic0"), F.col("topic1"), F.col("topic_types")
-    address = lambda i: F.get(types, F.lit(i)) == "address"
-    signed = value_at("amount0").isNotNull() & value_at("amount1").isNotNull()
+    """Which kind of swap an event looks like: by topics that are symbols or strings, and by the keys of its data where
+    two kinds share them.  A router's summary has no such keys."""
+    t0, t1 = F.col("text0"), F.col("text1")
+    address = lambda i: F.get("topic_types", F.lit(i)) == "address"
+    has = lambda key: F.map_contains_key("keyed", key)
     return (
         F.when((t0 == "trade") & address(1) & address(2), "single")
         .when((t0 == "SoroswapPair") & (t1 == "swap"), "pair")
         .when((t0 == "swap") & (t1 == "sell_token"), "multirow")
-        .when((t0 == "swap") & signed & (F.coalesce(F.get(types, F.lit(1)), F.lit("")) != "vec"), "signed")
+        .when((t0 == "swap") & has("amount0") & has("amount1"), "signed")
         .when((t0 == "POOL") & (t1 == "swap"), "weighted")
     )
 
 
+def routed(events: DataFrame, registry: DataFrame) -> DataFrame:
+    """Swap-like events and fields of swaps in one pass: the venue of the contract (null if it is not registered), the
+    shape, the trade that the venue's decoder makes of it (null if none), and of a field its name and value."""
+    rows = shaped(events).join(registry.select("contract", "venue", "token_0", "token_1"), "contract", "left")
+    part = is_field() & (F.col("venue") == "phoenix")
+    trade = F.coalesce(pair_trade(), F.when(F.col("venue") == "aquarius", single_trade()), F.when(F.col("venue") == "comet", weighted_trade()))
+    name, value = F.when(part, F.col("text1")), F.when(part, F.try_variant_get("parsed", "$.value", "string"))
+    found = F.struct(*PLACE, "tx", "venue", "shape", trade.alias("trade"), name.alias("field"), value.alias("value"))
+    # A filter would be pushed below the parsing and parse everything again; what a generator drops is not.
+    return rows.select(F.inline(F.array_compact(F.array(F.when(F.col("shape").isNotNull() | part, found)))))
+
+
+def unregistered(routed_: DataFrame) -> DataFrame:
+    return routed_.where("venue is null").select(*PLACE, "tx", "shape")
+
+
 def route_events(events: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trades of registered contracts by the decoder of their venue, swap-like events of the others, and swaps of
-    registered contracts that no trade came of: (contract, source, rows), so that no group vanishes without a count."""
-    known = events.join(registry.select("contract", "venue"), "contract")
-    of = lambda *v: known.where(F.col("venue").isin(*v)).drop("venue")
-    multi, short = assemble_multirow_swaps(multirow_fields(of("phoenix")), ("ledger", "event_index", "closed_at"))
-    pairs, single, weighted = decode_pair_swaps(of(*PAIR_VENUES), registry), decode_single_trades(of("aquarius")), decode_weighted_swaps(of("comet"))
-    trades = pairs.unionByName(single).unionByName(weighted).unionByName(multi.select(pairs.columns))
-    shaped = parse_topics(known).withColumn("shape", swap_shape()).where("shape <> 'multirow'")
-    lost = shaped.join(trades.select("ledger", "event_index"), ["ledger", "event_index"], "left_anti").groupBy("contract", F.col("venue").alias("source")).agg(F.count("*").alias("rows"))
-    failed = lost.unionByName(short.select("contract", F.lit("phoenix").alias("source"), "rows"))
-    other = parse_topics(events).withColumn("shape", swap_shape()).where("shape is not null")
-    return trades, other.join(registry.select("contract"), "contract", "left_anti"), failed
+    registered contracts that no trade came of: (contract, source, rows), so that no group vanishes without a count.
+
+    Events are scanned and parsed once, and what is left of them is a narrow table that all three read.
+    """
+    rows = stored(routed(events, registry))
+    fields = rows.where("field is not null").withColumn("pos", F.col("event_index"))
+    multi, short = assemble_multirow_swaps(fields, PLACE[:2] + PLACE[3:])
+    trades = rows.where("trade is not null").select(*PLACE, "trade.*")
+    trades = trades.unionByName(multi.select(trades.columns))
+    lost = rows.where("venue is not null and shape <> 'multirow' and trade is null").groupBy("contract", F.col("venue").alias("source")).agg(F.count("*").alias("rows"))
+    return trades, unregistered(rows), lost.unionByName(short.select("contract", F.lit("phoenix").alias("source"), "rows"))
 
 
 def unregistered_shapes(events: DataFrame, registry: DataFrame) -> DataFrame:
-    return route_events(events, registry)[1].groupBy("shape").agg(F.count("*").alias("events"), F.count_distinct("contract").alias("contracts"))
+    return unregistered(routed(events, registry)).groupBy("shape").agg(F.count("*").alias("events"), F.count_distinct("contract").alias("contracts"))
 
 
 def unresolved_pools(events: DataFrame, registry: DataFrame, routers: list[str] | None = None) -> DataFrame:
     """Contracts with swap-like events, and whether the registry lacks them."""
-    shaped = parse_topics(events).withColumn("shape", swap_shape()).where("shape is not null")
-    rows = shaped.where(~F.col("contract").isin(routers or []))
+    rows = shaped(events.where(~F.col("contract").isin(routers or []))).where("shape is not null")
     sums = rows.groupBy("contract", "shape").agg(F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"), F.count("*").alias("swaps"), F.min_by("data", F.struct("ledger", "event_index")).alias("sample"))
     known = registry.select("contract", F.lit(True).alias("known"))
     return sums.join(known, "contract", "left").withColumn("unresolved", F.col("known").isNull()).drop("known")
@@ -176,7 +228,7 @@ def unresolved_pools(events: DataFrame, registry: DataFrame, routers: list[str]
 
 def wrapper_proofs(events: DataFrame, contracts: DataFrame) -> DataFrame:
     """For each contract the first event whose last topic names the asset behind it."""
-    rows = parse_topics(events).join(contracts.select("contract").distinct(), "contract", "left_semi").where("topic0 in ('trade', 'transfer', 'mint', 'burn', 'clawback')")
+    rows = parse_topics(events).join(contracts.select("contract").distinct(), "contract", "left_semi").where("text0 in ('trade', 'transfer', 'mint', 'burn', 'clawback')")
     last = F.element_at("topic_values", -1)
     return rows.groupBy("contract").agg(F.min_by(last, F.struct("ledger", "event_index")).alias("proof"))
 
@@ -202,7 +254,7 @@ def coverage_sweep(events: DataFrame, registry: DataFrame, last_ledgers: int) ->
     like = lambda i: F.coalesce(F.get("topic_types", F.lit(i)).isin("sym", "string") & F.get("topic_values", F.lit(i)).rlike("(?i)swap|trade"), F.lit(False))
     rows = rows.where(like(0) | like(1)).join(registry.select("contract"), "contract", "left_anti")
     action = F.concat(F.coalesce("topic0", F.lit("")), F.lit(" / "), F.substring(F.coalesce("topic1", F.lit("")), 1, 20))
-    shape = F.concat(F.array_join("topic_types", "|"), F.lit(" -> "), F.coalesce(F.get_json_object("data", "$.type"), F.lit("")))
+    shape = F.concat(F.array_join("topic_types", "|"), F.lit(" -> "), F.coalesce(F.try_variant_get("parsed", "$.type", "string"), F.lit("")))
     each = rows.select("contract", "tx", "ledger", action.alias("action"), shape.alias("shape"))
     most = lambda c: each.groupBy("contract", c).count().groupBy("contract").agg(F.max_by(c, F.struct("count", c)).alias(f"top_{c}"))
     sums = each.groupBy("contract").agg(F.count("*").alias("events"), F.count_distinct("ledger", "tx").alias("txs"), F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"))
@@ -217,7 +269,7 @@ def allowlist_partition(sweep: DataFrame, allow: DataFrame, unresolved: DataFram
 
 
 def unregistered_emitters(events: DataFrame, registry: DataFrame, chunk: int) -> DataFrame:
-    rows = route_events(events, registry)[1]
+    rows = unregistered(routed(events, registry))
     return rows.groupBy(F.floor(F.col("ledger") / chunk).alias("chunk"), "contract").agg(F.count("*").alias("events"))
 
 
