@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ATTEMPTS = 3
+#: Fixed value: characters of a symbol.
+LONGEST_SYMBOL = 32
 STATES = ("copied", "orphan", "colliding", "unmapped")
 
 
@@ -21,10 +23,21 @@ def symbol_queue(assets: DataFrame, symbols: DataFrame, n: int) -> DataFrame:
     return rows.where(F.col("symbol").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).orderBy("attempts", "contract").limit(n).select("contract", "attempts")
 
 
+def sanitised(symbol: Column) -> Column:
+    """A symbol fit to be stored and shown, without space around it, or null: letters, digits and a few marks only, as
+    others may hide or turn the text around them."""
+    trimmed = F.regexp_replace(symbol, r"(?U)^\s+|\s+$", "")
+    return F.when(trimmed.rlike(rf"^[\p{{IsAlphabetic}}\p{{N}}.+_: -]{{1,{LONGEST_SYMBOL}}}$"), trimmed)
+
+
 def merge_answers(queue: DataFrame, answers: DataFrame) -> DataFrame:
-    """A symbol resets the tries, a definite no adds one, a passing failure leaves them (answers: contract, outcome, symbol)."""
+    """A symbol resets the tries, a definite no adds one, a passing failure leaves them (answers: contract, outcome, symbol).
+
+    A symbol that is not fit to be stored is a no."""
+    rows = answers.withColumn("symbol", F.when(F.col("outcome") == "resolved", sanitised(F.col("symbol"))))
+    rows = rows.withColumn("outcome", F.when((F.col("outcome") == "resolved") & F.col("symbol").isNull(), "negative").otherwise(F.col("outcome")))
     outcome = F.col("outcome")
-    return queue.join(answers, "contract").select("contract", "symbol", F.when(outcome == "resolved", 0).when(outcome == "negative", F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"))
+    return queue.join(rows, "contract").select("contract", "symbol", F.when(outcome == "resolved", 0).when(outcome == "negative", F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"))
 
 
 PARTS = ("balances_authorized", "balances_maintain", "balances_unauthorized", "claimable", "pools", "contracts")
@@ -83,3 +96,15 @@ def post_checks(assets: DataFrame, facts: DataFrame, keys: list[str]) -> DataFra
     a = assets.agg((F.count("*") == F.count_distinct("asset")).alias("assets_unique"))
     f = facts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") <= 1, F.lit(True)).alias("one_row_per_key"))
     return a.crossJoin(F.broadcast(f))
+
+
+def colliding_restored(facts: DataFrame, mapping: DataFrame, months: DataFrame) -> DataFrame:
+    """For each copied month (month, colliding_rows): are rows of colliding ids back, where there were any?
+
+    An id that some clean old id is also mapped to has copied rows anyway and shows nothing, so it does not count.
+    """
+    ids = mapping.groupBy("new_id").agg(F.count_if(F.col("state") == "colliding").alias("bad"), F.count_if(F.col("state").isin("mapped", "sentinel")).alias("clean")).where("bad > 0 and clean = 0").select("new_id")
+    legs = facts.select(F.date_format("ts", "yyyy-MM").alias("month"), F.explode(F.array_distinct(F.array("asset", "quote"))).alias("new_id"))
+    # Ids and months are few; rows are counted before they meet them.
+    back = legs.groupBy("month", "new_id").agg(F.count("*").alias("n")).join(ids, "new_id", "left_semi").groupBy("month").agg(F.sum("n").alias("legs"))
+    return months.join(back, "month", "left").select("month", "colliding_rows", ((F.col("colliding_rows") == 0) | (F.coalesce("legs", F.lit(0)) > 0)).alias("restored"))

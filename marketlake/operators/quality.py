@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions.prices import PRICE_FLOOR
+from marketlake.operators.ranks import quantiles
+from marketlake.sources.stored import stored
 
 PEG_TOLERANCE, REPRESENTABLE = 0.02, 5e-14
 EMPTY_LAG = 10**9
@@ -92,10 +94,26 @@ def wrapper_identities(assets: DataFrame, wrappers: DataFrame) -> DataFrame:
     return assets.where("kind = 'contract'").join(wrappers.select("contract"), "contract", "left_semi")
 
 
+def _merged_gaps(segments: Column) -> Column:
+    """One segment (first, last, gap) of several in order: the gaps inside them, and those from each to the next."""
+    between = F.zip_with(F.slice(segments, 2, F.size(segments)), F.slice(segments, 1, F.size(segments) - 1), lambda b, a: b["first"] - a["last"])
+    gap = F.array_max(F.concat(F.transform(segments, lambda s: s["gap"]), between))
+    return F.struct(F.element_at(segments, 1)["first"].alias("first"), F.element_at(segments, -1)["last"].alias("last"), gap.alias("gap"))
+
+
 def largest_gap(c1m: DataFrame) -> DataFrame:
-    w = Window.partitionBy("asset", "source").orderBy("ts")
-    times = c1m.select("asset", "source", "ts").distinct()
-    return times.withColumn("gap", (F.unix_timestamp("ts") - F.unix_timestamp(F.coalesce(F.lag("ts").over(w), F.col("ts")))) / 60).groupBy("asset", "source").agg(F.max("gap").alias("gap_minutes"))
+    """The longest time between neighbouring minutes of an asset at a venue.
+
+    Segments of days are merged to months and these to the whole, so that a task holds the minutes of a day, the days
+    of a month or the months of a series, and never a series.
+    """
+    second = F.unix_timestamp("ts")
+    keys = ["asset", "source"]
+    rows = c1m.select(*keys, F.to_date("ts").alias("day"), F.struct(second.alias("first"), second.alias("last"), F.lit(0).cast("long").alias("gap")).alias("s"))
+    days = rows.groupBy(*keys, "day").agg(_merged_gaps(F.array_sort(F.collect_set("s"))).alias("s"))
+    months = days.groupBy(*keys, F.trunc("day", "month").alias("month")).agg(_merged_gaps(F.array_sort(F.collect_list("s"))).alias("s"))
+    whole = months.groupBy(*keys).agg(_merged_gaps(F.array_sort(F.collect_list("s"))).alias("s"))
+    return whole.select(*keys, (F.col("s.gap") / 60).alias("gap_minutes"))
 
 
 def canonical_ticker(candles: DataFrame, assets: DataFrame) -> DataFrame:
@@ -117,24 +135,59 @@ def recently_priced(c1m: DataFrame, as_of: Column, k: int = 20) -> DataFrame:
     return rows.groupBy("asset").agg(F.count("*").alias("candles"), F.max("ts").alias("last")).where("candles >= 2").orderBy(F.desc("candles"), "asset").limit(k)
 
 
-def series_guardrails(daily: DataFrame, window: int = 30, peg: float = 1.0) -> DataFrame:
-    """Per series (series, day, close, trades, volume): rolling shares of dead days, longest constant run, least volatility in bps."""
-    order = Window.partitionBy("series").orderBy("day")
+def _numbered(daily: DataFrame, slot: Column) -> DataFrame:
+    """The place of each row in its series (`at`, from 0): its place in its slot behind the rows of the slots before."""
+    within = Window.partitionBy("series", "slot").orderBy("day")
+    rows = daily.withColumn("slot", slot).withColumn("n", F.row_number().over(within))
+    earlier = Window.partitionBy("series").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each slot of a series.
+    sizes = rows.groupBy("series", "slot").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+    return rows.join(sizes, ["series", "slot"]).withColumn("at", F.col("before") + F.col("n") - 1).drop("slot", "n", "before")
+
+
+def _longest_run(blocks: Column) -> Column:
+    """The longest run over blocks (n, head, tail, prefix, suffix, best) in order; runs that meet where two blocks do are one."""
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("suffix"), F.lit(None).cast("double").alias("tail"))
+
+    def step(s: Column, b: Column) -> Column:
+        joined = F.when(F.coalesce(s["tail"] == b["head"], F.lit(False)), s["suffix"]).otherwise(F.lit(0)) + b["prefix"]
+        whole = b["prefix"] == b["n"]
+        return F.struct(F.greatest(s["best"], joined, b["best"]).alias("best"), F.when(whole, joined).otherwise(b["suffix"]).alias("suffix"), b["tail"].alias("tail"))
+
+    return F.aggregate(blocks, start, step)["best"]
+
+
+def series_guardrails(daily: DataFrame, window: int = 30, peg: float = 1.0, block: int = 4096) -> DataFrame:
+    """Per series (series, day, close, trades, volume): rolling shares of dead days, longest constant run, least volatility in bps.
+
+    Series are cut into blocks of rows.  A block also gets the rows of the one before that its windows reach back to,
+    and says of its runs how long the first, the last and the longest is, which is merged over the blocks.
+    """
+    block = max(block, window)
+    rows = _numbered(daily.withColumn("close", F.col("close").cast("double")), F.year("day")).withColumn("own", F.floor(F.col("at") / block))
+    late = F.col("at") % block >= block - window
+    rows = rows.withColumn("b", F.explode(F.when(late, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    order = Window.partitionBy("series", "b").orderBy("at")
     roll = order.rowsBetween(-(window - 1), 0)
-    rows = daily.withColumn("prev", F.lag("close").over(order)).withColumn("flat", F.col("close") == F.col("prev"))
-    rows = rows.withColumn("ret", F.ln(F.try_divide("close", "prev"))).withColumn("island", F.sum(F.when(F.coalesce("flat", F.lit(False)), 0).otherwise(1)).over(order))
+    mine = F.col("b") == F.col("own")
+    rows = rows.withColumns({"prev": F.lag("close").over(order), "within": F.coalesce(F.lag(mine).over(order), F.lit(False))}).withColumn("flat", F.coalesce(F.col("close") == F.col("prev"), F.lit(False)))
+    rows = rows.withColumns({"ret": F.ln(F.try_divide("close", "prev")), "island": F.sum(F.when(F.col("flat") & F.col("within"), 0).otherwise(1)).over(order)})
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0)).over(roll)
     rows = rows.withColumns(
         {
             "zero_trade": share(F.col("trades") == 0),
-            "flat_no_trade": share(F.coalesce("flat", F.lit(False)) & (F.col("trades") == 0)),
+            "flat_no_trade": share(F.col("flat") & (F.col("trades") == 0)),
             "at_peg": share(F.col("close") == peg),
             "zero_volume": share(F.col("volume") == 0),
             "vol_bps": F.when(F.count("ret").over(roll) == window, F.stddev_samp("ret").over(roll) * 10_000),
         }
-    )
-    runs = rows.groupBy("series", "island").agg(F.count("*").alias("n")).groupBy("series").agg(F.max("n").alias("longest_run"))
-    return rows.groupBy("series").agg(*[F.max(c).alias(f"max_{c}") for c in ("zero_trade", "flat_no_trade", "at_peg", "zero_volume")], F.min("vol_bps").alias("min_vol_bps")).join(runs, "series")
+    ).where(mine)
+    sums = [F.max(c).alias(f"max_{c}") for c in ("zero_trade", "flat_no_trade", "at_peg", "zero_volume")]
+    each = rows.groupBy("series", "b", "island").agg(*sums, F.min("vol_bps").alias("min_vol_bps"), F.count("*").alias("rows"), F.min("at").alias("at"), F.min_by("close", "at").alias("head"), F.max_by("close", "at").alias("tail"))
+    again = [F.max(f"max_{c}").alias(f"max_{c}") for c in ("zero_trade", "flat_no_trade", "at_peg", "zero_volume")]
+    of = each.groupBy("series", "b").agg(*again, F.min("min_vol_bps").alias("min_vol_bps"), F.sum("rows").alias("n"), F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"), F.min_by("rows", "at").alias("prefix"), F.max_by("rows", "at").alias("suffix"), F.max("rows").alias("best"))
+    parts = F.array_sort(F.collect_list(F.struct("b", "n", "head", "tail", "prefix", "suffix", "best")))
+    return of.groupBy("series").agg(*again, F.min("min_vol_bps").alias("min_vol_bps"), _longest_run(parts).alias("longest_run"))
 
 
 def rate_gap_bps(oracle: DataFrame, c1h: DataFrame, asset: str = "XLM", quote: str = "USDC") -> DataFrame:
@@ -142,7 +195,9 @@ def rate_gap_bps(oracle: DataFrame, c1h: DataFrame, asset: str = "XLM", quote: s
     read = oracle.where(F.col("asset") == asset).groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.max_by("price", "ts").alias("price"))
     own = c1h.where((F.col("asset") == asset) & (F.col("quote") == quote) & (F.col("close") >= PRICE_FLOOR)).groupBy("ts").agg(F.max_by("close", F.struct("volume_base", "source")).alias("close"))
     gap = read.join(own, "ts").select(((F.col("close") / F.col("price") - 1) * 10_000).alias("bps"))
-    return gap.agg(F.count("*").alias("hours"), *[F.percentile("bps", p).alias(n) for p, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))], F.percentile(F.abs("bps"), 0.99).alias("abs_p99"), F.max(F.abs("bps")).alias("abs_max"))
+    gap = stored(gap.select("bps", F.abs("bps").alias("abs")))
+    found = quantiles(gap, [], {"p05": ("bps", 0.05), "p50": ("bps", 0.5), "p95": ("bps", 0.95), "abs_p99": ("abs", 0.99)})
+    return gap.agg(F.count("*").alias("hours"), F.max("abs").alias("abs_max")).join(F.broadcast(found), how="cross").select("hours", "p05", "p50", "p95", "abs_p99", "abs_max")  # one row each
 
 
 def depeg_bands(candles: DataFrame, usd_rate: DataFrame) -> DataFrame:
@@ -173,7 +228,9 @@ def deviation_by_size(c1m: DataFrame, c1h: DataFrame) -> DataFrame:
     size = F.col("volume_quote").cast("double")
     band = F.when(size < 1, "a <1").when(size < 10_000, "b <10k").when(size < 50_000, "c <50k").otherwise("d >=50k")
     off = F.abs(F.col("close") / F.col("hour_vwap") - 1)
-    return rows.groupBy(band.alias("band")).agg(F.count("*").alias("candles"), F.percentile(off, 0.5).alias("p50"), F.percentile(off, 0.9).alias("p90"), F.avg(F.when(off > 0.05, 1.0).otherwise(0.0)).alias("share_off"))
+    rows = stored(rows.select(band.alias("band"), off.alias("off")))
+    sums = rows.groupBy("band").agg(F.count("*").alias("candles"), F.avg(F.when(F.col("off") > 0.05, 1.0).otherwise(0.0)).alias("share_off"))
+    return sums.join(quantiles(rows, ["band"], {"p50": ("off", 0.5), "p90": ("off", 0.9)}), "band").select("band", "candles", "p50", "p90", "share_off")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -191,11 +248,14 @@ def par_check(c1d: DataFrame, asset: str = "XLM", external: DataFrame | None = N
     """
     rows = c1d.where((F.col("asset") == asset) & (F.col("close") >= PRICE_FLOOR)).groupBy("quote", "ts").agg(F.max_by("close", F.struct("volume_base", "source")).alias("close"), F.sum("volume_base").cast("double").alias("volume"))
     rows = rows.join(weighted_median(rows, ["ts"], "close", "volume"), "ts").withColumn("off", F.abs(F.col("close") / F.col("weighted_median") - 1))
-    sums = [F.count("*").alias("days"), F.sum("volume").alias("volume"), F.percentile("off", 0.5).alias("median_off")]
+    sums, wanted = [F.count("*").alias("days"), F.sum("volume").alias("volume")], {"median_off": ("off", 0.5)}
     if external is not None:
         rows = rows.withColumn("day", F.to_date("ts")).join(external.where("rate > 0").select("quote", "day", "rate"), ["quote", "day"], "left")
-        sums += [F.count("rate").alias("external_days"), F.percentile(F.abs(F.col("weighted_median") / F.col("close") / F.col("rate") - 1), 0.5).alias("median_off_external")]
-    return rows.groupBy("quote").agg(*sums)
+        rows = rows.withColumn("off_external", F.abs(F.col("weighted_median") / F.col("close") / F.col("rate") - 1))
+        sums.append(F.count("rate").alias("external_days"))
+        wanted["median_off_external"] = ("off_external", 0.5)
+    rows = stored(rows)
+    return rows.groupBy("quote").agg(*sums).join(quantiles(rows, ["quote"], wanted), "quote", "left")
 
 
 def interval_uptime(requests: DataFrame, seconds: int = 300) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions.prices import PRICE_FLOOR
@@ -78,13 +78,30 @@ def mark_divergence(df: DataFrame, most: float = DIVERGENCE) -> DataFrame:
     return df.withColumn("diverges", F.coalesce(F.abs(F.try_divide("close", "pf_vwap") - 1) > most, F.lit(False)))
 
 
-def usd_method(candles: DataFrame, usd_rate: DataFrame, epoch: int = ORACLE_EPOCH, pre: int = PRE_USDC_END) -> DataFrame:
-    """How each candle's USD value came about, from what it looks like."""
-    days = usd_rate.where("method = 'external'").select(F.to_date("ts").alias("day")).distinct().withColumn("covered", F.lit(True))
-    rows = candles.withColumn("day", F.to_date("ts")).join(days, "day", "left")
+def imported_days(usd_rate: DataFrame, reach: int = 34) -> DataFrame:
+    """(end, last): the last day with an imported rate up to each day, for `reach` days after one.
+
+    A span of days holds an imported one if the last up to its end does not lie before its start, so one row for each
+    day that a span can end on answers for spans of any start.
+    """
+    days = usd_rate.where("method = 'external' and rate > 0").select(F.to_date("ts").alias("last")).distinct()
+    following = F.lead("last").over(Window.partitionBy(F.year("last")).orderBy("last"))  # days of a year
+    ends = days.withColumn("until", F.least(F.coalesce(F.date_add(following, -1), F.date_add("last", reach)), F.date_add("last", reach)))
+    rows = ends.select("last", F.explode(F.sequence("last", "until")).alias("end"))
+    return rows.groupBy("end").agg(F.max("last").alias("last"))  # of the end of a year and the beginning of the next
+
+
+def usd_method(candles: DataFrame, usd_rate: DataFrame, grain: str = "1m", epoch: int = ORACLE_EPOCH, pre: int = PRE_USDC_END) -> DataFrame:
+    """How each candle's USD value came about, from what it looks like.
+
+    An imported rate counts on any day from the one before the candle's start to that of its end, since weeks and
+    months take theirs from within.
+    """
+    rows = candles.withColumn("end", F.to_date(bucket_end(F.col("ts"), grain))).join(imported_days(usd_rate), "end", "left")
+    rows = rows.withColumn("covered", F.col("last") >= F.date_add(F.to_date("ts"), -1))
     usdc, sec = F.col("quote") == DOLLAR, F.unix_timestamp("ts")
     ladder = (
-        F.when(usdc & (sec < epoch) & (F.col("close_usd") != F.col("close")) & F.col("covered"), "external")
+        F.when(usdc & (sec < epoch) & (F.col("close_usd") != F.col("close")) & F.coalesce("covered", F.lit(False)), "external")
         .when(usdc & (F.col("close_usd") == F.col("close")), "assumed-par")
         .when(usdc & (sec >= epoch), "oracle")
         .when(usdc, "")
@@ -92,7 +109,7 @@ def usd_method(candles: DataFrame, usd_rate: DataFrame, epoch: int = ORACLE_EPOC
         .when(F.col("quote").isin("XLM", "USDT"), "traded")
         .otherwise("")
     )
-    return rows.withColumn("method", ladder).drop("day", "covered")
+    return rows.withColumn("method", ladder).drop("end", "last", "covered")
 
 
 def ohlcv_peg(candles: DataFrame, usd_rate: DataFrame, grain: str, in_xlm: bool = False, epoch: int = ORACLE_EPOCH) -> DataFrame:
@@ -111,12 +128,48 @@ def ohlcv_peg(candles: DataFrame, usd_rate: DataFrame, grain: str, in_xlm: bool
     return rows.select("ts", (F.try_divide(price, F.nullif(F.col("xlm"), F.lit(0.0))) if in_xlm else price).alias("close"), method.alias("method"))
 
 
-def ohlcv_native(candles: DataFrame, hourly: DataFrame, dollar: DataFrame, grain: str) -> DataFrame:
-    """XLM before the dollar coin: prices from imported hourly rates (ts, rate, quality, source), volumes from dollar legs."""
-    worst = F.element_at(F.create_map(*[x for i, q in enumerate(QUALITIES) for x in (F.lit(q), F.lit(i))]), F.col("quality"))
-    rates = hourly.groupBy(bucket_start(F.col("ts"), grain).alias("ts")).agg(F.min_by("rate", "ts").alias("open"), F.max("rate").alias("high"), F.min("rate").alias("low"), F.max_by("rate", "ts").alias("close"), F.get(F.array(*[F.lit(q) for q in QUALITIES]), F.max(worst)).alias("quality"), F.when(F.count_distinct("source") == 1, F.min("source")).alias("rate_source"))
-    legs = dollar_legs(candles, dollar).groupBy(bucket_start(F.col("ts"), grain).alias("ts")).agg(F.sum(F.when(F.col("asset") == "XLM", F.col("volume_base")).otherwise(F.col("volume_quote"))).alias("volume_base"), F.sum("trade_count").alias("trade_count"))
-    return rates.join(legs, "ts", "left")
+def _worst_quality(quality: Column) -> Column:
+    """The worst label of a bucket; one that is not known is worse than all."""
+    rank = F.when(quality == "", 0)
+    for i, q in enumerate(QUALITIES):
+        rank = rank.when(quality == q, i + 1)
+    return F.nullif(F.max_by(quality, F.struct(rank.otherwise(len(QUALITIES) + 1), quality)), F.lit(""))
+
+
+def ohlcv_native(candles: DataFrame, hourly: DataFrame, dollar: DataFrame, grain: str, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
+    """XLM before the dollar coin, in buckets from lo to before hi: prices from imported hourly rates (ts, rate, quality,
+    source), volumes from the dollar legs of the hours (of the buckets, for grains below an hour).
+
+    An hour's volume is valued at the newest rate before its end, at most a day old, which may lie before lo.  Below
+    an hour, a bucket exists where XLM traded and its hour has a rate; from an hour on, where there is a rate.
+    """
+    start = lambda c: bucket_start(F.col(c), grain)
+    base = F.when(F.col("asset") == "XLM", F.col("volume_base")).otherwise(F.col("volume_quote"))
+    legs = dollar_legs(candles, dollar).groupBy("ts").agg(F.sum(base).alias("volume"), F.sum("trade_count").alias("trades"))
+    if grain in ("1m", "15m"):
+        rows = legs.withColumn("hour", F.date_trunc("hour", "ts")).join(hourly.withColumnRenamed("ts", "hour"), "hour")
+        priced = rows.select(F.col("ts").alias("bucket"), F.col("hour").alias("at"), "rate", "quality", "source")
+        valued = rows.select(F.col("ts").alias("bucket"), "volume", "trades", "rate")
+    else:
+        priced = hourly.select(start("ts").alias("bucket"), F.col("ts").alias("at"), "rate", "quality", "source")
+        rates = hourly.where("rate > 0").select(F.col("ts").alias("r"), "rate")
+        valued = asof(legs, rates, [], F.col("ts") + F.expr("interval 1 hour"), "r", ["rate"], 86_400, strict=True).select(start("ts").alias("bucket"), "volume", "trades", "rate")
+    inside = F.lit(True) if lo is None else F.col("bucket") >= lo
+    inside = inside if hi is None else inside & (F.col("bucket") < hi)
+    prices = priced.where(inside).groupBy("bucket").agg(
+        F.min_by("rate", "at").alias("open"),
+        F.max("rate").alias("high"),
+        F.min("rate").alias("low"),
+        F.max_by("rate", "at").alias("close"),
+        F.avg("rate").alias("mean"),
+        _worst_quality(F.col("quality")).alias("quality"),
+        F.when(F.count_distinct("source") == 1, F.nullif(F.min("source"), F.lit(""))).alias("rate_source"),
+    )
+    amount = F.col("volume").cast("double")
+    sums = valued.where(inside).groupBy("bucket").agg(F.sum("volume").alias("volume_base"), F.sum("trades").alias("trade_count"), F.sum(amount * F.col("rate")).alias("volume_usd"), F.sum(F.when(F.col("rate").isNotNull(), amount)).alias("valued"))
+    rows = prices.join(sums, "bucket", "left").fillna(0, ["volume_base", "trade_count", "volume_usd", "valued"])
+    vwap = F.when(F.col("valued") > 0, F.col("volume_usd") / F.col("valued")).otherwise(F.col("mean"))
+    return rows.withColumn("vwap", _within(vwap)).withColumnRenamed("bucket", "ts").drop("mean", "valued")
 
 
 def merge_series(own: DataFrame, synthetic: DataFrame, n: int | None = None) -> DataFrame:

@@ -162,11 +162,21 @@ def current_prices(c1m: DataFrame, c1h: DataFrame, supply: DataFrame, usd_rate:
     return out.fillna(0.0, ["vwap_24h", "volume_24h_usd"]).fillna("{}", ["sources"]).fillna("trades", ["price_basis"])
 
 
+def attainable(venues: str) -> Column:
+    """The averages of an array of venues (source, closes, volume) for every choice of one close each.
+
+    Folds one venue after the other into the sums so far; equal sums are one, so venues without ties add none.
+    """
+    sums = F.aggregate(venues, F.array(F.lit(0.0)), lambda s, v: F.array_distinct(F.flatten(F.transform(s, lambda x: F.transform(v["closes"], lambda c: x + c.cast("double") * v["volume"].cast("double"))))))
+    total = F.aggregate(venues, F.lit(0.0), lambda s, v: s + v["volume"].cast("double"))
+    return F.transform(sums, lambda x: F.coalesce(F.try_divide(x, F.nullif(total, F.lit(0.0))), F.lit(0.0)))
+
+
 def recompute_snapshot(c1m: DataFrame, snapshot: DataFrame, as_of: Column, tolerance: float = 1e-9) -> DataFrame:
     """A verdict for each field of each asset, from the candles of the day.
 
     Where closes tie at a venue's latest time, whichever was taken is right: a price must be one of those at the
-    asset's latest time, and the average lie between those of the lowest and the highest ties of its venues.
+    asset's latest time, and the average that of some choice of one tied close for each of its venues.
     Venues are those that the guards and the mask leave, by name.
     """
     day = _recent(c1m, as_of)
@@ -174,14 +184,12 @@ def recompute_snapshot(c1m: DataFrame, snapshot: DataFrame, as_of: Column, toler
     last = rows.groupBy("asset").agg(F.max("ts").alias("ts"))
     ties = rows.join(last, ["asset", "ts"]).groupBy("asset").agg(F.collect_set("close_usd").alias("ties"))
     at_venue = rows.groupBy("asset", "source").agg(F.max("ts").alias("ts"))
-    range_ = rows.join(at_venue, ["asset", "source", "ts"]).groupBy("asset", "source").agg(F.min("close_usd").alias("low"), F.max("close_usd").alias("high"))
-    kept = consensus(per_venue(c1m, as_of)).join(range_, ["asset", "source"])
-    mean = lambda c: ratio(F.sum(F.col(c) * F.col("volume")), F.sum("volume"))
-    venues = kept.groupBy("asset").agg(mean("low").alias("vwap_low"), mean("high").alias("vwap_high"), F.array_sort(F.collect_list("source")).alias("names"))
+    tied = rows.join(at_venue, ["asset", "source", "ts"]).groupBy("asset", "source").agg(F.array_sort(F.collect_set("close_usd")).alias("closes"))
+    kept = consensus(per_venue(c1m, as_of)).join(tied, ["asset", "source"]).select("asset", "source", F.struct("source", "closes", "volume").alias("venue"))
+    venues = kept.groupBy("asset").agg(F.array_sort(F.collect_list("venue")).alias("venues")).withColumns({"averages": attainable("venues"), "names": F.transform("venues", lambda v: v["source"])})
     found = snapshot.join(ties, "asset", "left").join(venues, "asset", "left").join(volume_both_legs(c1m, as_of).withColumnRenamed("volume_24h_usd", "volume"), "asset", "left")
     near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1e-12))
     verdict = lambda known, good: F.when(~known, "no candle").when(good, "match").otherwise("mismatch")
-    slack = tolerance * F.abs(F.col("vwap_high"))
     listed = F.array_sort(F.map_keys(F.from_json("sources", "map<string,string>")))
     return found.select(
         "asset",
@@ -189,5 +197,5 @@ def recompute_snapshot(c1m: DataFrame, snapshot: DataFrame, as_of: Column, toler
         verdict(F.col("ties").isNotNull(), F.exists("ties", lambda x: near(F.col("price_usd"), x))).alias("price_verdict"),
         verdict(F.col("volume").isNotNull(), near(F.col("volume_24h_usd"), F.col("volume"))).alias("volume_verdict"),
         verdict(F.col("names").isNotNull(), listed == F.col("names")).alias("venues_verdict"),
-        verdict(F.col("names").isNotNull(), F.col("vwap_24h").between(F.col("vwap_low") - slack, F.col("vwap_high") + slack)).alias("vwap_verdict"),
+        verdict(F.col("names").isNotNull(), F.exists("averages", lambda x: near(F.col("vwap_24h"), x))).alias("vwap_verdict"),
     )

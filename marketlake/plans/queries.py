@@ -891,12 +891,18 @@ def _(t: Tables) -> DataFrame:
     return read.mark_divergence(read.ohlcv_quote(t.c("1h"), "USDC")).groupBy("diverges").agg(F.count("*").alias("buckets"))
 
 
-@query(
-    "q5_usd_method",
-    "select quote, case when quote = 'USDC' and close_usd <> close and cast(ts as date) in (select cast(ts as date) from usd_rate where method = 'external') then 'external' when quote = 'USDC' and close_usd = close then 'assumed-par' when quote = 'USDC' then '' when quote in ('XLM','USDT') then 'traded' else '' end as method, count(*) as n from p1m group by all",
-)
+_SOME_DAYS = "(select * from usd_rate where method <> 'external' or day(ts) % 9 = 0)"
+_METHODS = {
+    grain: f"""select '{grain}' as grain, quote, case when quote = 'USDC' and close_usd <> close and exists (select 1 from {_SOME_DAYS} u where u.method = 'external' and cast(u.ts as date) >= cast(c.ts as date) - 1 and cast(u.ts as date) <= cast(c.ts + interval {width} as date)) then 'external' when quote = 'USDC' and close_usd = close then 'assumed-par' when quote = 'USDC' then '' when quote in ('XLM','USDT') then 'traded' else '' end as method, count(*) as n from p{NAME.get(grain, grain)} c group by all"""
+    for grain, width in (("1m", "1 minute"), ("1d", "1 day"), ("1w", "7 days"), ("1M", "1 month"))
+}
+
+
+@query("q5_usd_method", " union all ".join(_METHODS.values()))
 def _(t: Tables) -> DataFrame:
-    return read.usd_method(t.p1m, t.usd_rate).groupBy("quote", "method").agg(F.count("*").alias("n"))
+    """With imported rates on every ninth day only."""
+    some = t.usd_rate.where("method <> 'external' or day(ts) % 9 = 0")
+    return reduce(DataFrame.unionByName, [read.usd_method(t.p(g), some, g).groupBy(F.lit(g).alias("grain"), "quote", "method").agg(F.count("*").alias("n")) for g in _METHODS])
 
 
 @query(
@@ -909,16 +915,25 @@ def _(t: Tables) -> DataFrame:
     return round_shown(read.ohlcv_peg(t.c("1h"), t.usd_rate, "1h"), "ts", "close", "method")
 
 
+_HOURLY = "select date_trunc('hour', ts) as ts, arg_max(rate, ts) as rate, arg_max(quality, ts) as quality, 'external' as source from usd_rate where method = 'external' and hour(ts) % 5 <> 2 group by 1"
+
+
 @query(
     "q7_ohlcv_native",
-    """with r as (select date_trunc('day', ts) as ts, arg_min(rate, ts) as open, max(rate) as high, min(rate) as low, arg_max(rate, ts) as close, case when max(quality = 'fallback') then 'fallback' else 'measured' end as quality, case when count(distinct method) = 1 then min(method) end as rate_source from (select date_trunc('hour', ts) as ts, arg_max(rate, ts) as rate, arg_max(quality, ts) as quality, 'external' as method from usd_rate where method = 'external' group by 1) group by 1),
-v as (select date_trunc('day', ts) as ts, sum(volume_base) as volume_base, cast(sum(trade_count) as bigint) as trade_count from c1h where asset = 'XLM' and quote in ('USDC','USDT') group by 1)
-select ts, round(open, 8) as open, round(high, 8) as high, round(low, 8) as low, round(close, 8) as close, quality, rate_source, round(cast(volume_base as double), 4) as volume_base, trade_count from r left join v using (ts)""",
+    f"""with h as ({_HOURLY}),
+r as (select date_trunc('day', ts) as ts, arg_min(rate, ts) as open, max(rate) as high, min(rate) as low, arg_max(rate, ts) as close, avg(rate) as mean, case when max((quality = 'fallback')::int) = 1 then 'fallback' else 'measured' end as quality, case when count(distinct source) = 1 then min(source) end as rate_source from h where ts >= timestamp '2024-01-02' group by 1),
+l as (select ts, ts + interval 1 hour as e, 1 as k, sum(volume_base) as v, sum(trade_count) as n from c1h where asset = 'XLM' and quote in ('USDC','USDT') group by 1),
+a as (select l.*, case when epoch(l.e) - epoch(x.ts) <= 86400 then x.rate end as rate from l asof left join (select *, 1 as k from h) x on l.k = x.k and l.e > x.ts),
+v as (select date_trunc('day', ts) as ts, sum(v) as volume_base, cast(sum(n) as bigint) as trade_count, sum(cast(v as double) * rate) as usd, sum(cast(v as double)) filter (rate is not null) as valued from a group by 1)
+select r.ts, round(open, 8) as open, round(high, 8) as high, round(low, 8) as low, round(close, 8) as close, quality, rate_source, round(cast(coalesce(volume_base, 0) as double), 4) as volume_base, coalesce(trade_count, 0) as trade_count, round(coalesce(usd, 0), 4) as volume_usd, round(least(greatest(case when valued > 0 then usd / valued else mean end, low), high), 8) as vwap from r left join v on r.ts = v.ts""",
 )
 def _(t: Tables) -> DataFrame:
-    hourly = t.usd_rate.where("method = 'external'").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.max_by("rate", "ts").alias("rate"), F.max_by("quality", "ts").alias("quality")).select(F.col("h").alias("ts"), "rate", "quality", F.lit("external").alias("source"))
+    """From the second day on; its first hours are valued at rates of the day before."""
+    some = t.usd_rate.where("method = 'external' and hour(ts) % 5 <> 2")
+    hourly = some.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.max_by("rate", "ts").alias("rate"), F.max_by("quality", "ts").alias("quality")).select(F.col("h").alias("ts"), "rate", "quality", F.lit("external").alias("source"))
     dollar = t.spark.createDataFrame([("USDC",), ("USDT",)], "asset string")
-    return round_shown(read.ohlcv_native(t.c("1h"), hourly, dollar, "1d"), "ts", "open", "high", "low", "close", "quality", "rate_source", "volume_base", "trade_count")
+    made = read.ohlcv_native(t.c("1h"), hourly, dollar, "1d", F.lit("2024-01-02").cast("timestamp"))
+    return round_shown(made, "ts", "open", "high", "low", "close", "quality", "rate_source", "volume_base", "trade_count", "volume_usd", "vwap")
 
 
 @query("q8_merge_series", "select ts, round(close, 8) as close from (select ts, rate as close from (select date_trunc('day', ts) as ts, max(rate) as rate from usd_rate where method = 'external' and ts < timestamp '2024-01-03' group by 1) union all select ts, ref as close from (select ts, sum(close) as ref from c1d where asset = 'XLM' and quote = 'USDC' group by 1) where ts >= timestamp '2024-01-03') order by ts desc limit 5")
@@ -1220,11 +1235,12 @@ def _(t: Tables) -> DataFrame:
     return jobs.symbol_queue(s.select("contract"), tried, 15)
 
 
-@query("k2_merge_answers", "select contract, case when s_suppkey % 3 = 0 then 'S' || s_suppkey end as symbol, case when s_suppkey % 3 = 0 then 0 when s_suppkey % 3 = 1 then s_nationkey % 5 + 1 else s_nationkey % 5 end as attempts from (select *, 'C' || s_suppkey as contract from supplier) where s_suppkey % 4 > 0")
+@query("k2_merge_answers", """select contract, case when s_suppkey % 3 = 0 and s_suppkey % 5 < 3 then 'S' || s_suppkey end as symbol, case when s_suppkey % 3 = 0 and s_suppkey % 5 < 3 then 0 when s_suppkey % 3 < 2 then s_nationkey % 5 + 1 else s_nationkey % 5 end as attempts
+from (select *, 'C' || s_suppkey as contract from supplier) where s_suppkey % 4 > 0""")
 def _(t: Tables) -> DataFrame:
     s = market.table(t.spark, t.sf_dir, "supplier").withColumn("contract", F.concat(F.lit("C"), F.col("s_suppkey").cast("string")))
     kind = F.col("s_suppkey") % 3
-    answers = s.where("s_suppkey % 4 > 0").select("contract", F.when(kind == 0, "resolved").when(kind == 1, "negative").otherwise("failed").alias("outcome"), F.when(kind == 0, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias("symbol"))
+    answers = s.where("s_suppkey % 4 > 0").select("contract", F.when(kind == 0, "resolved").when(kind == 1, "negative").otherwise("failed").alias("outcome"), F.when(kind == 0, F.concat(F.when(F.col("s_suppkey") % 5 == 3, "S" * 32).when(F.col("s_suppkey") % 5 == 4, "\u202e").otherwise(" "), F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("  "))).alias("symbol"))
     return jobs.merge_answers(s.select("contract", (F.col("s_nationkey") % 5).alias("attempts")), answers)
 
 
@@ -1272,6 +1288,27 @@ def _(t: Tables) -> DataFrame:
 _UNIQUE = "select '{}' as what, (select count(*) = count(distinct asset) from ({})) as assets_unique, (select coalesce(max(n) <= 1, true) from (select count(*) as n from ({}) group by asset, quote, source, ts)) as one_row_per_key"
 
 
+_COPIED = "select strftime(ts, '%Y-%m') as month, count(*) filter (asset in ('AAA', 'BBB') or quote in ('AAA', 'BBB')) as colliding_rows from c1m group by 1 union all select '2023-12', 3 union all select '2023-11', 0"
+_RESTORED = {"same": "select 'AAA' as old_id, 'same' as new_id, 'colliding' as state union all select 'BBB', 'same', 'colliding' union all select 'XLM', 'xlm', 'mapped'", "shared": "select 'AAA', 'same', 'colliding' union all select 'BBB', 'same', 'colliding' union all select 'XLM', 'same', 'mapped'"}
+
+
+@query(
+    "k9_colliding_restored",
+    " union all ".join(
+        f"""select '{what}' as mapping, m.month, m.colliding_rows, m.colliding_rows = 0 or exists (select 1 from (select ts, case when asset in ('AAA', 'BBB') then 'same' else asset end as asset, quote from c1m) c where strftime(c.ts, '%Y-%m') = m.month and (c.asset in (select new_id from i_{what}) or c.quote in (select new_id from i_{what}))) as restored
+from ({_COPIED}) m"""
+        for what in _RESTORED
+    ).join(["with " + ", ".join(f"i_{what} as (select new_id from ({sql}) x(old_id, new_id, state) group by 1 having count(*) filter (state = 'colliding') > 0 and count(*) filter (state = 'mapped') = 0)" for what, sql in _RESTORED.items()) + " ", ""]),
+)
+def _(t: Tables) -> DataFrame:
+    """Rows of two ids that were one are back in the trades' month, and nowhere else; and the same where a clean id shares theirs."""
+    either = F.col("asset").isin("AAA", "BBB") | F.col("quote").isin("AAA", "BBB")
+    months = t.c1m.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count_if(either).alias("colliding_rows")).unionByName(t.spark.createDataFrame([("2023-12", 3), ("2023-11", 0)], "month string, colliding_rows long"))
+    facts = t.c1m.withColumn("asset", F.when(F.col("asset").isin("AAA", "BBB"), "same").otherwise(F.col("asset")))
+    of = lambda xlm: t.spark.createDataFrame([("AAA", "same", "colliding"), ("BBB", "same", "colliding"), ("XLM", xlm, "mapped")], "old_id string, new_id string, state string")
+    return reduce(DataFrame.unionByName, [jobs.colliding_restored(facts, of(xlm), months).select(F.lit(what).alias("mapping"), "*") for what, xlm in (("same", "xlm"), ("shared", "same"))])
+
+
 @query("k9_post_checks", _UNIQUE.format("whole", "select asset from assets", "select * from c1m") + " union all " + _UNIQUE.format("twice", "select asset from assets union all select asset from assets where asset < 'B'", "select asset, quote, source, ts from c1m union all select asset, quote, source, ts from c1m where source = 'sdex'"))
 def _(t: Tables) -> DataFrame:
     """The tables, and the tables with rows that stand twice."""
