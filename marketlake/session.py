@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def session(app: str = "marketlake", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session in UTC with adaptive execution; cluster settings win where they are given."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false").config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

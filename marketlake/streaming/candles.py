@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from marketlake.functions.timebucket import bucket_start
 from marketlake.operators.candles import COLUMNS, KEYS, _finished, candles_1m, minute_aggregates, rollup
 from marketlake.operators.events import learn_pools, route_events
+from marketlake.sources.tiers import Tiers
 from marketlake.sources.versioned import latest, merge_append
 
 DELAY = "2 minutes"
@@ -47,6 +49,16 @@ def merge_into(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def fold_into(tiers: Tiers, grain: str) -> Callable[[DataFrame, int], None]:
+    """Folds each batch into a stored tier: only the months that it touches are written again, so nothing piles up,
+    and a batch that comes again changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        tiers.fold(grain, batch)
+
+    return write
+
+
 def read_merged(spark: SparkSession, path: str, keys: list[str], version: str, columns: list[str]) -> DataFrame:
     """The table that `merge_into` wrote, the latest version of each key."""
     return latest(spark.read.option("basePath", path).parquet(f"{path}/batch=*").select(columns), keys, version)
@@ -77,36 +89,60 @@ def learn_then_route(batch: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     return (pools, *route_events(batch, pools))
 
 
-def stream_enrich(candles: DataFrame, rates: DataFrame, max_age: int = 300, delay: str = DELAY) -> DataFrame:
+class _Carry(StatefulProcessor):
+    """Of one quote and share of the assets: the rates of the last `max_age` seconds, and the candles that wait for the
+    watermark, by the time on which a timer is set for them."""
+
+    def __init__(self, max_age: int) -> None:
+        self.max_age = max_age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rates = handle.getMapState("rates", "us long", "price double")
+        self.waiting = handle.getMapState("waiting", "us long", "rows array<struct<asset:string,source:string,close:double>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for batch in rows:
+            us = batch["ts"].astype("datetime64[us]").astype("int64")
+            rate = batch["side"] == 1
+            for t, price in zip(us[rate].tolist(), batch["price"][rate].tolist(), strict=True):
+                self.rates.updateValue((t,), (price,))
+            for t, some in batch[~rate].groupby(us[~rate]):
+                held = list(self.waiting.getValue((t,))[0]) if self.waiting.containsKey((t,)) else []
+                self.waiting.updateValue((t,), ([*map(tuple, held), *some[["asset", "source", "close"]].itertuples(index=False, name=None)],))
+                self.handle.registerTimer(t // 1000 + 1)
+            # A rate alone needs no candle to go: its own timer ends it.
+            for t in us[rate].unique().tolist():
+                self.handle.registerTimer(t // 1000 + self.max_age * 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000
+        due = sorted(t for (t,) in self.waiting.keys() if t // 1000 == mark // 1000)
+        known = sorted((t, p) for (t,), (p,) in self.rates.iterator())
+        for t in due:
+            last = next(((at, p) for at, p in reversed(known) if at <= t), None)
+            price = last[1] if last and t - last[0] <= self.max_age * 1_000_000 else None
+            rows = list(map(tuple, self.waiting.getValue((t,))[0]))
+            yield pd.DataFrame({"quote": [key[0]] * len(rows), "ts": pd.to_datetime([t] * len(rows), unit="us"), "asset": [r[0] for r in rows], "source": [r[1] for r in rows], "close": [r[2] for r in rows], "price": pd.Series([price] * len(rows), dtype="float64")})
+            self.waiting.removeKey((t,))
+        for t, _ in known:
+            if t < mark - self.max_age * 1_000_000:
+                self.rates.removeKey((t,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_enrich(candles: DataFrame, rates: DataFrame, max_age: int = 300, delay: str = DELAY, shares: int = 16) -> DataFrame:
     """Candles (asset, quote, source, ts, close) with the latest earlier rate of their quote (asset, ts, price).
 
-    State per quote: the rates of the last `max_age` seconds and the candles that the watermark has not passed.
+    State is kept by quote and share of its assets, so that a quote with most candles is `shares` keys; the few rates
+    go to each of them.  A timer on a candle's time hands it on when the watermark has passed it, and one behind a
+    rate lets it go when it is of no use.  Needs the RocksDB state store, which `session` sets.
     """
-    left = candles.select(F.col("quote").alias("k"), "ts", F.lit(0).alias("side"), "asset", "source", "close", F.lit(None).cast("double").alias("price"))
-    right = rates.select(F.col("asset").alias("k"), "ts", F.lit(1).alias("side"), F.lit("").alias("asset"), F.lit("").alias("source"), F.lit(None).cast("double").alias("close"), "price")
+    share = F.pmod(F.xxhash64("asset"), F.lit(shares)).cast("int")
+    left = candles.select(F.col("quote").alias("k"), share.alias("share"), "ts", F.lit(0).alias("side"), "asset", "source", F.col("close").cast("double").alias("close"), F.lit(None).cast("double").alias("price"))
+    right = rates.select(F.col("asset").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "ts", F.lit(1).alias("side"), F.lit("").alias("asset"), F.lit("").alias("source"), F.lit(None).cast("double").alias("close"), F.col("price").cast("double").alias("price"))
     both = left.unionByName(right).withWatermark("ts", delay)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["ts", "side", "asset", "source", "close", "price"]
-        old = pd.DataFrame(state.get[0], columns=columns) if state.exists else pd.DataFrame(columns=columns)
-        rows = [b[columns].assign(ts=b["ts"].astype("int64") // 1000) for b in batches]
-        frame = pd.concat([x for x in (old, *rows) if len(x)], ignore_index=True) if len(old) or any(map(len, rows)) else old
-        mark = state.getCurrentWatermarkMs() * 1000
-        frame = frame.sort_values(["ts", "side"], ascending=[True, False], kind="stable")
-        last = frame["price"].where(frame["side"] == 1).ffill()
-        at = frame["ts"].where(frame["side"] == 1).ffill()
-        ready = (frame["side"] == 0) & (frame["ts"] < mark)
-        out = frame[ready].assign(price=last[ready].where((frame["ts"] - at)[ready] <= max_age * 1_000_000))
-        keep = frame[((frame["side"] == 0) & ~ready) | ((frame["side"] == 1) & (frame["ts"] >= mark - max_age * 1_000_000))]
-        if len(keep):
-            state.update(([tuple(x) for x in keep.astype(object).where(keep.notna(), None).itertuples(index=False)],))
-            waiting = keep["ts"][keep["side"] == 0]
-            # Candles wait for the watermark; without any, old rates go once they are of no use.
-            due = waiting.min() // 1000 if len(waiting) else keep["ts"].max() // 1000 + max_age * 1000
-            state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs())) + 1)
-        elif state.exists:
-            state.remove()
-        if len(out):
-            yield pd.DataFrame({"quote": key[0], "ts": pd.to_datetime(out["ts"], unit="us"), "asset": out["asset"], "source": out["source"], "close": out["close"].astype(float), "price": out["price"].astype(float)})
-
-    return both.groupBy("k").applyInPandasWithState(step, "quote string, ts timestamp, asset string, source string, close double, price double", "rows array<struct<ts:long,side:int,asset:string,source:string,close:double,price:double>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return both.groupBy("k", "share").transformWithStateInPandas(_Carry(max_age), "quote string, ts timestamp, asset string, source string, close double, price double", "Append", "EventTime")

@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from marketlake.operators.candles import KEYS, candles_1m
+from marketlake.operators.asof import asof
+from marketlake.sources.tiers import Tiers
 from marketlake.sources.versioned import latest
 from marketlake.streaming import candles as s
 from tests.test_market import FILLS, T, fill, fills_of
@@ -76,6 +78,40 @@ def test_stream_enrich(spark, tmp_path):
     assert got == {0: None, 100: 0.8, 500: None, 2000: None}
 
 
+def test_stream_enrich_spreads_a_quote_over_keys(spark, tmp_path):
+    """A hundred assets of one quote in several batches, against the batch join; more than one key of state."""
+    at = lambda n: T + timedelta(seconds=n)
+    candles = [(f"A{i}", "USDC", "v", at(60 * m + i % 7), float(i + m)) for m in range(20) for i in range(100) if (i + m) % 9 == 0]
+    prices = [("USDC", at(45 * m), 1 + m / 100) for m in range(20)] + [("USDC", at(9000), 1.0)]
+    half = len(candles) // 2
+    for n, rows in enumerate((candles[:half], candles[half:])):
+        spark.createDataFrame(rows, "asset string, quote string, source string, ts timestamp, close double").coalesce(1).write.parquet(f"{tmp_path}/c/{n}")
+    for n, rows in enumerate((prices[:9], prices[9:])):
+        spark.createDataFrame(rows, "asset string, ts timestamp, price double").coalesce(1).write.parquet(f"{tmp_path}/r/{n}")
+    read = lambda p, schema: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{p}")
+    out = s.stream_enrich(read("c", "asset string, quote string, source string, ts timestamp, close double"), read("r", "asset string, ts timestamp, price double"), shares=4)
+    q = out.writeStream.format("memory").queryName("spread").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    right = spark.createDataFrame(prices, "quote string, r timestamp, price double")
+    want = asof(spark.createDataFrame(candles, "asset string, quote string, source string, ts timestamp, close double"), right, ["quote"], F.col("ts"), "r", ["price"], 300)
+    rows = lambda df: sorted((r.asset, r.ts, r.close, r.price) for r in df.collect())
+    assert rows(spark.table("spread")) == rows(want)
+    assert spark.table("spread").select(F.pmod(F.xxhash64("asset"), F.lit(4))).distinct().count() == 4
+
+
+def test_folded_stream_equals_batch(spark, tmp_path):
+    batches = [[fill(k, 1.0 + k, minute=m + b * 10) for m in range(10) for k in (1, 2)] for b in range(3)]
+    _, stream = _files(spark, tmp_path, batches)
+    tiers = Tiers(spark, f"{tmp_path}/tiers", 2)
+    out = s.stream_candles(stream).drop("clamped")
+    s.resume(out, f"{tmp_path}/ck", s.fold_into(tiers, "1m")).awaitTermination(180)
+    streamed = tiers.read("1m")
+    every = fills_of(spark, [r for b in batches for r in b])
+    both = streamed.unionByName(s.open_tail(every, streamed).select(streamed.columns))
+    batch = candles_1m(every).drop("clamped").select(both.columns)
+    assert 0 < streamed.count() and sorted(map(str, both.collect())) == sorted(map(str, batch.collect()))
+
+
 def test_fan_out_writes_every_table_of_a_batch(spark, tmp_path):
     spark.createDataFrame([("AAA", n) for n in range(10)], "asset string, n long").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("asset string, n long").parquet(f"{tmp_path}/in")
