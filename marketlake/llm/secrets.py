@@ -8,12 +8,17 @@ are one.  States are merged where their statistics agree (G tests on what follow
 them, symbols and ends alike): first those of one depth, the most frequent first,
 so that evidence gathers before it is judged, then any.  So lengths and fixed
 parts stay as states of the probabilistic automaton, while random parts fold.
+The sample holds whole values of up to `LONGEST_VALUE` characters; a kind with fewer
+than `LEAST_VALUES` of them has no automaton, since a few values cannot tell a format
+from chance.
 
 Every run of `[A-Za-z0-9+/_=-]` of 6 characters or more, in every whole text, is
 a candidate; of one that base spans touch, the parts outside them are.  Its score
 under a kind is the mean log2 likelihood ratio per character of the automaton
 against characters of all texts outside base spans, each given the one before
-it.  It is reported if it reaches `ENOUGH` of the score that all but the lowest
+it, or against numbers and dates, where it is made of digits and marks alone: there each
+character has a tenth, whatever the length, so digits that only look drawn at random are
+no format.  It is reported if it reaches `ENOUGH` of the score that all but the lowest
 hundredth of the labelled credentials of a kind have.
 
 Null texts count as empty.  Each row is judged by its own text alone, so
@@ -46,7 +51,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
-TRAIN_VALUES = 400
+TRAIN_VALUES, LEAST_VALUES, LONGEST_VALUE = 400, 24, 4096
 LONGEST = 128
 ALPHA = 0.001
 SHORTEST = 6
@@ -55,6 +60,10 @@ ENOUGH, LEAST, EVIDENCE = 0.6, 0.25, 10.0
 PRIOR = 1000
 #: No character counts as rarer than this after another, so that one seen nowhere else does not decide alone.
 RAREST = 1 / 1024
+#: log2 of the share of each character in numbers and dates, and what these are made of.
+NUMBER = log2(0.1)
+_DATED = np.zeros(256, bool)
+_DATED[[ord(c) for c in "0123456789+/_=-"]] = True
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: What stands for the end of a string, and for all other characters.
 NONE = ""
@@ -265,8 +274,10 @@ class Format:
         return self._logs
 
     def _background(self, value: str) -> float:
-        code = _CODE[np.frombuffer(value.encode("ascii", "replace"), np.uint8)]
-        return float(self.plain[np.r_[0, code], np.r_[code, 0]].sum())
+        raw = np.frombuffer(value.encode("ascii", "replace"), np.uint8)
+        code = _CODE[raw]
+        pairs = float(self.plain[np.r_[0, code], np.r_[code, 0]].sum())
+        return max(pairs, NUMBER * len(raw)) if _DATED[raw].all() else pairs
 
     def scores(self, value: str) -> list[float]:
         """The score under each kind."""
@@ -322,6 +333,8 @@ class Format:
         if len(s):
             plain = np.r_[0.0, np.cumsum(self.plain[code[:-1], code[1:]])]
             plain = plain[s + n - 1] - plain[s] + self.plain[0, code[s]] + self.plain[code[s + n - 1], 0]
+            dated = np.r_[0, np.cumsum(_DATED[data])]
+            plain = np.where(dated[s + n] - dated[s] == n, np.maximum(plain, NUMBER * n), plain)
             live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # how many are longer than each place
             for log, step, last, least in self._arrays():
                 q, total = np.zeros(len(s), np.int64), np.zeros(len(s))
@@ -351,13 +364,14 @@ def learn(values: dict[str, list[str]] | list[str], words: list[str] | np.ndarra
         return None
     seen = (words if isinstance(words, np.ndarray) else characters(words)).astype(float)
     one = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * _SIZE)
-    plain = np.log2(np.maximum((seen + PRIOR * one) / (seen.sum(axis=1, keepdims=True) + PRIOR), RAREST))
+    share = np.maximum((seen + PRIOR * one) / (seen.sum(axis=1, keepdims=True) + PRIOR), RAREST)
+    plain = np.log2(share)
     out = []
-    for v in filter(None, kinds.values()):
+    for v in (v for v in kinds.values() if len(v) >= LEAST_VALUES):
         halves = [v[::2], v[1::2] or v]
         unseen = sorted(x for mine, other in (halves, halves[::-1]) for made in [Format([(Automaton.infer(mine, longest=longest), 0.0)], plain)] for x in (made.scores(y)[0] for y in other))
         out.append((Automaton.infer(v, longest=longest), max(ENOUGH * unseen[len(unseen) // 20], LEAST)))
-    return Format(out, plain)
+    return Format(out, plain) if out else None
 
 
 def format_spans(text: str, base: list[tuple[int, int, int, str]], found: Format | None) -> list[tuple[int, int, int, str]]:
@@ -390,7 +404,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Recor
         for t in batch.column(text).to_pylist():
             if t:
                 base, at = base_spans(t), 0
-                values.update((k, s[: 4 * LONGEST]) for _, k, _, s in base if len(s) >= SHORTEST)
+                values.update((k, s) for _, k, _, s in base if SHORTEST <= len(s) <= LONGEST_VALUE)
                 for a, _, b, _ in base:
                     plain.append(t[at:a])
                     at = max(at, b)

@@ -3,7 +3,7 @@ import re
 
 import pyarrow as pa
 
-from marketlake.llm.secrets import CANDIDATE, KINDS, SYMBOLS, Automaton, all_spans, base_spans, find_secrets, learn, learn_from, redact
+from marketlake.llm.secrets import CANDIDATE, KINDS, LEAST_VALUES, SYMBOLS, Automaton, all_spans, base_spans, find_secrets, learn, learn_from, redact
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), lambda m: len(m.group(2)) >= 6),
@@ -88,6 +88,24 @@ def test_planted_formats_are_found_and_words_are_not(spark):
         assert abs(found.scores(value)[0] - (automaton.likelihood(value) - plain) / len(value)) < 1e-9
 
 
+def test_few_labels_and_many_card_numbers(spark):
+    """Too few labelled values teach nothing; with enough of them numbers are still no format."""
+    r = random.Random(21)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    number = lambda: draw("0123456789", 16)
+    key = lambda: draw("abcdefghijklmnopqrstuvwxyz0123456789", 20)
+    words = [draw("etaoinshrdlu", r.randrange(2, 12)) for _ in range(500)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    for labels in (11, 60):
+        docs = [(i, f"{prose(20)} secret={key() if i % 3 else number()} {prose(20)}") for i in range(labels)]
+        docs += [(1000 + i, f"{prose(30)} {number()} {prose(10)} 2024-{r.randrange(10, 13)}-{r.randrange(10, 29)} {draw('0123456789', 9)} {prose(5)}") for i in range(300)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        found = learn_from(df)
+        assert (found is None) == (labels < LEAST_VALUES)
+        spans = {x.doc_id: [s.kind for s in x.spans] for x in find_secrets(df, found).collect()}
+        assert not any("format" in spans[1000 + i] for i in range(300))
+
+
 def test_long_values_teach_a_tail():
     r = random.Random(10)
     values = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (300, 400, 40, 500) * 10]
