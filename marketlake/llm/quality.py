@@ -177,4 +177,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", (crc_remainder("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", F.coalesce(crc_remainder("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
