@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.prices import STORED, STORED_CEILING, price_survives, rounding_bound
 from marketlake.functions.timebucket import window_lower
-from marketlake.operators import candles, enrich, events, fills, jobs, quality, read, series, snapshot
+from marketlake.operators import candles, enrich, events, fills, identity, jobs, quality, read, series, snapshot
 from marketlake.operators.asof import asof
 from marketlake.plans.sql import CHILD, COUNTS, KEYS, NAME, PRICES, VOLUMES, shown, with_tables
 from marketlake.sources import market, rates, versioned
@@ -795,6 +796,78 @@ def _(t: Tables) -> DataFrame:
     return snapshot.recompute_snapshot(p1m, changed(made), as_of).drop("price_usd")
 
 
+# Facts by identity: two codes have two issuers each.
+
+#: The identities that price all others.
+RESERVED = {code: issuer for code, _, issuer, _ in market.ASSETS if code in ("XLM", "USDC", "USDT")}
+
+
+def _by_identity(sql: str) -> str:
+    """The statement over claims in which another issuer's tokens have a name of their own."""
+    body = re.search(r"claims as materialized \((.*?from lineitem)\)", sql, re.DOTALL)[0]
+    other = lambda leg, code: f"case when {leg} = '{code}' and source <> 'sdex' then '{code}2' else {leg} end as {leg}"
+    return sql.replace(body, body.replace("claims as", "every_claim as", 1) + f",\nclaims as materialized (select * replace (case when sold in ('AAA', 'USDT') and source <> 'sdex' then sold || '2' else sold end as sold, {other('bought', 'USDT')}) from every_claim)", 1)
+
+
+def keyed_query(name: str, sql: str) -> Callable:
+    def register(f: Callable[[Tables], DataFrame]) -> Callable:
+        query(name, sql)(f)
+        ORACLE_SQL[name] = _by_identity(ORACLE_SQL[name])
+        return f
+
+    return register
+
+
+def _names(t: Tables) -> DataFrame:
+    more = t.spark.createDataFrame([(code, market.OTHER[0], "") for code in market.OTHER[1]], "asset string, issuer string, contract string")
+    return identity.dictionary(t.assets.select("asset", "issuer", "contract").unionByName(more), RESERVED)
+
+
+def _keyed_1m(t: Tables) -> DataFrame:
+    """Minute candles by key, stored as the others are."""
+    made = lambda: candles.candles_1m(fills.fills(identity.keyed(market.issued_claims(t.spark, t.sf_dir), RESERVED))).drop("clamped")
+    return t._stored("keyed", made, "lineitem").read("1m")
+
+
+def _labelled(df: DataFrame, t: Tables, *legs: str) -> DataFrame:
+    """Keys as the statements name them: the code, and a 2 for the other issuer."""
+    rows = identity.named(df, _names(t), *legs)
+    return rows.withColumns({leg: F.concat(F.col(f"{leg}_code"), F.when(F.col(f"{leg}_issuer") == market.OTHER[0], "2").otherwise("")) for leg in legs})
+
+
+@keyed_query("f13_keyed_candles", f"select {shown()} from c1m")
+def _(t: Tables) -> DataFrame:
+    return round_shown(_labelled(_keyed_1m(t), t, "asset", "quote"))
+
+
+@query("f13_key_collisions", "select count(*) as keys, count(distinct asset || ':' || issuer || ':' || case when issuer = '' then contract else '' end) as identities from (select distinct asset, issuer, case when issuer = '' then contract else '' end as contract from (select asset, issuer, contract from assets union all select 'AAA', 'GOTHER', '' union all select 'USDT', 'GOTHER', ''))")
+def _(t: Tables) -> DataFrame:
+    return _names(t).agg(F.count_distinct("key").alias("keys"), F.count_distinct("asset", "issuer", F.when(F.col("issuer") == "", F.col("contract")).otherwise("")).alias("identities"))
+
+
+@keyed_query(
+    "p16_keyed_prices",
+    """select a.asset, round(price_usd, 8) as price_usd, method, round(coalesce(v.w, 0), 6) as vwap_24h, round(coalesce(price_usd * supply, 0), 0) as market_cap
+from all_tips a left join (select asset, sum(price * volume) / nullif(sum(volume), 0) as w from masked group by 1) v using (asset) left join asset_supply using (asset)""",
+)
+def _(t: Tables) -> DataFrame:
+    as_of = t.as_of
+    p1m = stored(enrich.enrich(snapshot.needed(_keyed_1m(t), as_of), t.oracle, t.usd_rate))
+    own = {code: issuer for code, _, issuer, _ in market.ASSETS}
+    issuer = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.col("asset")), F.lit(""))
+    supply = t.supply.withColumn("asset", identity.key(F.col("asset"), issuer, F.lit(""), RESERVED))
+    made = snapshot.current_prices(p1m, candles.rollup(candles.rollup(p1m, "15m"), "1h"), supply, t.usd_rate, as_of)
+    return _labelled(made, t, "asset").select("asset", F.round("price_usd", 8).alias("price_usd"), "method", F.round("vwap_24h", 6).alias("vwap_24h"), F.round("market_cap", 0).alias("market_cap"))
+
+
+@keyed_query("d19_keyed_tickers", "select regexp_replace(asset, '2$', '') as ticker, case when arg_max(asset, (n, case when asset like '%2' then 'GOTHER' else 'G' end)) like '%2' then 'GOTHER' else 'own' end as issuer, max(n) as candles from (select asset, count(*) as n from c1m where asset in (select asset from assets) or asset like '%2' group by 1) group by 1")
+def _(t: Tables) -> DataFrame:
+    """The issuer with most candles of each code, by the keys of the facts."""
+    names = _names(t).withColumnRenamed("key", "asset_id")
+    found = quality.canonical_ticker(_keyed_1m(t).select(F.col("asset").alias("asset_id")), names)
+    return found.withColumn("issuer", F.when(F.col("issuer") == market.OTHER[0], F.col("issuer")).otherwise("own"))
+
+
 # Series.
 
 

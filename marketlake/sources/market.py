@@ -114,6 +114,17 @@ ASSETS = (
 )
 
 
+#: The issuer that some tokens of these codes have off the order book.
+OTHER = ("GOTHER", ("AAA", "USDT"))
+
+
+def issued_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims with the issuers of both legs, two codes having two issuers each."""
+    issuer = F.create_map(*[F.lit(x) for code, _, by, _ in ASSETS for x in (code, by)])
+    of = lambda leg: F.when(F.col(leg).isin(*OTHER[1]) & (F.col("source") != "sdex"), OTHER[0]).otherwise(F.coalesce(F.try_element_at(issuer, F.col(leg)), F.lit("")))
+    return claims(spark, sf_dir).withColumns({f"{leg}_issuer": of(leg) for leg in ("sold", "bought")})
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities by code: the test markets (CCC is missing on purpose) and a token for every part."""
     fixed = spark.createDataFrame(list(ASSETS), "asset string, kind string, issuer string, contract string")

@@ -105,3 +105,21 @@ def test_routing_scans_once(spark):
     assert events.routed(e, pools)._jdf.queryExecution().executedPlan().toString().count("parse_json") <= 2
     trades, other, failed = events.route_events(e, pools)
     assert [(r["sold"], r["bought"], int(r["amount_sold"]), int(r["amount_bought"])) for r in trades.collect()] == [("AAA", "USDC", 7, 3)] and not other.collect() and not failed.collect()
+
+
+def test_keys_keep_issuers_of_one_code_apart(spark):
+    """Reserved identities are their code; others of the same code are not, nor do they get its rank; no two share a key."""
+    from marketlake.operators import fills, identity
+
+    reserved = {"XLM": "", "USDC": "GUSDC"}
+    assets = spark.createDataFrame([("XLM", "", ""), ("USDC", "GUSDC", "C1"), ("USDC", "GFAKE", ""), ("AAA", "G1", ""), ("AAA", "G2", ""), ("AAA", "G2", "C9"), ("", "", "C2"), ("", "", "C3")], "asset string, issuer string, contract string")
+    names = identity.dictionary(assets, reserved)
+    keys = {(r["asset"], r["issuer"], r["contract"]): r["key"] for r in names.collect()}
+    assert keys["XLM", "", ""] == "XLM" and keys["USDC", "GUSDC", "C1"] == "USDC" and keys["AAA", "G2", ""] == keys["AAA", "G2", "C9"]
+    assert len(set(keys.values())) == 7 and not identity.collisions(names).collect()
+    claims = spark.createDataFrame([("AAA", "G1", "USDC", "GUSDC"), ("AAA", "G2", "USDC", "GFAKE"), ("ZZZ", None, "XLM", "")], "sold string, sold_issuer string, bought string, bought_issuer string").withColumns({"amount_sold": F.lit(5), "amount_bought": F.lit(6)})
+    rows = fills.canonicalise(identity.keyed(claims, reserved))
+    got = [(r["base_code"], r["base_issuer"], r["quote_code"], r["quote_issuer"]) for r in identity.named(rows, names, "base", "quote").collect()]
+    assert sorted(got, key=str) == [("AAA", "G1", "USDC", "GUSDC"), ("AAA", "G2", "USDC", "GFAKE"), ("ZZZ", None, "XLM", "")]
+    clash = names.unionByName(spark.createDataFrame([(keys["AAA", "G1", ""], "BBB", "G9", "")], "key string, asset string, issuer string, contract string"))
+    assert [r["identities"] for r in identity.collisions(clash).collect()] == [2]
