@@ -31,15 +31,15 @@ def code_of(c: Column) -> Column:
 
 
 def dictionary(assets: DataFrame, reserved: dict[str, str]) -> DataFrame:
-    """(key, asset, issuer, contract) of a registry; a contract that wraps an asset is part of the asset's identity only
-    where it has no issuer."""
+    """(key, asset, issuer, contract), a row for each identity of a registry; a contract is part of it only where there is
+    no issuer, as it else wraps the asset."""
     contract = F.when(F.col("issuer") == "", F.col("contract")).otherwise(F.lit(""))
-    return assets.select(key(F.col("asset"), F.col("issuer"), contract, reserved).alias("key"), "asset", "issuer", "contract").distinct()
+    return assets.select("asset", "issuer", contract.alias("contract")).distinct().withColumn("key", key(F.col("asset"), F.col("issuer"), F.col("contract"), reserved)).select("key", "asset", "issuer", "contract")
 
 
 def collisions(names: DataFrame) -> DataFrame:
     """Keys that stand for more than one identity; facts must not be written while there are any."""
-    return names.groupBy("key").agg(F.count_distinct("asset", "issuer", F.when(F.col("issuer") == "", F.col("contract")).otherwise(F.lit(""))).alias("identities")).where("identities > 1")
+    return names.groupBy("key").agg(F.count_distinct("asset", "issuer", "contract").alias("identities")).where("identities > 1")
 
 
 def keyed(claims: DataFrame, reserved: dict[str, str]) -> DataFrame:

@@ -842,7 +842,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("f13_key_collisions", "select count(*) as keys, count(distinct asset || ':' || issuer || ':' || case when issuer = '' then contract else '' end) as identities from (select distinct asset, issuer, case when issuer = '' then contract else '' end as contract from (select asset, issuer, contract from assets union all select 'AAA', 'GOTHER', '' union all select 'USDT', 'GOTHER', ''))")
 def _(t: Tables) -> DataFrame:
-    return _names(t).agg(F.count_distinct("key").alias("keys"), F.count_distinct("asset", "issuer", F.when(F.col("issuer") == "", F.col("contract")).otherwise("")).alias("identities"))
+    return _names(t).agg(F.count_distinct("key").alias("keys"), F.count_distinct("asset", "issuer", "contract").alias("identities"))
 
 
 @keyed_query(
