@@ -16,7 +16,7 @@ from marketlake.operators import candles, enrich, events, fills, identity, jobs,
 from marketlake.operators.asof import asof
 from marketlake.plans.sql import CHILD, COUNTS, KEYS, NAME, PRICES, VOLUMES, shown, with_tables
 from marketlake.sources import market, rates, versioned
-from marketlake.sources.stored import folder, once, signature, stored
+from marketlake.sources.stored import exists, folder, once, signature, stored
 from marketlake.sources.tiers import Tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,7 @@ class Tables:
             return tiers
 
         state = tuple(signature(self.spark, f"{self.sf_dir}/{t}.parquet") for t in tables)
-        return once(self.spark, (name, self.sf_dir, state), write)
+        return once(self.spark, (name, self.sf_dir, state), write, lambda tiers: exists(self.spark, f"{tiers.root}/1m"))
 
     @property
     def tiers(self) -> Tiers:

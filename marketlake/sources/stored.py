@@ -41,9 +41,14 @@ def signature(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
-def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
-    """What `make` returns, made once for each key of an application."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], object], there: Callable[[object], bool] = lambda made: True) -> object:
+    """What `make` returns, made once for each key of an application, and again if it is no longer there."""
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _MADE:
+    if key not in _MADE or not there(_MADE[key]):
         _MADE[key] = make()
     return _MADE[key]

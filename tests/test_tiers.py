@@ -95,3 +95,24 @@ def test_refresh_of_touched_buckets_equals_a_full_roll(tiers, spark):
 def test_another_handle_opens_the_same_tables(tiers, spark):
     again = Tiers(spark, tiers.root, 4)
     assert again.read("1m").count() == 2500 and again.read("4h").count() == 0
+
+
+def test_queries_share_minutes_and_make_them_again(spark, tmp_path):
+    """Once for each state of the table below them; again if that changes or what was stored is gone."""
+    import shutil
+
+    from marketlake.plans.queries import Tables
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf", copy_function=shutil.copyfile)
+    of = lambda: Tables(spark, str(tmp_path / "sf")).tiers
+    first = of()
+    assert of() is first and first.read("1m").count() > 5000
+    shutil.rmtree(first.root.removeprefix("file:"))
+    second = of()
+    assert second is not first and second.read("1m").count() > 5000
+    few = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(100)
+    few.write.mode("overwrite").parquet(str(tmp_path / "few"))
+    table = tmp_path / "sf" / "lineitem.parquet"
+    shutil.rmtree(table) if table.is_dir() else table.unlink()
+    shutil.copytree(tmp_path / "few", table)
+    assert 0 < of().read("1m").count() <= 100
