@@ -18,6 +18,7 @@ from marketlake.plans.sql import CHILD, COUNTS, KEYS, NAME, PRICES, VOLUMES, sho
 from marketlake.sources import market, rates, versioned
 from marketlake.sources.stored import exists, folder, once, signature, stored
 from marketlake.sources.tiers import Tiers
+from marketlake.streaming import candles as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -796,6 +797,62 @@ def _(t: Tables) -> DataFrame:
     return snapshot.recompute_snapshot(p1m, changed(made), as_of).drop("price_usd")
 
 
+# Tables kept up, and streams.
+
+
+def _fresh(t: Tables) -> Tiers:
+    return Tiers(t.spark, f"{folder(t.spark)}/tiers-{uuid.uuid4().hex}", max(8, min(4096, int(t.spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _run(stream: DataFrame, t: Tables, write: Callable[[DataFrame, int], None]) -> None:
+    streaming.resume(stream, f"{folder(t.spark)}/cursor-{uuid.uuid4().hex}", write).awaitTermination()
+
+
+@query("s5_month_tables", f"select {shown()} from c4h where source <> 'sdex' or ts >= timestamp '2024-01-01' and ts < timestamp '2024-02-01'")
+def _(t: Tables) -> DataFrame:
+    """Tiers rolled up table by table, then the trades' month written again; other months, if any, keep what they had."""
+    tiers = _fresh(t)
+    tiers.replace("1m", tiers.dealt(t.c1m.where("source <> 'sdex'")))
+    tiers.roll_all()
+    lo, hi = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
+    tiers.replace("1m", tiers.dealt(t.tiers.read("1m", lo, hi)))
+    tiers.roll_all(lo, hi)
+    return round_shown(tiers.read("4h"))
+
+
+@query("t1_stream_and_tail", f"select {shown()} from c1m")
+def _(t: Tables) -> DataFrame:
+    """A stream of trades, folded into a stored tier as its minutes close, and the minutes that are still open from a batch."""
+    tiers = _fresh(t)
+    made = streaming.stream_candles(fills.fills(market.claims(t.spark, t.sf_dir, stream=True))).drop("clamped")
+    _run(made, t, streaming.fold_into(tiers, "1m"))
+    streamed = tiers.read("1m")
+    return round_shown(streamed.unionByName(streaming.open_tail(t.fills, streamed).select(streamed.columns)))
+
+
+@query("t5_refresh_touched", f"select {shown()} from c1h")
+def _(t: Tables) -> DataFrame:
+    """Hours of which some minutes come late: only the buckets that these touch are rolled up again."""
+    tiers, late = _fresh(t), F.minute("ts") % 7 == 3
+    tiers.replace("1m", tiers.dealt(t.c1m.where(~late)))
+    tiers.roll("15m")
+    tiers.roll("1h")
+    fresh = t.c1m.where(late)
+    tiers.fold("1m", fresh)
+    tiers.refresh("15m", fresh)
+    tiers.refresh("1h", fresh)
+    return round_shown(tiers.read("1h"))
+
+
+@query("t8_stream_dedup", "select distinct case when user_id % 2 = 0 then 'USDC' else 'XLM' end as asset, date_trunc('second', ts) as ts from events")
+def _(t: Tables) -> DataFrame:
+    e = market.table_stream(t.spark, t.sf_dir, "events")
+    samples = e.select(F.when(F.col("user_id") % 2 == 0, "USDC").otherwise("XLM").alias("asset"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    out = f"{folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    _run(streaming.stream_dedup(samples, ["asset", "ts"]), t, streaming.merge_into(out))
+    return t.spark.read.schema("asset string, ts timestamp").parquet(f"{out}/batch=*")
+
+
 # Facts by identity: two codes have two issuers each.
 
 #: The identities that price all others.

@@ -14,13 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream; a pattern, as the table may be a file or a folder of files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _pick(c: Column, *names: str) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), (c % len(names)).cast("int"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw trades of integer amounts, some with the price of the offer that was taken."""
+def claims(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Raw trades of integer amounts, some with the price of the offer that was taken; as a stream of files, if asked for."""
     t = table(spark, sf_dir, "lineitem")
+    if stream:
+        t = table_stream(spark, sf_dir, "lineitem")
     dust, offered = F.col("l_tax") == 0, (F.col("l_returnflag") == "A") & (F.col("l_discount") > 0.05)
     cents = F.round(F.col("l_extendedprice") * 100)
     return t.select(
