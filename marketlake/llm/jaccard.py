@@ -122,14 +122,17 @@ def level(weights: np.ndarray, base: int, most: int) -> int:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], steps: np.ndarray, text: str, width: int, percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Prefix tokens of each class that a task meets, once: copies leave no postings of their own."""
     usual = float(np.median(2.0 ** (steps[:: max(1, len(steps) // 65536)] / 8.0)))
+    seen: set[int] = set()  # a number for each class of the task's texts
     for batch in batches:
         for run in slices(batch, text):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for s in shingle_sets(run.column(text), width):
                 n = len(s)
-                if not n:
+                if not n or _class(s) in seen:
                     continue
+                seen.add(_class(s))
                 rank = steps[_bin(s, bits)]
                 order = np.argsort(rank, kind="stable")
                 need = -(-percent * n // 100)

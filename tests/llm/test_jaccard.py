@@ -86,3 +86,17 @@ def test_chain_components(spark):
 def test_level_weighs_candidates_against_postings():
     assert level(np.array([1.0, 1, 1, 1000]), 2, 2) == 1
     assert level(np.array([1000.0, 1000, 1, 1]), 1, 3) == 3
+
+
+def test_copies_leave_one_set_of_postings():
+    """However many copies a task meets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marketlake.llm.jaccard import BIN_BITS, PERCENT, WIDTH, _postings
+
+    text = " ".join(f"w{i}" for i in range(60))
+    steps = np.zeros(1 << BIN_BITS, np.uint8)
+    of = lambda texts: sum(b.num_rows for b in _postings(iter([pa.RecordBatch.from_arrays([pa.array(t)], names=["text"]) for t in texts]), steps, "text", WIDTH, PERCENT, BIN_BITS))
+    assert of([[text]]) == of([[text] * 500, [text] * 500]) > 0
+    assert of([[text, text + " x"]]) > of([[text]])
