@@ -49,16 +49,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm.shared import folder, held
-from marketlake.llm.words import _powers, flat, mix
+from marketlake.llm.words import _powers, flat, mix, slices
 
 LENGTH = 100
 #: One document in so many tells which anchors are hot: those found `HOT` times there or more.
 SAMPLE, HOT, MOST_HOT = 64, 64, 1 << 20
-BUCKET_MB, BUCKETS = 32, 50_000
+BUCKET_MB, BUCKETS = 16, 50_000
 #: Bytes of text that one numpy pass handles at a time.
 PIECE = 1 << 20
 #: Anchors that are compared with each other before the exchange.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _UP, _DOWN = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
@@ -380,22 +380,22 @@ def _searched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(row[first_of_turn[t]]), pa.array(a), pa.array(b)], names=["row", "lo", "hi"])
 
 
-def bucketed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """(row, id, text, n_bytes), bucketed by row, and the bytes of all texts."""
+def bucketed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int, int]:
+    """(row, id, text), bucketed by row, the number of buckets, and the bytes of all texts."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     number = int(min(BUCKETS, max(8, size / (BUCKET_MB * 1e6))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     name = f"texts_{uuid.uuid4().hex}"
     rows.repartition(number, "row").write.option("path", f"{folder(spark)}/{name}").option("compression", "zstd").bucketBy(number, "row").sortBy("row").saveAsTable(name)
-    return spark.table(name), size
+    return spark.table(name), number, size
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int | None = None) -> DataFrame:
     """(key, n_bytes, spans, kept) of every document: the sorted byte ranges that go, which do not touch, and the bytes
     that stay."""
     k = k or length // 2
-    rows, size = bucketed(docs, key, text)
+    rows, buckets, size = bucketed(docs, key, text)
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lambda b: _sampled(b, length, k), "key long, n long")
     counts = held(sample.groupBy("key").agg(F.sum("n").alias("n")))
@@ -406,12 +406,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     met = rows.select("row", "id", "text").mapInArrow(lambda b: _exchanged(b, length, k, shared.value), _EXCHANGED.format(id=kind))
     met = met.repartition(parts, "key").sortWithinPartitions("key", "cls", "id", "row", "lo")
     classed = held(met.mapInArrow(_classed, f"key long, id {kind}, row long, lo long, hi long, ask boolean"))
-    asked = classed.where("ask").groupBy("row").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
+    # What joins the texts is dealt to as many partitions as there are buckets; else the texts would be exchanged again.
+    asked = classed.where("ask").repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("asked"))
     cut = rows.join(asked, "row").select("id", "row", "text", F.explode("asked").alias("a"))
     cut = cut.select("a.key", "id", "row", "a.lo", F.expr("substring(cast(text as binary), cast(a.lo as int) + 1, cast(a.hi - a.lo as int))").alias("context"))
     searched = cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _searched(b, length), "row long, lo long, hi long")
     spans = classed.where("not ask").select("row", "lo", "hi").unionByName(searched)
-    by_row = spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    by_row = spans.repartition(buckets, "row").groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     joined = rows.join(by_row, "row", "left").select("id", "text", "found")
     return joined.mapInArrow(_kept, f"id {kind}, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary").withColumnRenamed("id", key)
 
@@ -421,7 +422,7 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joined spans of each text, and its bytes without them."""
-    for batch in batches:
+    for batch in (run for b in batches for run in slices(b, "text", 4 * PIECE)):
         data, at = flat(batch.column("text"))
         found = batch.column("found")
         items = found.flatten()
