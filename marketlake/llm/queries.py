@@ -18,7 +18,7 @@ from marketlake.llm.negatives import OP13_SQL, op13_hard_negatives
 from marketlake.llm.ngram_lm import op8_ngram_lm_scores
 from marketlake.llm.pii import op4_information_theoretic_sanitising
 from marketlake.llm.quality import op2_quality_classifier
-from marketlake.llm.repeats import op12_suffix_array_dedup
+from marketlake.llm.repeats import OP12_SQL, op12_suffix_array_dedup
 from marketlake.llm.resample import OP11_SQL, op11_importance_resampling
 from marketlake.llm.secrets import op9_secret_scan
 
@@ -43,5 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": OP3_SQL,
     "op5_mixing_by_raking": OP5_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_suffix_array_dedup": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

@@ -448,3 +448,26 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP12_SQL = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), windows AS (
+    SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM texts WHERE n >= 100)
+), later AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1
+), runs AS (
+    SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM (
+        SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+            SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM later))
+    GROUP BY doc_id, run
+), edges AS (
+    SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS a, lo AS b, hi - lo AS removed FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+    UNION ALL
+    SELECT doc_id, coalesce(max(hi), 0), max(n), 0 FROM texts LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, any_value(n) AS n_bytes, sum(removed)::BIGINT AS n_removed, count(*) FILTER (removed > 0) AS n_spans,
+    sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+FROM edges JOIN texts USING (doc_id) GROUP BY doc_id
+"""
