@@ -23,14 +23,16 @@ def stored(c: Column) -> Column:
 
 
 def rounding_bound(a: Column, b: Column) -> Column:
-    """Do two integer amounts give a price to within a tenth of a per cent?  Divided, so that no product overflows."""
-    x, y = a.cast("decimal(38,0)") - BOUND_MARGIN, b.cast("decimal(38,0)") - BOUND_MARGIN
-    return F.when((x > 0) & (y > 0), x.cast("double") >= F.ceil(F.lit(float(BOUND_PRODUCT)) / y.cast("double"))).otherwise(False)
+    """Do two integer amounts give a price to within a tenth of a per cent?  Divided, so that no product overflows; in
+    doubles, which hold every integer that is near a bound."""
+    x, y = a.cast("double") - BOUND_MARGIN, b.cast("double") - BOUND_MARGIN
+    return F.when((x > 0) & (y > 0), x >= F.ceil(F.lit(float(BOUND_PRODUCT)) / y)).otherwise(False)
 
 
 def price_survives(p: Column) -> Column:
     """Is the price still a price after rounding to the stored scale?"""
-    return F.coalesce((F.round(p, SCALE) >= PRICE_FLOOR) & (p < 1e24), F.lit(False))
+    above = F.when(p >= 10 * PRICE_FLOOR, True).otherwise(F.round(p, SCALE) >= PRICE_FLOOR)  # rounding is slow and matters near the floor
+    return F.coalesce(above & (p < 1e24), F.lit(False))
 
 
 def price_forming(offer_priced: Column, a: Column, b: Column, p: Column) -> Column:

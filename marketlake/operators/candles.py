@@ -57,8 +57,14 @@ def _finished(rows: DataFrame) -> DataFrame:
 
 
 def candles_1m(fills: DataFrame) -> DataFrame:
-    """One candle per minute, pair and venue.  Prices come from price-forming fills, sums from all; 0 is no price."""
-    rows = fills.withColumnsRenamed({"base": "asset"}).groupBy("asset", "quote", "source", bucket_start(F.col("closed_at"), "1m").alias("ts")).agg(*minute_aggregates())
+    """One candle per minute, pair and venue.  Prices come from price-forming fills, sums from all; 0 is no price.
+
+    Fills are dealt by candle before they are sorted: once, in tasks of a share of all candles, whatever the size of the
+    input's splits.  A candle is a minute of one pair and venue, so its fills fit a task.  Time is the first key, as it
+    tells most rows apart.
+    """
+    rows = fills.withColumnsRenamed({"base": "asset"}).withColumn("ts", bucket_start(F.col("closed_at"), "1m")).repartition("ts", "asset", "quote", "source")
+    rows = rows.groupBy("ts", "asset", "quote", "source").agg(*minute_aggregates())
     return _finished(rows).select(*COLUMNS, "clamped")
 
 
