@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.functions.prices import STORED, price_forming
+from marketlake.operators.lookup import sendable
+from marketlake.sources.stored import stored
 
 #: Quote preference, and decimals of classic assets.
 RANKS = {"USDC": 0, "USDT": 1, "XLM": 2}
@@ -49,8 +51,8 @@ def drop_self_swaps(rows: DataFrame) -> DataFrame:
 
 
 def collapse_wrapped(rows: DataFrame, assets: DataFrame) -> DataFrame:
-    """A wrapper's contract is the asset that it wraps; the registry decides, and adaptive joins pick the side to send."""
-    by = assets.where("contract <> ''").select(F.col("contract").alias("c"), F.col("asset").alias("a"))
+    """A wrapper's contract is the asset that it wraps; the registry decides, of which only what the rows name is sent."""
+    by = sendable(assets.where("contract <> ''").select(F.col("contract").alias("c"), F.col("asset").alias("a")), "c", rows, "sold", "bought")
     for leg in ("sold", "bought"):
         rows = rows.join(by, rows[leg] == by["c"], "left").withColumn(leg, F.coalesce("a", leg)).drop("a", "c")
     return rows
@@ -60,9 +62,9 @@ def split_unproven(rows: DataFrame, flagged: DataFrame, assets: DataFrame) -> tu
     """Trades without a leg in a flagged contract that no asset proves, and those contracts."""
     unproven = flagged.join(assets.where("contract <> ''"), "contract", "left_anti").select("contract").distinct()
     legs = rows.select(F.col("sold").alias("contract")).unionByName(rows.select(F.col("bought").alias("contract"))).distinct()
-    good = rows
+    good, sent = rows, sendable(stored(unproven), "contract", rows, "sold", "bought")
     for leg in ("sold", "bought"):
-        good = good.join(unproven.select(F.col("contract").alias(leg)), leg, "left_anti")
+        good = good.join(sent.withColumnRenamed("contract", leg), leg, "left_anti")
     return good.select(rows.columns), legs.join(unproven, "contract", "left_semi")
 
 

@@ -19,3 +19,22 @@ def test_minutes_sort_fills_once_after_they_are_dealt(spark):
     done = made._jdf.queryExecution().executedPlan().toString()
     assert done.count("- Sort [") == 1 and done.count("- Exchange ") == 1
     assert [r["close"] for r in made.collect()] == [2.0]
+
+
+def test_registry_is_sent_to_the_rows(spark):
+    rows = spark.createDataFrame([("CAAA", "XLM", 1, 1), ("XLM", "CAAA", 1, 1), ("ZZZ", "XLM", 1, 1)], CLAIM)
+    assets = spark.createDataFrame([("AAA", "CAAA"), ("XLM", "")], "asset string, contract string")
+    out = fills.collapse_wrapped(rows, assets)
+    assert "SortMergeJoin" not in plan(out) and sorted((r["sold"], r["bought"]) for r in out.collect()) == [("AAA", "XLM"), ("XLM", "AAA"), ("ZZZ", "XLM")]
+
+
+def test_long_registry_gives_what_the_rows_name(spark, monkeypatch):
+    from marketlake.operators import lookup
+
+    monkeypatch.setattr(lookup, "MOST", 2)
+    rows = spark.createDataFrame([("C1", "XLM", 1, 1), ("C2", "C1", 1, 1), ("C3", "C9", 1, 1)], CLAIM)
+    assets = spark.range(8).select(F.concat(F.lit("A"), "id").alias("asset"), F.concat(F.lit("C"), "id").alias("contract"))
+    for n in (3, 2):  # three named entries are too many to send, then two
+        out = fills.collapse_wrapped(rows.limit(n), assets)
+        want = [("A1", "XLM"), ("A2", "A1"), ("A3", "C9")][:n]
+        assert "SortMergeJoin" not in plan(out) and sorted((r["sold"], r["bought"]) for r in out.collect()) == want
