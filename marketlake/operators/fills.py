@@ -80,11 +80,13 @@ def canonicalise(rows: DataFrame) -> DataFrame:
 
 def scale_amounts(rows: DataFrame, decimals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Volumes by each token's decimals, and trades of tokens whose decimals are unknown or absurd, counted by token."""
-    known = decimals.where(F.col("decimals").between(0, MOST_DECIMALS))
+    known = sendable(decimals.where(F.col("decimals").between(0, MOST_DECIMALS)), "asset", rows, "base", "quote")
     for leg in ("base", "quote"):
         rows = rows.join(known.select(F.col("asset").alias(leg), F.col("decimals").alias(f"d_{leg}")), leg, "left")
     whole = F.col("d_base").isNotNull() & F.col("d_quote").isNotNull()
-    good = rows.where(whole)
+    # A filter would put the rules of pairs, many times over, below the joins: more code than the JVM compiles.  What a
+    # generator drops it does not move.
+    good = rows.select(F.inline(F.array_compact(F.array(F.when(whole, F.struct(*rows.columns))))))
     for leg in ("base", "quote"):
         good = good.withColumn(f"volume_{leg}", (F.col(f"amount_{leg}").cast("double") / F.pow(F.lit(10.0), F.col(f"d_{leg}"))).cast(STORED))
     missing = rows.where(~whole).select(F.explode(F.array_compact(F.array(*[F.when(F.col(f"d_{leg}").isNull(), F.col(leg)) for leg in ("base", "quote")]))).alias("asset"))

@@ -38,3 +38,12 @@ def test_long_registry_gives_what_the_rows_name(spark, monkeypatch):
         out = fills.collapse_wrapped(rows.limit(n), assets)
         want = [("A1", "XLM"), ("A2", "A1"), ("A3", "C9")][:n]
         assert "SortMergeJoin" not in plan(out) and sorted((r["sold"], r["bought"]) for r in out.collect()) == want
+
+
+def test_scaled_amounts_filter_nothing_below_the_joins(spark):
+    rows = fills.canonicalise(spark.createDataFrame([("AAA", "XLM", 10, 20), ("AAA", "QQQ", 10, 20)], CLAIM))
+    good, missing = fills.scale_amounts(rows, spark.createDataFrame([("AAA", 1), ("XLM", 1)], "asset string, decimals int"))
+    text = plan(good)
+    assert "SortMergeJoin" not in text and not [line for line in text.splitlines() if "Filter" in line and "CASE" in line]
+    assert [(float(r["volume_base"]), float(r["volume_quote"])) for r in good.collect()] == [(1.0, 2.0)] and {*good.columns} == {*rows.columns, "volume_base", "volume_quote"}
+    assert missing.collect()[0]["asset"] == "QQQ"
