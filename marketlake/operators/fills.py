@@ -112,7 +112,7 @@ def fills(claims: DataFrame) -> DataFrame:
 def asset_id(code: Column, issuer: Column, contract: Column) -> Column:
     """A number that the identity fixes; a blank identity has the sentinel 0."""
     text = F.concat_ws(":", code, issuer, contract)
-    return F.when(F.length(F.regexp_replace(text, "[: ]", "")) > 0, F.xxhash64(text)).otherwise(F.lit(0))
+    return F.when(F.length(F.btrim(text, F.lit(": "))) > 0, F.xxhash64(text)).otherwise(F.lit(0))
 
 
 def pending_assets(rows: DataFrame, assets: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.operators.fills import asset_id
+from marketlake.operators.lookup import sendable
 
 MARK = "#"
 
@@ -43,14 +44,17 @@ def collisions(names: DataFrame) -> DataFrame:
 
 
 def keyed(claims: DataFrame, reserved: dict[str, str]) -> DataFrame:
-    """Claims (sold, sold_issuer, bought, bought_issuer) with keys for their codes."""
+    """Claims (sold, sold_issuer, bought, bought_issuer) with keys for their codes, made once for each row: a filter on
+    them does not pass the generator, below which it would hash again."""
     legs = {leg: key(F.col(leg), F.col(f"{leg}_issuer"), F.lit(""), reserved) for leg in ("sold", "bought")}
-    return claims.withColumns(legs).drop("sold_issuer", "bought_issuer")
+    rows = claims.withColumns(legs).drop("sold_issuer", "bought_issuer")
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def named(facts: DataFrame, names: DataFrame, *legs: str) -> DataFrame:
     """Facts with code and issuer of each leg beside its key; unknown keys have their code and no issuer."""
+    sent = sendable(names.select("key", "issuer"), "key", facts, *legs)
     for leg in legs:
-        of = names.select(F.col("key").alias(leg), F.col("issuer").alias(f"{leg}_issuer"))
+        of = sent.select(F.col("key").alias(leg), F.col("issuer").alias(f"{leg}_issuer"))
         facts = facts.join(of, leg, "left").withColumn(f"{leg}_code", code_of(F.col(leg)))
     return facts

@@ -47,3 +47,9 @@ def test_scaled_amounts_filter_nothing_below_the_joins(spark):
     assert "SortMergeJoin" not in text and not [line for line in text.splitlines() if "Filter" in line and "CASE" in line]
     assert [(float(r["volume_base"]), float(r["volume_quote"])) for r in good.collect()] == [(1.0, 2.0)] and {*good.columns} == {*rows.columns, "volume_base", "volume_quote"}
     assert missing.collect()[0]["asset"] == "QQQ"
+
+
+def test_keys_are_hashed_once(spark):
+    claims = spark.createDataFrame([("AAA", "G", "XLM", "")], "sold string, sold_issuer string, bought string, bought_issuer string")
+    text = plan(fills.drop_self_swaps(identity.keyed(claims, {"XLM": ""})))
+    assert not [line for line in text.splitlines() if "Filter" in line and "xxhash64" in line]
