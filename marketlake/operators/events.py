@@ -132,7 +132,9 @@ def factory_pools(events: DataFrame) -> DataFrame:
 
     The action stands in the first topic, or behind the factory's name in the second.  A pair without both tokens is none.
     """
-    rows = parse_topics(events).where("text0 in ('add_pool', 'create', 'pool_created') or text1 = 'new_pair'")
+    # Texts without a factory's word need no parsing, unless they write a letter as an escape.
+    rows = parse_topics(events.where(F.col("topics").rlike(r"add_pool|create|new_pair|\\")))
+    made = F.col("text0").isin("add_pool", "create", "pool_created") | (F.col("text1") == "new_pair")
     inner = lambda path: F.try_variant_get("parsed", path, "string")
     rows = rows.withColumn("listed", F.get(F.filter(F.try_variant_get("parsed", "$", ADDRESSES), lambda v: v["type"] == "address"), F.lit(0))["value"])
     named = lambda path: F.when(F.try_element_at("keyed", F.lit(path))["type"] == "address", value_at(path))
@@ -144,7 +146,8 @@ def factory_pools(events: DataFrame) -> DataFrame:
         .when(F.col("text1") == "new_pair", F.struct(named("pair").alias("contract"), F.lit("soroswap").alias("venue"), named("token_0").alias("token_0"), named("token_1").alias("token_1")))
         .otherwise(F.struct(named("pool_address").alias("contract"), F.lit("sushiswap").alias("venue"), named("token0").alias("token_0"), named("token1").alias("token_1")))
     )
-    out = rows.select(found.alias("p"), "ledger", "event_index").select("p.*", "ledger", "event_index").where("contract is not null")
+    # A filter would be pushed below the parsing and parse again; what a generator drops is not.
+    out = rows.select(F.inline(F.array_compact(F.array(F.when(made, found)))), "ledger", "event_index").where("contract is not null")
     return out.where(~F.col("venue").isin(*PAIR_VENUES) | (F.col("token_0").isNotNull() & F.col("token_1").isNotNull()))
 
 

@@ -53,3 +53,10 @@ def test_keys_are_hashed_once(spark):
     claims = spark.createDataFrame([("AAA", "G", "XLM", "")], "sold string, sold_issuer string, bought string, bought_issuer string")
     text = plan(fills.drop_self_swaps(identity.keyed(claims, {"XLM": ""})))
     assert not [line for line in text.splitlines() if "Filter" in line and "xxhash64" in line]
+
+
+def test_factory_words_are_sought_before_parsing(spark):
+    rows = [(1, 1, '[{"type":"sym","value":"add_pool"}]', '[{"type":"address","value":"C1"}]'), (2, 1, '[{"type":"sym","value":"\\u0061dd_pool"}]', '[{"type":"address","value":"C2"}]'), (3, 1, '[{"type":"sym","value":"swap"}]', '[{"type":"address","value":"C3"}]')]
+    found = events.factory_pools(spark.createDataFrame(rows, "ledger long, event_index long, topics string, data string"))
+    assert not [line for line in plan(found).splitlines() if "Filter" in line and "parse" in line.lower()]
+    assert sorted(r["contract"] for r in found.collect()) == ["C1", "C2"]
