@@ -13,6 +13,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from marketlake.functions.timebucket import bucket_start
 from marketlake.operators.candles import COLUMNS, KEYS, _finished, candles_1m, minute_aggregates, rollup
 from marketlake.operators.events import learn_pools, route_events
+from marketlake.operators.lookup import few
+from marketlake.sources.stored import stored
 from marketlake.sources.tiers import Tiers
 from marketlake.sources.versioned import latest, merge_append
 
@@ -20,15 +22,27 @@ DELAY = "2 minutes"
 
 
 def stream_candles(fills: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Each minute once, when the watermark says that no fill can extend it; later ones are left to reconciliation."""
-    rows = fills.withColumnRenamed("base", "asset").withWatermark("closed_at", delay)
-    made = rows.groupBy(F.window("closed_at", "1 minute"), "asset", "quote", "source").agg(*minute_aggregates())
-    return _finished(made.withColumn("ts", F.col("window.start"))).select(*COLUMNS, "clamped")
+    """Each minute once, when the watermark says that no fill can extend it; later ones are left to reconciliation.
+
+    Fills are dealt by candle to the tasks that keep its state before they are sorted, as `candles_1m` deals them, and
+    time comes first.  The watermark is that of the minutes' starts, so the length of one is added to the delay.
+    """
+    rows = fills.where("closed_at is not null").withColumnRenamed("base", "asset").withColumn("ts", bucket_start(F.col("closed_at"), "1m"))
+    keys = ["ts", "asset", "quote", "source"]
+    rows = rows.withWatermark("ts", f"{delay} 1 minute").repartition(*keys)
+    return _finished(rows.groupBy(*keys).agg(*minute_aggregates())).select(*COLUMNS, "clamped")
 
 
 def open_tail(fills: DataFrame, streamed: DataFrame) -> DataFrame:
-    """The minutes that the stream has not closed, from a batch over the same fills."""
-    return candles_1m(fills).join(streamed.select(*KEYS), KEYS, "left_anti")
+    """The minutes that the stream has not closed, from a batch over the same fills.
+
+    A minute of which the stream has counted every fill lacks no candle, so only the fills of the others are sorted.
+    """
+    rows = fills.withColumn("ts", bucket_start(F.col("closed_at"), "1m"))
+    counts = rows.groupBy("ts").agg(F.count("*").alias("n")).unionByName(streamed.groupBy("ts").agg((-F.sum("trade_count")).alias("n")))
+    left = stored(counts.groupBy(F.col("ts").alias("left")).agg(F.sum("n").alias("n")).where("n <> 0").select("left"))
+    rows = rows.join(F.broadcast(left) if few(left) else left.hint("shuffle_hash"), F.col("ts").eqNullSafe(F.col("left")), "left_semi")
+    return candles_1m(rows).join(streamed.select(*KEYS), KEYS, "left_anti")
 
 
 def stream_dedup(samples: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:

@@ -122,3 +122,33 @@ def test_fan_out_writes_every_table_of_a_batch(spark, tmp_path):
     assert read("even") == [0, 2, 4, 6, 8] and read("sums") == [45]
     write(spark.createDataFrame([("AAA", 4)], "asset string, n long"), 0)  # a batch that is run again replaces its own rows
     assert read("even") == [4] and read("sums") == [4]
+
+
+def test_streamed_fills_are_dealt_before_they_are_sorted(spark, tmp_path, capsys):
+    _, stream = _files(spark, tmp_path, [[fill(1, 2.0)]])
+    s.stream_candles(stream).explain()
+    text = capsys.readouterr().out
+    assert text.count("Exchange ") == 1 and text.rindex("Exchange ") > text.rindex("SortAggregate(") and "window" not in text
+
+
+def test_a_minute_closes_when_the_delay_has_passed_since_its_end(spark, tmp_path):
+    """The newest fill is in minute 19, so 16 closes, with a fill that comes as it does, and 17 stays open."""
+    _, stream = _files(spark, tmp_path, [[fill(1, 2.0, minute=m) for m in range(20)], [fill(2, 3.0, minute=16), fill(3, 3.0, minute=17)]])
+    s.resume(s.stream_candles(stream).drop("clamped"), f"{tmp_path}/ck", s.merge_into(f"{tmp_path}/out")).awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out/batch=*").select(((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(T))) / 60).cast("int").alias("m"), "trade_count").collect()
+    assert sorted((r.m, r.trade_count) for r in got) == [*[(m, 1) for m in range(16)], (16, 2)]
+
+
+def test_tail_sorts_the_fills_of_open_minutes_alone(spark, monkeypatch):
+    """A whole minute that is open, another's pair that came late, and a fill without a time; many open minutes and few."""
+    rows = [fill(k, 1.0 + k, minute=m) for m in range(6) for k in (1, 2)]
+    every = fills_of(spark, rows).unionByName(fills_of(spark, [fill(9, 5.0, minute=2)]).withColumn("base", F.lit("LATE"))).unionByName(fills_of(spark, [fill(9, 5.0)]).withColumn("closed_at", F.lit(None).cast("timestamp")))
+    batch = candles_1m(every).drop("clamped")
+    streamed = candles_1m(fills_of(spark, rows)).drop("clamped").where(F.col("ts") < F.lit(T + timedelta(minutes=5)))
+    want = sorted(map(str, batch.join(streamed, KEYS, "left_anti").select(batch.columns).collect()))
+    assert len(want) == 3
+    for most in (1 << 16, 1):
+        monkeypatch.setattr("marketlake.operators.lookup.MOST", most)
+        tail = s.open_tail(every, streamed).drop("clamped")
+        assert "LeftSemi" in tail._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, tail.select(batch.columns).collect())) == want
